@@ -24,8 +24,8 @@ QUERIES = {
 ORACLES = {
     "op4_quality_rules": """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, list_filter(string_split_regex(t, '[ \\x09-\\x0D]+'), x -> x <> '') AS ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^ \\x09-\\x0D]')) AS ls FROM d),
+w AS (SELECT *, list_filter(string_split_regex(t, '[ \\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\x09-\\x0D]')) AS ls FROM d),
 g AS (SELECT rid, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] AS k
       FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS n FROM g) WHERE n > 1),
