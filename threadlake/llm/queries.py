@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlake.llm import quality_rules, simhash
+from threadlake.llm import bpe, quality_rules, simhash
 from threadlake.llm.common import table
 
 
@@ -12,12 +12,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_path())
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
+    "op6_bpe": op6_bpe,
     "op10_simhash": op10_simhash,
 }
 
