@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlake.llm import bpe, pii, quality_rules, simhash
+from threadlake.llm import bpe, licenses, pii, quality_rules, simhash
 from threadlake.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_pii": op2_pii,
+    "op3_licenses": op3_licenses,
     "op4_quality_rules": op4_quality_rules,
     "op6_bpe": op6_bpe,
     "op10_simhash": op10_simhash,
