@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlake.llm import bpe, licenses, pii, quality_rules, simhash, toxicity
+from threadlake.llm import bpe, html_text, licenses, pii, quality_rules, simhash, toxicity
 from threadlake.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.report(table(spark, sf_dir, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_path())
 
@@ -37,6 +41,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_licenses": op3_licenses,
     "op4_quality_rules": op4_quality_rules,
+    "op5_html_text": op5_html_text,
     "op6_bpe": op6_bpe,
     "op10_simhash": op10_simhash,
 }
