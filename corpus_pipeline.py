@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from threadlake.llm import quality_rules, simhash
+from threadlake.llm import bpe, decontaminate, pii, quality_rules, simhash
 from threadlake.llm.common import table, written
 
 
@@ -18,9 +19,27 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.keep_one(docs)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark passage occurs."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by its kind; n_chars follows the text."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """For each document its number of tokens and the digests of ids and decoded text."""
+    return bpe.digests(docs, bpe.default_path())
+
+
 STAGES = [
     ("quality_rules", quality_stage),
     ("simhash_near_dedup", near_duplicate_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("pii_redaction", personal_data_stage),
+    ("bpe_encoding", encoding_stage),
 ]
 
 #: SQL cannot express the fingerprints and the encoding; tests hold the result against brute force.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlake.llm import bpe, html_text, licenses, pii, quality_rules, simhash, toxicity
+from threadlake.llm import bpe, decontaminate, html_text, licenses, pii, quality_rules, simhash, toxicity
 from threadlake.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_path())
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_html_text": op5_html_text,
     "op6_bpe": op6_bpe,
+    "op7_decontaminate": op7_decontaminate,
     "op10_simhash": op10_simhash,
 }
 
