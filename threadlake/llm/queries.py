@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlake.llm import bpe, decontaminate, html_text, licenses, pii, quality_rules, simhash, toxicity
+from threadlake.llm import bpe, decontaminate, html_text, licenses, pii, quality_rules, simhash, suffix_dedup, toxicity
 from threadlake.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op5_html_text": op5_html_text,
     "op6_bpe": op6_bpe,
     "op7_decontaminate": op7_decontaminate,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
 }
 
