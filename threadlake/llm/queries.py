@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlake.llm import bpe, decontaminate, html_text, licenses, pii, quality_rules, simhash, suffix_dedup, toxicity
+from threadlake.llm import bpe, decontaminate, html_text, licenses, lm_score, pii, quality_rules, simhash, suffix_dedup, toxicity
 from threadlake.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op5_html_text": op5_html_text,
     "op6_bpe": op6_bpe,
     "op7_decontaminate": op7_decontaminate,
+    "op8_lm_score": op8_lm_score,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
 }
@@ -77,5 +82,21 @@ f AS (SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_wor
              + 64 * (100 * n_capitals > 40 * word_chars)::BIGINT)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
+""",
+    "op8_lm_score": """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+             list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+t AS (SELECT rid, b, lag(b) OVER w AS a, lead(b) OVER w AS c
+      FROM (SELECT rid, unnest(ws) AS b, unnest(range(len(ws))) AS i FROM d) WINDOW w AS (PARTITION BY rid ORDER BY i)),
+n1 AS (SELECT b, count(*) AS n FROM t GROUP BY b), n2 AS (SELECT b, c, count(*) AS n FROM t WHERE c IS NOT NULL GROUP BY b, c),
+n3 AS (SELECT a, b, c, count(*) AS n FROM t WHERE a IS NOT NULL AND c IS NOT NULL GROUP BY a, b, c),
+s AS (SELECT t.rid,
+        CASE WHEN t.c IS NULL THEN 0 WHEN t.a IS NOT NULL AND n3.n >= 2 THEN ln(n3.n / ab.n)
+             WHEN t.a IS NOT NULL THEN ln(0.4) + ln(bc.n / n1.n) ELSE ln(bc.n / n1.n) END
+        + CASE WHEN t.a IS NULL THEN ln(n1.n / (SELECT count(*) FROM t)) ELSE 0 END AS s
+      FROM t JOIN n1 ON t.b = n1.b LEFT JOIN n2 bc ON bc.b = t.b AND bc.c = t.c
+             LEFT JOIN n2 ab ON ab.b = t.a AND ab.c = t.b LEFT JOIN n3 ON n3.a = t.a AND n3.b = t.b AND n3.c = t.c)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, round(coalesce(x.s, 0), 6) AS log_score
+FROM d LEFT JOIN (SELECT rid, sum(s) AS s FROM s GROUP BY rid) x USING (rid)
 """,
 }
