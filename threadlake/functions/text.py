@@ -75,6 +75,7 @@ def seconds_or_millis(t: Column) -> Column:
 DATE_PATTERNS = (
     "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d",
     "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy.M.d H:mm:ss", "yyyy.M.d",
+    "yyyy-M-d H:mm:ss", "yyyy-M-d H:mm", "yyyy-M-d", "yyyy/M/d H:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ssXXX",
 )
 
 

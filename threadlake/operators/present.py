@@ -77,5 +77,5 @@ def with_separators(messages: DataFrame) -> DataFrame:
     order = Window.partitionBy("conversation_id").orderBy("timestamp_ms", "id")
     rows = messages.withColumn("date", local_date(F.col("timestamp_ms")).cast("string"))
     new = F.coalesce(F.lag("date").over(order) != F.col("date"), F.lit(True))
-    entries = F.when(new, F.array(F.lit("separator"), F.lit("message"))).otherwise(F.array(F.lit("message")))
-    return rows.withColumn("entry", F.explode(entries))
+    entries = F.when(F.col("opens"), F.array(F.lit("separator"), F.lit("message"))).otherwise(F.array(F.lit("message")))
+    return rows.withColumn("opens", new).withColumn("entry", F.explode(entries)).drop("opens")

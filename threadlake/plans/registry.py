@@ -8,6 +8,8 @@ from threadlake.sources.lens import Lens, with_lens
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+#: Queries that SQL cannot express.
+ROWS_ONLY: set[str] = set()
 
 
 def query(name: str, sql: str | None = None, lens: str = ""):
