@@ -11,7 +11,9 @@ their own.
 Texts are normalised and split as the vocabulary's file says: NFC, white space
 to one space, lower case, then contractions, runs of letters, single digits and
 runs of other characters. Strings of the special tokens in a text are those
-tokens. ``decode`` joins token strings with a space, as the file names no
+tokens. Letters and digits are those of the installed ``regex`` module; code
+points that only the newest Unicode versions assign may be cut differently by
+the library. ``decode`` joins token strings with a space, as the file names no
 decoder.
 
 Edge cases: null and empty texts give no ids and an empty decoded text;
@@ -30,6 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from threadlake.llm.common import fresh, small_batches
 
@@ -255,7 +258,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids
     source = fresh(docs, "_text")
     small_batches(docs.sparkSession)
     plain = docs.select(*(f"`{c}`" for c in kept), F.col(text).cast("string").alias(source))
-    schema = plain.drop(source).schema.add(ids, "array<int>")
+    schema = plain.drop(source).schema.add(ids, ArrayType(IntegerType()))
 
     def run(batches):
         vocab = vocabulary(path)
