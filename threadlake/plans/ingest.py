@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.functions import hashing as X
+from threadlake.functions import payloads as P
 from threadlake.functions import text as T
 from threadlake.operators import classify as K
 from threadlake.operators import dedup as D
+from threadlake.operators import store as Z
 from threadlake.operators import upsert as U
+from threadlake.operators.stats import run_counters as count_runs
 from threadlake.plans.registry import query
 from threadlake.sources.lens import Lens
 
@@ -332,12 +335,69 @@ def direction(x: Lens) -> DataFrame:
 
 @query("a13_run_counters", "SELECT message_type AS status, count(*) AS n_files, sum(id % 3)::BIGINT AS added, sum(id % 5)::BIGINT AS duplicates, sum(id % 7)::BIGINT AS revisions FROM evts GROUP BY 1", "evts")
 def run_counters(x: Lens) -> DataFrame:
-    from threadlake.operators.stats import run_counters as count
-
     files = x.events().select(F.col("message_type").alias("status"), (F.col("id") % 3).alias("added"), (F.col("id") % 5).alias("duplicates"), (F.col("id") % 7).alias("revisions"))
-    return count(files)
+    return count_runs(files)
 
 
 @query("a14_distinct", "SELECT DISTINCT sender_id, conversation_id FROM messages", "messages")
 def distinct(x: Lens) -> DataFrame:
     return x.messages().select("sender_id", "conversation_id").distinct()
+
+
+@query("k06_trigram_search", "SELECT id FROM chat WHERE contains(lower(content), 'then')", "chat")
+def trigram_search(x: Lens) -> DataFrame:
+    return Z.indexed_search(Z.trigram_index(x.chat()), x.chat(), "THEN").select("id")
+
+
+@query("k07_run_status", "SELECT message_type AS run_id, CASE WHEN message_type = 'click' THEN 'completed' ELSE 'interrupted' END AS status FROM evts GROUP BY 1 HAVING message_type <> 'view'", "evts")
+def run_status(x: Lens) -> DataFrame:
+    began = x.events().filter("message_type <> 'view'").groupBy(F.col("message_type").alias("run_id")).agg(F.min("id").alias("seq")).withColumn("status", F.lit("running"))
+    ended = began.filter("run_id = 'click'").withColumns({"seq": F.col("seq") + 10_000_000, "status": F.lit("completed")})
+    last = x.spark.createDataFrame([("zz", 999_999_999, "running")], "run_id string, seq long, status string")
+    return Z.run_status(began.unionByName(ended).unionByName(last)).filter("run_id <> 'zz'")
+
+
+@query(
+    "c15_media_locate",
+    """SELECT message_id, ordinal, CASE WHEN media_id % 3 = 0 THEN 'm/' || media_id WHEN media_id % 3 = 1 THEN 'src' END AS path FROM attachments""",
+    "attachments",
+)
+def media_locate(x: Lens) -> DataFrame:
+    wanted = x.attachments().select("message_id", "ordinal", F.col("media_id").cast("string").alias("sha256"), F.lit("gone").alias("managed_path"), F.when(F.col("media_id") % 3 == 1, "src").otherwise("lost").alias("source_path"))
+    ids = x.media().filter("id % 3 = 0").select(F.col("id").cast("string").alias("sha256"))
+    short, long = (ids.select("sha256", F.concat(F.lit(p), "sha256").alias("path")) for p in ("m/", "much/longer/"))
+    src = x.spark.createDataFrame([("-", "src")], "sha256 string, path string")
+    return Z.locate(wanted, short.unionByName(long).unionByName(src))
+
+
+@query("c13_safe_paths", "SELECT id, CASE WHEN id % 5 = 0 THEN 'a/b' || id END AS path FROM evts", "evts")
+def safe_paths(x: Lens) -> DataFrame:
+    shown = F.concat(F.when(F.col("id") % 5 == 0, "./a\\b").when(F.col("id") % 5 == 1, "/a").when(F.col("id") % 5 == 2, "C:\\").when(F.col("id") % 5 == 3, "a/../b/").otherwise("file://"), F.col("id").cast("string"))
+    return x.events().select("id", Z.safe_relative(shown).alias("path"))
+
+
+@query("h08_xml_summary", "SELECT id, CASE WHEN id % 3 = 0 THEN '[微信分享] ' || message_type || ' - more' WHEN id % 3 = 1 THEN '[微信 XML 消息]' END AS summary, CASE WHEN id % 3 = 0 THEN 'link' WHEN id % 3 = 1 THEN 'other' END AS kind FROM evts", "evts")
+def xml_summary(x: Lens) -> DataFrame:
+    share = F.concat(F.lit("<msg><appmsg><type>5</type><title>"), "message_type", F.lit("</title><des>more</des></appmsg></msg>"))
+    content = F.when(F.col("id") % 3 == 0, share).when(F.col("id") % 3 == 1, "<msg><broken>").otherwise("plain")
+    found = x.events().select("id", P.xml_summary(content).alias("x"))
+    return found.select("id", "x.summary", "x.kind")
+
+
+@query("t11_recursive_text", "SELECT id, message_type || chr(10) || 'True' AS texts FROM evts", "evts")
+def recursive_text(x: Lens) -> DataFrame:
+    payload = F.concat(F.lit('{"a":[{"title":"'), "message_type", F.lit('","url":"x"},{"text":"http://no"},{"content":[true,"'), "message_type", F.lit('"]}]}'))
+    return x.events().select("id", P.json_texts(payload).alias("texts"))
+
+
+@query("t08_path_title", "SELECT id, 'room' || id AS title FROM convs", "convs")
+def path_title(x: Lens) -> DataFrame:
+    name = F.concat(F.lit("room"), F.col("id").cast("string"))
+    path = F.when(F.col("id") % 2 == 0, F.concat(F.lit("/x/群聊_"), name, F.lit("_全部时间/a.json"))).otherwise(F.concat(F.lit("/x/私聊-"), name, F.lit("_2024-01/a.json")))
+    return x.conversations().select("id", P.title_from_path(path, F.lit("?")).alias("title"))
+
+
+@query("t13_sender_prefix", "SELECT id, CASE WHEN id % 2 = 0 THEN content ELSE 'a:' || content END AS content FROM chat", "chat")
+def sender_prefix(x: Lens) -> DataFrame:
+    sender = F.when(F.col("id") % 2 == 0, "w@openim").otherwise("a")
+    return x.chat().select("id", P.without_sender_prefix(F.concat(sender, F.lit(":"), "content"), sender).alias("content"))
