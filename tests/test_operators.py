@@ -139,3 +139,11 @@ def test_empty_tables(spark):
     files = spark.createDataFrame([], "message_id long, is_available boolean")
     media = spark.createDataFrame([], "id long, size long")
     assert stats.archive_stats(messages, convs, convs, files, media).first().media_bytes == 0
+
+
+def test_labels(spark):
+    from threadlake.functions import labels as N
+
+    assert [N.parse_filter_tag(t) for t in ("QQ | Group", "qq", "a|b|c", "|x", None)] == [("qq", "group"), (None, None), (None, None), (None, None), (None, None)]
+    row = one(spark, N.initials(F.lit("  ")), N.sender_line(F.lit(" Ann "), F.lit(" work ")), N.sender_line(F.lit(""), F.lit("x")), N.platform_label(F.lit("SQL")), N.platform_label(F.lit("irc")))
+    assert row[:] == ("?", "Ann · work", "", "SQL", "irc")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadlake.functions import labels as N
 from threadlake.functions import text as T
 from threadlake.operators import conversations as C
 from threadlake.operators import present as P
@@ -245,3 +246,42 @@ def projection(x: Lens) -> DataFrame:
 def attachment_lists(x: Lens) -> DataFrame:
     listed = P.merge_attachments_order(x.attachments())
     return listed.select("message_id", F.array_join(F.transform("attachments", lambda a: F.concat_ws(":", a["ordinal"].cast("string"), a["kind"])), ",").alias("attachments"))
+
+
+@query(
+    "d05_local_text",
+    """SELECT id, year(t) || '年' || month(t) || '月' || day(t) || '日 ' || list_extract(['周日', '周一', '周二', '周三', '周四', '周五', '周六'], dayofweek(t) + 1) AS date, strftime(t, '%H:%M:%S') AS clock
+ FROM (SELECT id, make_timestamp(timestamp_ms * 1000) AS t FROM evts)""",
+    "evts",
+)
+def local_text(x: Lens) -> DataFrame:
+    return x.events().select("id", N.date_text(F.col("timestamp_ms")).alias("date"), N.clock_text(F.col("timestamp_ms")).alias("clock"))
+
+
+@query(
+    "t17_identity_lines",
+    """SELECT s.id, CASE WHEN s.platform = 'qq' THEN 'QQ ' ELSE '微信 ' END || CASE WHEN account_label IS NULL THEN '' ELSE account_label || ' (' END
+ || CASE WHEN s.platform = 'qq' THEN 'n' || s.id ELSE native_id END || CASE WHEN account_label IS NULL THEN '' ELSE ')' END AS line FROM senders s LEFT JOIN bindings b ON b.sender_id = s.id""",
+    "senders bindings",
+)
+def identity_lines(x: Lens) -> DataFrame:
+    labels = x.bindings().select(F.col("sender_id").alias("id"), "account_label")
+    number = F.concat(F.lit("n"), F.col("id").cast("string"))
+    return x.senders().join(labels, "id", "left").select("id", N.identity_line(F.col("platform"), number, F.col("native_id"), F.col("account_label")).alias("line"))
+
+
+@query("t18_sender_lines", "SELECT message_id, left(sender_name, 1) AS initial, sender_name || coalesce(' · ' || account_label, '') AS line FROM (SELECT m.id AS message_id, sender_name, account_label FROM messages m LEFT JOIN bindings b ON b.sender_id = m.sender_id)", "messages bindings")
+def sender_lines(x: Lens) -> DataFrame:
+    rows = x.messages().join(x.bindings().select("sender_id", "account_label"), "sender_id", "left")
+    return rows.select(F.col("id").alias("message_id"), N.initials(F.col("sender_name")).alias("initial"), N.sender_line(F.col("sender_name"), F.col("account_label")).alias("line"))
+
+
+@query("t17_type_options", "SELECT message_type AS value, CASE message_type WHEN 'view' THEN '文本' ELSE message_type END || '（' || format('{:,}', count(*)) || '）' AS shown FROM evts GROUP BY 1", "evts")
+def type_option_labels(x: Lens) -> DataFrame:
+    counts = S.option_counts(x.events(), "message_type")
+    return counts.select("value", N.type_option(F.when(F.col("value") == "view", "text").otherwise(F.col("value")), F.col("amount")).alias("shown"))
+
+
+@query("a15_storage_usage", "SELECT brand AS area, count(*) AS n_files, sum(size)::BIGINT AS bytes FROM media GROUP BY 1", "media")
+def storage_usage(x: Lens) -> DataFrame:
+    return x.media().groupBy(F.col("brand").alias("area")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"))
