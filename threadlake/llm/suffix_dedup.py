@@ -5,9 +5,10 @@ in a smaller doc_id, or before in the same document. Suffix arrays cannot span
 a corpus, so equal strings are first brought together:
 
 1. Every string of ``LENGTH`` bytes is anchored at its least q-gram (by hash;
-   of equal ones the leftmost). Equal strings have equal anchors, so only bytes
-   around equal anchors have to meet. About one anchor in 43 bytes is shuffled,
-   by hash, with a digest of its surroundings, never the text.
+   of equal ones the leftmost). Equal strings have equal anchors, so only the
+   strings around equal anchors have to meet. About one anchor in 43 bytes is
+   shuffled, by hash, with a digest of its surroundings (the strings it anchors),
+   never the text.
 2. Anchors whose whole surroundings repeat are settled by order alone: all but
    the first are copies. Map tasks settle what they can before the shuffle, so
    a group of copies sends one row for each batch, whatever its size.
@@ -40,7 +41,7 @@ from threadlake.llm.common import fresh, small_batches, written
 LENGTH, GRAM = 100, 16
 REACH = LENGTH - GRAM
 #: Surroundings of one anchor that still go into a suffix array together, and bytes of a chunk.
-MOST, CHUNK = 4096, 1 << 21
+MOST, CHUNK = 4096, 1 << 19
 HOT_SALT = 64
 FIRST = np.iinfo(np.int64).min
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD))
@@ -55,11 +56,11 @@ def _pack(a: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def anchors(text: bytes) -> np.ndarray:
-    """Positions of the least q-gram of every string of LENGTH bytes, each once, ascending."""
+def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, first, last): the least q-gram of every string of LENGTH bytes, and the first and last string that it anchors."""
     a = np.frombuffer(text, np.uint8)
     if len(a) < LENGTH:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     out, block = [], 1 << 20
     for start in range(0, len(a) - LENGTH + 1, block):  # bounded memory on very long texts
         part = a[start : start + block + LENGTH - 1]
@@ -72,10 +73,10 @@ def anchors(text: bytes) -> np.ndarray:
             size *= 2
         if size < window:
             low = np.minimum(low[: len(low) - (window - size)], low[window - size :])
-        at = (low & np.uint64((1 << 21) - 1)).astype(np.int64)
-        out.append(start + at[np.concatenate([[True], at[1:] != at[:-1]])])
+        out.append(start + (low & np.uint64((1 << 21) - 1)).astype(np.int64))
     found = np.concatenate(out)
-    return found[np.concatenate([[True], found[1:] != found[:-1]])]
+    new = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    return found[new], new, np.append(new[1:], len(found)) - 1
 
 
 def _gram_hashes(a: np.ndarray) -> np.ndarray:
@@ -103,18 +104,21 @@ def longest_previous(text: np.ndarray, valid: np.ndarray, place: np.ndarray, len
         _, rank = np.unique(rank.astype(np.int64) * (n + 1) + ahead, return_inverse=True)
         size += step
     at = np.flatnonzero(valid)
-    order = at[np.argsort(rank[at], kind="stable")]
+    order = at[np.lexsort((place[at], rank[at]))]
     pos, rk = place[order], rank[order]
     found = np.zeros(n, bool)
     for back in (True, False):
         key, r = (pos, rk) if back else (pos[::-1], rk[::-1])
         smaller = np.arange(len(key)) - 1
-        while True:  # pointer jumping to the nearest smaller place
-            far = (smaller >= 0) & (key[smaller] >= key)
-            if not far.any():
+        # Pointer jumping to the nearest smaller place; beyond equal strings it could not be a copy.
+        open_ = np.arange(1, len(key))
+        while True:
+            to = smaller[open_]
+            open_ = open_[(to >= 0) & (r[to] == r[open_]) & (key[to] >= key[open_])]
+            if not len(open_):
                 break
-            smaller[far] = smaller[smaller[far]]
-        hit = (smaller >= 0) & (r[smaller] == r)
+            smaller[open_] = smaller[smaller[open_]]
+        hit = (smaller >= 0) & (r[smaller] == r) & (key[smaller] < key)
         found[order if back else order[::-1]] |= hit
     return found
 
@@ -166,9 +170,9 @@ def _scan(batches):
         parts, ctx = [], []
         for d, c, t in zip(docs, copies, texts, strict=True):
             raw = t.encode("utf-8", "replace")
-            at = anchors(raw)
+            at, start, end = anchors(raw)
             if len(at):
-                start, end = np.maximum(at - REACH, 0), np.minimum(at + LENGTH, len(raw))
+                end = end + LENGTH
                 view = memoryview(raw)
                 ctx += [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
                 grams = np.frombuffer(raw, np.uint8)[at[:, None] + np.arange(GRAM)].ravel()
@@ -179,34 +183,54 @@ def _scan(batches):
             yield _settle(h, np.array(ctx, np.uint64).view(np.int64), doc, copy, at, start, end)
 
 
-def _firsts(batches):
-    """Over rows sorted by (h, ctx, doc, copy, at): the first of each (h, ctx) stays open, the others are removed."""
-    last = None
+def _firsts(batches, keep: np.ndarray):
+    """Over rows sorted by (h, ctx, doc, copy, at): the first of each (h, ctx) stays open, the others are removed.
+
+    All rows of an anchor are here unless it is one of ``keep``, so an open row
+    whose anchor has no other surroundings is nothing that repeats, and goes.
+    """
+    last, pending, many = None, None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
-        key = [batch.column(k).fill_null(0).to_numpy() for k in range(2)]
+        cols = [batch.column(k).fill_null(0).to_numpy() for k in range(7)]
         null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
         again, same = np.zeros(len(null), bool), np.zeros(len(null), bool)
-        again[1:] = (key[0][1:] == key[0][:-1]) & (key[1][1:] == key[1][:-1]) & ~null[1:] & ~null[:-1]
+        again[1:] = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1]) & ~null[1:] & ~null[:-1]
         same[1:] = again[1:] & np.all([x[1:] == x[:-1] for x in cols[2:5]], axis=0)
-        here = lambda k: (int(key[0][k]), int(key[1][k]), *(int(x[k]) for x in cols[2:5]))
+        here = lambda k: tuple(int(x[k]) for x in cols[:5])
         if last is not None and not null[0]:
             again[0], same[0] = last[:2] == here(0)[:2], last == here(0)
         last = None if null[-1] else here(-1)
-        done = [*(pa.array(k, pa.int64(), mask=again | null) for k in key), *(pa.array(x) for x in cols[2:])]
-        yield _batch(done).filter(pa.array(~same))
 
-
-def _settled(rows: DataFrame, hot: DataFrame | None = None) -> DataFrame:
-    """Brings equal (h, ctx) together and settles them; anchors that a sample finds hot are spread by ctx."""
-    spread = rows.withColumn("salt", F.lit(0))
-    if hot is not None:
-        spread = rows.join(F.broadcast(hot), "h", "left").withColumn("salt", F.when(F.col("hot"), F.pmod("ctx", F.lit(HOT_SALT))).otherwise(F.lit(0)))
+        gone = (again | null) & ~same
+        if gone.any():
+            empty = pa.nulls(int(gone.sum()), pa.int64())
+            yield _batch([empty, empty, *(x[gone] for x in cols[2:])])
+        first = [x[~again & ~null] for x in cols]
+        if not len(first[0]):
+            continue
+        if pending is not None:
+            first = [np.concatenate(x) for x in zip(pending, first, strict=True)]
+        h = first[0]
+        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.append(new, len(h)))
+        wanted = np.repeat((size > 1) | np.isin(h[new], keep) | (h[new] == many), size) if many is not None else np.repeat((size > 1) | np.isin(h[new], keep), size)
+        # The last anchor may go on in the next batch: alone so far, it waits.
+        pending = [x[-1:] for x in first] if not wanted[-1] else None
+        many = h[-1] if wanted[-1] else None
+        if wanted.any():
+            yield _batch([x[wanted] for x in first])
+
+
+def _settled(rows: DataFrame, hot: list[int]) -> DataFrame:
+    """Brings equal (h, ctx) together and settles them; the anchors in ``hot`` are spread by ctx."""
+    keep = np.array(hot, np.int64)
+    salt = F.when(F.col("h").isin(hot), F.pmod("ctx", F.lit(HOT_SALT))).otherwise(F.lit(0)) if hot else F.lit(0)
     # Spans that map tasks have settled carry no key; they are spread by document.
-    by = F.when(F.col("h").isNull(), F.xxhash64("doc", "at")).otherwise(F.xxhash64("h", "salt"))
-    return spread.withColumn("by", by).repartition("by").sortWithinPartitions("h", "ctx", "doc", "copy", "at").select(*NAMES).mapInArrow(_firsts, ROW)
+    by = F.when(F.col("h").isNull(), F.xxhash64("doc", "at")).otherwise(F.xxhash64("h", salt))
+    dealt = rows.withColumn("by", by).repartition("by").sortWithinPartitions("h", "ctx", "doc", "copy", "at").select(*NAMES)
+    return dealt.mapInArrow(lambda batches: _firsts(batches, keep), ROW)
 
 
 def _suffixes(batches):
@@ -281,8 +305,7 @@ def removed(plain: DataFrame) -> DataFrame:
     scanned = plain.mapInArrow(_scan, ROW)
     # Routing only: anchors with a large share of a sample of the documents are spread over partitions.
     some = plain.sample(0.01, 7).mapInArrow(_scan, ROW).filter("h is not null")
-    counts = some.groupBy("h").count().orderBy(F.desc("count"), "h").limit(1000)  # at most 1000 rows
-    hot = counts.filter("count >= 64").select("h", F.lit(True).alias("hot"))
+    hot = [r["h"] for r in some.groupBy("h").count().filter("count >= 64").orderBy(F.desc("count"), "h").limit(1000).collect()]  # at most 1000 numbers
     settled = written(_settled(scanned, hot), "repeats")
     open_ = settled.filter("h is not null")
     shared = open_.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -306,7 +329,7 @@ def removed(plain: DataFrame) -> DataFrame:
     few = around.filter("not many").select("h", "doc", "copy", "start", "body").repartition("h").sortWithinPartitions("h", "doc", "copy", "start")
     by_suffix = few.mapInArrow(_suffixes, ROW)
     strings = around.filter("many").select("h", "doc", "copy", "start", "body").mapInArrow(_strings, ROW)
-    by_string = _settled(strings).filter("h is null")
+    by_string = _settled(strings, []).filter("h is null")
     return done.unionByName(by_suffix.select("doc", "copy", "start", "end")).unionByName(by_string.select("doc", "copy", "start", "end"))
 
 
