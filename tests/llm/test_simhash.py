@@ -72,7 +72,7 @@ def test_small_tiles_and_chunks_lose_nothing(spark, monkeypatch):
 
 
 def test_keep_one(spark):
-    docs = clashing(frame(spark, [(3, "a b c d"), (3, "a b c d"), (5, "a b c d"), (7, "other words stand here"), (8, None), (9, "")]))
+    docs = clashing(frame(spark, [(3, "a b c d"), (3, "a b c d"), (5, "a b c d"), (7, "other words stand here"), (8, None), (9, ""), (None, "a b c d")]))
     got = S.keep_one(docs)
-    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [3, 7, 8]
+    assert got.columns == docs.columns and sorted(r.doc_id or -1 for r in got.collect()) == [-1, 3, 7, 8]
     assert S.report(docs.limit(0)).count() == S.keep_one(docs.limit(0)).count() == 0

@@ -161,14 +161,15 @@ def clusters(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42)
 
 
 def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """One row of each class (the least doc_id; of repeated rows with that id, one)."""
+    """One row of each class: the least doc_id's. Rows that share a doc_id count as one document; rows without one all stay."""
     classes = clusters(docs, radius)
     chosen = classes.filter("doc_id = component_id").select("doc_id").distinct()
     one = fresh(docs, "_nth")
     rows = docs.join(chosen, "doc_id", "left_semi")
     # Only rows that share their doc_id are still to be told apart.
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    return rows.withColumn(one, nth).filter(F.col(one) == 1).select(*(f"`{c}`" for c in docs.columns))
+    kept = rows.withColumn(one, nth).filter(F.col(one) == 1).select(*(f"`{c}`" for c in docs.columns))
+    return kept.unionByName(docs.filter("doc_id is null"))
 
 
 def report(docs: DataFrame) -> DataFrame:
