@@ -10,7 +10,7 @@ score takes share the middle word: c(b), c(ab), c(bc) and c(abc). So one
 partitioning, by the hash of the middle word, holds the count tables and the
 exploded n-grams side by side: they are counted, joined and summed by document
 there, and partial sums are added up by document. Between the stages the
-windows travel packed (a dictionary of word hashes and small numbers). The
+windows travel packed (a dictionary of word hashes and compressed small numbers). The
 number of partitions follows the number of tokens, so each stays bounded.
 
 A middle word so frequent that it would outgrow a partition (found by a first
@@ -19,7 +19,9 @@ one count table for each order, joined by hash, where Spark splits skewed keys.
 
 Edge cases: null and empty texts score 0 with 0 words; one-word texts have the
 first term only; equal rows are scored each (and counted each); an empty table
-gives no rows; ties do not arise; only doc_id and text are read.
+gives no rows; ties do not arise; only doc_id and text are read. The documents
+must be a table (or a plan that gives its rows in the same order each time it
+runs), as rows are told apart by their place in it.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from threadlake.llm.common import small_batches, written
 
 CUTOFF, BACKOFF = 2, 0.4
 #: Tokens of a partition; a word with more than HOT tokens goes the relational way.
-PART, HOT = 2_000_000, 3_000_000
+PART, HOT = 1_500_000, 3_000_000
 NONE = np.uint64(0)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD))
 
@@ -44,7 +46,7 @@ class _Hashes(dict):
     """word -> 64-bit hash, never 0."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word) or 1
         return found
@@ -61,16 +63,19 @@ def _windows(texts: list[str | None], known: _Hashes) -> tuple[np.ndarray, np.nd
     b = np.concatenate([none[:0], *ids])
     a = np.concatenate([none[:0], *(x for i in ids if len(i) for x in (none, i[:-1]))])
     c = np.concatenate([none[:0], *(x for i in ids if len(i) for x in (i[1:], none))])
-    return np.repeat(np.arange(len(ids)), [len(i) for i in ids]), a, b, c
+    return np.repeat(np.arange(len(ids), dtype=np.int32), [len(i) for i in ids]), a, b, c
 
 
 def _small(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, in as few bytes as they need, compressed."""
     kind = np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32
-    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+    raw = x.astype(kind).tobytes()
+    return bytes([np.dtype(kind).itemsize]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _large(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint16 if raw[0] == 2 else np.uint32, offset=1).astype(np.int64)
+    plain = pa.decompress(raw[9:], decompressed_size=int.from_bytes(raw[1:9], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(plain, np.uint16 if raw[0] == 2 else np.uint32).astype(np.int64)
 
 
 def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -88,22 +93,26 @@ def _ids(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for k in keys:
         k = k[order]
         new[1:] |= k[1:] != k[:-1]
-    ids = np.empty(len(order), np.int64)
-    ids[order] = np.cumsum(new) - 1
-    return ids, np.bincount(ids)
+    ids = np.empty(len(order), np.int32)
+    ids[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ids, np.bincount(ids).astype(np.int32)
 
 
 def window_scores(a: np.ndarray, b: np.ndarray, c: np.ndarray, tokens: int) -> np.ndarray:
     """log S of each window, all windows with these middle words being at hand; a, b and c are numbers, 0 for none."""
-    n_b = np.bincount(b)[b]
-    bc, n_bc = _ids(c, b)
+    # 32-bit numbers and one count at a time: a partition of a few million windows fits a small worker.
+    n_b = np.bincount(b).astype(np.int32)[b]
+    first = np.where(a == 0, np.log(n_b / tokens), 0.0)
+    bc, count = _ids(c, b)
+    lower = np.log(count[bc] / n_b)
+    del n_b
     ab, n_ab = _ids(a, b)
-    n_abc = _ids(bc, ab)
-    n_abc = n_abc[1][n_abc[0]]
-    n_bc, n_ab = n_bc[bc], n_ab[ab]
-    lower = np.log(n_bc / n_b)
-    out = np.where(a == 0, lower, np.where(n_abc >= CUTOFF, np.log(n_abc / n_ab), np.log(BACKOFF) + lower))
-    return np.where(c == 0, 0.0, out) + np.where(a == 0, np.log(n_b / tokens), 0.0)
+    abc, n_abc = _ids(bc, ab)
+    del bc
+    higher, seen = n_abc[abc] / n_ab[ab], n_abc[abc] >= CUTOFF
+    del ab, abc
+    out = np.where(a == 0, lower, np.where(seen, np.log(higher), np.log(BACKOFF) + lower))
+    return np.where(c == 0, 0.0, out) + first
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -134,9 +143,15 @@ def scores(docs: DataFrame) -> DataFrame:
             text, a, b, c = _windows(batch.column(1).to_pylist(), known)
             cold = ~np.isin(b.view(np.int64), hot)
             text, a, b, c = (x[cold] for x in (text, a, b, c))
-            part = (b * MIX[0] >> np.uint64(20)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            text, a, b, c, part = (x[order] for x in (text, a, b, c, part))
+            # By partition, then by middle word, then by text: rows that pack well.
+            middle, which = np.unique(b, return_inverse=True)
+            part = (middle * MIX[0] >> np.uint64(20)) % np.uint64(parts)
+            rank = np.empty(len(middle), np.int64)
+            rank[np.argsort(part, kind="stable")] = np.arange(len(middle))
+            order = np.argsort(rank[which], kind="stable")
+            part = part[which][order].astype(np.int32)
+            del rank, which, middle
+            text, a, b, c = (x[order] for x in (text, a, b, c))
             at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
             out = [[], [], [], [], [], [], []]
             for s, e in zip(at, np.append(at[1:], len(part)), strict=True):
@@ -144,7 +159,9 @@ def scores(docs: DataFrame) -> DataFrame:
                 used, local = np.unique(text[s:e], return_inverse=True)
                 n = e - s
                 rids = batch.column(0).take(pa.array(used)).to_numpy().astype("<i8")
-                for x, v in zip(out, (int(part[s]), words.tobytes(), *(_small(back[1 + k * n : 1 + (k + 1) * n]) for k in range(3)), rids.tobytes(), _small(local)), strict=True):
+                steps = pa.compress(np.diff(rids, prepend=np.int64(0)).tobytes(), codec="zstd", asbytes=True)
+                rids = len(rids).to_bytes(8, "little") + steps
+                for x, v in zip(out, (int(part[s]), words.tobytes(), *(_small(back[1 + k * n : 1 + (k + 1) * n]) for k in range(3)), rids, _small(local)), strict=True):
                     x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k == 0 else pa.binary()) for k, x in enumerate(out)], names=["part", "words", "a", "b", "c", "rids", "local"])
 
@@ -152,10 +169,12 @@ def scores(docs: DataFrame) -> DataFrame:
         columns = {k: group.column(k).to_pylist() for k in ("words", "a", "b", "c", "rids", "local")}
         tables = [np.frombuffer(w, np.uint64) for w in columns["words"]]
         known, number = np.unique(np.concatenate(tables), return_inverse=True)  # 0 is none, and first
-        number = np.split(number, np.cumsum([len(t) for t in tables])[:-1])
+        number = np.split(number.astype(np.int32), np.cumsum([len(t) for t in tables])[:-1])
         a, b, c = (np.concatenate([m[_large(raw)] for m, raw in zip(number, columns[k], strict=True)]) for k in "abc")
-        rid = np.concatenate([np.frombuffer(r, "<i8")[_large(x)] for r, x in zip(columns["rids"], columns["local"], strict=True)])
+        ids = lambda r: np.cumsum(np.frombuffer(pa.decompress(r[8:], decompressed_size=8 * int.from_bytes(r[:8], "little"), codec="zstd", asbytes=True), "<i8"))
+        rid = np.concatenate([ids(r)[_large(x)] for r, x in zip(columns["rids"], columns["local"], strict=True)])
         got = window_scores(a, b, c, tokens)
+        del a, b, c
         doc, back = np.unique(rid, return_inverse=True)
         return pa.table({"rid": doc, "s": np.bincount(back, weights=got)})
 
