@@ -152,9 +152,9 @@ def scores(docs: DataFrame) -> DataFrame:
             part = part[which][order].astype(np.int32)
             del rank, which, middle
             text, a, b, c = (x[order] for x in (text, a, b, c))
-            at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+            at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
             out = [[], [], [], [], [], [], []]
-            for s, e in zip(at, np.append(at[1:], len(part)), strict=True):
+            for s, e in zip(at, [*at[1:], len(part)], strict=False):  # no tokens, no blocks
                 words, back = np.unique(np.concatenate([np.zeros(1, np.uint64), a[s:e], b[s:e], c[s:e]]), return_inverse=True)
                 used, local = np.unique(text[s:e], return_inverse=True)
                 n = e - s
