@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlake.llm import near_copies
 from threadlake.llm.common import fresh, runs, small_batches, written
 from threadlake.llm.components import components
 
@@ -160,10 +161,12 @@ def clusters(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """One row of each class: the least doc_id's. Rows that share a doc_id count as one document; rows without one all stay."""
-    classes = clusters(docs, radius)
-    chosen = classes.filter("doc_id = component_id").select("doc_id").distinct()
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each class of near copies: the least doc_id's. Rows that share a doc_id count as one document; rows without one all stay.
+
+    Near copies share 0.8 of their 5-word shingles: further apart than fingerprints of any radius that tiles can prune.
+    """
+    chosen = near_copies.classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
     one = fresh(docs, "_nth")
     rows = docs.join(chosen, "doc_id", "left_semi")
     # Only rows that share their doc_id are still to be told apart.
