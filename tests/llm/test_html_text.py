@@ -30,3 +30,15 @@ def test_report(spark):
     got = {r.page_id: r for r in H.report(pages).collect()}
     assert {k: r.text for k, r in got.items()} == {k: t for k, (_, t) in enumerate(PAGES)} and all(r.n_chars == len(r.text) for r in got.values())
     assert H.main_text(pages).columns == ["page_id", "url", "_html", "text"] and H.report(pages.limit(0)).count() == 0
+
+
+def test_layout_wrappers_are_kept_and_what_they_are_named_after_is_not():
+    from threadlake.llm import html_text
+
+    body = "".join(f"<p>Sentence number {k} of the article, which is long enough to count as text.</p>" for k in range(8))
+    comment = "<div class='comments'><article class='comment'><p>" + "I say so too. " * 90 + "</p></article></div>"
+    for name in ("class='container has-sidebar'", "class='content-sidebar'", "class='layout sidebar-right'", "id='page-widget-area'"):
+        for inner in (f"<article>{body}</article>{comment}", f"<main>{body}</main>{comment}", body):
+            got = html_text.extract(f"<html><body><nav>Home</nav><div {name}>{inner}</div><div class='sidebar'><p>Other news</p></div></body></html>")
+            assert "number 0" in got and "number 7" in got and "I say so" not in got and "Other news" not in got
+    assert "x plus y" in html_text.extract(f"<body><article>{body}<p><math><mi>x plus y</mi></math></p></article></body>")

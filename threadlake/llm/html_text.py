@@ -35,9 +35,9 @@ from threadlake.llm.common import fresh, small_batches
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|aria-label|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noframes", "xmp"}
+RAW = {"script", "style", "textarea", "title", "template", "iframe", "noframes", "xmp"}
 #: Elements that never hold article text.
-DROPPED = {*RAW, "head", "nav", "aside", "form", "button", "select", "option", "svg", "canvas", "object", "audio", "video", "dialog", "menu", "input", "label", "fieldset", "map", "math"}
+DROPPED = {*RAW, "head", "nav", "aside", "form", "button", "select", "option", "svg", "canvas", "object", "audio", "video", "dialog", "menu", "input", "label", "fieldset", "map"}
 #: Page furniture outside an article; a header within an article holds its title.
 FURNITURE = {"header", "footer"}
 BLOCKS = {
@@ -60,10 +60,11 @@ SPACE = re.compile(r"[ \t\n\r\f\v   -     　\x1c-\x1f\x85]+")
 class Node:
     """An element: its children are nodes and texts, in page order."""
 
-    __slots__ = ("chars", "children", "density", "drop", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = ("chars", "children", "density", "drop", "link_chars", "link_tags", "named", "parent", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool) -> None:
         self.tag, self.parent, self.drop, self.children = tag, parent, drop, []
+        self.named = False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -79,11 +80,14 @@ def _dropped(tag: str, attrs: str) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and NAMED.search(value):
-            return True
     return False
 
 
+def _named(attrs: str) -> bool:
+    """Whether a class or id is one of page furniture; that alone does not tell a layout wrapper from what it is named after."""
+    return any(m[1].lower() in ("class", "id") and NAMED.search(next((v for v in m.groups()[1:] if v is not None), "")) for m in ATTRIBUTE.finditer(attrs))
+
+
 def parse(page: str) -> Node:
     """The tree of a page below a root that stands for the document."""
     root = at = Node("html", None, False)
@@ -126,6 +130,7 @@ def parse(page: str) -> Node:
         if tag == "body":
             at = close({"head"}, set())
         inside = Node(tag, at, _dropped(tag, m["attrs"] or "") or (at.drop and at is not root))
+        inside.named = bool(m["attrs"]) and tag not in ("body", "html") and _named(m["attrs"])
         if tag in FURNITURE and not inside.drop:
             up, article = at, False
             while up is not None:
@@ -138,6 +143,7 @@ def parse(page: str) -> Node:
             pos = end.end() if end else n
         elif tag not in VOID and not (m["attrs"] or "").rstrip().endswith("/") or tag in ("p", "div", "a", "span", "b", "i"):
             at = inside
+    _drop_named(root)
     return root
 
 
@@ -151,6 +157,22 @@ def _in_order(root: Node) -> list[Node]:
     return found
 
 
+def _drop_named(root: Node) -> None:
+    """Drops named elements, except wrappers: those around an article or main, or, on a page without one, around most of the text."""
+    nodes = _in_order(root)
+    holds = {}
+    for node in reversed(nodes):
+        below = [c for c in node.children if isinstance(c, Node) and not c.drop]
+        node.chars = sum(c.chars for c in below) + sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        # an article that is itself named (a comment, a teaser) makes no wrapper
+        holds[node] = node.chars > 0 and (node.tag == "main" or node.tag == "article" and not node.named or any(holds[c] for c in below))
+    total, article = root.chars, holds[root]
+    for node in nodes:
+        if node.named and node.tag not in ("article", "main"):
+            node.drop = not (holds[node] if article else node.chars * 2 > total)
+        node.chars = 0
+
+
 def measure(root: Node) -> Node:
     """Sets characters, tags and densities of every kept node; returns the body."""
     nodes = _in_order(root)
