@@ -39,3 +39,10 @@ def test_templates_are_aligned_and_verified(spark):
 
 def test_empty(spark):
     assert L.scan(frame(spark, [])).count() == 0
+
+
+def test_a_later_notice_is_found(spark):
+    gpl = "This work is licensed under the GNU General Public License, version "
+    rows = [(1, gpl + "2. " + "x " * 60 + gpl + "3."), (2, gpl + "2."), (3, "Licensed under CC BY-NC 4.0.")] + [(10 + k, "3 1 2 version") for k in range(40)]
+    got = {r.doc_id: r.labels.split(",") for r in L.scan(frame(spark, rows)).collect()}
+    assert "gpl-3.0" in got[1] and "gpl-3.0" not in got[2] and got[3] == ["cc-by-nc"]

@@ -5,9 +5,9 @@ for each template, the positions of its words with the highest inverse
 document frequency over the whole corpus (the others are too common to
 anchor anything). A file's rare words are joined with those postings; postings
 of one template agree on an alignment where file position less template
-position is (nearly) the same. The best alignment is scored by the weight of
-its distinct words, and the template counts only if its mandatory key phrases
-stand in the file near that alignment.
+position is (nearly) the same. An alignment is scored by the weight of its
+distinct words, and counts only if the template's mandatory key phrases stand in
+the file near it; the best of those that count gives the template's score.
 
 Texts are cut into words once, inside the JVM; only words of the templates go
 on from there, so what is shuffled follows the licence text in the corpus, not
@@ -16,7 +16,7 @@ which is fixed, and are broadcast.
 
 Edge cases: a null text counts as empty (no words, no labels, score 0); equal
 rows are told apart and get equal results; an empty table gives no rows; ties
-between alignments go to the earliest; extra columns are not read.
+between alignments do not arise, as all are tested; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import written
+from threadlake.llm.common import let, written
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,6 +46,7 @@ TEMPLATES = {
     "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ("for any purpose with or without fee",)),
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
     "cc-by": ("This work is licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution",)),
+    "cc-by-nc": ("Licensed under CC BY-NC 4.0", ("cc by nc",)),
     "unlicense": ("This is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
 }
 #: Rare words kept for each template, and the slack in positions of one alignment.
@@ -112,7 +113,7 @@ def index(found: DataFrame, rare: int = RARE) -> list[tuple[str, str, int, float
 
 
 def alignments(found: DataFrame, postings: DataFrame, slack: int = SLACK) -> DataFrame:
-    """(rid, template, anchor, share): the best alignment of each template in each file.
+    """(rid, template, anchor, share): every alignment of each template in each file, at most two for a posting met.
 
     ``share`` is the part of the template's rare weight that the alignment holds.
     """
@@ -124,27 +125,37 @@ def alignments(found: DataFrame, postings: DataFrame, slack: int = SLACK) -> Dat
     banded = joined.select("rid", "template", F.explode(bands).alias("band"), "w", "weight", "at")
     once = banded.groupBy("rid", "template", "band", "w").agg(F.max("weight").alias("weight"), F.min("at").alias("at"))
     scored = once.groupBy("rid", "template", "band").agg(F.sum("weight").alias("got"), F.min("at").alias("anchor"))
-    best = scored.groupBy("rid", "template").agg(F.max(F.struct(F.col("got"), (-F.col("band")).alias("early"), F.col("anchor"))).alias("b"))
-    return best.join(F.broadcast(total), "template").select("rid", "template", F.col("b.anchor").alias("anchor"), (F.col("b.got") / F.col("total")).alias("share"))
+    return scored.join(F.broadcast(total), "template").select("rid", "template", "anchor", (F.col("got") / F.col("total")).alias("share"))
 
 
 def labelled(found: DataFrame, least: float = 0.6) -> DataFrame:
-    """(rid, labels, score): templates whose alignment holds ``least`` of the weight and whose key phrases stand near it."""
+    """(rid, labels, score): templates with an alignment that holds ``least`` of the weight and has the key phrases near it."""
     spark = found.sparkSession
     postings = spark.createDataFrame(index(found), "template string, w string, position int, weight double")
-    near = alignments(found, postings).filter(F.col("share") >= least).join(found.select("rid", "hits"), "rid")
-    verified = F.lit(False)
+    held = alignments(found, postings).filter(F.col("share") >= least)
+    # A file's alignments travel together, so its words are joined once however many notices it holds.
+    near = held.groupBy("rid", "template").agg(F.collect_set(F.struct("share", "anchor")).alias("held")).join(found.select("rid", "hits"), "rid")
+    verified = F.lit(None).cast("double")
     for name, (text, phrases) in TEMPLATES.items():
         reach = len(words_of(text)) + 8
-        ok = F.lit(True)
-        for phrase in phrases:
-            ok = ok & _near(_starts(F.col("hits"), phrase), reach)
-        verified = verified | ((F.col("template") == name) & ok)
-    return near.filter(verified).groupBy("rid").agg(F.collect_set("template").alias("labels"), F.max("share").alias("score"))
+        verified = F.when(F.col("template") == name, _best([_starts(F.col("hits"), p) for p in phrases], reach)).otherwise(verified)
+    return near.withColumn("share", verified).filter("share is not null").groupBy("rid").agg(F.collect_set("template").alias("labels"), F.max("share").alias("score"))
 
 
-def _near(starts: Column, reach: int) -> Column:
-    return F.exists(starts, lambda at: F.abs(at - F.col("anchor")) <= reach)
+def _best(phrases: list[Column], reach: int) -> Column:
+    """The largest share of an alignment with a start of every phrase within ``reach``; null if there is none."""
+
+    def tested(starts: Column) -> Column:
+        def better(most: Column, x: Column) -> Column:
+            ok = most.isNull()
+            for k in range(len(phrases)):
+                ok = ok & F.exists(F.get(starts, k), lambda at: F.abs(at - x["anchor"]) <= reach)
+            return F.when(ok, x["share"]).otherwise(most)
+
+        # From the largest share down; once one counts, no other is tested.
+        return F.aggregate(F.sort_array("held", asc=False), F.lit(None).cast("double"), better)
+
+    return let(F.array(*phrases), tested)
 
 
 def scan(docs: DataFrame) -> DataFrame:
