@@ -70,3 +70,19 @@ def test_empty_and_native(spark):
     assert pii.report(frame(spark, [])).count() == 0
     plan = pii.report(frame(spark, EDGES))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_long_keys_and_short_account_numbers_are_redacted(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tests.llm.helpers import frame
+    from threadlake.llm import pii
+
+    r = random.Random(1)
+    keys = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n)) for n in (40, 128, 129, 164, 400, 2000)]
+    rows = [(k, f'some words then key = "{key}" and more') for k, key in enumerate(keys)] + [(90, "pay to iban: NO9386011117947 now"), (91, "pay to iban: NO93 8601 1117 947 now")]
+    got = {x.doc_id: x.text for x in pii.redact(frame(spark, rows)).select("doc_id", F.col("text")).collect()}
+    assert all("[SECRET]" in got[k] and key not in got[k] for k, key in enumerate(keys))
+    assert "[IBAN]" in got[90] and "[IBAN]" in got[91]

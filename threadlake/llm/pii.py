@@ -44,8 +44,8 @@ MORE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{2,63}+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z]{2,24}){1,3}",
     "phone": r"(?<![0-9+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{24,128}+(?![A-Za-z0-9_/+-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{24,}+(?![A-Za-z0-9_/+-])",
 }
 CONTEXT = 24
 HINTS = r"(?i)(?:mail|contact|phone|tel|call|fax|mobile|card|visa|iban|bank|account|ssn|social|key|token|secret|passw|api|auth|[=:\"'] ?$)"
@@ -260,6 +260,13 @@ def examples(n: int = 60, seed: int = 7) -> list[tuple[str, str, int]]:
                     out.append((kind, f"{lead()}{hint}{make()} {lead()}", label))
             # the same strings glued into something longer are not personal data
             out.append((kind, f"{lead()}{word()}{plain()}{word()} {lead()}", int(kind in ("email", "ip", "card"))))
+    symbols = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_"
+    for k in range(n):  # the longest keys and the shortest account numbers; last, so that the examples above stay the same
+        body = d(11)
+        out.append(("secret", f"{word()} {hints['secret'] if k % 3 else ''}{''.join(r.choice(symbols[: -2 if k % 4 < 2 else None]) for _ in range(r.randint(100, 1200)))} {word()}", 1))
+        out.append(("iban", f"{word()} {'iban: ' if k % 3 else ''}NO{98 - int(body + '232400') % 97:02d}{body} {word()}", 1))
+        out.append(("secret", f"{word()} {''.join(r.choice('aeioulnrstdmgcph') for _ in range(r.randint(100, 1200)))} {word()}", 0))
+        out.append(("iban", f"{word()} NO{(98 - int(body + '232400') % 97 + r.randint(1, 90)) % 97:02d}{body} {word()}", 0))
     return out
 
 
