@@ -37,10 +37,23 @@ def test_matches_brute_force(spark):
     assert result(clashing(frame(spark, ROWS))) == brute(ROWS)
 
 
-def test_hot_words_and_small_partitions(spark, monkeypatch):
-    monkeypatch.setattr(L, "HOT", 4)
-    monkeypatch.setattr(L, "PART", 10)
-    assert result(frame(spark, ROWS)) == brute(ROWS)
+def test_many_blocks_and_ranges(spark, monkeypatch):
+    # Texts that go on over several blocks, a word in every block, ranges of a few n-grams.
+    monkeypatch.setattr(L, "BLOCK", 7)
+    monkeypatch.setattr(L, "PART", 5)
+    monkeypatch.setattr(L, "CHUNK", 16)
+    rows = [(i, t) for i, t in ROWS if i != 9] + [(9, "word " * 300), (30, " ".join(f"w{k % 11}" for k in range(200)))]
+    assert result(frame(spark, rows).repartition(3)) == brute(rows)
+
+
+def test_packing_is_lossless():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    keys = np.unique(r.integers(0, 2**64, 5000, np.uint64))
+    counts = r.choice([0, 1, 2, 254, 255, 256, 10**10], 5000)
+    assert (L._sorted_out(L._sorted_in(keys)) == keys).all() and (L._counts_out(L._counts_in(counts)) == counts).all()
+    assert not len(L._sorted_out(L._sorted_in(keys[:0]))) and not len(L._counts_out(L._counts_in(counts[:0])))
 
 
 def test_oracle_and_empty(spark):

@@ -5,212 +5,253 @@ words before it, c(abc) / c(ab) where the trigram occurs at least ``CUTOFF``
 times in the corpus, else ``BACKOFF`` * c(bc) / c(b); for the second word
 c(bc) / c(b); for the first c(b) / N.
 
-Every token is the middle of one window (a, b, c), and all counts that its
-score takes share the middle word: c(b), c(ab), c(bc) and c(abc). So one
-partitioning, by the hash of the middle word, holds the count tables and the
-exploded n-grams side by side: they are counted, joined and summed by document
-there, and partial sums are added up by document. Between the stages the
-windows travel packed (a dictionary of word hashes and compressed small numbers). The
-number of partitions follows the number of tokens, so each stays bounded.
-
-A middle word so frequent that it would outgrow a partition (found by a first
-count of words) takes the plain relational way instead: rows of n-gram hashes,
-one count table for each order, joined by hash, where Spark splits skewed keys.
+Documents are cut into blocks of ``BLOCK`` words, written once as word hashes.
+A block explodes into its distinct n-grams of orders 1 to 3, each a 64-bit
+hash with the block's own count. The count tables are partitioned by ranges of
+that hash: each block sends each range one sorted slice, the range sums what
+the blocks sent and returns the totals in the slice's order. Totals are then
+joined to their block, where the n-grams stand at hand, and summed by document.
+Slices travel packed (differences of sorted hashes), so a word as frequent as
+may be is one entry of each block, and no row stands for a token.
+
+Counts cover all documents and are exact up to equality of 64-bit hashes.
 
 Edge cases: null and empty texts score 0 with 0 words; one-word texts have the
-first term only; equal rows are scored each (and counted each); an empty table
-gives no rows; ties do not arise; only doc_id and text are read. The documents
-must be a table (or a plan that gives its rows in the same order each time it
-runs), as rows are told apart by their place in it.
+first term only; a text longer than a block goes on in the next one; equal rows
+are scored each (and counted each); an empty table gives no rows; ties do not
+arise; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.llm.common import small_batches, written
 
 CUTOFF, BACKOFF = 2, 0.4
-#: Tokens of a partition; a word with more than HOT tokens goes the relational way.
-PART, HOT = 1_500_000, 3_000_000
-NONE = np.uint64(0)
+#: Words of a block, and n-grams (of all blocks together, at most) in a range of hashes: what a task holds.
+BLOCK, PART = 3_000_000, 4_000_000
+#: Bytes of a text that are split into words at a time.
+CHUNK = 1 << 22
+SPACE = re.compile(rb"[ \t-\r]")
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD))
+BLOCKS = "block long, rid array<long>, doc_id array<long>, before array<int>, n array<int>, tokens long, words binary, ids binary"
 
 
 class _Hashes(dict):
-    """word -> 64-bit hash, never 0."""
+    """word -> 64-bit hash."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 200_000:
             self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word) or 1
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found
 
 
-def _words(text: str | None, known: _Hashes) -> list[int]:
-    return [known[w] for w in (text or "").encode("utf-8", "replace").lower().split()]
+def word_hashes(text: str | None, known: dict[bytes, int]) -> np.ndarray:
+    """The hash of each word of a text."""
+    raw, at, found = (text or "").encode("utf-8", "replace").lower(), 0, [np.zeros(0, np.uint64)]
+    while at < len(raw):
+        stop = SPACE.search(raw, at + CHUNK)
+        end = stop.end() if stop else len(raw)
+        words = raw[at:end].split()
+        found.append(np.fromiter((known[w] for w in words), np.uint64, len(words)))
+        at = end
+    return np.concatenate(found)
+
+
+def _squeeze(raw: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of 8 or 4 bytes, byte plane by byte plane: where they are small, the upper planes vanish."""
+    planes = [_squeeze(p.tobytes()) for p in x.view(np.uint8).reshape(-1, x.itemsize).T]
+    return np.array([len(x), *map(len, planes)], "<u4").tobytes() + b"".join(planes)
+
+
+def _unplanes(raw: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    n, *sizes = np.frombuffer(raw[: 4 * width + 4], "<u4").tolist()
+    out, at = np.empty((n, width), np.uint8), 4 * width + 4
+    for k, size in enumerate(sizes):
+        out[:, k] = np.frombuffer(pa.decompress(raw[at : at + size], decompressed_size=n, codec="zstd", asbytes=True), np.uint8)
+        at += size
+    return out.view(kind).reshape(-1)
+
 
+def _sorted_in(x: np.ndarray) -> bytes:
+    return _planes(np.diff(x, prepend=np.uint64(0)))
 
-def _windows(texts: list[str | None], known: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, a, b, c) of every token; NONE where there is no word."""
-    ids = [np.array(_words(t, known), np.uint64) for t in texts]
-    none = np.zeros(1, np.uint64)
-    b = np.concatenate([none[:0], *ids])
-    a = np.concatenate([none[:0], *(x for i in ids if len(i) for x in (none, i[:-1]))])
-    c = np.concatenate([none[:0], *(x for i in ids if len(i) for x in (i[1:], none))])
-    return np.repeat(np.arange(len(ids), dtype=np.int32), [len(i) for i in ids]), a, b, c
 
+def _sorted_out(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unplanes(raw, np.uint64), dtype=np.uint64)
 
-def _small(x: np.ndarray) -> bytes:
-    """Numbers from 0 on, in as few bytes as they need, compressed."""
-    kind = np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32
-    raw = x.astype(kind).tobytes()
-    return bytes([np.dtype(kind).itemsize]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
+def _counts_in(x: np.ndarray) -> bytes:
+    """Counts, nearly all of them small: one byte each, the larger ones after them."""
+    small = _squeeze(np.minimum(x, 255).astype(np.uint8).tobytes())
+    return np.array([len(x), len(small)], "<u4").tobytes() + small + x[x >= 255].astype("<i8").tobytes()
 
-def _large(raw: bytes) -> np.ndarray:
-    plain = pa.decompress(raw[9:], decompressed_size=int.from_bytes(raw[1:9], "little"), codec="zstd", asbytes=True)
-    return np.frombuffer(plain, np.uint16 if raw[0] == 2 else np.uint32).astype(np.int64)
+
+def _counts_out(raw: bytes) -> np.ndarray:
+    n, size = np.frombuffer(raw[:8], "<u4").tolist()
+    x = np.frombuffer(pa.decompress(raw[8 : 8 + size], decompressed_size=n, codec="zstd", asbytes=True), np.uint8).astype(np.int64)
+    x[x == 255] = np.frombuffer(raw[8 + size :], "<i8")
+    return x
 
 
 def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """A 64-bit hash of two hashes in order."""
     h = (x ^ (y >> np.uint64(31))) * MIX[0] + y * MIX[1]
     h ^= h >> np.uint64(29)
-    return h * MIX[2]
-
-
-def _ids(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows of keys: a number for each distinct row, and each number's count."""
-    order = np.lexsort(keys)
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        k = k[order]
-        new[1:] |= k[1:] != k[:-1]
-    ids = np.empty(len(order), np.int32)
-    ids[order] = np.cumsum(new, dtype=np.int32) - 1
-    return ids, np.bincount(ids).astype(np.int32)
-
-
-def window_scores(a: np.ndarray, b: np.ndarray, c: np.ndarray, tokens: int) -> np.ndarray:
-    """log S of each window, all windows with these middle words being at hand; a, b and c are numbers, 0 for none."""
-    # 32-bit numbers and one count at a time: a partition of a few million windows fits a small worker.
-    n_b = np.bincount(b).astype(np.int32)[b]
-    first = np.where(a == 0, np.log(n_b / tokens), 0.0)
-    bc, count = _ids(c, b)
-    lower = np.log(count[bc] / n_b)
-    del n_b
-    ab, n_ab = _ids(a, b)
-    abc, n_abc = _ids(bc, ab)
-    del bc
-    higher, seen = n_abc[abc] / n_ab[ab], n_abc[abc] >= CUTOFF
-    del ab, abc
-    out = np.where(a == 0, lower, np.where(seen, np.log(higher), np.log(BACKOFF) + lower))
-    return np.where(c == 0, 0.0, out) + first
+    h *= MIX[2]
+    return h ^ (h >> np.uint64(32))
+
+
+class Block:
+    """The words of a block and, by order, the places where n-grams of that order end."""
+
+    def __init__(self, row: dict) -> None:
+        self.row = row
+        self.n = np.array(row["n"], np.int64)
+        before = np.array(row["before"], np.int64)
+        words, ids = _sorted_out(row["words"]), _unplanes(row["ids"], np.uint32)
+        one = words[ids] if len(ids) else np.zeros(0, np.uint64)
+        place = np.arange(len(one)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        #: Words that stand here only because the next piece of their text needs them are counted elsewhere.
+        self.own = place >= np.repeat(before, self.n)
+        self.place = place.astype(np.int32)
+        two = _pair(one[:-1], one[1:])
+        three = _pair(two[:-1], ~one[2:])
+        self.keys = [one, two[place[1:] > 0], three[place[2:] > 1]]
+
+    def ends(self, order: int) -> np.ndarray:
+        """The places where the n-grams of this order end."""
+        return np.flatnonzero(self.place >= order)
+
+
+def requests(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """The block's distinct n-grams of all orders, sorted, and how often each ends in the block."""
+    keys, n = np.unique(np.concatenate(block.keys), return_counts=True)
+    for k, of_order in enumerate(block.keys):
+        foreign, m = np.unique(of_order[~block.own[block.ends(k)]], return_counts=True)
+        n[np.searchsorted(keys, foreign)] -= m
+    return keys, n
+
+
+def block_scores(block: Block, totals: np.ndarray, tokens: int) -> np.ndarray:
+    """The sum of log S over each piece's own words; ``totals`` are those of ``requests``, in its order."""
+    found, distinct = [], []
+    for keys in block.keys:
+        order = np.argsort(keys)
+        there = keys[order]
+        new = np.ones(len(there), bool)
+        new[1:] = there[1:] != there[:-1]
+        group = np.empty(len(order), np.int32)
+        group[order] = np.cumsum(new, dtype=np.int32) - 1
+        found.append(group)
+        distinct.append(there[new])
+        del order, there, new
+    every = np.unique(np.concatenate(distinct))
+    counts = [totals[np.searchsorted(every, d)][g] for d, g in zip(distinct, found, strict=True)]
+    del found, distinct, every
+    at = [np.full(len(block.place), 0, np.int64) for _ in range(3)]
+    for k, c in enumerate(counts):
+        at[k][block.ends(k)] = c
+    one, two, three = at
+    s = np.zeros(len(one))
+    first, second, later = (np.flatnonzero(block.own & x) for x in (block.place == 0, block.place == 1, block.place > 1))
+    s[first] = np.log(one[first] / tokens)
+    s[second] = np.log(two[second] / one[second - 1])
+    seen = three[later] >= CUTOFF
+    s[later] = np.where(seen, np.log(three[later] / two[later - 1]), np.log(BACKOFF) + np.log(two[later] / one[later - 1]))
+    return np.bincount(np.repeat(np.arange(len(block.n)), block.n), weights=s, minlength=len(block.n)).astype(np.float64)
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """The documents as rows of ``BLOCKS``: pieces of texts, and the words of all pieces as numbers of a sorted dictionary."""
+
+    def row(number: int, pieces: list) -> pa.RecordBatch:
+        h = np.concatenate([p[3] for p in pieces])
+        words, ids, n = np.unique(h, return_inverse=True, return_counts=True)
+        values = [number, *([p[k] for p in pieces] for k in range(3)), [len(p[3]) for p in pieces], sum(len(p[3]) - p[2] for p in pieces), _sorted_in(words), _planes(ids.astype(np.uint32))]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
+
+    def pack(batches):
+        known, base, done, number, pieces, held = _Hashes(), TaskContext.get().partitionId() << 36, 0, 0, [], 0
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h, at = word_hashes(text, known), 0
+                while True:
+                    start, end = max(0, at - 2), min(len(h), at + BLOCK - held)
+                    pieces.append((base + done, doc, at - start, h[start:end]))
+                    held, at = held + end - at, end
+                    if held >= BLOCK:
+                        yield row(base + number, pieces)
+                        number, pieces, held = number + 1, [], 0
+                    if at >= len(h):
+                        break
+                done += 1
+        if pieces:
+            yield row(base + number, pieces)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, BLOCKS)
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, log_score) of every row."""
-    spark = docs.sparkSession
-    small_batches(spark, 4000)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    small_batches(docs.sparkSession, 4000)
+    cut = written(blocks(docs), "lm-blocks")
+    tokens = int(cut.agg(F.sum("tokens").alias("n")).first()["n"] or 0)
+    parts = np.uint64(max(1, -(-3 * tokens // PART)))
 
-    def count(batches):
-        known = _Hashes()
-        for batch in batches:
-            h = np.concatenate([np.zeros(0, np.uint64), *(np.array(_words(t, known), np.uint64) for t in batch.column(0).to_pylist())])
-            word, n = np.unique(h, return_counts=True)
-            if len(word):
-                # Only words that could be hot one by one travel; the others count in sum.
-                large = n * 1000 >= len(h)
-                columns = [np.append(word[large].view(np.int64), 0), np.append(n[large], n.sum() - n[large].sum())]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["w", "n"])
-
-    counts = rows.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    head = counts.agg(F.sum("n").alias("tokens"), F.sort_array(F.collect_list(F.when((F.col("n") > HOT) & (F.col("w") != 0), F.col("w")))).alias("hot")).first()
-    tokens, hot = int(head["tokens"] or 0), np.array(head["hot"], np.int64)  # fewer than tokens / HOT words
-    parts = max(1, -(-tokens // PART))
-
-    def pack(batches):
-        known = _Hashes()
-        for batch in batches:
-            text, a, b, c = _windows(batch.column(1).to_pylist(), known)
-            cold = ~np.isin(b.view(np.int64), hot)
-            text, a, b, c = (x[cold] for x in (text, a, b, c))
-            # By partition, then by middle word, then by text: rows that pack well.
-            middle, which = np.unique(b, return_inverse=True)
-            part = (middle * MIX[0] >> np.uint64(20)) % np.uint64(parts)
-            rank = np.empty(len(middle), np.int64)
-            rank[np.argsort(part, kind="stable")] = np.arange(len(middle))
-            order = np.argsort(rank[which], kind="stable")
-            part = part[which][order].astype(np.int32)
-            del rank, which, middle
-            text, a, b, c = (x[order] for x in (text, a, b, c))
-            at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
-            out = [[], [], [], [], [], [], []]
-            for s, e in zip(at, [*at[1:], len(part)], strict=False):  # no tokens, no blocks
-                words, back = np.unique(np.concatenate([np.zeros(1, np.uint64), a[s:e], b[s:e], c[s:e]]), return_inverse=True)
-                used, local = np.unique(text[s:e], return_inverse=True)
-                n = e - s
-                rids = batch.column(0).take(pa.array(used)).to_numpy().astype("<i8")
-                steps = pa.compress(np.diff(rids, prepend=np.int64(0)).tobytes(), codec="zstd", asbytes=True)
-                rids = len(rids).to_bytes(8, "little") + steps
-                for x, v in zip(out, (int(part[s]), words.tobytes(), *(_small(back[1 + k * n : 1 + (k + 1) * n]) for k in range(3)), rids, _small(local)), strict=True):
-                    x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k == 0 else pa.binary()) for k, x in enumerate(out)], names=["part", "words", "a", "b", "c", "rids", "local"])
-
-    def solve(group: pa.Table) -> pa.Table:
-        columns = {k: group.column(k).to_pylist() for k in ("words", "a", "b", "c", "rids", "local")}
-        tables = [np.frombuffer(w, np.uint64) for w in columns["words"]]
-        known, number = np.unique(np.concatenate(tables), return_inverse=True)  # 0 is none, and first
-        number = np.split(number.astype(np.int32), np.cumsum([len(t) for t in tables])[:-1])
-        a, b, c = (np.concatenate([m[_large(raw)] for m, raw in zip(number, columns[k], strict=True)]) for k in "abc")
-        ids = lambda r: np.cumsum(np.frombuffer(pa.decompress(r[8:], decompressed_size=8 * int.from_bytes(r[:8], "little"), codec="zstd", asbytes=True), "<i8"))
-        rid = np.concatenate([ids(r)[_large(x)] for r, x in zip(columns["rids"], columns["local"], strict=True)])
-        got = window_scores(a, b, c, tokens)
-        del a, b, c
-        doc, back = np.unique(rid, return_inverse=True)
-        return pa.table({"rid": doc, "s": np.bincount(back, weights=got)})
-
-    packed = rows.select("rid", "text").mapInArrow(pack, "part long, words binary, a binary, b binary, c binary, rids binary, local binary")
-    sums = packed.groupBy("part").applyInArrow(solve, "rid long, s double")
-    if len(hot):
-        sums = sums.unionByName(_hot_scores(rows, hot, tokens))
-    total = sums.groupBy("rid").agg(F.sum("s").alias("s"))
-    words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[ \x09-\x0D]+", -1), "")).cast("long")
-    return rows.select("rid", "doc_id", words.alias("n_words")).join(total, "rid", "left").select("doc_id", "n_words", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("log_score"))
-
-
-def _hot_scores(rows: DataFrame, hot: np.ndarray, tokens: int) -> DataFrame:
-    """(rid, s) of the windows around very frequent words: count tables by n-gram hash, joined to the exploded n-grams."""
-
-    def explode(batches):
-        known = _Hashes()
+    def ask(batches):
         for batch in batches:
-            text, a, b, c = _windows(batch.column(1).to_pylist(), known)
-            at = np.isin(b.view(np.int64), hot)
-            text, a, b, c = (x[at] for x in (text, a, b, c))
-            ab, bc = np.where(a == 0, NONE, _pair(a, b)), np.where(c == 0, NONE, _pair(b, ~c))
-            abc = np.where((a == 0) | (c == 0), NONE, _pair(ab, c))
-            key = np.stack([text.astype(np.uint64), b, ab, bc, abc])
-            ids, n = _ids(*key)
-            first = np.zeros(len(n), np.int64)
-            first[ids[::-1]] = np.arange(len(ids))[::-1]
-            key = key[:, first].view(np.int64)
-            arrays = [pc.take(batch.column(0), pa.array(key[0])), *(pa.array(x, pa.int64()) for x in key[1:]), pa.array(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["rid", "b", "ab", "bc", "abc", "n"])
-
-    grams = written(rows.select("rid", "text").mapInArrow(explode, "rid long, b long, ab long, bc long, abc long, n long"), "lm-hot")
-    for key in ("b", "ab", "bc", "abc"):
-        counts = grams.filter(F.col(key) != 0).groupBy(key).agg(F.sum("n").alias(f"n_{key}"))
-        grams = grams.join(F.broadcast(counts) if key == "b" else counts, key, "left")
-    lower = F.log(F.col("n_bc") / F.col("n_b"))
-    s = F.when(F.col("ab") == 0, lower).when(F.col("n_abc") >= CUTOFF, F.log(F.col("n_abc") / F.col("n_ab"))).otherwise(F.log(F.lit(BACKOFF)) + lower)
-    s = F.when(F.col("bc") == 0, F.lit(0.0)).otherwise(s) + F.when(F.col("ab") == 0, F.log(F.col("n_b") / F.lit(tokens))).otherwise(F.lit(0.0))
-    return grams.groupBy("rid").agg(F.sum(s * F.col("n")).alias("s"))
+            for row in batch.to_pylist():
+                keys, n = requests(Block(row))
+                part = ((keys >> np.uint64(32)) * parts) >> np.uint64(32)
+                at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)]).tolist()
+                for a, b in zip(at, [*at[1:], len(part)], strict=False):  # no words, no slices
+                    values = [int(part[a]), row["block"], _sorted_in(keys[a:b]), _counts_in(n[a:b])]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "keys", "n"])
+
+    def add_up(group: pa.Table) -> pa.Table:
+        slices = [_sorted_out(x) for x in group.column("keys").to_pylist()]
+        ends = np.cumsum([len(x) for x in slices])[:-1]
+        keys, n = np.concatenate(slices), np.concatenate([_counts_out(x) for x in group.column("n").to_pylist()])
+        del slices
+        order = np.argsort(keys, kind="stable")  # sorted runs, which it merges
+        keys = keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        del keys
+        which = np.empty(len(order), np.int32)
+        which[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order, new
+        total = np.bincount(which, weights=n).astype(np.int64)[which]
+        return pa.table({"block": group.column("block"), "part": group.column("part"), "n": pa.array([_counts_in(x) for x in np.split(total, ends)], pa.binary())})
+
+    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("part").column("n").to_pylist()
+        totals = np.concatenate([np.zeros(0, np.int64), *map(_counts_out, answers)])
+        out = []
+        for row in rows.to_pylist():  # a block is one row
+            block = Block(row)
+            n = block.n - np.array(row["before"], np.int64)
+            out.append(pa.table({"rid": pa.array(row["rid"], pa.int64()), "doc_id": pa.array(row["doc_id"], pa.int64()), "n": n, "s": block_scores(block, totals, tokens)}))
+        return pa.concat_tables(out) if out else pa.table({"rid": [], "doc_id": [], "n": [], "s": []}, schema=pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s", pa.float64())]))
+
+    asked = cut.mapInArrow(ask, "part long, block long, keys binary, n binary")
+    answered = asked.groupBy("part").applyInArrow(add_up, "block long, part long, n binary")
+    pieces = cut.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, "rid long, doc_id long, n long, s double")
+    whole = pieces.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), F.sum("s").alias("s"))
+    return whole.select("doc_id", "n_words", F.round("s", 6).alias("log_score"))
