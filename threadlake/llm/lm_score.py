@@ -6,15 +6,15 @@ times in the corpus, else ``BACKOFF`` * c(bc) / c(b); for the second word
 c(bc) / c(b); for the first c(b) / N.
 
 Documents are cut into blocks of ``BLOCK`` words, written once as word hashes.
-A block explodes into its distinct n-grams of orders 1 to 3, each a 64-bit
-hash with the block's own count. The count tables are partitioned by ranges of
+A block explodes into its distinct n-grams of orders 1 to 3, each a 62-bit
+hash above two bits for the order, with the block's own count. The count tables are partitioned by ranges of
 that hash: each block sends each range one sorted slice, the range sums what
 the blocks sent and returns the totals in the slice's order. Totals are then
 joined to their block, where the n-grams stand at hand, and summed by document.
 Slices travel packed (differences of sorted hashes), so a word as frequent as
 may be is one entry of each block, and no row stands for a token.
 
-Counts cover all documents and are exact up to equality of 64-bit hashes.
+Counts cover all documents and are exact up to equality of 62-bit hashes.
 
 Edge cases: null and empty texts score 0 with 0 words; one-word texts have the
 first term only; a text longer than a block goes on in the next one; equal rows
@@ -25,6 +25,7 @@ arise; only doc_id and text are read.
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,9 @@ from threadlake.llm.common import small_batches, written
 
 CUTOFF, BACKOFF = 2, 0.4
 #: Words of a block, and n-grams (of all blocks together, at most) in a range of hashes: what a task holds.
-BLOCK, PART = 3_000_000, 4_000_000
-#: Bytes of a text that are split into words at a time.
-CHUNK = 1 << 22
+BLOCK, PART = 4_500_000, 3_000_000
+#: Bytes of a text that are split into words at a time, and words whose n-grams are hashed at a time.
+CHUNK, STEP = 1 << 22, 1 << 19
 SPACE = re.compile(rb"[ \t-\r]")
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD))
 BLOCKS = "block long, rid array<long>, doc_id array<long>, before array<int>, n array<int>, tokens long, words binary, ids binary"
@@ -88,6 +89,7 @@ def _unplanes(raw: bytes, kind: type) -> np.ndarray:
 
 
 def _sorted_in(x: np.ndarray) -> bytes:
+    """Numbers of which most follow a slightly smaller one (differences wrap)."""
     return _planes(np.diff(x, prepend=np.uint64(0)))
 
 
@@ -108,71 +110,103 @@ def _counts_out(raw: bytes) -> np.ndarray:
     return x
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits, where they fit."""
+    return x if x.max(initial=0) >> 32 else x.astype(np.uint32)
+
+
 def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """A 64-bit hash of two hashes in order."""
-    h = (x ^ (y >> np.uint64(31))) * MIX[0] + y * MIX[1]
+    h = y * MIX[1]
+    h += (x ^ (y >> np.uint64(31))) * MIX[0]
     h ^= h >> np.uint64(29)
     h *= MIX[2]
-    return h ^ (h >> np.uint64(32))
+    h ^= h >> np.uint64(32)
+    return h
 
 
 class Block:
-    """The words of a block and, by order, the places where n-grams of that order end."""
+    """The words of a block, in the order of its pieces."""
 
     def __init__(self, row: dict) -> None:
-        self.row = row
         self.n = np.array(row["n"], np.int64)
-        before = np.array(row["before"], np.int64)
         words, ids = _sorted_out(row["words"]), _unplanes(row["ids"], np.uint32)
-        one = words[ids] if len(ids) else np.zeros(0, np.uint64)
-        place = np.arange(len(one)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        self.words = words[ids] if len(ids) else np.zeros(0, np.uint64)
+        del words, ids
+        place = np.arange(len(self.words), dtype=np.int32)
+        place -= np.repeat((np.cumsum(self.n) - self.n).astype(np.int32), self.n)
+        #: Words before a word in its piece, as far as they matter.
+        self.place = np.minimum(place, 2).astype(np.uint8)
         #: Words that stand here only because the next piece of their text needs them are counted elsewhere.
-        self.own = place >= np.repeat(before, self.n)
-        self.place = place.astype(np.int32)
-        two = _pair(one[:-1], one[1:])
-        three = _pair(two[:-1], ~one[2:])
-        self.keys = [one, two[place[1:] > 0], three[place[2:] > 1]]
-
-    def ends(self, order: int) -> np.ndarray:
-        """The places where the n-grams of this order end."""
-        return np.flatnonzero(self.place >= order)
-
-
-def requests(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """The block's distinct n-grams of all orders, sorted, and how often each ends in the block."""
-    keys, n = np.unique(np.concatenate(block.keys), return_counts=True)
-    for k, of_order in enumerate(block.keys):
-        foreign, m = np.unique(of_order[~block.own[block.ends(k)]], return_counts=True)
-        n[np.searchsorted(keys, foreign)] -= m
-    return keys, n
-
-
-def block_scores(block: Block, totals: np.ndarray, tokens: int) -> np.ndarray:
-    """The sum of log S over each piece's own words; ``totals`` are those of ``requests``, in its order."""
-    found, distinct = [], []
-    for keys in block.keys:
-        order = np.argsort(keys)
-        there = keys[order]
-        new = np.ones(len(there), bool)
-        new[1:] = there[1:] != there[:-1]
-        group = np.empty(len(order), np.int32)
-        group[order] = np.cumsum(new, dtype=np.int32) - 1
-        found.append(group)
-        distinct.append(there[new])
-        del order, there, new
-    every = np.unique(np.concatenate(distinct))
-    counts = [totals[np.searchsorted(every, d)][g] for d, g in zip(distinct, found, strict=True)]
-    del found, distinct, every
-    at = [np.full(len(block.place), 0, np.int64) for _ in range(3)]
-    for k, c in enumerate(counts):
-        at[k][block.ends(k)] = c
-    one, two, three = at
-    s = np.zeros(len(one))
-    first, second, later = (np.flatnonzero(block.own & x) for x in (block.place == 0, block.place == 1, block.place > 1))
-    s[first] = np.log(one[first] / tokens)
-    s[second] = np.log(two[second] / one[second - 1])
-    seen = three[later] >= CUTOFF
-    s[later] = np.where(seen, np.log(three[later] / two[later - 1]), np.log(BACKOFF) + np.log(two[later] / one[later - 1]))
+        self.own = self.place >= np.repeat(np.array(row["before"], np.uint8), self.n)
+
+    def keys(self, order: int) -> np.ndarray:
+        """By place, the n-gram of an order (0, 1 or 2 words before the last) that ends there; without meaning where a piece has no such."""
+        w, out = self.words, np.zeros(len(self.words), np.uint64)
+        for low in range(order, len(w), STEP):
+            high = min(len(w), low + STEP)
+            h = w[low - order : high - order]
+            for k in range(order):
+                last = w[low - order + k + 1 : high - order + k + 1]
+                h = _pair(h, ~last if k else last)
+            out[low:high] = (h & ~np.uint64(3)) | np.uint64(order)
+        return out
+
+
+def requests(block: Block, parts: int):
+    """(range, distinct n-grams of all orders, sorted, how often each ends in the block) by range of hashes."""
+    ends = [block.place >= order for order in range(3)]
+    keys, at, foreign = np.empty(sum(map(np.count_nonzero, ends)), np.uint64), 0, []
+    for order, fits in enumerate(ends):
+        found = block.keys(order)
+        foreign.append(found[fits & ~block.own])
+        found = found[fits]
+        keys[at : at + len(found)] = found
+        at += len(found)
+        del found
+    del ends, fits
+    keys.sort()
+    foreign = np.sort(np.concatenate(foreign))
+    at = 0
+    while at < len(keys):
+        part = int(keys[at] >> np.uint64(32)) * parts >> 32
+        least = -(-((part + 1) << 32) // parts) << 32  # of the next range
+        end = len(keys) if least >= 1 << 64 else int(np.searchsorted(keys, np.uint64(least)))
+        there, n = np.unique(keys[at:end], return_counts=True)
+        other = foreign[np.searchsorted(foreign, there[0]) : np.searchsorted(foreign, there[-1], "right")]
+        np.subtract.at(n, np.searchsorted(there, other), 1)
+        yield part, there, n
+        at = end
+
+
+def block_scores(block: Block, totals: list[np.ndarray], tokens: int) -> np.ndarray:
+    """The sum of log S over each piece's own words; ``totals`` are by order those of the block's requests, in their order."""
+    s, before = np.zeros(len(block.words)), None
+    for order, total in enumerate(totals):
+        keys, now, done = block.keys(order), np.zeros(len(block.words), total.dtype), 0
+        # By the upper four bits, so that only a part is sorted at a time. (numpy looks up sorted keys faster than others.)
+        upper = keys.view(np.uint8)[7::8] >> 4 if sys.byteorder == "little" else keys.view(np.uint8)[::8] >> 4
+        for k in range(16):
+            ends = np.flatnonzero((upper == k) & (block.place >= order))
+            by = np.argsort(keys[ends])
+            ends = ends[by]
+            there = keys[ends]
+            new = np.ones(len(ends), bool)
+            new[1:] = there[1:] != there[:-1]
+            now[ends] = total[done + np.cumsum(new) - 1]
+            done += np.count_nonzero(new)
+        del keys, upper
+        if order == 0:
+            at = np.flatnonzero(block.own & (block.place == 0))
+            s[at] = np.log(now[at] / tokens)
+        elif order == 1:
+            at = np.flatnonzero(block.own & (block.place >= 1))
+            s[at] = np.log(now[at] / before[at - 1])
+            s[block.own & (block.place > 1)] += np.log(BACKOFF)
+        else:
+            at = np.flatnonzero(block.own & (block.place >= 2) & (now >= CUTOFF))
+            s[at] = np.log(now[at] / before[at - 1])
+        before = now
     return np.bincount(np.repeat(np.arange(len(block.n)), block.n), weights=s, minlength=len(block.n)).astype(np.float64)
 
 
@@ -182,7 +216,10 @@ def blocks(docs: DataFrame) -> DataFrame:
     def row(number: int, pieces: list) -> pa.RecordBatch:
         h = np.concatenate([p[3] for p in pieces])
         words, ids, n = np.unique(h, return_inverse=True, return_counts=True)
-        values = [number, *([p[k] for p in pieces] for k in range(3)), [len(p[3]) for p in pieces], sum(len(p[3]) - p[2] for p in pieces), _sorted_in(words), _planes(ids.astype(np.uint32))]
+        common = np.lexsort((words, -n))  # frequent words get small numbers, which pack well; the many rare ones stay in order
+        rank = np.empty(len(words), np.uint32)
+        rank[common] = np.arange(len(words), dtype=np.uint32)
+        values = [number, *([p[k] for p in pieces] for k in range(3)), [len(p[3]) for p in pieces], sum(len(p[3]) - p[2] for p in pieces), _sorted_in(words[common]), _planes(rank[ids])]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
@@ -212,17 +249,14 @@ def scores(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession, 4000)
     cut = written(blocks(docs), "lm-blocks")
     tokens = int(cut.agg(F.sum("tokens").alias("n")).first()["n"] or 0)
-    parts = np.uint64(max(1, -(-3 * tokens // PART)))
+    parts = max(1, -(-3 * tokens // PART))
 
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                keys, n = requests(Block(row))
-                part = ((keys >> np.uint64(32)) * parts) >> np.uint64(32)
-                at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)]).tolist()
-                for a, b in zip(at, [*at[1:], len(part)], strict=False):  # no words, no slices
-                    values = [int(part[a]), row["block"], _sorted_in(keys[a:b]), _counts_in(n[a:b])]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "keys", "n"])
+                for part, keys, n in requests(Block(row), parts):
+                    values = zip([part, row["block"], _sorted_in(keys), _counts_in(n)], (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in values], names=["part", "block", "keys", "n"])
 
     def add_up(group: pa.Table) -> pa.Table:
         slices = [_sorted_out(x) for x in group.column("keys").to_pylist()]
@@ -238,11 +272,16 @@ def scores(docs: DataFrame) -> DataFrame:
         which[order] = np.cumsum(new, dtype=np.int32) - 1
         del order, new
         total = np.bincount(which, weights=n).astype(np.int64)[which]
-        return pa.table({"block": group.column("block"), "part": group.column("part"), "n": pa.array([_counts_in(x) for x in np.split(total, ends)], pa.binary())})
+        del which, n
+        by_order = [[], [], []]
+        for keys, there in zip((_sorted_out(x) for x in group.column("keys").to_pylist()), np.split(total, ends), strict=True):
+            for k, out in enumerate(by_order):
+                out.append(_counts_in(there[keys & np.uint64(3) == np.uint64(k)]))
+        return pa.table({"block": group.column("block"), "part": group.column("part")} | {f"n{k}": pa.array(x, pa.binary()) for k, x in enumerate(by_order)})
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        answers = answers.sort_by("part").column("n").to_pylist()
-        totals = np.concatenate([np.zeros(0, np.int64), *map(_counts_out, answers)])
+        answers = answers.sort_by("part")
+        totals = [np.concatenate([np.zeros(0, np.uint32), *map(_narrow, map(_counts_out, answers.column(f"n{k}").to_pylist()))]) for k in range(3)]
         out = []
         for row in rows.to_pylist():  # a block is one row
             block = Block(row)
@@ -251,7 +290,7 @@ def scores(docs: DataFrame) -> DataFrame:
         return pa.concat_tables(out) if out else pa.table({"rid": [], "doc_id": [], "n": [], "s": []}, schema=pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s", pa.float64())]))
 
     asked = cut.mapInArrow(ask, "part long, block long, keys binary, n binary")
-    answered = asked.groupBy("part").applyInArrow(add_up, "block long, part long, n binary")
+    answered = asked.groupBy("part").applyInArrow(add_up, "block long, part long, n0 binary, n1 binary, n2 binary")
     pieces = cut.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, "rid long, doc_id long, n long, s double")
     whole = pieces.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), F.sum("s").alias("s"))
     return whole.select("doc_id", "n_words", F.round("s", 6).alias("log_score"))
