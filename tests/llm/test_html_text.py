@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 from threadlake.llm import html_text as H
@@ -42,3 +44,68 @@ def test_layout_wrappers_are_kept_and_what_they_are_named_after_is_not():
             got = html_text.extract(f"<html><body><nav>Home</nav><div {name}>{inner}</div><div class='sidebar'><p>Other news</p></div></body></html>")
             assert "number 0" in got and "number 7" in got and "I say so" not in got and "Other news" not in got
     assert "x plus y" in html_text.extract(f"<body><article>{body}<p><math><mi>x plus y</mi></math></p></article></body>")
+
+
+NAMES = ["post has-sidebar", "content no-comments", "elementor-widget elementor-widget-text-editor", "entry-content social", "nav-on", "col ad-free", "related-work", "share price"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_names_that_only_hold_a_word_of_furniture(name):
+    text = f"{LONG.strip()} {LONG.strip()}"
+    both = f"<p>{LONG}</p><p>{LONG}</p>"
+    for attribute in ("class", "id"):
+        assert H.extract(f"<div {attribute}='{name}'>{both}</div>") == text
+        assert H.extract(f"<body><article>{both}<section {attribute}='{name}'><p>{LONG}</p></section></article></body>") == f"{text} {LONG.strip()}"
+
+
+@pytest.mark.parametrize("name", ["comments", "user-comments", "ad", "sidebar widget", "site-footer", "cookie-notice", "share-buttons", "related", "main-menu", "newsletter-signup"])
+def test_furniture_by_name(name):
+    assert H.extract(f"<body><div><p>{LONG}</p><p>{LONG}</p><div class='{name}'>Follow us on <a href=x>this site</a></div><p>{LONG}</p></div></body>") == " ".join([LONG.strip()] * 3)
+
+
+def by_definition(node):
+    """(characters, tags, link characters, link tags) below a node, counted down the tree each time."""
+    kids = [c for c in node.children if not isinstance(c, str) and not c.drop]
+    own = sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+    below = [by_definition(c) for c in kids]
+    chars = own + sum(b[0] for b in below)
+    return chars, sum(1 + b[1] for b in below), chars if node.tag == "a" else sum(b[2] for b in below), sum((c.tag == "a") + b[3] for c, b in zip(kids, below, strict=True))
+
+
+def composite(node, share):
+    chars, tags, links, link_tags = by_definition(node)
+    if not chars:
+        return 0.0
+    base = math.log(math.log(chars / max(1, chars - links) * links + share * chars + math.e) + math.e - 1)
+    return chars / max(1, tags) * math.log(max(1 + 1e-9, chars / max(1, links) * max(1, tags) / max(1, link_tags))) / base
+
+
+def test_densities_and_choice_match_their_definition(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()] + [p for p, _ in PAGES if p]
+    for page in pages:
+        root = H.parse(page)
+        body = H.measure(root)
+        chars, _, links, _ = by_definition(body)
+        nodes = H._in_order(body)
+        densities = {x: composite(x, links / max(1, chars)) for x in nodes}
+        for x in nodes:
+            assert x.density == pytest.approx(densities[x])
+            assert x.sum == pytest.approx(sum(densities[c] for c in x.children if c in densities))
+        # the taken subtree holds, or lies in, the one of the largest sum above the threshold of the densest node's path
+        densest = max(nodes, key=densities.get)
+        path = [densest]
+        while path[-1] is not body:
+            path.append(path[-1].parent)
+        least = min(densities[x] for x in path)
+        best = max((x for x in nodes if densities[x] >= least and x.chars and (x.tag in H.CONTAINERS or x is body)), key=lambda x: x.sum, default=body)
+        taken = H.main_node(root)
+        assert best in H._in_order(taken) or taken in H._in_order(best)
+
+
+def test_sections_of_one_article_and_repeated_rows(spark):
+    sections = "".join(f"<section><h2>Part {k}</h2>{f'<p>{LONG}</p>' * k}</section>" for k in (1, 4, 2))
+    page = f"<body><div class=teaser><p>Short teaser</p></div><div><h1>Title</h1>{sections}</div></body>"
+    want = " ".join(["Title", "Part 1", LONG.strip(), "Part 4", *[LONG.strip()] * 4, "Part 2", *[LONG.strip()] * 2])
+    assert H.extract(page) == want
+    rows = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, None, None)], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.n_chars) for r in H.report(rows).collect()) == [(1, len(want)), (1, len(want)), (2, 0)]

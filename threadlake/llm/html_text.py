@@ -5,10 +5,18 @@ for each tag below it, adjusted by links: text inside links counts against a
 node, and more so the larger its share. The composite density of a node is the
 sum of its children's densities, so the element that holds the paragraphs of an
 article stands out. The threshold is the least density on the path from the
-body to the densest node; the subtree with the largest sum above the threshold
-is the main text. What never is article text (scripts, styles, forms,
-navigation, headers and footers of the page, side bars, notices, adverts,
-comments) is left out before and inside that subtree.
+body to the densest node; among the nodes above it the one with the largest sum
+is taken. Density also settles how far the main text reaches: up to the parent
+while most of what stands beside the node is as dense as the threshold (the
+sections of one article) or a heading, down to the only dense child where most
+of what stands beside that is not.
+
+What never is article text (scripts, styles, forms, navigation, headers and
+footers of the page, side bars, notices, adverts, comments) is left out before.
+Names count only as whole classes or ids, never against a node around the page's
+article or main or, where a page has none, around half of its plain text; names
+that also occur in articles (share, notice, widget) count only alone and where
+density agrees.
 
 Pages are independent, so the work is one pass in Spark tasks, without a
 shuffle. Unclosed and misnested tags are closed as browsers do in the common
@@ -44,10 +52,22 @@ BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-NAMED = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|sidebar\w*|side-?bar|breadcrumbs?|cookies?|consent|notices?|gdpr|popup|modal|newsletter|subscribe|"
-    r"comments?|commentlist|discussion|respond|replies|disqus|related|recommend\w*|share|sharing|social|footer|site-?header|masthead|pagination|pager|toolbar|widget\w*|login|signup|search-?form|copyright|skip-?link|outbrain|taboola)(?:$|[\s_-])"
+#: Classes and ids of furniture, whole: a word of these, with places before and parts after it.
+SURE = (
+    r"ads?|advert(?:s|ising|isements?)?|adsense|sponsor(?:s|ed)?|promo(?:s|tions?)?|nav|navbar|navigation|menus?|side-?bars?|breadcrumbs?|cookies?|consent|gdpr|popups?|modals?|newsletters?|subscribe|"
+    r"comments?|commentlist|disqus(?:_thread)?|footer|masthead|pagination|pager|login|signup|copyright|skip-?links?|outbrain|taboola"
 )
+#: Words that name parts of articles as well.
+UNSURE = r"share|sharing|social|related|recommended|recommendations|notices?|alerts?|search|respond|replies|discussion|widgets?|banners?|toolbars?"
+PLACES = r"site|page|main|global|top|bottom|left|right|primary|secondary|user|reader|post|article|entry|blog|cookie|mobile|desktop|sub"
+PARTS = (
+    r"containers?|wrap|wrapper|box|boxes|list|sections?|area|bar|links?|buttons?|blocks?|slots?|units?|forms?|signup|banner|notices?|popup|modal|overlay|posts|articles|stories|news|items?|left|right|top|bottom|"
+    r"primary|secondary|main|menu|nav|panel|inner|footer|header|thread|policy|consent|message|icons?|widget|leaderboard|[0-9]+"
+)
+SURE, UNSURE = (re.compile(rf"(?i)(?:(?:{PLACES})[_-]?)*(?:{words})(?:[_-]?(?:{PARTS}))*") for words in (SURE, UNSURE))
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup"}
+#: Elements that may be the main text as a whole: no paragraphs and nothing that stands inside a line.
+CONTAINERS = {"html", "body", "div", "article", "main", "section", "td", "th", "table", "tbody", "tr", "center", "blockquote", "details", "dl", "dd", "ol", "ul", "li", "figure", "pre"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 #: An opening tag that ends an open element of these names, unless one of the fences stands between.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -64,7 +84,7 @@ class Node:
 
     def __init__(self, tag: str, parent: Node | None, drop: bool) -> None:
         self.tag, self.parent, self.drop, self.children = tag, parent, drop, []
-        self.named = False
+        self.named = 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -83,9 +103,14 @@ def _dropped(tag: str, attrs: str) -> bool:
     return False
 
 
-def _named(attrs: str) -> bool:
-    """Whether a class or id is one of page furniture; that alone does not tell a layout wrapper from what it is named after."""
-    return any(m[1].lower() in ("class", "id") and NAMED.search(next((v for v in m.groups()[1:] if v is not None), "")) for m in ATTRIBUTE.finditer(attrs))
+def _named(attrs: str) -> int:
+    """2 if a class or id is surely one of page furniture, 1 if it stands alone and may be, else 0."""
+    found = 0
+    for m in ATTRIBUTE.finditer(attrs):
+        if m[1].lower() in ("class", "id"):
+            tokens = next((v for v in m.groups()[1:] if v is not None), "").split()
+            found = max(found, 2 * any(map(SURE.fullmatch, tokens)), int(len(tokens) == 1 and bool(UNSURE.fullmatch(tokens[0]))))
+    return found
 
 
 def parse(page: str) -> Node:
@@ -130,7 +155,8 @@ def parse(page: str) -> Node:
         if tag == "body":
             at = close({"head"}, set())
         inside = Node(tag, at, _dropped(tag, m["attrs"] or "") or (at.drop and at is not root))
-        inside.named = bool(m["attrs"]) and tag not in ("body", "html") and _named(m["attrs"])
+        if m["attrs"] and tag not in ("body", "html"):
+            inside.named = _named(m["attrs"])
         if tag in FURNITURE and not inside.drop:
             up, article = at, False
             while up is not None:
@@ -158,71 +184,93 @@ def _in_order(root: Node) -> list[Node]:
 
 
 def _drop_named(root: Node) -> None:
-    """Drops named elements, except wrappers: those around an article or main, or, on a page without one, around most of the text."""
-    nodes = _in_order(root)
-    holds = {}
+    """Drops named elements, but for wrappers: those around an article or main, or, on a page without one, around half of the plain text."""
+    body, nodes, holds = measure(root), _in_order(root), set()
+    plain = lambda node: node.chars - node.link_chars
     for node in reversed(nodes):
-        below = [c for c in node.children if isinstance(c, Node) and not c.drop]
-        node.chars = sum(c.chars for c in below) + sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
         # an article that is itself named (a comment, a teaser) makes no wrapper
-        holds[node] = node.chars > 0 and (node.tag == "main" or node.tag == "article" and not node.named or any(holds[c] for c in below))
-    total, article = root.chars, holds[root]
+        if node.chars and (node.tag == "main" or node.tag == "article" and not node.named) or any(c in holds for c in node.children):
+            holds.add(node)
     for node in nodes:
-        if node.named and node.tag not in ("article", "main"):
-            node.drop = not (holds[node] if article else node.chars * 2 > total)
-        node.chars = 0
+        if node.named and node not in holds and node.tag not in ("article", "main"):
+            part = root in holds or 2 * plain(node) < plain(body)
+            node.drop = part and (node.named == 2 or node.density < body.density)
+
+
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Characters for each tag, times the logarithm of (characters / link characters) * (tags / link tags) to a base that grows with the links.
+
+    ``share`` is the share of link characters in the body.
+    """
+    if not chars:
+        return 0.0
+    tags = max(1, tags)
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + share * chars + math.e)
+    return chars / tags * math.log(max(1.0 + 1e-9, chars / max(1, link_chars) * tags / max(1, link_tags))) / math.log(base + math.e - 1)
 
 
 def measure(root: Node) -> Node:
-    """Sets characters, tags and densities of every kept node; returns the body."""
+    """Sets characters, tags, densities and their sums over the children of every kept node; returns the body."""
     nodes = _in_order(root)
     for node in reversed(nodes):
-        link = node.tag == "a"
+        node.chars = sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        node.tags = node.link_chars = node.link_tags = 0
         for c in node.children:
-            if isinstance(c, str):
-                node.chars += len("".join(c.split()))
-            elif not c.drop:
+            if isinstance(c, Node) and not c.drop:
                 node.chars += c.chars
                 node.tags += c.tags + 1
                 node.link_chars += c.link_chars
                 node.link_tags += c.link_tags + (c.tag == "a")
-        if link:
+        if node.tag == "a":
             node.link_chars = node.chars
     body = next((x for x in nodes if x.tag == "body"), root)
     share = body.link_chars / max(1, body.chars)
     for node in nodes:
-        chars, tags = node.chars, max(1, node.tags)
-        links, link_tags = max(1, node.link_chars), max(1, node.link_tags)
-        plain = max(1, chars - node.link_chars)
-        base = math.log(chars / plain * node.link_chars + share * chars + math.e)
-        node.density = chars / tags * math.log(max(1.0 + 1e-9, chars / links * tags / link_tags)) / math.log(base + math.e - 1) if chars else 0.0
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share)
     for node in nodes:
         node.sum = sum(c.density for c in node.children if isinstance(c, Node) and not c.drop)
-        # text that stands in the node itself counts like a child of its own
-        node.sum += sum(len("".join(c.split())) for c in node.children if isinstance(c, str)) if node.children else 0.0
     return body
 
 
+def _beside(node: Node, inner: Node, threshold: float, share: float) -> tuple[int, int]:
+    """Of the plain characters of ``node`` outside its child ``inner``: those as dense as the threshold or in headings, and the others."""
+    dense = sparse = 0
+    for c in node.children:
+        if isinstance(c, str):
+            chars = len("".join(c.split()))
+            fits = density(chars, 1, 0, 0, share) >= threshold
+        elif c is inner or c.drop:
+            continue
+        else:
+            chars, fits = c.chars - c.link_chars, c.tag in HEADINGS or c.density >= threshold
+        dense, sparse = dense + chars * fits, sparse + chars * (not fits)
+    return dense, sparse
+
+
 def main_node(root: Node) -> Node:
-    """The kept subtree of the largest density sum, by the threshold of the path from the body."""
+    """The kept subtree of the largest density sum, by the threshold of the path from the body; of equal ones the outermost, first on the page."""
     body = measure(root)
-    below = _in_order(body)
+    below, share = _in_order(body), body.link_chars / max(1, body.chars)
     densest = max(below, key=lambda x: x.density)
     threshold, node = densest.density, densest
-    while node is not None and node is not body:
-        threshold = min(threshold, node.density)
+    while node is not body and node.parent is not None:
         node = node.parent
-    threshold = min(threshold, body.density)
-    fits = [x for x in below if x.density >= threshold and x.chars] or [body]
-    best = max(fits, key=lambda x: x.sum)
-    # the article around it, where the page names one
-    node = best
-    while node.parent is not None and node is not body:
-        if node.tag in ("article", "main"):
-            return node
-        node = node.parent
-    inner = [x for x in _in_order(best) if x.tag == "article"]
-    return inner[0] if len(inner) == 1 and inner[0].chars * 2 > best.chars else best
+        threshold = min(threshold, node.density)
+    best = max((x for x in below if x.density >= threshold and x.chars and (x.tag in CONTAINERS or x is body)), key=lambda x: x.sum, default=body)
+    down = True
+    while down:
+        dense = [c for c in best.children if isinstance(c, Node) and not c.drop and c.density >= threshold]
+        down = len(dense) == 1 and dense[0].tag in CONTAINERS
+        if down:
+            fits, others = _beside(best, dense[0], threshold, share)
+            down = others > fits
+            best = dense[0] if down else best
+    while best is not body and best.parent is not None:
+        fits, others = _beside(best.parent, best, threshold, share)
+        if others > fits or not fits + others and best.parent is body:
+            break
+        best = best.parent
+    return best
 
 
 def blocks(node: Node) -> list[str]:
