@@ -38,7 +38,7 @@ from threadlake.llm.common import small_batches, written
 
 CUTOFF, BACKOFF = 2, 0.4
 #: Words of a block, and n-grams (of all blocks together, at most) in a range of hashes: what a task holds.
-BLOCK, PART = 4_500_000, 3_000_000
+BLOCK, PART = 5_500_000, 3_000_000
 #: Bytes of a text that are split into words at a time, and words whose n-grams are hashed at a time.
 CHUNK, STEP = 1 << 22, 1 << 19
 SPACE = re.compile(rb"[ \t-\r]")
