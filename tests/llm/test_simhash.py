@@ -76,3 +76,12 @@ def test_keep_one(spark):
     got = S.keep_one(docs)
     assert got.columns == docs.columns and sorted(r.doc_id or -1 for r in got.collect()) == [-1, 3, 7, 8]
     assert S.report(docs.limit(0)).count() == S.keep_one(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_are_the_nodes(spark):
+    # one doc_id with two texts joins no classes; rows without a doc_id link like others
+    rows = [(1, "a b c d"), (1, "totally different words here now"), (2, "totally different words here now"), (None, "a b c d"), (None, "nobody else has this text")]
+    got = {(r.fingerprint, r.component_id) for r in S.report(frame(spark, rows)).collect()}
+    assert got == {(f"{brute_print(t):016x}", c) for (_, t), c in zip(rows, [1, 1, 1, 1, None], strict=True)}
+    other = S.report(frame(spark, [(1, "a b c d"), (5, "totally different words here now"), (5, "a b c d"), (6, "totally different words here now")])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in other) == [(1, 1), (5, 1), (5, 5), (6, 5)]

@@ -12,7 +12,9 @@ all pairs.
 Edge cases: null and empty texts (and texts without words) have fingerprint
 zero and link like any other; fewer words than a shingle hash as one shingle;
 ties (as many ones as zeros) give bit 0; repeated rows share their fingerprint
-and component; an empty table gives no rows; other columns are ignored by
+and component; rows that share a doc_id but not their text are told apart by
+fingerprint; rows without a doc_id link like others, and a component of only
+such has a null id; an empty table gives no rows; other columns are ignored by
 ``clusters`` and kept by ``keep_one``.
 """
 
@@ -23,11 +25,11 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.llm import near_copies
-from threadlake.llm.common import fresh, runs, small_batches, written
+from threadlake.llm.common import runs, small_batches, written
 from threadlake.llm.components import components
 
 QUARTERS, WIDTH = 4, 16
@@ -115,9 +117,9 @@ def links_within(home: np.ndarray, guest: np.ndarray, radius: int) -> tuple[np.n
 
 
 def links(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """Edges (a, b) between representatives, connecting the same classes as all links would.
+    """Edges (a, b) between nodes, connecting the same classes as all links would.
 
-    ``prints`` has distinct fingerprints ``fp`` with a representative ``rep``.
+    ``prints`` has distinct fingerprints ``fp``, each with the number ``rep`` of its node.
     """
     tiled = prints.withColumn("key", _tile_key(F.col("fp")))
     # At most 17**4 rows, whatever the input: small enough to broadcast.
@@ -153,26 +155,21 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def clusters(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: the component is the least doc_id reachable."""
+    """(doc_id, fp, component_id) for every row: the component is the least doc_id reachable, null if no row of it has one."""
     prints = written(fingerprints(docs, shingle, seed), "simhash")
-    reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
-    found = components(links(reps.filter("rep is not null"), radius))
-    named = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    found = components(links(nodes.select("fp", F.col("fp").alias("rep")), radius))
+    placed = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
+    least = placed.groupBy("class").agg(F.min("least").alias("component_id"))
+    return prints.join(placed.join(least, "class").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class of near copies: the least doc_id's. Rows that share a doc_id count as one document; rows without one all stay.
+    """One row of each class of near copies: that of the least doc_id (texts that share it by hash). Rows without a doc_id all stay.
 
-    Near copies share 0.8 of their 5-word shingles: further apart than fingerprints of any radius that tiles can prune.
+    Near copies share 0.8 of their 5-word shingles: wider apart than this module's radius, so they are found by wider prints (``near_copies``).
     """
-    chosen = near_copies.classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    one = fresh(docs, "_nth")
-    rows = docs.join(chosen, "doc_id", "left_semi")
-    # Only rows that share their doc_id are still to be told apart.
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    kept = rows.withColumn(one, nth).filter(F.col(one) == 1).select(*(f"`{c}`" for c in docs.columns))
-    return kept.unionByName(docs.filter("doc_id is null"))
+    return near_copies.keep_one(docs)
 
 
 def report(docs: DataFrame) -> DataFrame:
