@@ -86,3 +86,42 @@ def test_long_keys_and_short_account_numbers_are_redacted(spark):
     got = {x.doc_id: x.text for x in pii.redact(frame(spark, rows)).select("doc_id", F.col("text")).collect()}
     assert all("[SECRET]" in got[k] and key not in got[k] for k, key in enumerate(keys))
     assert "[IBAN]" in got[90] and "[IBAN]" in got[91]
+
+
+def test_redaction_is_linear_and_whole(spark):
+    import time
+
+    line = "mail a@b.co, "
+    for text, want in ((line * 16000, "mail [EMAIL], " * 16000), ("😀" * 300 + "a@b.co" + "é" * 700 + "+1 415 555 2671", "😀" * 300 + "a@b.co" + "é" * 700 + "[PHONE]")):
+        docs = frame(spark, [(1, text)])
+        began = time.time()
+        pii.report(docs).collect()
+        found = time.time() - began
+        began = time.time()
+        assert pii.redact(docs).collect()[0].text == want.replace("a@b.co", "[EMAIL]")
+        assert time.time() - began < 3 * found + 5
+
+
+def test_redaction_matches_brute_force(spark):
+    r = random.Random(5)
+    bits = ["a@b.co", "1.2.3.4", "+1 415 555 2671", "4111 1111 1111 1111", " ", "x", "é", "😀", "word ", "\n", "123-45-6789", "9" * 20, "k" * 300]
+    rows = [(k, "".join(r.choice(bits) for _ in range(r.randint(0, 60)))) for k in range(150)]
+    docs = frame(spark, rows)
+    spans = {x.doc_id: [(s["start"], s["end"], s["kind"]) for s in x.spans] for x in pii.spans(docs).collect()}
+    for x in pii.redact(docs).collect():
+        text, at, out = dict(rows)[x.doc_id], 0, []
+        for start, end, kind in sorted(spans[x.doc_id], key=lambda s: (s[0], -s[1])):
+            if start >= at:
+                out += [text[at:start], f"[{kind.upper()}]"]
+            at = max(at, end)
+        assert x.text == "".join(out) + text[at:]
+
+
+def test_further_spans_keep_clear_of_base_spans(spark):
+    rows = texts()
+    for x in pii.spans(frame(spark, [t for t in rows if len(t[1] or "") < 5000])).collect():
+        listed_ = [(pii.KINDS.index(s["kind"]), s["start"], s["end"]) for s in x.spans]
+        assert listed_ == sorted(listed_)
+        base = [s for s in x.spans if s["base"]]
+        for s in x.spans:
+            assert s["base"] or not any(b["kind"] == s["kind"] and b["start"] < s["end"] and s["start"] < b["end"] for b in base)

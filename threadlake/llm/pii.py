@@ -50,21 +50,37 @@ MORE = {
 CONTEXT = 24
 HINTS = r"(?i)(?:mail|contact|phone|tel|call|fax|mobile|card|visa|iban|bank|account|ssn|social|key|token|secret|passw|api|auth|[=:\"'] ?$)"
 FEATURES = ("kind", "chars", "digits", "uppers", "lowers", "marks", "digit_share", "checks", "base", "hint", "glued", "words")
-BLOCK = 256
+#: Values of a block in running sums; characters of a piece in redaction; more than any place in a text.
+BLOCK, PIECE, FAR = 256, 256, 1 << 40
 LONG = "long"
 
 
-def _prefix(lens: Column) -> Column:
-    """Exclusive running sums, by blocks so that very many parts stay cheap."""
+def _running(values: Column, join) -> Column:
+    """``join`` of all values before each place, and of all at the end; of none it is 0.
+
+    In blocks, so that no array grows value by value: linear but for the one short array of the blocks' ends.
+    """
+    zero = F.lit(0).cast(LONG)
+    last = lambda a: F.element_at(a, -1)
+    grow = lambda part: F.aggregate(part, F.array(zero), lambda a, x: F.concat(a, F.array(join(last(a), x))))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: grow(F.slice(values, b * BLOCK + 1, BLOCK)))
+
+    def whole(inner: Column) -> Column:
+        def shifted(before: Column) -> Column:
+            parts = F.transform(inner, lambda a, k: F.transform(F.slice(a, 1, F.size(a) - 1), lambda x: join(F.get(before, k), x)))
+            return F.concat(F.flatten(parts), F.array(last(before)))
+
+        return let(grow(F.transform(inner, last)), shifted)
+
+    return F.when(F.size(values) > 0, let(blocks, whole)).otherwise(F.array(zero))
 
-    def within(start: Column, part: Column) -> Column:
-        return F.aggregate(part, F.array(start), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
 
-    def step(done: Column, b: Column) -> Column:
-        return F.concat(F.slice(done, 1, F.size(done) - 1), within(F.element_at(done, -1), F.slice(lens, b * BLOCK + 1, BLOCK)))
+def _sums(lens: Column) -> Column:
+    return _running(lens, lambda a, x: a + x)
 
-    blocks = F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / BLOCK).cast("int"))
-    return F.aggregate(blocks, F.array(F.lit(0).cast(LONG)), step)
+
+def _largest(values: Column) -> Column:
+    return _running(values, lambda a, x: F.greatest(a, x))
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -87,7 +103,7 @@ def _matches(text: Column, pattern: str) -> Column:
 
             return F.transform(F.sequence(F.lit(1), F.floor((F.size(parts) - 1) / 2).cast("int")), one)
 
-        return F.when(F.size(parts) >= 3, let(let(lens, _prefix), place))
+        return F.when(F.size(parts) >= 3, let(let(lens, _sums), place))
 
     return let(F.split(F.regexp_replace(text, f"({pattern})", f"{MARK}$1{MARK}"), MARK, -1), cut)
 
@@ -199,7 +215,7 @@ def candidates(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Boost:
-    """An ensemble of trees of depth two as nested tuples, and a threshold for each kind."""
+    """An ensemble of small trees as nested tuples, and a threshold for each kind."""
 
     start: float
     trees: tuple
@@ -346,15 +362,25 @@ def spans(docs: DataFrame, text: str = "text", out: str = "spans", model: Boost
     slim = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"))
 
     def choose(chosen: Column) -> Column:
-        base = F.transform(F.filter(chosen, lambda c: c["base"]), slim)
+        place = F.create_map(*(F.lit(x) for pair in ((kind, k) for k, kind in enumerate(KINDS)) for x in pair))
+        at = lambda c, what: F.element_at(place, c["kind"]) * F.lit(FAR) + c[what]
+
+        def add(ordered: Column) -> Column:
+            # by kind, then start: a base span that overlaps stands before and ends later, or after and starts earlier
+            ends = F.transform(ordered, lambda c: F.when(c["base"], at(c, "end")).otherwise(0))
+            starts = F.reverse(F.transform(ordered, lambda c: F.when(c["base"], F.lit(FAR * len(KINDS)) - at(c, "start")).otherwise(0)))
+
+            def free(before: Column) -> Column:
+                def alone(after: Column) -> Column:
+                    later = lambda k: F.lit(FAR * len(KINDS)) - F.get(after, F.size(ordered) - 1 - k)
+                    return F.filter(ordered, lambda c, k: c["base"] | ((F.get(before, k) <= at(c, "start")) & (later(k) >= at(c, "end"))))
 
-        def add(base: Column) -> Column:
-            over = lambda c: F.exists(base, lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"]))
-            extra = F.transform(F.filter(chosen, lambda c: ~c["base"] & ~over(c)), slim)
-            merged = F.concat(base, extra)
-            return F.concat(*(F.sort_array(F.filter(merged, _of_kind(kind))) for kind in KINDS))
+                return let(let(starts, _largest), alone)
 
-        return F.when(F.exists(chosen, lambda c: ~c["base"]), let(base, add)).otherwise(base)
+            return F.transform(let(let(ends, _largest), free), slim)
+
+        by_kind = F.sort_array(F.transform(chosen, lambda c: F.struct(F.element_at(place, c["kind"]).alias("place"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), c["kind"].alias("kind"))))
+        return F.when(F.exists(chosen, lambda c: ~c["base"]), let(by_kind, add)).otherwise(F.transform(chosen, slim))
 
     picked = let(F.filter(F.col(found), model.selects), choose)
     kept = [F.col(f"`{c}`") for c in docs.columns if c != out]
@@ -370,18 +396,22 @@ def redact(docs: DataFrame, text: str = "text", model: Boost | None = None) -> D
     found = spans(docs, text, at, model)
     body = F.col(text)
 
-    def cut(ordered: Column) -> Column:
-        start = F.struct(F.lit(0).cast(LONG).alias("at"), F.array().cast("array<string>").alias("out"))
-
-        def step(a: Column, s: Column) -> Column:
-            piece = F.substring(body, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-            put = F.concat(a["out"], F.array(piece, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-            return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], put).otherwise(a["out"]).alias("out"))
+    def cut(ordered: Column, ends: Column, pieces: Column) -> Column:
+        def piece(start: Column, end: Column) -> Column:
+            """The body from one place to another, from pieces of PIECE characters: no search from its beginning."""
+            a, b = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+            within = F.substring(F.get(pieces, a), (start - a * PIECE + 1).cast("int"), (end - start).cast("int"))
+            across = F.concat(F.substr(F.get(pieces, a), (start - a * PIECE + 1).cast("int")), F.array_join(F.slice(pieces, a + 2, b - a - 1), ""), F.left(F.get(pieces, b), (end - b * PIECE).cast("int")))
+            return F.when(start >= end, "").when(a == b, within).otherwise(across)
 
-        return F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(body, (a["at"] + 1).cast("int"))))
+        put = lambda s, k: F.when(s["start"] >= F.get(ends, k), F.concat(piece(F.get(ends, k), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+        return F.concat(F.array_join(F.transform(ordered, put), ""), piece(F.element_at(ends, -1), F.length(body).cast(LONG)))
 
     by_start = F.sort_array(F.transform(F.col(at), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("far"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    new = F.when(F.size(at) > 0, cut(by_start)).otherwise(body)
+    pieces = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    # where each span meets the furthest end before it; overlapping spans are one
+    whole = let(by_start, lambda o: let(_largest(F.transform(o, lambda s: s["end"])), lambda e: let(pieces, lambda p: cut(o, e, p))))
+    new = F.when(F.size(at) > 0, whole).otherwise(body)
     return found.select(*(new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
 
 
