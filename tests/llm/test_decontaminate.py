@@ -12,18 +12,18 @@ ITEMS = [(i, PROSE(30)) for i in range(12)] + [(50, "Tiny"), (51, ""), (52, None
 
 
 def squeezed(t):
-    return D.squeeze(np.frombuffer(b" " + D.plain(t) + b" ", np.uint8))[0]
+    return D.squeeze(D.padded(t))[0]
 
 
 def brute(passage, text):
-    p, t = squeezed(passage)[1:-1].tolist(), squeezed(text).tolist()
-    before = [0] * (len(t) + 1)
-    for i, c in enumerate(p, 1):
-        now = [i]
-        for j in range(1, len(t) + 1):
-            now.append(min(before[j - 1] + (c != t[j - 1]), before[j] + 1, now[-1] + 1))
-        before = now
-    return min(before)
+    """The least number of edits that make the passage a part of the text."""
+    p, t = squeezed(passage)[1:-1], squeezed(text)
+    before, steps = np.zeros(len(t) + 1, np.int64), np.arange(len(t) + 1)
+    for c in p:
+        now = before + 1
+        now[1:] = np.minimum(now[1:], before[:-1] + (t != c))
+        before = np.minimum.accumulate(now - steps) + steps
+    return int(before.min())
 
 
 def edited(passage, n):
@@ -70,3 +70,39 @@ def test_empty_tables(spark):
     docs = frame(spark, EDGES)
     assert D.matches(docs, items.limit(0)).count() == D.matches(docs.limit(0), items).count() == 0
     assert D.without_leaks(docs, items.limit(0)).count() == len(EDGES)
+
+
+def test_all_findings_are_those_of_brute_force(monkeypatch):
+    # passages that share most of their text: long posting lists, slices of a few hits
+    monkeypatch.setattr(D, "COMMON", 3)
+    monkeypatch.setattr(D, "SLICE", 50)
+    monkeypatch.setattr(D, "TOGETHER", 400)
+    stem = PROSE(18)
+    items = [(i, f"{PROSE(6)} {stem} {PROSE(3)}") for i in range(9)] + [(20 + i, PROSE(25)) for i in range(4)] + [(40, "é" * 30 + " ñandú " + "中文字符" * 6), (41, PROSE(4))]
+    index = D.Index(items)
+    assert (index.least >= 1).all() and (index.least < index.sizes - D.Q + 1 - index.budgets * D.Q).any()
+    texts = [PROSE(40), stem, None, "", items[14][1] * 2]
+    for n in range(16):
+        planted = [edited(items[R.randrange(15)][1], R.randint(0, 16)) for _ in range(3)]
+        texts.append(f" {PROSE(n)}, ".join(planted))
+    got = {(d, i): edits for d, i, edits, _, _ in D.find(texts, index)}
+    want = {}
+    for d, t in enumerate(texts):
+        for i, p in items:
+            best = brute(p, t or "")
+            if best <= D.budget(len(squeezed(p)) - 2):
+                want[d, i] = best
+    assert got == want and len(want) > 20
+
+
+def test_edits_count_in_code_points():
+    passage = "中文字符测试" * 20
+    index = D.Index([(1, passage)])
+    k = D.budget(len(squeezed(passage)) - 2)
+    for n, found in ((k, True), (k + 1, False)):
+        changed = list(passage)
+        for j in range(n):
+            changed[7 + 12 * j] = "é"
+        assert bool(D.find(["x " + "".join(changed)], index)) == found
+    (_, _, edits, start, end), = D.find(["😀 İ " + passage + "!"], index)
+    assert edits == 0 and ("😀 İ " + passage + "!")[start:end] == passage

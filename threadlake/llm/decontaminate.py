@@ -7,11 +7,15 @@ shares with the benchmark are counted by passage and diagonal band; bands
 overlap by half, so each occurrence lies in one whole. Bands that reach the
 bound are verified by a banded alignment of the passage.
 
-Texts and passages are compared as lower-case letters and digits with single
-spaces between words. The edit budget is ``EDITS`` of the passage's length, less
+Texts and passages are compared code point by code point, as lower-case letters
+and digits with single spaces between words. The edit budget is ``EDITS`` of the passage's length, less
 where a short passage would leave the lemma nothing to count; passages of fewer
 than ``Q`` characters must occur exactly, as whole words.
 
+A q-gram that many passages of a block share is left out of the passages that
+can do without it, and their bound is lowered by as many, so that no candidate
+is lost; what is left is expanded in slices of bounded size.
+
 The benchmark is the stated query set: it goes out in blocks of bounded size,
 each held against all documents in one pass without a shuffle.
 
@@ -34,18 +38,29 @@ from threadlake.llm.common import small_batches
 Q, EDITS = 10, 0.08
 #: Characters of the benchmark in one block, and of texts scanned together.
 BLOCK_CHARS, TOGETHER = 1 << 21, 1 << 20
+#: Passages that may share a q-gram before it is left out, and shared q-grams that are expanded together.
+COMMON, SLICE = 32, 1 << 22
 BREAK = 1
-TABLE = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else 32 for c in range(256))
-MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+ASCII = np.array([48 <= c < 58 or 97 <= c < 123 for c in range(128)])
+BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
 
+def plain(text: str | None) -> np.ndarray:
+    """The code points of a text in lower case, everything else than letters and digits as spaces; as many as before."""
+    lowered = (text or "").replace("\u0130", "i").lower().encode("utf-32-le", "surrogatepass")
+    points = np.frombuffer(lowered, "<u4").astype(np.uint32)
+    points[(points < 128) & ~ASCII[np.minimum(points, 127)]] = 32
+    return points
 
-def plain(text: str | None) -> bytes:
-    """Lower-case UTF-8 with everything else than letters and digits as spaces; as many characters as before."""
-    return (text or "").replace("İ", "i").lower().encode("utf-8", "replace").translate(TABLE)
+
+def padded(text: str | None) -> np.ndarray:
+    """``plain`` between two spaces."""
+    space = np.array([32], np.uint32)
+    return np.concatenate([space, plain(text), space])
 
 
 def squeeze(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``raw`` with runs of spaces made one, and where its bytes came from."""
+    """``raw`` with runs of spaces made one, and where its code points came from."""
     keep = np.ones(len(raw), bool)
     keep[1:] = (raw[1:] != 32) | (raw[:-1] != 32)
     at = np.flatnonzero(keep)
@@ -53,14 +68,24 @@ def squeeze(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(a: np.ndarray) -> np.ndarray:
-    """A 64-bit number for each run of Q = 10 bytes."""
+    """A 64-bit number for each run of Q = 10 code points."""
     if len(a) < Q:
         return np.zeros(0, np.uint64)
-    one = a.astype(np.uint64)
-    two = one[:-1] | (one[1:] << np.uint64(8))
-    four = two[:-2] | (two[2:] << np.uint64(16))
-    eight = four[:-4] | (four[4:] << np.uint64(32))
-    return eight[: len(a) - Q + 1] * MIX[0] ^ (two[8 : 8 + len(a) - Q + 1] * MIX[1])
+    two = a.astype(np.uint64)
+    two = two[:-1] * BASE + two[1:]
+    four = two[:-2] * BASE**2 + two[2:]
+    ten = (four[:-4] * BASE**4 + four[4:])[: len(a) - Q + 1] * BASE**2 + two[8:]
+    ten ^= ten >> np.uint64(29)
+    return ten * MIX
+
+
+def place_of(passage: np.ndarray, text: np.ndarray) -> int:
+    """Where a passage first occurs in a text exactly, or -1."""
+    raw, want = text.tobytes(), passage.tobytes()
+    at = raw.find(want)
+    while at >= 0 and at % 4:
+        at = raw.find(want, at + 1)
+    return at // 4
 
 
 def budget(m: int) -> int:
@@ -72,38 +97,57 @@ class Index:
     """The q-grams of a block of passages."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        cleaned = [(i, squeeze(np.frombuffer(b" " + plain(t) + b" ", np.uint8))[0]) for i, t in items]
+        cleaned = [(i, squeeze(padded(t))[0]) for i, t in items]
         cleaned = [(i, a) for i, a in cleaned if len(a) > 2]
-        self.short = [(i, a.tobytes()) for i, a in cleaned if len(a) - 2 < Q]
+        self.short = [(i, a) for i, a in cleaned if len(a) - 2 < Q]
         self.items = [(i, a[1:-1]) for i, a in cleaned if len(a) - 2 >= Q]
         self.sizes = np.array([len(a) for _, a in self.items], np.int64)
         self.budgets = np.array([budget(int(m)) for m in self.sizes], np.int64)
+        #: Shared q-grams in a band from which on a passage is verified.
+        self.least = self.sizes - Q + 1 - self.budgets * Q
         found = [grams(a) for _, a in self.items]
         key = np.concatenate([np.zeros(0, np.uint64), *found])
         item = np.repeat(np.arange(len(found)), [len(g) for g in found])
         place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in found)])
         order = np.argsort(key, kind="stable")
-        self.keys, starts = np.unique(key[order], return_index=True)
-        self.starts, self.ends = starts, np.append(starts[1:], len(order))
-        self.item, self.place = item[order], place[order]
+        key, item, place = key[order], item[order], place[order]
+        _, which, n = np.unique(key, return_inverse=True, return_counts=True)
+        # the most common q-grams of a passage go first, as long as one of its others must still be shared
+        common = np.flatnonzero(n[which] > COMMON)
+        common = common[np.lexsort((-n[which[common]], item[common]))]
+        starts = np.flatnonzero(np.append(True, item[common][1:] != item[common][:-1])[: len(common)])
+        nth = np.arange(len(common)) - np.repeat(starts, np.diff(np.append(starts, len(common))))
+        gone = common[nth < self.least[item[common]] - 1]
+        self.least -= np.bincount(item[gone], minlength=len(self.items))
+        keep = np.ones(len(key), bool)
+        keep[gone] = False
+        key, self.item, self.place = key[keep], item[keep], place[keep]
+        self.keys, self.starts = np.unique(key, return_index=True)
+        self.ends = np.append(self.starts[1:], len(key))
         self.shift = np.uint64(64 - 22)
         self.seen = np.zeros(1 << 22, bool)
-        self.seen[(self.keys * MIX[0]) >> self.shift] = True
-
-    def hits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text position, passage, passage position) of every shared q-gram."""
-        g = grams(text)
-        none = np.zeros(0, np.int64)
-        if not len(self.keys) or not len(g):
-            return none, none, none
-        at = np.flatnonzero(self.seen[(g * MIX[0]) >> self.shift])
-        k = np.minimum(np.searchsorted(self.keys, g[at]), len(self.keys) - 1)
-        same = self.keys[k] == g[at]
-        at, k = at[same], k[same]
-        n = self.ends[k] - self.starts[k]
-        row = np.repeat(np.arange(len(at)), n)
-        post = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + self.starts[k][row]
-        return at[row], self.item[post], self.place[post]
+        self.seen[(self.keys * BASE) >> self.shift] = True
+
+    def hits(self, text: np.ndarray):
+        """Slices of (text position, passage, passage position) of every shared q-gram, of bounded size."""
+        if not len(self.keys):
+            return
+        for low in range(0, len(text) - Q + 1, TOGETHER):
+            g = grams(text[low : low + TOGETHER + Q - 1])
+            at = np.flatnonzero(self.seen[(g * BASE) >> self.shift])
+            k = np.minimum(np.searchsorted(self.keys, g[at]), len(self.keys) - 1)
+            same = self.keys[k] == g[at]
+            at, k = at[same] + low, k[same]
+            n = self.ends[k] - self.starts[k]
+            upto = np.cumsum(n)
+            a = 0
+            while a < len(at):
+                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + SLICE, "right")))
+                m = n[a:b]
+                row = np.repeat(np.arange(a, b), m)
+                post = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m) + self.starts[k][row]
+                yield at[row], self.item[post], self.place[post]
+                a = b
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
@@ -113,13 +157,13 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
     cost = np.where((j0 >= 0) & (j0 <= len(text)), 0, most + 1).astype(np.int64)
     begin = j0.copy()
     steps = np.arange(width)
-    padded = np.concatenate([np.zeros(max(0, -low), np.uint8), text, np.zeros(max(0, high + len(item) - len(text)) + 1, np.uint8)])
+    around = np.concatenate([np.zeros(max(0, -low), text.dtype), text, np.zeros(max(0, high + len(item) - len(text)) + 1, text.dtype)])
     left = max(0, -low)
     for i, c in enumerate(item.tolist()):
         first = low + i + left
         j = j0 + i
         inside = (j >= 0) & (j < len(text))
-        pair = np.where(inside, cost + (padded[first : first + width] != c), most + 1)
+        pair = np.where(inside, cost + (around[first : first + width] != c), most + 1)
         skip = np.append(cost[1:], most + 1) + 1  # a passage character without its own in the text
         take = skip < pair
         new, origin = np.where(take, skip, pair), np.where(take, np.append(begin[1:], 0), begin)
@@ -137,59 +181,86 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
     return (int(cost[b]), int(begin[b]), int(j0[b] + len(item))) if cost[b] <= most else None
 
 
+def _bands(index: Index, whole: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, passage, band) of every diagonal band with enough shared q-grams. Band b covers 2 * budget + 1 diagonals, twice."""
+    span = 2 * index.budgets + 1
+    #: Text, passage and band in one number: bands lie between -size and the texts' length.
+    far = int(len(whole) + index.sizes.max(initial=0) + 2)
+    keys, counts, held = [], [], 0
+
+    def together() -> tuple[np.ndarray, np.ndarray]:
+        key, back = np.unique(np.concatenate(keys), return_inverse=True)
+        return key, np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
+
+    for at, item, place in index.hits(whole):
+        doc = np.searchsorted(ends, at, side="right")
+        band = (at - starts[doc] - place) // span[item] + far // 2
+        key, n = np.unique((doc * len(index.items) + item) * (2 * far) + band, return_counts=True)
+        keys.append(key)
+        counts.append(n)
+        held += len(key)
+        if held > 2 * SLICE and len(keys) > 1:
+            key, n = together()
+            keys, counts, held = [key], [n], len(key)
+    if not keys:
+        return []
+    key, n = together()
+    # bands overlap by half: a window is a band and the next one
+    both = n.copy()
+    nxt = np.searchsorted(key, key + 1)
+    nxt[nxt == len(key)] = 0
+    both += np.where(key[nxt] == key + 1, n[nxt], 0)
+    before = key - 1
+    alone = ~np.isin(before, key)
+    windows, shared = np.concatenate([key, before[alone]]), np.concatenate([both, n[alone]])
+    item = windows // (2 * far) % len(index.items)
+    windows, item = windows[fits := shared >= index.least[item]], item[fits]
+    return sorted(zip((windows // (2 * far) // len(index.items)).tolist(), item.tolist(), (windows % (2 * far) - far // 2).tolist(), strict=True))
+
+
 def find(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int, int]]:
     """(text, item id, edits, start, end) of every passage found; start and end are code points of the text."""
-    raws = [b" " + plain(t) + b" " for t in texts]
-    joined = bytes([BREAK]).join(raws)
-    whole, origin = squeeze(np.frombuffer(joined, np.uint8))
+    raws = [padded(t) for t in texts]
+    joined = [x for r in raws for x in (r, np.array([BREAK], np.uint32))]
+    whole, origin = squeeze(np.concatenate(joined)[:-1])
     breaks = np.flatnonzero(whole == BREAK)
     starts, ends = np.concatenate([[0], breaks + 1]), np.append(breaks, len(whole))
     offsets = np.cumsum([0, *(len(r) + 1 for r in raws)])
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-
-    def note(doc: int, item: int, edits: int, a: int, b: int) -> None:
-        if (doc, item) not in best or (edits, a) < best[doc, item][:2]:
-            best[doc, item] = (edits, a, b)
-
-    at, item, place = index.hits(whole)
-    if len(at):
-        doc = np.searchsorted(ends, at, side="right")
-        span = 2 * index.budgets[item] + 1
-        band = (at - starts[doc] - place) // span
-        for shift in (0, 1):
-            key = np.stack([doc, item, band - shift])
-            order = np.lexsort(key[::-1])
-            key = key[:, order]
-            new = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
-            count = np.diff(np.append(new, key.shape[1]))
-            d, i, b = key[:, new]
-            enough = count >= index.sizes[i] - Q + 1 - index.budgets[i] * Q
-            for d, i, b in zip(d[enough].tolist(), i[enough].tolist(), b[enough].tolist(), strict=True):
-                k, span = int(index.budgets[i]), 2 * int(index.budgets[i]) + 1
-                text, passage = whole[starts[d] : ends[d]], index.items[i][1]
-                low, high = b * span - k, (b + 2) * span - 1 + k
-                a = max(0, low)
-                exact = text[a : high + len(passage) + 1].tobytes().find(passage.tobytes())
-                found = (0, a + exact, a + exact + len(passage)) if exact >= 0 else align(passage, text, low, high, k)
-                if found:
-                    note(d, i, *found)
-    out = []
-    for (d, i), (edits, a, b) in sorted(best.items()):
-        out.append((d, index.items[i][0], edits, a, b))
+    for d, i, b in _bands(index, whole, starts, ends):
+        k = int(index.budgets[i])
+        span, text, passage = 2 * k + 1, whole[starts[d] : ends[d]], index.items[i][1]
+        low, high = b * span - k, (b + 2) * span - 1 + k
+        a = max(0, low)
+        exact = place_of(passage, text[a : max(a, high + len(passage) + 1)])
+        found = (0, a + exact, a + exact + len(passage)) if exact >= 0 else align(passage, text, low, high, k)
+        if found and ((d, i) not in best or found[:2] < best[d, i][:2]):
+            best[d, i] = found
+    out = [(d, index.items[i][0], edits, a, b) for (d, i), (edits, a, b) in sorted(best.items())]
     for item_id, passage in index.short:
         for d in range(len(texts)):
-            a = whole[starts[d] : ends[d]].tobytes().find(passage)
+            a = place_of(passage, whole[starts[d] : ends[d]])
             if a >= 0:
                 out.append((d, item_id, 0, a + 1, a + len(passage) - 1))
 
-    def points(d: int, a: int) -> int:
-        """Code points of the text before byte ``a`` of its squeezed form."""
+    def point(d: int, a: int) -> int:
+        """The code point of the text that stands at place ``a`` of its squeezed form."""
         here = starts[d] + a
-        byte = int(origin[here]) - int(offsets[d]) if here < len(origin) else len(raws[d])
-        head = np.frombuffer(raws[d][1:byte], np.uint8) if byte > 1 else np.zeros(0, np.uint8)
-        return int(((head & 0xC0) != 0x80).sum())
+        return (int(origin[here]) if here < len(origin) else len(joined)) - int(offsets[d]) - 1
+
+    return [(d, i, edits, max(0, point(d, a)), min(len(texts[d] or ""), point(d, b - 1) + 1)) for d, i, edits, a, b in out]
+
 
-    return [(d, i, edits, points(d, a), min(len(texts[d] or ""), points(d, b - 1) + 1)) for d, i, edits, a, b in out]
+def together(texts: list[str | None]):
+    """(first place, texts) of runs of about ``TOGETHER`` characters at most, or of one text."""
+    a, size = 0, 0
+    for b, t in enumerate(texts):
+        if b > a and size + len(t or "") > TOGETHER:
+            yield a, texts[a:b]
+            a, size = b, 0
+        size += len(t or "")
+    if texts:
+        yield a, texts[a:]
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS):
@@ -215,13 +286,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataF
         def run(batches, shared=shared):
             index = Index(shared.value)
             for batch in batches:
-                texts, rows = batch.column(1).to_pylist(), []
-                a, size = 0, 0
-                for b, t in enumerate(texts):
-                    size += len(t or "")
-                    if size >= TOGETHER or b == len(texts) - 1:
-                        rows += [(d + a, *rest) for d, *rest in find(texts[a : b + 1], index)]
-                        a, size = b + 1, 0
+                rows = [(d + a, *rest) for a, texts in together(batch.column(1).to_pylist()) for d, *rest in find(texts, index)]
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 5
                 taken = batch.column(0).take(pa.array(columns[0], pa.int64()))
                 yield pa.RecordBatch.from_arrays([taken, *(pa.array(c, pa.int64()) for c in columns[1:])], names=[key, "item_id", "edits", "start", "end"])
@@ -241,8 +306,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             index = Index(shared.value)
             for batch in batches:
                 texts, clean = batch.column(names.index("text")).cast(pa.string()).to_pylist(), np.ones(batch.num_rows, bool)
-                for a in range(0, len(texts), 256):
-                    clean[[a + d for d, *_ in find(texts[a : a + 256], index)]] = False
+                for a, some in together(texts):
+                    clean[[a + d for d, *_ in find(some, index)]] = False
                 yield batch.filter(pa.array(clean))
 
         kept = kept.mapInArrow(run, schema)
