@@ -45,7 +45,7 @@ WORDS = 4
 #: Bits in which candidates differ at most, in all words and in the first one; sets of fewer than FEW shingles scatter more.
 RADIUS, FIRST, FEW, WIDE = 60, 24, 9, 84
 #: Nodes of a slice of a size band; nodes and shingles of a slice of candidates whose sets are compared.
-TILE, MEMBERS, SHINGLES = 16384, 2048, 2_000_000
+TILE, MEMBERS, SHINGLES = 16384, 512, 500_000
 BLOCK, GUESTS = 256, 4096
 SALTS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 FACTORS = np.array([1, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9FB21C651E98DF25], np.uint64)
@@ -210,7 +210,8 @@ def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             found = [shingles(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(map(_key, found), pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["key", "found"])
 
-    rows = _texts(docs).join(wanted, ["doc_id", "seen"], "left_semi").dropDuplicates(["doc_id", "seen"])
+    # the wanted rows grow with the documents: never broadcast, whatever the size
+    rows = _texts(docs).join(wanted.hint("merge"), ["doc_id", "seen"], "left_semi").dropDuplicates(["doc_id", "seen"])
     return rows.mapInArrow(run, "key long, found binary").groupBy("key").agg(F.any_value("found").alias("found"))
 
 
@@ -326,7 +327,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     while {seen, by} & {c.lower() for c in docs.columns}:
         seen, by = seen + "_", by + "_"
     rows = docs.withColumn(by, F.col("doc_id").cast("long")).withColumn(seen, F.xxhash64(F.col("text").cast("string")))
-    kept = rows.join(chosen.select(F.col("doc_id").alias(by), F.col("seen").alias(seen)), [by, seen], "left_semi").dropDuplicates([by, seen])
+    kept = rows.join(chosen.select(F.col("doc_id").alias(by), F.col("seen").alias(seen)).hint("merge"), [by, seen], "left_semi").dropDuplicates([by, seen])
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return kept.select(*columns).unionByName(docs.filter("doc_id is null").select(*columns))
 
