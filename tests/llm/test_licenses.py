@@ -46,3 +46,47 @@ def test_a_later_notice_is_found(spark):
     rows = [(1, gpl + "2. " + "x " * 60 + gpl + "3."), (2, gpl + "2."), (3, "Licensed under CC BY-NC 4.0.")] + [(10 + k, "3 1 2 version") for k in range(40)]
     got = {r.doc_id: r.labels.split(",") for r in L.scan(frame(spark, rows)).collect()}
     assert "gpl-3.0" in got[1] and "gpl-3.0" not in got[2] and got[3] == ["cc-by-nc"]
+
+
+def test_fuller_notices_and_ties(spark):
+    names = ["mit-full", "apache-2.0-header", "gpl-3.0-or-later", "bsd-2-clause", "bsd-3-clause", "isc-full", "mpl-2.0-header", "epl-2.0", "zlib", "bsl-1.0", "cc0-1.0", "cc-by-sa", "artistic-2.0", "wtfpl"]
+    rows = [(k, f"Copyright 2024 Some One. {L.TEMPLATES[n][0]} int main() {{}}") for k, n in enumerate(names)]
+    rows += [(100, rows[3][1] + " " + rows[4][1] + " " + rows[8][1]), (101, rows[0][1] * 2), (102, rows[1][1].replace("WITHOUT", "with no"))]
+    # common words in every file: they anchor nothing, and files without a notice propose none
+    rows += [(1000 + k, "this is the copy of a file that you may use with or without any of the others") for k in range(60)]
+    got = {r.doc_id: r for r in L.scan(frame(spark, rows)).collect()}
+    for k, n in enumerate(names):
+        assert n in got[k].labels.split(",") and got[k].score > 0.95
+    assert {"bsd-2-clause", "bsd-3-clause", "zlib"} <= set(got[100].labels.split(","))
+    assert "mit-full" in got[101].labels.split(",") and "apache-2.0-header" not in got[102].labels.split(",")
+    assert all(got[1000 + k].labels == "" and got[1000 + k].score == 0 for k in range(60))
+
+
+def test_a_notice_in_every_file_is_still_found(spark):
+    got = L.scan(frame(spark, [(k, f"file {k} {MIT}") for k in range(30)])).collect()
+    assert len(got) == 30 and all("mit" in r.labels.split(",") for r in got)
+
+
+def test_alignments_match_brute_force(spark):
+    import random
+
+    r = random.Random(2)
+    words = L.words_of(MIT)
+    rows = []
+    for k in range(40):
+        text = [w if r.random() > k / 60 else "x" for w in words]
+        rows.append((k, " ".join(["x"] * r.randint(0, 9) + text)))
+    found = L.hits(frame(spark, rows))
+    postings = L.index(found)
+    weight = {w: x for t, w, _, x in postings if t == "mit"}
+    got = {}
+    table = spark.createDataFrame(postings, "template string, w string, position int, weight double")
+    ids = {x.rid: x.doc_id for x in found.collect()}
+    for x in L.alignments(L.candidates(found, postings, 0.0), table).filter("template = 'mit'").collect():
+        got[ids[x.rid]] = max(got.get(ids[x.rid], 0), x.share)
+    for k, t in rows:
+        ws, best = t.split(), 0
+        for band in range(-len(words), len(ws)):
+            shifts = {w for w, at in ((w, i) for i, w in enumerate(ws)) for t_, w_, p, _ in postings if t_ == "mit" and w_ == w and (at - p) // L.SLACK in (band, band - 1)}
+            best = max(best, sum(weight[w] for w in shifts))
+        assert abs(got.get(k, 0) - best / sum(weight.values())) < 1e-9

@@ -1,17 +1,19 @@
 """Licence scans by a positional index of rare words.
 
-Words of the licence templates are looked up in every file. The index keeps,
-for each template, the positions of its words with the highest inverse
-document frequency over the whole corpus (the others are too common to
-anchor anything). A file's rare words are joined with those postings; postings
-of one template agree on an alignment where file position less template
-position is (nearly) the same. An alignment is scored by the weight of its
-distinct words, and counts only if the template's mandatory key phrases stand in
-the file near it; the best of those that count gives the template's score.
+Inverse document frequencies of the templates' words are counted over the whole
+corpus. The index has the positions of each template's words in at most one
+file of ``FILES`` (and of its ``ANCHORS`` rarest words, however common). A
+file's rare words are looked up there: templates of which it holds too little
+weight go no further, the postings of the others agree on an alignment where
+file position less template position is (nearly) the same. An alignment is
+scored by the weight of its distinct words, and counts only if the template's
+mandatory key phrases stand in the file near it; the best of those that count
+gives the template's score.
 
 Texts are cut into words once, inside the JVM; only words of the templates go
-on from there, so what is shuffled follows the licence text in the corpus, not
-its size. The vocabulary and the postings have the size of the templates,
+on from there, and only files that hold most of a template's rare words are
+shuffled, so what is shuffled follows the licence text in the corpus, not its
+size. The vocabulary and the postings have the size of the templates,
 which is fixed, and are broadcast.
 
 Edge cases: a null text counts as empty (no words, no labels, score 0); equal
@@ -48,9 +50,58 @@ TEMPLATES = {
     "cc-by": ("This work is licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution",)),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0", ("cc by nc",)),
     "unlicense": ("This is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
+    "mit-full": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        ("permission is hereby granted", "sublicense and or sell copies", "shall be included in all copies or substantial portions"),
+    ),
+    "apache-2.0-header": (
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        ("apache license version 2 0", "except in compliance with the license", "without warranties or conditions of any kind"),
+    ),
+    "gpl-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        ("gnu general public license", "version 3 of the license", "any later version"),
+    ),
+    "bsd-2-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        ("redistributions of source code must retain", "redistributions in binary form must reproduce", "materials provided with the distribution"),
+    ),
+    "bsd-3-clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        ("neither the name of", "endorse or promote products derived from this software", "specific prior written permission"),
+    ),
+    "isc-full": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        ("for any purpose with or without fee", "permission notice appear in all copies"),
+    ),
+    "mpl-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        ("mozilla public license v 2 0", "if a copy of the mpl was not distributed with this file"),
+    ),
+    "epl-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+        ("accompanying materials are made available under", "eclipse public license 2 0"),
+    ),
+    "zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. The origin of this software must not be misrepresented; "
+        "you must not claim that you wrote the original software. Altered source versions must be plainly marked as such. This notice may not be removed or altered from any source distribution.",
+        ("the origin of this software must not be misrepresented", "altered source versions must be plainly marked as such"),
+    ),
+    "bsl-1.0": ("Distributed under the Boost Software License, Version 1.0. See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt", ("boost software license version 1 0",)),
+    "cc0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work, CC0 1.0 Universal Public Domain Dedication", ("waived all copyright and related or neighboring rights",)),
+    "cc-by-sa": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ("creative commons attribution sharealike",)),
+    "artistic-2.0": ("This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0", ("artistic license 2 0",)),
+    "wtfpl": ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE. Everyone is permitted to copy and distribute verbatim or modified copies of this license document", ("do what the fuck you want to public license",)),
 }
-#: Rare words kept for each template, and the slack in positions of one alignment.
-RARE, SLACK = 6, 2
+#: A word is rare if it stands in at most one file of so many; a template has so many rare words at least; the slack in positions of one alignment.
+FILES, ANCHORS, SLACK = 8, 4, 3
+#: The part of a template's rare weight that an alignment must hold.
+LEAST = 0.6
 
 
 def words_of(text: str) -> list[str]:
@@ -95,8 +146,8 @@ def _starts(hits_: Column, phrase: str) -> Column:
     return F.transform(F.filter(hits_, whole), lambda x: x["at"])
 
 
-def index(found: DataFrame, rare: int = RARE) -> list[tuple[str, str, int, float]]:
-    """(template, word, position, weight) of each template's rarest words, by document frequency over all files.
+def index(found: DataFrame) -> list[tuple[str, str, int, float]]:
+    """(template, word, position, weight) of each template's rare words, by document frequency over all files.
 
     At most a row for each word of a template: the driver holds no more than the templates' size.
     """
@@ -107,19 +158,34 @@ def index(found: DataFrame, rare: int = RARE) -> list[tuple[str, str, int, float
     out = []
     for name, (text, _) in TEMPLATES.items():
         ws = words_of(text)
-        kept = sorted(set(ws), key=lambda w: (-idf[w], w))[:rare]
+        by_rarity = sorted(set(ws), key=lambda w: (-idf[w], w))
+        kept = {w for k, w in enumerate(by_rarity) if k < ANCHORS or idf[w] >= math.log(FILES)}
         out += [(name, w, k, max(idf[w], 1e-9)) for k, w in enumerate(ws) if w in kept]
     return out
 
 
+def candidates(found: DataFrame, rows: list[tuple[str, str, int, float]], least: float = LEAST) -> DataFrame:
+    """(rid, hits, templates) of the files that hold ``least`` of the weight of some template's rare words, in any order."""
+    weights = {name: {w: x for t, w, _, x in rows if t == name} for name in TEMPLATES}
+    rare = sorted({w for _, w, _, _ in rows})
+    there = F.array_intersect(F.transform("hits", lambda x: x["w"]), F.lit(rare))
+    known = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(least * sum(ws.values()) - 1e-9).alias("least"), F.array(*(F.struct(F.lit(w).alias("w"), F.lit(x).alias("x")) for w, x in ws.items())).alias("ws")) for t, ws in weights.items()))
+
+    def held(words: Column) -> Column:
+        fits = F.filter(known, lambda t: F.aggregate(t["ws"], F.lit(0.0), lambda a, w: a + F.when(F.array_contains(words, w["w"]), w["x"]).otherwise(0.0)) >= t["least"])
+        return F.when(F.size(words) > 0, F.transform(fits, lambda t: t["t"])).otherwise(F.array().cast("array<string>"))
+
+    return found.select("rid", "hits", let(there, held).alias("templates")).filter(F.size("templates") > 0)
+
+
 def alignments(found: DataFrame, postings: DataFrame, slack: int = SLACK) -> DataFrame:
-    """(rid, template, anchor, share): every alignment of each template in each file, at most two for a posting met.
+    """(rid, template, anchor, share): every alignment of each template proposed for a file, at most two for a posting met.
 
     ``share`` is the part of the template's rare weight that the alignment holds.
     """
     total = postings.groupBy("template", "w").agg(F.max("weight").alias("weight")).groupBy("template").agg(F.sum("weight").alias("total"))
-    placed = found.select("rid", F.explode("hits").alias("h")).select("rid", F.col("h.w").alias("w"), F.col("h.at").alias("at"))
-    joined = placed.join(F.broadcast(postings), "w").withColumn("shift", F.col("at") - F.col("position"))
+    placed = found.select("rid", "hits", F.explode("templates").alias("template")).select("rid", "template", F.explode("hits").alias("h")).select("rid", "template", F.col("h.w").alias("w"), F.col("h.at").alias("at"))
+    joined = placed.join(F.broadcast(postings), ["template", "w"]).withColumn("shift", F.col("at") - F.col("position"))
     # A band of shifts and the next overlap, so words moved by up to `slack` still meet.
     bands = F.array(F.floor(F.col("shift") / slack), F.floor(F.col("shift") / slack) + 1)
     banded = joined.select("rid", "template", F.explode(bands).alias("band"), "w", "weight", "at")
@@ -128,13 +194,14 @@ def alignments(found: DataFrame, postings: DataFrame, slack: int = SLACK) -> Dat
     return scored.join(F.broadcast(total), "template").select("rid", "template", "anchor", (F.col("got") / F.col("total")).alias("share"))
 
 
-def labelled(found: DataFrame, least: float = 0.6) -> DataFrame:
+def labelled(found: DataFrame, least: float = LEAST) -> DataFrame:
     """(rid, labels, score): templates with an alignment that holds ``least`` of the weight and has the key phrases near it."""
-    spark = found.sparkSession
-    postings = spark.createDataFrame(index(found), "template string, w string, position int, weight double")
-    held = alignments(found, postings).filter(F.col("share") >= least)
+    rows = index(found)
+    postings = found.sparkSession.createDataFrame(rows, "template string, w string, position int, weight double")
+    proposed = written(candidates(found, rows, least), "licence-candidates")
+    held = alignments(proposed, postings).filter(F.col("share") >= least)
     # A file's alignments travel together, so its words are joined once however many notices it holds.
-    near = held.groupBy("rid", "template").agg(F.collect_set(F.struct("share", "anchor")).alias("held")).join(found.select("rid", "hits"), "rid")
+    near = held.groupBy("rid", "template").agg(F.collect_set(F.struct("share", "anchor")).alias("held")).join(proposed.select("rid", "hits"), "rid")
     verified = F.lit(None).cast("double")
     for name, (text, phrases) in TEMPLATES.items():
         reach = len(words_of(text)) + 8
