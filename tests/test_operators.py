@@ -68,11 +68,28 @@ def test_text_helpers(spark):
     assert [one(spark, T.as_long(F.lit(x)))[0] for x in ("12", "12.9", "-3.9", "x", "")] == [12, 12, -3, None, None]
 
 
-@pytest.mark.parametrize(("text", "ms"), [("20240102", 1704153600000), ("1704153600", 1704153600000), ("1704153600123", 1704153600123), ("1704153600.9", 1704153600900), ("2024-01-02 03:04:05", 1704164645000), ("2024年1月2日", 1704153600000), ("2024/1/2 3:04", 1704164640000), ("2024-01-02T03:04:05Z", 1704164645000), ("soon", None), ("", None)])
+@pytest.mark.parametrize(("text", "ms"), [("20240102", 1704153600000), ("1704153600", 1704153600000), ("1704153600123", 1704153600123), ("1704153600.9", 1704153600000), ("2024-01-02 03:04:05", 1704164645000), ("2024年1月2日", 1704153600000), ("2024/1/2 3:04", 1704164640000), ("2024-01-02T03:04:05Z", 1704164645000), ("soon", None), ("", None)])
 def test_flexible_timestamp(spark, text, ms):
     assert one(spark, T.flexible_timestamp(F.lit(text)))[0] == ms
 
 
+def test_every_date_format_and_no_crash(spark):
+    day, minute, second, milli = 1709424000000, 1709431440000, 1709431445000, 1709431445678  # 2024-03-03 [02:04[:05[.678]]]
+    forms = {
+        "2024-03-03 03:04:05": second + 3600000, "2024-03-03 02:04:05.678": milli, "2024-03-03 02:04": minute, "2024-3-3 02:04:05": second, "2024-3-3 02:04:05.678": milli, "2024-3-3 02:04": minute,
+        "2024/03/03 02:04:05": second, "2024/03/03 02:04:05.678": milli, "2024/03/03 02:04": minute, "2024/3/3 02:04:05": second, "2024/3/3 02:04": minute,
+        "2024.03.03 02:04:05": second, "2024.03.03 02:04:05.678": milli, "2024.03.03 02:04": minute, "2024.3.3 02:04:05": second, "2024.3.3 02:04": minute,
+        "2024-03-03T10:04:05+08:00": second, "2024-03-03T10:04:05.678+08:00": milli, "2024-03-03T02:04:05Z": second, "2024-03-03T02:04:05.678Z": milli, "2024-03-03T02:04:05": second, "2024-03-03T02:04:05.678": milli,
+        "2024-03-03": day, "2024-3-3": day, "2024/03/03": day, "2024/3/3": day, "2024.03.03": day, "2024.3.3": day, "2024年3月3日 02:04": minute, "2024年03月03日": day,
+        "NaN": None, "Infinity": None, "-Infinity": None, "1e300": None, "-9223372036854775808": None, "9223372036854775807": 9223372036854775807, "99999999999999999999": None, "1.5e9": 1500000000000,
+        "-5": -5000, "-20000000000": -20000000000000, "20241399": 20241399000, "2024-13-03": None, "2024/3-3": None, "2024-03-03 25:00": None, " 5 ": 5000, "+5": 5000, "1e": None, ".": None,
+    }
+    rows = spark.createDataFrame(list(forms.items()), "t string, want long")
+    assert {r.t: r.got for r in rows.select("t", T.flexible_timestamp(F.col("t")).alias("got")).collect()} == forms
+    least = -(2**63)
+    assert one(spark, T.seconds_or_millis(F.lit(least)), T.seconds_or_millis(F.lit(-20000000000)))[:] == (None, -20000000000000)
+
+
 def test_canonical_json_and_ids(spark):
     got = one(spark, X.canonical_json({"b": F.lit(None).cast("string"), "a": F.lit('é"\n')}))[0]
     assert got == '{"a":"é\\"\\n","b":null}'
@@ -147,3 +164,27 @@ def test_labels(spark):
     assert [N.parse_filter_tag(t) for t in ("QQ | Group", "qq", "a|b|c", "|x", None)] == [("qq", "group"), (None, None), (None, None), (None, None), (None, None)]
     row = one(spark, N.initials(F.lit("  ")), N.sender_line(F.lit(" Ann "), F.lit(" work ")), N.sender_line(F.lit(""), F.lit("x")), N.platform_label(F.lit("SQL")), N.platform_label(F.lit("irc")))
     assert row[:] == ("?", "Ann · work", "", "SQL", "irc")
+
+
+def test_duplicates_refresh_hashes_and_rows_without_ids_meet(spark):
+    row = lambda seq, payload, semantic="s", native="n", compatible=None, platform="wechat", local=None: ("c", native, local, semantic, payload, compatible, seq, platform)
+    schema = "conversation_id string, native_id string, local_id string, semantic_hash string, payload_hash string, compatible array<string>, seq long, platform string"
+    fold = lambda rows: [(r.state, r.target) for r in sorted(dedup.fold_state(spark.createDataFrame(rows, schema)).collect(), key=lambda r: r.seq)]
+    # the stored row takes over the newer payload, so the oldest one is no longer a duplicate
+    assert fold([row(1, "p1"), row(2, "p2", compatible=["p1"]), row(3, "p3", compatible=["p2"]), row(4, "p1")]) == [("new", None), ("duplicate", 1), ("duplicate", 1), ("revision", 1)]
+    assert fold([row(1, "p1", "a"), row(2, "p2", "b"), row(3, "p3", "a", platform="qq")]) == [("new", None), ("variant", None), ("revision", 1)]
+    assert fold([row(1, "p1", "a", local="7"), row(2, "p2", "b", local="7"), row(3, "p3", "c", local="")]) == [("new", None), ("revision", 1), ("variant", None)]
+    # without a native id: by meaning, by payload, by a compatible payload, and never with another conversation's or an id's rows
+    free = [row(1, "p1", "a", None), row(2, "p1", "b", None), row(3, "p9", "b", None, ["p5"]), row(4, "p5", "z", None), row(5, "p6", "y", None), row(6, "p1", "a")]
+    assert fold(free) == [("new", None), ("duplicate", 1), ("revision", 1), ("new", None), ("new", None), ("new", None)]
+    assert fold([row(1, "p5", "a", None), row(2, "p6", "b", None, ["p5"]), row(3, "p7", "c", None, ["p6"])]) == [("new", None), ("duplicate", 1), ("duplicate", 1)]
+
+
+def test_rows_without_a_native_id_keep_their_state(spark):
+    rows = spark.createDataFrame([("c", None, "p", 1), ("c", None, "p", 2), ("c", None, "q", 3), ("c", "n", "p", 4)], "conversation_id string, native_id string, payload_hash string, seq long")
+    assert sorted((r.seq, r.state) for r in dedup.dedup_state(rows).collect()) == [(1, "new"), (2, "duplicate"), (3, "new"), (4, "new")]
+
+
+def test_technical_content_by_its_own_list(spark):
+    shown = lambda c: one(spark, present.display_content(F.lit(c), F.array().cast("array<string>"), F.lit(True)))[0]
+    assert [shown(c) for c in ("[图片: a.png]", "[Image] x", "[EMOJI:1]", "[转账] 5", "[位置] here", "[通话]")] == ["", "", "", "[转账] 5", "[位置] here", "[通话]"]

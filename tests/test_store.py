@@ -65,3 +65,32 @@ def test_xml_summaries():
 def test_nested_texts():
     value = {"text": " a\0 ", "deep": [{"title": True, "x": "no"}, {"content": ["b", 3, None, "https://l"]}]}
     assert P.searched_texts(value) == ["a", "True", "b", "3"]
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    import pytest
+
+    a, b = Z.Archive(spark, str(tmp_path / "a")), Z.Archive(spark, str(tmp_path / "a"))
+    one = spark.createDataFrame([(1, "x")], "id long, t string")
+    a.commit({"m": one})
+    b.version = lambda: 1  # has seen version 1 before the other writes version 2
+    assert a.commit({"m": one}, append=("m",)) == 2
+    with pytest.raises(Z.Conflict):
+        b.commit({"m": one.limit(0)})
+    del b.version
+    assert b.version() == 2 and b.read("m").count() == 2 and sorted(r.version for r in a.ledger().collect()) == [1, 2]
+    assert b.commit({"n": one}, carry=("m",)) == 3 and b.read("m").count() == 2 and b.read("m", 1).count() == 1
+
+
+def test_stream_keeps_order_and_rows_without_ids(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    line = lambda native, at, c: json.dumps({"conversation_id": "c", "native_id": native, "timestamp_ms": at, "content": c})
+    (source / "1.json").write_text("\n".join([line("n", k, f"version {k}") for k in (4, 2, 5, 1, 3)] + [line(None, 9, "free"), line(None, 9, "free"), line("n", None, "no time")]))
+    archive = Z.Archive(spark, str(tmp_path / "archive"))
+    I.stream_into(spark, str(source), archive, str(tmp_path / "cp")).awaitTermination()
+    rows = archive.read(I.TABLE).orderBy("seq").collect()
+    assert [r.timestamp_ms for r in rows] == [1, 2, 3, 4, 5, 9] and len({r.seq for r in rows}) == 6
+    first = rows[0].seq
+    assert sorted((r.state, r.target) for r in I.states(archive).filter("state = 'revision'").collect()) == [("revision", first)] * 4
+    assert archive.read(I.REJECTED).count() == 1

@@ -67,26 +67,33 @@ def as_bool(x: Column) -> Column:
 
 
 def seconds_or_millis(t: Column) -> Column:
-    """Epoch numbers from 10 000 000 000 on are milliseconds, smaller ones seconds."""
-    return F.when(F.abs(t) >= 10_000_000_000, t).otherwise(t * 1000)
+    """Epoch numbers from 10 000 000 000 on are milliseconds, smaller ones (and all negative ones) seconds; null beyond what a long holds."""
+    return F.when(t >= 10_000_000_000, t).otherwise(F.try_multiply(t, F.lit(1000)))
 
 
-#: The date patterns tried in turn.
-DATE_PATTERNS = (
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d",
-    "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy.M.d H:mm:ss", "yyyy.M.d",
-    "yyyy-M-d H:mm:ss", "yyyy-M-d H:mm", "yyyy-M-d", "yyyy/M/d H:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ssXXX",
-)
+#: The date formats read, years first with one kind of separator; one shape covers each line.
+#: yyyy-MM-dd HH:mm:ss[.fff], yyyy-MM-dd HH:mm, yyyy-M-d HH:mm:ss[.fff], yyyy-M-d HH:mm
+#: yyyy/MM/dd HH:mm:ss[.fff], yyyy/MM/dd HH:mm, yyyy/M/d HH:mm:ss, yyyy/M/d HH:mm
+#: yyyy.MM.dd HH:mm:ss[.fff], yyyy.MM.dd HH:mm, yyyy.M.d HH:mm:ss, yyyy.M.d HH:mm
+#: yyyy-MM-ddTHH:mm:ss[.fff] with an offset, with Z or with neither
+#: yyyy-MM-dd, yyyy-M-d, yyyy/MM/dd, yyyy/M/d, yyyy.MM.dd, yyyy.M.d, and years, months and days in ideographs
+DATE_PARTS = r"^([0-9]{4})(?:-|年)([0-9]{1,2})(?:-|月)([0-9]{1,2})日?|^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})|^([0-9]{4})\.([0-9]{1,2})\.([0-9]{1,2})"
+DATE_SHAPE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?:[ T][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?(?: ?(?:Z|[+-][0-9]{2}:[0-9]{2}))?)?$"
+NUMBER_SHAPE = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 
 
 def flexible_timestamp(x: Column) -> Column:
-    """Epoch milliseconds of a date, a time or an epoch number in text; null if it is none of them."""
-    t = F.trim(x)
-    number = t.try_cast("double")
-    day = F.when(t.rlike(r"^(19[7-9][0-9]|20[0-9]{2})[01][0-9][0-3][0-9]$"), F.unix_millis(F.try_to_timestamp(t, F.lit("yyyyMMdd"))))
-    ideographic = F.regexp_replace(F.regexp_replace(t, "[年月]", "-"), "日", "")
-    parsed = F.coalesce(*(F.unix_millis(F.try_to_timestamp(ideographic, F.lit(p))) for p in DATE_PATTERNS))
-    return F.coalesce(day, F.when(number.isNotNull(), seconds_or_millis(number).cast("bigint")), parsed)
+    """Epoch milliseconds of a date, a time or an epoch number in text; null if it is none of them.
+
+    Eight digits from 19700101 to 20991231 are a day where there is such a day. Other numbers are cut to whole ones
+    before they are scaled. The shape decides what a text is read as, so each is parsed once; nothing here can raise.
+    """
+    t = clean(x)
+    number = F.when(t.rlike(NUMBER_SHAPE), as_long(t))
+    day = F.when(t.rlike("^[0-9]{8}$") & number.between(19700101, 20991231), F.try_to_timestamp(t, F.lit("yyyyMMdd")))
+    plain = F.regexp_replace(t, DATE_PARTS, "$1$4$7-$2$5$8-$3$6$9")
+    date = F.when(plain.rlike(DATE_SHAPE), plain.try_cast("timestamp"))
+    return F.coalesce(F.unix_millis(day), seconds_or_millis(number), F.unix_millis(date))
 
 
 def day_bounds(day: Column) -> tuple[Column, Column]:

@@ -13,15 +13,18 @@ from pyspark.sql import functions as F
 
 
 def dedup_state(rows: DataFrame, conversation: str = "conversation_id", native: str = "native_id", payload: str = "payload_hash", seq: str = "seq") -> DataFrame:
-    """(seq, state, target) of rows with a native id.
+    """(seq, state, target) of every row.
 
     A payload seen before under the same native id is a duplicate of its first
-    row; another payload is a revision of the first row of the native id.
+    row; another payload is a revision of the first row of the native id. Rows
+    without a native id meet by payload alone.
     """
-    key = [conversation, native]
-    by_payload = rows.groupBy(*key, payload).agg(F.min(seq).alias("first_same"))
+    met = F.coalesce(F.concat(F.lit("n:"), F.col(native)), F.concat(F.lit("p:"), F.col(payload)))
+    keyed = rows.select(seq, conversation, payload, met.alias("met"))
+    key = [conversation, "met"]
+    by_payload = keyed.groupBy(*key, payload).agg(F.min(seq).alias("first_same"))
     by_native = by_payload.groupBy(*key).agg(F.min("first_same").alias("first_any"))
-    joined = rows.select(seq, *key, payload).join(by_payload, [*key, payload]).join(by_native, key)
+    joined = keyed.join(by_payload, [*key, payload]).join(by_native, key)
     state = F.when(F.col(seq) > F.col("first_same"), "duplicate").when(F.col(seq) > F.col("first_any"), "revision").otherwise("new")
     target = F.when(F.col(seq) > F.col("first_same"), F.col("first_same")).when(F.col(seq) > F.col("first_any"), F.col("first_any"))
     return joined.select(seq, state.alias("state"), target.alias("target"))
@@ -36,36 +39,58 @@ def refreshed(rows: DataFrame, keep: list[str], refresh: list[str], key: list[st
 STATE = "seq long, state string, target long"
 
 
-def fold_state(rows: DataFrame, platform: str = "wechat") -> DataFrame:
-    """(seq, state, target) by the full rule, for rows (conversation_id, native_id, local_id, semantic_hash, payload_hash, compatible, seq).
+def _meeting(rows: DataFrame) -> DataFrame:
+    """(seq, meet): for rows without a native id the least seq that they reach over equal meanings and payloads (their own or compatible ones).
 
-    Rows meet by native id, or without one by semantic hash. Equal payloads, and
-    payloads that an older parser would have written, are duplicates; other rows
-    of a group are revisions where the platform or a shared local id or meaning
-    says so, else variants. A group is one message's versions, so it is small.
+    Each round is two aggregations over (row, hash) links; it ends when no row's label falls.
+    """
+    tokens = F.array(F.concat(F.lit("s:"), F.col("semantic_hash")), F.concat(F.lit("p:"), F.col("payload_hash")))
+    older = F.transform(F.coalesce("compatible", F.array().cast("array<string>")), lambda h: F.concat(F.lit("p:"), h))
+    links = rows.filter("native_id is null").select("conversation_id", "seq", F.explode(F.array_distinct(F.concat(tokens, older))).alias("token")).persist()
+    label = links.select("conversation_id", "seq").distinct().withColumn("meet", F.col("seq"))
+    while True:
+        by_token = links.join(label, ["conversation_id", "seq"]).groupBy("conversation_id", "token").agg(F.min("meet").alias("meet"))
+        new = links.join(by_token, ["conversation_id", "token"]).groupBy("conversation_id", "seq").agg(F.min("meet").alias("meet")).persist()
+        moved = new.join(label.withColumnRenamed("meet", "old"), ["conversation_id", "seq"]).filter("meet < old").limit(1).count()
+        label = new
+        if not moved:
+            return label.select("seq", F.concat(F.lit("m:"), F.col("meet").cast("string")).alias("meet"))
+
+
+def fold_state(rows: DataFrame, platform: str | None = None) -> DataFrame:
+    """(seq, state, target) by the full rule, for rows (conversation_id, native_id, local_id, semantic_hash, payload_hash, compatible, seq, platform).
+
+    Rows meet by native id, or without one by meaning or payload. Equal payloads, and payloads that an older parser would
+    have written, are duplicates, and the stored row takes over the hashes of its duplicate; other rows are revisions
+    where the platform or a shared local id or meaning says so, else variants. A group is one message's versions, so it
+    is small. ``platform`` stands in where the rows have no such column.
     """
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        stored: list[tuple[int, str | None, str, str]] = []
+        stored: list[dict] = []
         out = []
         for r in group.sort_values("seq").itertuples():
-            older = [] if r.compatible is None else list(r.compatible)
-            same = next((s for s in stored if s[2] == r.payload_hash), None) or next((s for s in stored if s[2] in older), None)
+            older = set() if r.compatible is None else set(r.compatible)
+            met = stored if r.native_id is not None else [s for s in stored if s["semantic"] == r.semantic_hash or s["payload"] in older | {r.payload_hash}]
+            same = next((s for s in met if s["payload"] == r.payload_hash), None) or next((s for s in met if s["payload"] in older), None)
             if same:
-                out.append((r.seq, "duplicate", same[0]))
+                same |= {"payload": r.payload_hash, "semantic": r.semantic_hash}
+                out.append((r.seq, "duplicate", same["seq"]))
                 continue
             target = None
-            if stored and platform == "qq":
-                target = stored[0][0]
-            elif stored:
-                target = next((s[0] for s in stored if (r.local_id and s[1] == r.local_id) or s[3] == r.semantic_hash), None)
-            out.append((r.seq, "new" if not stored else "variant" if target is None else "revision", target))
-            stored.append((r.seq, r.local_id, r.payload_hash, r.semantic_hash))
+            if met and r.platform == "qq":
+                target = met[0]["seq"]
+            elif met:
+                target = next((s["seq"] for s in met if (r.local_id and s["local"] == r.local_id) or s["semantic"] == r.semantic_hash), None)
+            out.append((r.seq, "new" if not met else "variant" if target is None else "revision", target))
+            stored.append({"seq": r.seq, "local": r.local_id, "payload": r.payload_hash, "semantic": r.semantic_hash})
         frame = pd.DataFrame(out, columns=["seq", "state", "target"])
         return frame.astype({"target": "Int64"})
 
-    key = F.coalesce(F.concat(F.lit("n:"), F.col("native_id")), F.concat(F.lit("s:"), F.col("semantic_hash")))
-    return rows.withColumn("meet", key).groupBy("conversation_id", "meet").applyInPandas(fold, STATE)
+    if platform is not None or "platform" not in rows.columns:
+        rows = rows.withColumn("platform", F.lit(platform or "wechat"))
+    met = rows.join(_meeting(rows), "seq", "left").withColumn("meet", F.coalesce(F.concat(F.lit("n:"), F.col("native_id")), "meet"))
+    return met.groupBy("conversation_id", "meet").applyInPandas(fold, STATE)
 
 
 def new_observations(found: DataFrame, known: DataFrame) -> DataFrame:

@@ -52,16 +52,19 @@ def display_names(aliases: DataFrame, senders: DataFrame, conversations: DataFra
 
     Aliases seen in the conversation itself come first, then those of private
     conversations, then others; the latest seen wins, then the alias in order.
-    One aggregation with a maximum over ordered structs; no window.
+    Three aggregations, of a sender's aliases by conversation, of private ones
+    and of all, and joins by keys that are unique on their side, so a sender in
+    many rooms costs rows in proportion.
     """
     own = senders.filter(F.col("platform") == platform).select(F.col("id").alias("sender_id"), "native_id")
     kinds = conversations.select(F.col("id").alias("conversation_id"), (F.col("kind") == "private").alias("private"))
     seen = aliases.join(own, "sender_id").filter(usable_alias(F.col("alias"), F.col("native_id"))).join(kinds, "conversation_id", "left")
-    seen = seen.select("sender_id", F.col("conversation_id").alias("seen_in"), "alias", "last_seen", F.coalesce("private", F.lit(False)).alias("private"))
-    rank = F.when(F.col("seen_in") == F.col("conversation_id"), 0).when(F.col("private"), 1).otherwise(2)
-    found = targets.join(seen, "sender_id").withColumn("rank", rank)
-    best = found.groupBy("sender_id", "conversation_id").agg(F.min(F.struct("rank", (-F.col("last_seen")).alias("late"), "alias")).alias("b"))
-    return best.select("sender_id", "conversation_id", F.col("b.alias").alias("alias"))
+    best = F.min(F.struct((-F.col("last_seen")).alias("late"), "alias"))
+    here = seen.groupBy("sender_id", "conversation_id").agg(best.alias("here"), F.max(F.coalesce("private", F.lit(False))).alias("private"))
+    anywhere = here.groupBy("sender_id").agg(F.min(F.when(F.col("private"), F.col("here"))).alias("in_private"), F.min("here").alias("anywhere"), F.max("private").alias("any_private"))
+    found = targets.select("sender_id", "conversation_id").distinct().join(anywhere, "sender_id").join(here.select("sender_id", "conversation_id", "here"), ["sender_id", "conversation_id"], "left")
+    alias = F.coalesce(F.col("here.alias"), F.when(F.col("any_private"), F.col("in_private.alias")).otherwise(F.col("anywhere.alias")))
+    return found.select("sender_id", "conversation_id", alias.alias("alias"))
 
 
 def payload_numbers(messages: DataFrame, path: str, newest: int = 25, valid: str = "^[0-9]+$") -> DataFrame:

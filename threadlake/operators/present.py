@@ -10,10 +10,12 @@ from threadlake.functions import text as T
 #: The latest time a timeline shows, group notices without content, and labels that only name a medium.
 LATEST_MS = 253402300799000
 NOISE = "群聊更新"
-BRACKETS = {
-    "[图片]": "image", "[文件]": "file", "[视频]": "video", "[语音]": "audio", "[表情包]": "emoji", "[动画表情]": "emoji", "[转账]": "transfer", "[微信转账]": "transfer", "[微信红包]": "transfer",
-    "[位置]": "location", "[名片]": "contact", "[链接]": "link", "[小程序]": "mini_program", "[通话]": "call",
-}
+TECHNICAL = (
+    "[图片]", "[图片:", "[文件]", "[文件:", "[视频]", "[视频:",
+    "[语音]", "[语音:", "[表情包]", "[表情包:", "[动画表情]", "[动画表情:",
+    "[image]", "[image:", "[file]", "[file:", "[video]", "[video:",
+    "[audio]", "[audio:", "[voice]", "[voice:", "[emoji]", "[emoji:",
+)
 MEDIA_TYPES = ("image", "file", "video", "audio", "voice", "emoji", "sticker")
 
 
@@ -49,8 +51,8 @@ def display_content(content: Column, paths: Column, media: Column) -> Column:
     """The text to show: none where a media message only repeats a label or the path of an attachment."""
     text = F.trim(F.coalesce(content, F.lit("")))
     label = F.lit(False)
-    for prefix in BRACKETS:
-        label = label | text.startswith(prefix)
+    for prefix in TECHNICAL:
+        label = label | F.lower(text).startswith(prefix)
     same = F.exists(paths, lambda p: (F.length(F.trim(F.coalesce(p, F.lit("")))) > 0) & (normal_path(p) == normal_path(text)))
     return F.when(media & (F.length(text) > 0) & (label | F.coalesce(same, F.lit(False))), F.lit("")).otherwise(content)
 

@@ -1,18 +1,28 @@
 """The archive as versioned Parquet snapshots, its run ledger, media and search index.
 
-A change reads version v and writes v + 1 in full; a version counts once its row
-is in the ledger, so a job that dies half-way leaves nothing behind that a
-reader would see. Everything goes through Spark's readers and writers, so any
-shared store serves.
+A change reads version v and makes v + 1. Its tables go to folders of their own
+and the version counts once its line is in the ledger: a file named after the
+version that is created only if there is none, so of two writers that saw the
+same version one gets a ``Conflict`` and neither loses what is committed. A
+table may also grow by folders, so an append writes no more than its rows.
+Everything goes through Spark and its file systems, so any shared store serves.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-LEDGER = "version long, note string, committed_at timestamp"
+LEDGER = "version long, note string, committed_at timestamp, folders map<string,array<string>>"
+
+
+class Conflict(RuntimeError):
+    """Another writer has made the version first; read again and retry."""
 
 
 class Archive:
@@ -24,25 +34,45 @@ class Archive:
     def ledger(self) -> DataFrame:
         """All commits; none before the first."""
         try:
-            return self.spark.read.schema(LEDGER).parquet(f"{self.root}/_versions")
+            return self.spark.read.schema(LEDGER).json(f"{self.root}/_versions", mode="DROPMALFORMED").filter("version is not null")
         except AnalysisException:
             return self.spark.createDataFrame([], LEDGER)
 
     def version(self) -> int:
         return self.ledger().agg(F.max("version")).first()[0] or 0
 
+    def _folders(self, version: int) -> dict[str, list[str]]:
+        row = self.ledger().filter(F.col("version") == version).select("folders").first()
+        return dict(row["folders"]) if row else {}
+
     def read(self, table: str, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v={version or self.version()}/{table}")
+        return self.spark.read.parquet(*(f"{self.root}/{f}" for f in self._folders(version or self.version())[table]))
 
-    def commit(self, tables: dict[str, DataFrame], note: str = "", carry: tuple[str, ...] = ()) -> int:
-        """Writes the next version: the given tables, and those named in ``carry`` as they are."""
+    def commit(self, tables: dict[str, DataFrame], note: str = "", carry: tuple[str, ...] = (), append: tuple[str, ...] = ()) -> int:
+        """Makes the next version: the given tables (added to what there is, for those named in ``append``), and those named in ``carry`` as they are."""
         now = self.version()
-        frames = dict(tables) | {t: self.read(t, now) for t in carry if t not in tables}
-        for name, frame in frames.items():
-            frame.write.mode("overwrite").parquet(f"{self.root}/v={now + 1}/{name}")
-        self.spark.range(1).select(F.lit(now + 1).cast("long").alias("version"), F.lit(note).alias("note"), F.current_timestamp().alias("committed_at")).write.mode("append").parquet(f"{self.root}/_versions")
+        before = self._folders(now)
+        folders = {t: before[t] for t in carry if t not in tables}
+        for name, frame in tables.items():
+            folder = f"{name}/{uuid.uuid4().hex}"
+            frame.write.parquet(f"{self.root}/{folder}")
+            folders[name] = [*(before.get(name, []) if name in append else []), folder]
+        at = self.spark.range(1).select(F.current_timestamp().cast("string")).first()[0]
+        self._claim(now + 1, json.dumps({"version": now + 1, "note": note, "committed_at": at, "folders": folders}))
         return now + 1
 
+    def _claim(self, version: int, line: str) -> None:
+        jvm, context = self.spark._jvm, self.spark.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_versions/{version:020d}.json")
+        try:
+            out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, False)  # only if there is none
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                raise Conflict(f"version {version} is there already") from None
+            raise
+        out.write((line + "\n").encode())
+        out.close()
+
     def copy_to(self, other: Archive, tables: tuple[str, ...]) -> dict[str, int]:
         """Copies tables and compares their row counts; a difference is an error."""
         other.commit({t: self.read(t) for t in tables}, "copy")

@@ -257,8 +257,17 @@ def weflow_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _flat(rows, X.file_native_id(F.col("path")), _file_title(F.col("path")), header, F.lit("private"), kind, body, body)
 
 
-#: Type codes of the line format.
-QQ_TEXT_TYPES = {"type_1": "text", "text": "text", "文本": "text", "图片": "image", "语音": "audio", "视频": "video", "文件": "file", "表情": "emoji", "系统": "system", "回复": "reply"}
+#: Type names of the line format, and of the spreadsheet.
+QQ_TEXT_TYPES = {
+    "text": "text", "文本": "text", "image": "image", "图片": "image", "video": "video", "视频": "video", "audio": "audio", "音频": "audio",
+    "file": "file", "文件": "file", "face": "face", "表情": "face", "reply": "reply", "回复": "reply", "system": "system", "系统消息": "system",
+}
+QQ_SHEET_TYPES = {"文本": "text", "图片": "image", "视频": "video", "音频": "audio", "文件": "file", "表情": "face", "@提及": "at", "回复": "reply", "系统消息": "system", "": "unknown"}
+
+
+def _named_type(names: dict[str, str], value: Column, other: Column) -> Column:
+    known = F.create_map(*(F.lit(v) for pair in names.items() for v in pair))
+    return F.coalesce(F.try_element_at(known, F.trim(F.coalesce(value, F.lit("")))), other)
 
 
 def qq_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -269,7 +278,7 @@ def qq_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     rows = cut.select("path", "text", F.posexplode(pieces).alias("position", "piece"))
     part = lambda pattern: T.clean(F.regexp_extract("piece", pattern, 1))
     native, name = X.file_native_id(F.col("path")), part(r"^\[\d+\]\r?\n(.*):\r?\n")
-    kind = F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for pair in QQ_TEXT_TYPES.items() for v in pair)), part(r"(?m)^类型: (.*)$")), F.lit("unknown"))
+    kind = _named_type(QQ_TEXT_TYPES, part(r"(?m)^类型: (.*)$"), F.lit("unknown"))
     content = T.clean(F.regexp_replace(F.regexp_extract("piece", r"(?s)\n内容: (.*)$", 1), r"(?s)\r?\n资源: .*$", ""))
     return _messages(
         rows, path=F.col("path"), platform=F.lit("qq"), account_id=F.lit("qq-default"), conversation_id=native, kind=F.when(F.col("text").rlike(r"(?m)^聊天类型: 群"), "group").otherwise("private"),
@@ -415,7 +424,7 @@ def ciphertalk_sheet(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def qq_sheet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     rows = _named(sheet_rows(spark, path).filter(F.col("sheet") == MESSAGE_SHEET), SHEETS["qq"])
-    kind = K.sheet_type(F.col("v")["消息类型"])
+    kind = _named_type(QQ_SHEET_TYPES, F.col("v")["消息类型"], F.lower(F.trim(F.col("v")["消息类型"])))
     return _sheet_messages(rows, "qq", "发送者", "消息内容", _file_title(F.col("path")), kind, F.lit(False), ["发送者QQ号"], F.trim(F.col("v")["是否撤回"]) == "是")
 
 

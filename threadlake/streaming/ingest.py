@@ -14,30 +14,33 @@ from threadlake.operators.dedup import dedup_state
 from threadlake.operators.store import Archive
 
 SCHEMA = "conversation_id string, native_id string, timestamp_ms long, content string"
-TABLE = "messages"
+TABLE, REJECTED = "messages", "rejected"
 
 
-def merge(stored: DataFrame | None, batch: DataFrame, start: int) -> DataFrame:
-    """Stored messages and the batch's new ones and revisions."""
-    rows = batch.withColumn("payload_hash", F.sha2(F.concat_ws("\u0000", "conversation_id", "native_id", F.col("timestamp_ms").cast("string"), "content"), 256))
-    # Equal payloads of a batch are one; ids follow time, so a batch numbers alike on every run.
-    once = rows.groupBy("conversation_id", "native_id", "payload_hash").agg(F.min(F.struct("timestamp_ms", "content")).alias("r")).select("conversation_id", "native_id", "payload_hash", "r.*")
+def new_rows(stored: DataFrame | None, batch: DataFrame, start: int) -> DataFrame:
+    """The batch's new messages and revisions, numbered from ``start`` in the order of their times; rows without a native id count by their payload."""
+    rows = batch.withColumn("payload_hash", F.sha2(F.to_json(F.struct("conversation_id", "native_id", "timestamp_ms", "content")), 256))
+    once = rows.dropDuplicates(["conversation_id", "payload_hash"])
     if stored is not None:
-        once = once.join(stored.select("conversation_id", "native_id", "payload_hash"), ["conversation_id", "native_id", "payload_hash"], "left_anti")
-    order = F.struct("timestamp_ms", "payload_hash")
-    numbered = once.withColumn("seq", F.lit(start) + F.xxhash64("conversation_id", "native_id", "payload_hash").bitwiseAND(F.lit((1 << 40) - 1)))
-    new = numbered.select("seq", "conversation_id", "native_id", "timestamp_ms", "content", "payload_hash", order.cast("string").alias("arrived"))
-    return new if stored is None else stored.unionByName(new)
+        once = once.join(stored.select("conversation_id", "payload_hash"), ["conversation_id", "payload_hash"], "left_anti")
+    # Numbers of sorted partitions rise in their order, without a gathering of all rows.
+    numbered = once.orderBy("timestamp_ms", "payload_hash").withColumn("seq", F.lit(start) + F.monotonically_increasing_id())
+    return numbered.select("seq", "conversation_id", "native_id", "timestamp_ms", "content", "payload_hash")
 
 
 def stream_into(spark: SparkSession, source: str, archive: Archive, checkpoint: str) -> StreamingQuery:
-    """Imports what lies in ``source`` and what comes; stops when it has seen all (for tests and scheduled runs)."""
+    """Imports what lies in ``source`` and what comes; stops when it has seen all (for tests and scheduled runs).
+
+    A batch appends its own rows; rows without a conversation or a time go to the table ``rejected``.
+    """
 
     def import_batch(batch: DataFrame, number: int) -> None:
+        fits = F.col("conversation_id").isNotNull() & F.col("timestamp_ms").isNotNull()
         stored = archive.read(TABLE) if archive.version() else None
-        archive.commit({TABLE: merge(stored, batch, (number + 1) << 41)}, f"batch {number}")
+        tables = {TABLE: new_rows(stored, batch.filter(fits), (number + 1) << 46), REJECTED: batch.filter(~fits)}
+        archive.commit(tables, f"batch {number}", append=(TABLE, REJECTED))
 
-    stream = spark.readStream.schema(SCHEMA).json(source).filter("conversation_id is not null and native_id is not null")
+    stream = spark.readStream.schema(SCHEMA).json(source)
     return stream.writeStream.foreachBatch(import_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
