@@ -87,9 +87,9 @@ def test_chatlab_json_and_lines(spark, tmp_path):
 
 
 def test_csv_keeps_quotes_and_line_breaks(spark, tmp_path):
-    text = '﻿id,MsgSvrID,type_name,is_sender,talker,msg,src,CreateTime\r\n1,9,text,0,Ann,"a ""b""\nc, d",,2023-11-26T12:00:08.000Z\r\n2,,sticker,1,我,,x/y.gif,2023-11-26T12:00:09.000Z\r\n'
+    text = '﻿id,MsgSvrID,type_name,is_sender,talker,msg,src,CreateTime\r\n1,9,text,0,Ann,"a ""b""\nc, d",,2023-11-28T09:30:08.000Z\r\n2,,sticker,1,我,,x/y.gif,2023-11-26T12:00:09.000Z\r\n'
     got = rows(E.weflow_csv(spark, put(tmp_path, "chat.csv", text)))
-    assert [(r.content, r.direction, r.message_type, r.native_id, r.media_path, r.timestamp_ms) for r in got] == [('a "b"\nc, d', "incoming", "text", "9", None, 1701000008000), ("", "outgoing", "emoji", None, "x/y.gif", 1701000009000)]
+    assert [(r.content, r.direction, r.message_type, r.native_id, r.media_path, r.timestamp_ms) for r in got] == [('a "b"\nc, d', "incoming", "text", "9", None, 1701163808000), ("", "outgoing", "emoji", None, "x/y.gif", 1701000009000)]
     assert got[0].title == "chat" and got[0].conversation_id.startswith("file:")
 
 
@@ -104,7 +104,7 @@ def test_markdown_and_text_framing(spark, tmp_path):
 
 
 def test_qq_text(spark, tmp_path):
-    text = "[QQChatExporter V5 / x]\n\n聊天名称: Club\n聊天类型: 群聊\n\n[1]\nAnn:\n时间: 2023-11-26 12:00:11\n类型: type_1\n内容: first\nsecond\n\n[2]\nBob:\n时间: 2023-11-26 12:00:12\n类型: odd\n内容: x\n\n=====\n     导出完成\n=====\n总计导出 2 条消息\n"
+    text = "[QQChatExporter V5 / x]\n\n聊天名称: Club\n聊天类型: 群聊\n\n[1]\nAnn:\n时间: 2023-11-26 12:00:11\n类型: 文本\n内容: first\nsecond\n\n[2]\nBob:\n时间: 2023-11-26 12:00:12\n类型: type_1\n内容: x\n\n=====\n     导出完成\n=====\n总计导出 2 条消息\n"
     got = rows(E.qq_text(spark, put(tmp_path, "q.txt", text)))
     assert [(r.sender_name, r.message_type, r.content, r.kind, r.title) for r in got] == [("Ann", "text", "first\nsecond", "group", "Club"), ("Bob", "unknown", "x", "group", "Club")]
 
@@ -163,7 +163,29 @@ def test_discovery_prunes_and_orders(spark, tmp_path):
 
 def test_read_all_and_rejects(spark, tmp_path):
     put(tmp_path, "q.json", HEAD | {"messages": [qq_message(0), qq_message(1, timestamp="never")]})
-    put(tmp_path, "c.csv", "id,MsgSvrID,type_name,is_sender,talker,msg,src,CreateTime\n1,9,text,0,Ann,hi,,2023-11-26T12:00:08.000Z\n")
+    put(tmp_path, "c.csv", "id,MsgSvrID,type_name,is_sender,talker,msg,src,CreateTime\n1,9,text,0,Ann,hi,,2023-11-28T09:30:08.000Z\n")
     got = E.read_all(spark, str(tmp_path))
     assert got.count() == 3 and E.valid(got).count() == 2
     assert [r.reason for r in E.rejects(got).collect()] == ["no time"]
+
+
+def test_read_all_walks_folders(spark, tmp_path):
+    csv = "id,MsgSvrID,type_name,is_sender,talker,msg,src,CreateTime\n1,9,text,0,Ann,hi,,2023-11-27T10:20:30.000Z\n"
+    put(tmp_path, "deep/er/UPPER.CSV", csv)
+    put(tmp_path, "deep/q.JSON", HEAD | {"messages": [qq_message(0)]})
+    put(tmp_path, "media/skipped.csv", csv)
+    put(tmp_path, "big/manifest.json", HEAD | {"chunked": {"chunks": [{"relativePath": "chunks/c2.jsonl", "count": 1}]}})
+    put(tmp_path, "big/chunks/c2.jsonl", json.dumps(qq_message(5)) + "\n" + json.dumps(qq_message(6)))
+    put(tmp_path, "big/chunks/c10.jsonl", json.dumps(qq_message(8)))
+    put(tmp_path, "big/chunks/c9.jsonl", json.dumps(qq_message(7)))
+    got = E.read_all(spark, str(tmp_path))
+    assert sorted((r.path.rsplit("/", 1)[1], r.position) for r in got.collect()) == [("UPPER.CSV", 0), ("c10.jsonl", 3), ("c2.jsonl", 0), ("c2.jsonl", 1), ("c9.jsonl", 2), ("q.JSON", 0)]
+    (tmp_path / "none").mkdir()
+    assert E.read_all(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize(("name", "kind"), [("文本", "text"), ("Text", "unknown"), ("image", "image"), ("音频", "audio"), ("表情", "face"), ("系统消息", "system"), ("other", "unknown")])
+def test_types_of_the_qq_line_format(spark, name, kind):
+    from pyspark.sql import functions as F
+
+    assert spark.range(1).select(E._named_type(E.QQ_TEXT_TYPES, F.lit(name), F.lit("unknown")).alias("k")).first().k == kind

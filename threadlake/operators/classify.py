@@ -6,16 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from threadlake.functions import text as T
-from threadlake.operators.present import BRACKETS
 
 # The codes and labels of the formats.
 INTEGER_TYPES = {0: "text", 1: "image", 2: "audio", 3: "video", 4: "file", 5: "emoji", 7: "link", 8: "location", 23: "call", 24: "mini_program", 25: "reply", 27: "contact", 80: "system", 99: "other"}
 LOCAL_TYPES = {1: "text", 3: "image", 34: "audio", 43: "video", 47: "emoji", 48: "location", 2000: "transfer", 2001: "transfer", 419430449: "transfer", 10000: "system", 10002: "system"}
 LABELS = {
-    "文本消息": "text", "图片消息": "image", "文件消息": "file", "视频消息": "video", "语音消息": "audio", "动画表情": "emoji", "表情消息": "emoji", "引用消息": "reply", "系统消息": "system", "小程序消息": "mini_program",
-    "聊天记录": "forward", "转账消息": "transfer", "微信转账": "transfer", "微信红包": "transfer", "红包消息": "transfer", "链接消息": "link", "通话消息": "call", "位置消息": "location", "名片消息": "contact", "群公告": "system",
-    "其他消息": "other", "text": "text", "image": "image", "file": "file", "video": "video", "audio": "audio", "voice": "audio", "emoji": "emoji", "reply": "reply", "system": "system", "mini_program": "mini_program",
-    "forward": "forward", "transfer": "transfer", "link": "link", "call": "call", "location": "location", "contact": "contact", "other": "other",
+    "文本消息": "text", "text": "text", "图片消息": "image", "image": "image", "文件消息": "file", "file": "file", "视频消息": "video", "video": "video", "语音消息": "audio", "audio": "audio", "voice": "audio",
+    "动画表情": "emoji", "表情消息": "emoji", "emoji": "emoji", "引用消息": "reply", "reply": "reply", "系统消息": "system", "system": "system", "小程序消息": "mini_program", "mini_program": "mini_program",
+    "聊天记录": "forward", "forward": "forward", "转账消息": "transfer", "微信转账": "transfer", "微信红包": "transfer", "红包消息": "transfer", "transfer": "transfer", "链接消息": "link", "link": "link",
+    "通话消息": "call", "call": "call", "位置消息": "location", "location": "location", "名片消息": "contact", "contact": "contact", "群公告": "system", "其他消息": "other", "other": "other",
+}
+BRACKETS = {
+    "[图片]": "image", "[文件]": "file", "[视频]": "video", "[语音]": "audio", "[表情包]": "emoji", "[动画表情]": "emoji", "[转账]": "transfer", "[微信转账]": "transfer", "[微信红包]": "transfer",
+    "[位置]": "location", "[名片]": "contact", "[链接]": "link", "[小程序]": "mini_program", "[通话]": "call",
 }
 CSV_TYPES = {"image": "image", "sticker": "emoji", "video": "video", "voice": "audio", "location": "location", "file": "file"}
 SHEET_WORDS = {"图片": "image", "语音": "audio", "视频": "video", "表情": "emoji", "文件": "file", "位置": "location", "系统": "system"}

@@ -67,6 +67,32 @@ def display_names(aliases: DataFrame, senders: DataFrame, conversations: DataFra
     return found.select("sender_id", "conversation_id", alias.alias("alias"))
 
 
+def sender_numbers(senders: DataFrame, messages: DataFrame, aliases: DataFrame, path: str = "$.sender.uin") -> DataFrame:
+    """(sender_id, number) of qq senders: the newest payload's, else the latest seen alias of 5 to 12 digits."""
+    own = senders.filter("platform = 'qq'").select(F.col("id").alias("sender_id"))
+    paid = payload_numbers(messages.join(own, "sender_id", "left_semi"), path)
+    spoken = aliases.join(own, "sender_id", "left_semi").filter(F.col("alias").rlike("^[0-9]{5,12}$"))
+    spoken = spoken.groupBy("sender_id").agg(F.max_by("alias", F.struct(F.coalesce("last_seen", F.lit(0)), "alias")).alias("spoken"))
+    return own.join(paid, "sender_id", "left").join(spoken, "sender_id", "left").select("sender_id", F.coalesce("number", "spoken").alias("number")).filter("number is not null")
+
+
+def bound_senders(rows: DataFrame, senders: DataFrame, aliases: DataFrame, conversations: DataFrame, messages: DataFrame, path: str = "$.sender.uin") -> DataFrame:
+    """``rows`` (with a sender_id) and their senders' platform, native id, number and original name: the name that aliases give, else the current one."""
+    of = senders.select(F.col("id").alias("sender_id"), "platform", "native_id", "current_name")
+    targets = senders.select(F.col("id").alias("sender_id"), F.lit(None).cast("bigint").alias("conversation_id"))
+    named = display_names(aliases, senders, conversations, targets).select("sender_id", "alias")
+    joined = rows.join(of, "sender_id").join(named, "sender_id", "left").join(sender_numbers(senders, messages, aliases, path), "sender_id", "left")
+    return joined.withColumn("original_name", F.coalesce("alias", "current_name")).drop("alias", "current_name")
+
+
+def sender_profiles(senders: DataFrame, aliases: DataFrame, conversations: DataFrame, messages: DataFrame, path: str = "$.sender.uin") -> DataFrame:
+    """A row for each sender: who it is, its aliases (latest seen first) and its conversations (most messages first)."""
+    who = bound_senders(senders.select(F.col("id").alias("sender_id")), senders, aliases, conversations, messages, path)
+    rolled = alias_rollup(aliases).groupBy("sender_id").agg(F.sort_array(F.collect_list(F.struct((-F.coalesce("last_seen", F.lit(0))).alias("late"), "alias"))).alias("aliases"))
+    talks = sender_conversations(messages, conversations).groupBy("sender_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("amount")).alias("most"), "conversation_id", "title"))).alias("conversations"))
+    return who.join(rolled, "sender_id", "left").join(talks, "sender_id", "left")
+
+
 def payload_numbers(messages: DataFrame, path: str, newest: int = 25, valid: str = "^[0-9]+$") -> DataFrame:
     """(sender_id, number): the first number among the newest payloads of a sender that hold one."""
     order = Window.partitionBy("sender_id").orderBy(F.col("timestamp_ms").desc(), F.col("id").desc())
@@ -99,7 +125,8 @@ def contact_detail(contacts: DataFrame, bindings: DataFrame, senders: DataFrame,
     """A row for each bound sender of each contact: primary ones first, with counts."""
     bound = bindings.join(senders.select(F.col("id").alias("sender_id"), "platform", "native_id", "current_name"), "sender_id").join(sender_counts(messages), "sender_id", "left")
     rows = contacts.select(F.col("id").alias("contact_id"), "display_name").join(bound, "contact_id")
-    return rows.select("contact_id", "display_name", "sender_id", "platform", "native_id", "current_name", "account_label", "is_primary", F.coalesce("amount", F.lit(0)).alias("amount"))
+    rows = rows.select("contact_id", "display_name", "sender_id", "platform", "native_id", "current_name", "account_label", "is_primary", F.coalesce("amount", F.lit(0)).alias("amount"))
+    return rows.orderBy("contact_id", F.col("is_primary").desc(), "sender_id")
 
 
 def contact_list(contacts: DataFrame, bindings: DataFrame, senders: DataFrame, messages: DataFrame, aliases: DataFrame | None = None, keyword: str | None = None) -> DataFrame:
@@ -126,7 +153,8 @@ def bindable_senders(senders: DataFrame, bindings: DataFrame, contacts: DataFram
     rows = rows.join(owner, "id", "left").join(sender_counts(messages).withColumnRenamed("sender_id", "id"), "id", "left")
     if keyword:
         rows = rows.filter(F.coalesce(T.like(F.col("current_name"), keyword), F.lit(False)) | F.coalesce(T.like(F.col("bound_to"), keyword), F.lit(False)) | F.coalesce(T.like(F.col("account_label"), keyword), F.lit(False)))
-    return rows.select("id", "platform", "current_name", "bound_to", "account_label", F.coalesce("amount", F.lit(0)).alias("amount"))
+    rows = rows.select("id", "platform", "current_name", "bound_to", "account_label", F.coalesce("amount", F.lit(0)).alias("amount"))
+    return rows.orderBy(F.col("amount").desc(), F.col("id").desc())
 
 
 def self_sender(messages: DataFrame) -> DataFrame:
@@ -175,3 +203,82 @@ def prune(contacts: DataFrame, bindings: DataFrame) -> DataFrame:
     for e in extras:
         keep = keep | e
     return contacts.join(bound, "id", "left").filter(keep).drop("bound")
+
+
+# The life cycle of a contact: (contacts, bindings) in, (contacts, bindings) out. Each call is about one contact.
+
+
+def _touched(contacts: DataFrame, contact_id: int, at: str) -> DataFrame:
+    return contacts.withColumn("updated_at", F.when(F.col("id") == contact_id, F.lit(at)).otherwise(F.col("updated_at")))
+
+
+def _name(display_name: str | None) -> str:
+    if not (display_name or "").strip():
+        raise ValueError("a contact needs a name")
+    return display_name.strip()
+
+
+def create_contact(contacts: DataFrame, contact_id: int, token: str, display_name: str, at: str, custom_avatar_path: str | None = None, note: str | None = None) -> DataFrame:
+    """``contacts`` (id, identity_token, display_name, custom_avatar_path, note, updated_at) and a new one; a blank name is an error."""
+    row = [(contact_id, token, _name(display_name), custom_avatar_path, note, at)]
+    return contacts.unionByName(contacts.sparkSession.createDataFrame(row, "id long, identity_token string, display_name string, custom_avatar_path string, note string, updated_at string"))
+
+
+def update_contact(contacts: DataFrame, contact_id: int, display_name: str, at: str, custom_avatar_path: str | None = None, note: str | None = None) -> DataFrame:
+    new = {"display_name": _name(display_name), "custom_avatar_path": custom_avatar_path, "note": note, "updated_at": at}
+    return contacts.withColumns({c: F.when(F.col("id") == contact_id, F.lit(v)).otherwise(F.col(c)) for c, v in new.items()})
+
+
+def delete_contact(contacts: DataFrame, bindings: DataFrame, contact_id: int) -> tuple[DataFrame, DataFrame]:
+    """Without the contact and its bindings; senders and messages stay."""
+    return contacts.filter(F.col("id") != contact_id), bindings.filter(F.col("contact_id") != contact_id)
+
+
+def bind(
+    contacts: DataFrame, bindings: DataFrame, senders: DataFrame, contact_id: int, sender_id: int, at: str, label: str | None = None, primary: bool = False,
+    force: bool = False, unbound: bool = False, source: int | None = None, token: str | None = None, source_token: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Binds a sender to a contact.
+
+    A sender has one owner: another contact's sender is an error unless ``force`` is set, or ``source`` names that contact
+    (a transfer). With ``unbound`` any owner is an error. Given tokens must still be those of the target and the source.
+    Binding to the same contact sets label and flag. A contact that loses its primary sender gets another, and one that
+    loses its last stays only with a note or a picture.
+    """
+    target = contacts.filter(F.col("id") == contact_id).select("identity_token").first()
+    if target is None:
+        raise KeyError(f"no contact {contact_id}")
+    if token is not None and target[0] != token:
+        raise ValueError("the target contact has changed")
+    if senders.filter(F.col("id") == sender_id).limit(1).count() == 0:
+        raise KeyError(f"no sender {sender_id}")
+    owner = bindings.filter(F.col("sender_id") == sender_id).join(contacts.select(F.col("id").alias("contact_id"), "identity_token"), "contact_id").select("contact_id", "identity_token").first()
+    if unbound and owner is not None:
+        raise ValueError("the sender has an owner by now")
+    if source is not None and (owner is None or owner[0] != source or owner[0] == contact_id or (source_token is not None and owner[1] != source_token)):
+        raise ValueError("the source contact has changed")
+    if source is None and owner is not None and owner[0] != contact_id and not force:
+        raise ValueError(f"the sender belongs to contact {owner[0]}")
+    row = bindings.sparkSession.createDataFrame([(contact_id, sender_id, label, primary)], "contact_id long, sender_id long, account_label string, is_primary boolean")
+    rest = bindings.filter(F.col("sender_id") != sender_id)
+    if primary:
+        rest = rest.withColumn("is_primary", F.col("is_primary") & (F.col("contact_id") != contact_id))
+    if owner is not None and owner[0] != contact_id:
+        left = rest.filter(F.col("contact_id") == owner[0])
+        rest = rest.filter(F.col("contact_id") != owner[0]).unionByName(promote_primary(left))
+        gone = F.col("id") == owner[0]
+        bare = ~F.coalesce(F.length("note") > 0, F.lit(False)) & ~F.coalesce(F.length("custom_avatar_path") > 0, F.lit(False))
+        if left.limit(1).count() == 0:
+            contacts = contacts.filter(~(gone & bare))
+        contacts = _touched(contacts, owner[0], at)
+    return _touched(contacts, contact_id, at), rest.unionByName(row)
+
+
+def set_label(contacts: DataFrame, bindings: DataFrame, contact_id: int, sender_id: int, label: str | None, at: str) -> tuple[DataFrame, DataFrame]:
+    here = (F.col("contact_id") == contact_id) & (F.col("sender_id") == sender_id)
+    return _touched(contacts, contact_id, at), bindings.withColumn("account_label", F.when(here, F.lit(label)).otherwise(F.col("account_label")))
+
+
+def set_primary(contacts: DataFrame, bindings: DataFrame, contact_id: int, sender_id: int, at: str) -> tuple[DataFrame, DataFrame]:
+    here = F.col("contact_id") == contact_id
+    return _touched(contacts, contact_id, at), bindings.withColumn("is_primary", F.when(here, F.col("sender_id") == sender_id).otherwise(F.col("is_primary")))

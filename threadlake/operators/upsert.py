@@ -10,20 +10,58 @@ def is_default(account: Column) -> Column:
     return F.lower(account).endswith("-default")
 
 
+ACCOUNT = ["platform", "account_id", "native_id"]
+
+
+def _numbered(rows: DataFrame, order: list[str], after: Column) -> DataFrame:
+    """``rows`` with a column ``new_id`` that counts on from ``after`` in order: a sort, and one count for each partition."""
+    placed = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
+    sizes = {r["p"]: r["count"] for r in placed.groupBy(F.shiftright("_at", 33).alias("p")).count().collect()}
+    before, done = {}, 0
+    for p in sorted(sizes):
+        before[p], done = done, done + sizes[p]
+    base = F.try_element_at(F.create_map(*(F.lit(x) for pair in (before or {0: 0}).items() for x in pair)), F.shiftright("_at", 33))
+    return placed.withColumn("new_id", (after + base + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("bigint")).drop("_at")
+
+
+def _owned(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """``incoming`` (one row a key of ``ACCOUNT``, with ``seq``) and the id that it goes on with: its own, that of the least default row, which one account may adopt, or a new one.
+
+    ``state`` is known, upgraded or new.
+    """
+    key = ["platform", "native_id"]
+    exact = stored.select(*ACCOUNT, F.col("id").alias("exact_id"))
+    default = stored.filter(is_default(F.col("account_id"))).groupBy(*key).agg(F.min("id").alias("default_id"))
+    joined = incoming.join(exact, ACCOUNT, "left").join(default, key, "left")
+    may = F.col("exact_id").isNull() & ~is_default(F.col("account_id")) & F.col("default_id").isNotNull()
+    adopter = joined.filter(may).groupBy(*key).agg(F.min_by("account_id", "seq").alias("adopter"))
+    joined = joined.join(adopter, key, "left").withColumn("adopts", may & F.coalesce(F.col("account_id") == F.col("adopter"), F.lit(False)))
+    found = joined.withColumn("id", F.coalesce("exact_id", F.when(F.col("adopts"), F.col("default_id"))))
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
+    new = _numbered(found.filter("id is null").select(*ACCOUNT, "seq"), ["seq", *ACCOUNT], F.lit(top).cast("bigint"))
+    state = F.when(F.col("exact_id").isNotNull(), "known").when(F.col("adopts"), "upgraded").otherwise("new")
+    placed = found.join(new.select(*ACCOUNT, "new_id"), ACCOUNT, "left").withColumn("state", state).withColumn("id", F.coalesce("id", "new_id"))
+    return placed.drop("exact_id", "default_id", "adopter", "adopts", "new_id")
+
+
 def sender_upsert(stored: DataFrame, seen: DataFrame) -> DataFrame:
-    """Senders (id, native_id, current_name, is_self, first_seen, last_seen) after the rows of an import.
+    """Senders (id, platform, account_id, native_id, current_name, is_self, first_seen, last_seen) after the rows of an import.
 
-    A placeholder name (equal to the native id) never replaces a real one; the
-    latest real name wins, is_self stays once set, and the span of sightings grows.
+    A sender is one account's native id; an account's first import adopts the least default row of the id. The latest
+    name that is not empty wins, but on wechat a placeholder (equal to the native id) never replaces a real one; is_self
+    stays once set, and the span of sightings grows. New senders count on from the largest id, by first sighting.
     """
-    real = F.when((F.col("name") != "") & (F.col("name") != F.col("native_id")), F.col("name"))
-    news = seen.withColumn("real", real).groupBy("native_id").agg(
-        F.max_by("real", F.when(F.col("real").isNotNull(), F.col("seq"))).alias("new_name"), F.max("is_self").alias("new_self"), F.min("timestamp_ms").alias("new_first"), F.max("timestamp_ms").alias("new_last")
-    )
-    joined = stored.join(news, "native_id", "full")
+    placeholder = (F.col("platform") == "wechat") & (F.col("name") == F.col("native_id"))
+    real = F.when((F.col("name") != "") & ~placeholder, F.col("name"))
+    news = seen.withColumn("real", real).groupBy(*ACCOUNT).agg(
+        F.min("seq").alias("seq"), F.max_by("real", F.when(F.col("real").isNotNull(), F.col("seq"))).alias("new_name"), F.max(F.when(placeholder, F.col("name"))).alias("shown"),
+        F.max("is_self").alias("new_self"), F.min("timestamp_ms").alias("new_first"), F.max("timestamp_ms").alias("new_last"),
+    )
+    placed = _owned(stored, news).withColumnsRenamed({"platform": "p", "account_id": "a", "native_id": "n"}).drop("seq", "state")
+    joined = stored.join(placed, "id", "full")
     return joined.select(
-        "id", "native_id",
-        F.coalesce("new_name", "current_name", "native_id").alias("current_name"),
+        "id", F.coalesce("p", "platform").alias("platform"), F.coalesce("a", "account_id").alias("account_id"), F.coalesce("n", "native_id").alias("native_id"),
+        F.coalesce("new_name", "current_name", "shown", F.lit("")).alias("current_name"),
         F.coalesce(F.greatest("is_self", "new_self"), F.lit(False)).alias("is_self"),
         F.least("first_seen", "new_first").alias("first_seen"),
         F.greatest("last_seen", "new_last").alias("last_seen"),
@@ -31,16 +69,16 @@ def sender_upsert(stored: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def conversation_upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(platform, native_id, account_id, id, kind, title, state): exact account first, else the least default row is adopted and upgraded."""
-    key = ["platform", "native_id"]
-    exact = stored.select(*key, "account_id", F.col("id").alias("exact_id"), F.col("title").alias("exact_title"))
-    default = stored.filter(is_default(F.col("account_id"))).groupBy(*key).agg(F.min_by(F.struct("id", "title"), "id").alias("d"))
-    joined = incoming.join(exact, [*key, "account_id"], "left").join(default, key, "left")
-    adopts = F.col("exact_id").isNull() & ~is_default(F.col("account_id")) & F.col("d").isNotNull()
-    old_title = F.when(adopts, F.col("d.title")).otherwise(F.col("exact_title"))
-    title = F.when(old_title.isNull() | (old_title == F.col("native_id")) | adopts, F.col("title")).otherwise(old_title)
-    state = F.when(F.col("exact_id").isNotNull(), "known").when(adopts, "upgraded").otherwise("new")
-    return joined.select(*key, "account_id", F.coalesce("exact_id", F.when(adopts, F.col("d.id"))).alias("id"), "kind", title.alias("title"), state.alias("state"))
+    """(platform, native_id, account_id, id, kind, title, state) of the imported conversations (one row an account and native id, in order of ``seq``).
+
+    Exact account first, else the least default row is adopted and upgraded, by one account. A known title stays unless
+    it is the native id; an upgrade takes the new one; an empty title replaces none.
+    """
+    placed = _owned(stored, incoming)
+    old = placed.join(stored.select("id", F.col("title").alias("old")), "id", "left")
+    takes = (F.col("title") != "") & ((F.col("old") == F.col("native_id")) | (F.col("state") == "upgraded"))
+    title = F.when(F.col("old").isNull() | takes, F.col("title")).otherwise(F.col("old"))
+    return old.select("platform", "native_id", "account_id", "id", "kind", title.alias("title"), "state")
 
 
 def attachment_merge(target: DataFrame, source: DataFrame) -> DataFrame:

@@ -208,3 +208,41 @@ def prune(x: Lens) -> DataFrame:
 def private_senders(x: Lens) -> DataFrame:
     private = x.messages().join(x.conversations().filter("kind = 'private'").select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi")
     return x.senders().filter("not is_self").join(private.select(F.col("sender_id").alias("id")).distinct(), "id", "left_semi").select("id")
+
+
+PROFILE = """+u AS (SELECT s.id, s.platform, s.native_id, s.current_name, a.alias, a.last_seen, coalesce(c.kind = 'private', false) AS private FROM senders s JOIN sender_aliases a ON a.sender_id = s.id LEFT JOIN convs c ON c.id = a.conversation_id
+   WHERE s.platform = 'wechat' AND a.alias <> '' AND a.alias <> s.native_id AND a.alias <> 'unknown' AND NOT starts_with(a.alias, 'wxid_') AND NOT ends_with(a.alias, '@chatroom')),
+ n AS (SELECT DISTINCT ON (id) id, alias FROM u ORDER BY id, private DESC, last_seen DESC, alias),
+ p AS (SELECT s.id AS sender_id, s.platform, s.native_id, coalesce(n.alias, s.current_name) AS original_name FROM senders s LEFT JOIN n ON n.id = s.id)"""
+
+
+@query(
+    "r02_sender_profile",
+    PROFILE + """, al AS (SELECT sender_id, alias, max(last_seen) AS t FROM sender_aliases GROUP BY 1, 2), la AS (SELECT sender_id, string_agg(alias, ',' ORDER BY coalesce(t, 0) DESC, alias) AS aliases FROM al GROUP BY 1),
+ cv AS (SELECT sender_id, conversation_id, count(*) AS n FROM messages m JOIN convs c ON c.id = conversation_id GROUP BY 1, 2), lc AS (SELECT sender_id, string_agg(conversation_id || ':' || n, ',' ORDER BY n DESC, conversation_id) AS conversations FROM cv GROUP BY 1)
+SELECT p.*, aliases, conversations FROM p LEFT JOIN la USING (sender_id) LEFT JOIN lc USING (sender_id)""",
+    "messages convs senders sender_aliases",
+)
+def sender_profile(x: Lens) -> DataFrame:
+    messages = x.messages().withColumn("payload", F.lit("{}"))
+    rows = H.sender_profiles(x.senders(), x.sender_aliases(), x.conversations(), messages)
+    talks = F.transform("conversations", lambda c: F.concat_ws(":", c["conversation_id"].cast("string"), (-c["most"]).cast("string")))
+    return rows.select("sender_id", "platform", "native_id", "original_name", F.array_join("aliases.alias", ",").alias("aliases"), F.array_join(talks, ",").alias("conversations"))
+
+
+@query("r03_bound_senders", PROFILE + " SELECT b.contact_id, b.sender_id, b.account_label, b.is_primary, p.platform, p.native_id, p.original_name FROM bindings b JOIN p USING (sender_id)", "messages convs senders sender_aliases bindings")
+def bound_senders(x: Lens) -> DataFrame:
+    rows = H.bound_senders(x.bindings(), x.senders(), x.sender_aliases(), x.conversations(), x.messages().withColumn("payload", F.lit("{}")))
+    return rows.select("contact_id", "sender_id", "account_label", "is_primary", "platform", "native_id", "original_name")
+
+
+@query(
+    "l05_bound_order",
+    "SELECT contact_id, sender_id, row_number() OVER (PARTITION BY contact_id ORDER BY is_primary DESC, sender_id) AS nth FROM bindings",
+    "bindings",
+)
+def bound_order(x: Lens) -> DataFrame:
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("contact_id").orderBy(F.col("is_primary").desc(), "sender_id")
+    return x.bindings().select("contact_id", "sender_id", F.row_number().over(order).cast("bigint").alias("nth"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.functions import hashing as X
@@ -33,11 +33,45 @@ def dedup_state(x: Lens) -> DataFrame:
  FROM (SELECT seq, min(seq) OVER (PARTITION BY conversation_id, native_id, payload_hash) AS same, min(seq) OVER (PARTITION BY conversation_id, native_id) AS first FROM docs)""",
     "docs",
 )
-def fold_state(x: Lens) -> DataFrame:
+def fold_same_meaning(x: Lens) -> DataFrame:
     rows = x.documents().withColumns({"local_id": F.lit(None).cast("string"), "semantic_hash": F.col("payload_hash"), "compatible": F.lit(None).cast("array<string>")})
     return D.fold_state(rows, platform="qq")
 
 
+@query(
+    "u01_fold_platforms",
+    """, r AS (SELECT *, CASE WHEN conversation_id IN ('en', 'fr') THEN 'wechat' ELSE 'qq' END AS platform, substring(payload_hash, 1, 1) AS semantic_hash FROM docs),
+ w AS (SELECT *, min(seq) OVER (PARTITION BY conversation_id, native_id, payload_hash) AS same, min(seq) OVER (PARTITION BY conversation_id, native_id) AS first,
+  min(seq) OVER (PARTITION BY conversation_id, native_id, semantic_hash) AS meant FROM r)
+SELECT seq, CASE WHEN seq > same THEN 'duplicate' WHEN seq = first THEN 'new' WHEN platform = 'qq' OR meant < seq THEN 'revision' ELSE 'variant' END AS state,
+ CASE WHEN seq > same THEN same WHEN seq = first THEN NULL WHEN platform = 'qq' THEN first WHEN meant < seq THEN meant END AS target FROM w""".replace(", r AS", "+r AS", 1),
+    "docs",
+)
+def fold_platforms(x: Lens) -> DataFrame:
+    platform = F.when(F.col("conversation_id").isin("en", "fr"), "wechat").otherwise("qq")
+    rows = x.documents().withColumns({"local_id": F.lit(None).cast("string"), "semantic_hash": F.substring("payload_hash", 1, 1), "compatible": F.lit(None).cast("array<string>"), "platform": platform})
+    return D.fold_state(rows)
+
+
+@query(
+    "u01_fold_compatible",
+    """, r AS (SELECT seq, conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY seq) - 1 AS k FROM docs),
+ g AS (SELECT seq, k % 4 AS step, min(seq) OVER (PARTITION BY conversation_id, k // 4) AS first FROM r)
+SELECT seq, CASE step WHEN 0 THEN 'new' WHEN 3 THEN 'revision' ELSE 'duplicate' END AS state, CASE WHEN step > 0 THEN first END AS target FROM g""".replace(", r AS", "+r AS", 1),
+    "docs",
+)
+def fold_compatible(x: Lens) -> DataFrame:
+    # Groups of four: a payload, two later ones that name the one before them as compatible, and the first payload again; every other group without a native id.
+    k = F.row_number().over(Window.partitionBy("conversation_id").orderBy("seq")) - 1
+    rows = x.documents().select("seq", "conversation_id", k.alias("k")).withColumn("g", F.floor(F.col("k") / 4).cast("string"))
+    step = F.col("k") % 4
+    payload = F.concat("g", F.when(step == 3, "-0").otherwise(F.concat(F.lit("-"), step.cast("string"))))
+    older = F.when(step.isin(1, 2), F.array(F.concat("g", F.lit("-"), (step - 1).cast("string"))))
+    native = F.when(F.floor(F.col("k") / 4) % 2 == 0, F.col("g"))
+    # Without an id the fourth row meets the others by its meaning.
+    return D.fold_state(rows.select("seq", "conversation_id", native.alias("native_id"), F.lit(None).cast("string").alias("local_id"), F.concat(F.lit("m"), "g").alias("semantic_hash"), payload.alias("payload_hash"), older.alias("compatible")))
+
+
 @query("u02_refreshed_rows", "SELECT conversation_id, native_id, min(seq) AS id, arg_min(payload_hash, seq) AS first_payload, arg_max(payload_hash, seq) AS payload_hash FROM docs GROUP BY 1, 2", "docs")
 def refreshed_rows(x: Lens) -> DataFrame:
     rows = x.documents().withColumn("first_payload", F.col("payload_hash"))
@@ -64,36 +98,51 @@ def reimport(x: Lens) -> DataFrame:
 
 @query(
     "u04_sender_upsert",
-    """, o AS (SELECT sender_id::VARCHAR AS native_id, CASE WHEN id % 3 = 0 THEN sender_id::VARCHAR ELSE 'n' || id END AS name, id AS seq, timestamp_ms, direction = 'outgoing' AS is_self FROM messages WHERE sender_id % 2 = 0),
- n AS (SELECT native_id, arg_max(name, seq) FILTER (WHERE name <> native_id) AS new_name, bool_or(is_self) AS new_self, min(timestamp_ms) AS new_first, max(timestamp_ms) AS new_last FROM o GROUP BY 1),
- s AS (SELECT id, native_id, current_name, is_self, 900000000000 AS first_seen, 900000000000 AS last_seen FROM senders WHERE id % 3 = 0)
-SELECT s.id, coalesce(s.native_id, n.native_id) AS native_id, coalesce(new_name, current_name, n.native_id) AS current_name, coalesce(is_self, false) OR coalesce(new_self, false) AS is_self,
- least(first_seen, new_first)::BIGINT AS first_seen, greatest(last_seen, new_last)::BIGINT AS last_seen FROM s FULL JOIN n ON s.native_id = n.native_id""".replace(", o AS", "+o AS", 1),
+    """+o AS (SELECT CASE WHEN sender_id % 2 = 0 THEN 'wechat' ELSE 'qq' END AS platform, CASE WHEN sender_id % 5 = 0 THEN 'wechat-default' ELSE 'me' END AS account_id, sender_id::VARCHAR AS native_id,
+  CASE WHEN id % 3 = 0 THEN sender_id::VARCHAR WHEN id % 7 = 0 THEN '' ELSE 'n' || id END AS name, id AS seq, timestamp_ms, direction = 'outgoing' AS is_self FROM messages WHERE sender_id % 4 <> 0),
+ n AS (SELECT platform, account_id, native_id, min(seq) AS seq, arg_max(name, seq) FILTER (WHERE name <> '' AND NOT (platform = 'wechat' AND name = native_id)) AS new_name,
+  max(CASE WHEN platform = 'wechat' AND name = native_id THEN name END) AS shown, bool_or(is_self) AS new_self, min(timestamp_ms) AS new_first, max(timestamp_ms) AS new_last FROM o GROUP BY 1, 2, 3),
+ s AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'wechat' ELSE 'qq' END AS platform, CASE WHEN id % 6 < 3 THEN 'x-Default' ELSE 'me' END AS account_id, native_id, current_name, is_self, 900000000000 AS first_seen, 900000000000 AS last_seen FROM senders WHERE id % 3 = 0),
+ j AS (SELECT n.*, CASE WHEN s.account_id = n.account_id OR n.account_id = 'me' THEN s.id END AS old FROM n LEFT JOIN s ON s.platform = n.platform AND s.native_id = n.native_id),
+ i AS (SELECT *, coalesce(old, (SELECT max(id) FROM s) + row_number() OVER (PARTITION BY old IS NULL ORDER BY seq, platform, account_id, native_id)) AS nid FROM j)
+SELECT coalesce(s.id, i.nid)::BIGINT AS id, coalesce(i.platform, s.platform) AS platform, coalesce(i.account_id, s.account_id) AS account_id, coalesce(i.native_id, s.native_id) AS native_id,
+ coalesce(new_name, current_name, shown, '') AS current_name, coalesce(is_self, false) OR coalesce(new_self, false) AS is_self, least(first_seen, new_first)::BIGINT AS first_seen, greatest(last_seen, new_last)::BIGINT AS last_seen
+ FROM s FULL JOIN i ON s.id = i.nid""",
     "messages senders",
 )
 def sender_upsert(x: Lens) -> DataFrame:
-    seen = x.messages().filter("sender_id % 2 = 0").select(
-        F.col("sender_id").cast("string").alias("native_id"),
-        F.when(F.col("id") % 3 == 0, F.col("sender_id").cast("string")).otherwise(F.concat(F.lit("n"), F.col("id").cast("string"))).alias("name"),
+    # Both platforms; stored senders of this account and of a default one, imports of this account and of another default one.
+    native = F.col("sender_id").cast("string")
+    seen = x.messages().filter("sender_id % 4 <> 0").select(
+        F.when(F.col("sender_id") % 2 == 0, "wechat").otherwise("qq").alias("platform"), F.when(F.col("sender_id") % 5 == 0, "wechat-default").otherwise("me").alias("account_id"), native.alias("native_id"),
+        F.when(F.col("id") % 3 == 0, native).when(F.col("id") % 7 == 0, "").otherwise(F.concat(F.lit("n"), F.col("id").cast("string"))).alias("name"),
         F.col("id").alias("seq"), "timestamp_ms", (F.col("direction") == "outgoing").alias("is_self"),
     )
     at = F.lit(900000000000)
-    stored = x.senders().filter("id % 3 = 0").select("id", "native_id", "current_name", "is_self", at.alias("first_seen"), at.alias("last_seen"))
+    platform, account = F.when(F.col("id") % 2 == 0, "wechat").otherwise("qq"), F.when(F.col("id") % 6 < 3, "x-Default").otherwise("me")
+    stored = x.senders().filter("id % 3 = 0").select("id", platform.alias("platform"), account.alias("account_id"), "native_id", "current_name", "is_self", at.alias("first_seen"), at.alias("last_seen"))
     return U.sender_upsert(stored, seen)
 
 
 @query(
     "u03_conversation_upsert",
-    """SELECT platform, title AS native_id, CASE WHEN id % 4 = 0 THEN 'real' ELSE 'x-default' END AS account_id, CASE WHEN id % 2 = 0 THEN id END AS id, kind, title || '!' AS title,
- CASE WHEN id % 4 = 0 THEN 'upgraded' WHEN id % 2 = 0 THEN 'known' ELSE 'new' END AS state FROM convs""",
+    """+b AS (SELECT *, id % 2 = 0 AS there, max(CASE WHEN id % 2 = 0 THEN id END) OVER () AS top FROM convs),
+ i AS (SELECT platform, title AS native_id, id, kind, there, top, unnest(CASE WHEN id % 4 = 0 THEN ['real', 'second'] ELSE ['x-default'] END) AS account_id FROM b),
+ n AS (SELECT *, CASE WHEN there AND account_id <> 'second' THEN id END AS old FROM i)
+SELECT platform, native_id, account_id, coalesce(old, top + row_number() OVER (PARTITION BY old IS NULL ORDER BY id, platform, account_id, native_id))::BIGINT AS id, kind,
+ CASE WHEN old IS NOT NULL AND id % 6 = 0 THEN CASE WHEN id % 4 = 0 THEN native_id || '!' ELSE 'kept' END ELSE native_id || '!' END AS title,
+ CASE WHEN old IS NULL THEN 'new' WHEN id % 4 = 0 THEN 'upgraded' ELSE 'known' END AS state FROM n""",
     "convs",
 )
 def conversation_upsert(x: Lens) -> DataFrame:
+    # Every fourth conversation comes from two accounts, of which one adopts the default row; every sixth has a title of its own.
     native = F.col("title")
-    stored = x.conversations().filter("id % 2 = 0").select("id", "platform", native.alias("native_id"), F.lit("x-default").alias("account_id"), native.alias("title"))
-    account = F.when(F.col("id") % 4 == 0, "real").otherwise("x-default")
-    incoming = x.conversations().select("platform", native.alias("native_id"), account.alias("account_id"), "kind", F.concat(native, F.lit("!")).alias("title"))
-    return U.conversation_upsert(stored, incoming)
+    own = F.when(F.col("id") % 6 == 0, "kept").otherwise(native)
+    stored = x.conversations().filter("id % 2 = 0").select("id", "platform", native.alias("native_id"), F.lit("x-default").alias("account_id"), own.alias("title"))
+    accounts = F.when(F.col("id") % 4 == 0, F.array(F.lit("real"), F.lit("second"))).otherwise(F.array(F.lit("x-default")))
+    incoming = x.conversations().withColumn("account_id", F.explode(accounts))
+    seq = F.col("id") * 2 + (F.col("account_id") == "second").cast("int")
+    return U.conversation_upsert(stored, incoming.select("platform", native.alias("native_id"), "account_id", "kind", F.concat(native, F.lit("!")).alias("title"), seq.alias("seq")))
 
 
 @query(

@@ -15,9 +15,10 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as D
+from pyspark.sql.utils import AnalysisException
 
 from threadlake.functions import hashing as X
 from threadlake.functions import text as T
@@ -27,6 +28,7 @@ COLUMNS = (
     "path", "platform", "account_id", "conversation_id", "kind", "title", "position", "native_id", "local_id", "timestamp_ms", "sender_id", "sender_name",
     "direction", "message_type", "content", "search_text", "reply_to", "is_recalled", "media_path",
 )
+READ = ", ".join(f"{c} {dict(position='long', timestamp_ms='long', is_recalled='boolean').get(c, 'string')}" for c in (*COLUMNS, "payload_hash", "semantic_hash")) + ", reader int"
 EXTENSIONS = ("json", "jsonl", "csv", "md", "txt", "sql", "xlsx")
 #: Directories that hold media rather than exports.
 SKIPPED = ("resources", "media", "images", "voices", "videos", "emojis", "files", "avatars", "node_modules", ".git", "chunks")
@@ -104,15 +106,22 @@ def qq_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _qq(files.select("path", "chatInfo", F.posexplode("messages").alias("position", "m")))
 
 
-def qq_chunked(spark: SparkSession, root: str) -> DataFrame:
-    """A manifest with JSON-lines chunks; positions run over the chunks in the manifest's order."""
-    chunk = D.ArrayType(_struct(relativePath=S, count=D.LongType()))
-    heads = _json(spark, f"{root}/manifest.json", _struct(**QQ_HEAD, chunked=_struct(chunks=chunk))).filter(F.contains(F.col("metadata.name"), F.lit("QQChatExporter")))
-    listed = heads.select("chatInfo", F.posexplode("chunked.chunks").alias("nth", "c")).select("chatInfo", "nth", F.regexp_extract("c.relativePath", r"([^/]+)$", 1).alias("name"))
-    lines = whole(spark, f"{root}/chunks").select("path", F.posexplode(F.split("text", "\r?\n")).alias("line", "value")).withColumn("m", F.from_json("value", QQ_MESSAGE)).filter("m.id is not null")
-    joined = lines.withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1)).join(F.broadcast(listed), "name")  # a manifest's list of chunks
-    # A chunk holds fewer lines than this by its writer's settings, so positions keep the order without a sort.
-    return _qq(joined.withColumn("position", F.col("nth").cast("long") * 10_000_000 + F.col("line")))
+def qq_chunked(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """Folders with a manifest and JSON-lines chunks (in ``chunks`` or beside it); positions run over the chunks in the manifest's order, of chunks it does not list in natural order after them."""
+    roots = [r.rstrip("/") for r in ([root] if isinstance(root, str) else root)]
+    folder = lambda: F.regexp_replace(F.regexp_replace(F.col("path"), r"/[^/]+$", ""), "/chunks$", "")
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    chunk = D.ArrayType(_struct(relativePath=S, fileName=S, count=D.LongType()))
+    heads = _json(spark, [f"{r}/manifest.json" for r in roots], _struct(**QQ_HEAD, chunked=_struct(chunks=chunk))).filter(F.contains(F.col("metadata.name"), F.lit("QQChatExporter")))
+    heads = heads.select(folder().alias("folder"), "chatInfo", F.transform("chunked.chunks", lambda c: F.regexp_extract(F.coalesce(c["relativePath"], c["fileName"]), r"([^/]+)$", 1)).alias("listed"))
+    # Lines keep their place in the file's offset order, and chunks of any size are split between tasks.
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(roots).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    lines = lines.withColumn("m", F.from_json("value", QQ_MESSAGE)).filter("m.id is not null")
+    joined = lines.withColumn("folder", folder()).join(F.broadcast(heads), "folder")  # a manifest a folder
+    nth = F.array_position(F.coalesce("listed", F.array().cast("array<string>")), name)
+    unlisted = (nth == 0).cast("int")
+    order = Window.partitionBy("folder").orderBy(unlisted, nth, natural_key(name), "path", "block", "at")
+    return _qq(joined.withColumn("position", F.row_number().over(order) - 1))
 
 
 def natural_key(name: Column) -> Column:
@@ -278,7 +287,7 @@ def qq_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     rows = cut.select("path", "text", F.posexplode(pieces).alias("position", "piece"))
     part = lambda pattern: T.clean(F.regexp_extract("piece", pattern, 1))
     native, name = X.file_native_id(F.col("path")), part(r"^\[\d+\]\r?\n(.*):\r?\n")
-    kind = _named_type(QQ_TEXT_TYPES, part(r"(?m)^类型: (.*)$"), F.lit("unknown"))
+    kind = F.when(F.col("piece").rlike("(?m)^类型: "), _named_type(QQ_TEXT_TYPES, part(r"(?m)^类型: (.*)$"), F.lit("unknown"))).otherwise("text")
     content = T.clean(F.regexp_replace(F.regexp_extract("piece", r"(?s)\n内容: (.*)$", 1), r"(?s)\r?\n资源: .*$", ""))
     return _messages(
         rows, path=F.col("path"), platform=F.lit("qq"), account_id=F.lit("qq-default"), conversation_id=native, kind=F.when(F.col("text").rlike(r"(?m)^聊天类型: 群"), "group").otherwise("private"),
@@ -442,28 +451,38 @@ def register(name: str, extension: str, reader) -> None:
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, extension) of the files below a folder that may be exports, in order of their lower-case path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"))
-    parts = F.split(F.lower("path"), "/")
+    """(path, size, extension) of the files below a folder that may be exports, in order of their lower-case path.
+
+    Chunks beside a manifest are left to it; an empty folder gives no rows.
+    """
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"))
+    except AnalysisException:
+        return spark.createDataFrame([], "path string, size long, extension string")
+    parts = F.split(F.lower(F.substring(F.col("path"), F.length(F.lit(root.rstrip("/"))) + 1, F.length("path"))), "/")
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     inside = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: p.isin(*SKIPPED))
     return files.withColumn("extension", extension).filter(F.col("extension").isin(*EXTENSIONS) & ~F.exists(inside, lambda x: x)).orderBy(F.lower("path"))
 
 
 def read_all(spark: SparkSession, root: str) -> DataFrame:
-    """All messages below a folder: each reader takes the files of its extension that bear its markers."""
-    frames, present = [], {r["extension"] for r in discover(spark, root).select("extension").distinct().collect()}  # seven at most
-    for extension, reader in READERS.values():
-        if extension in present:
-            frames.append(reader(spark, _glob(root, extension)))
-    out = frames[0] if frames else None
-    for more in frames[1:]:
-        out = out.unionByName(more)
-    return out
-
+    """All messages below a folder: each reader takes the files of its extension that bear its markers, wherever they lie.
 
-def _glob(root: str, extension: str) -> str:
-    return f"{root.rstrip('/')}/*.{extension}"
+    Of several readers that know a file the first in the registry takes it. The driver lists files, as Spark itself does.
+    """
+    files: dict[str, list[str]] = {}
+    for r in discover(spark, root).collect():
+        files.setdefault(r["extension"], []).append(r["path"])
+    manifests = [p[: -len("/manifest.json")] for p in files.get("json", []) if p.lower().endswith("/manifest.json")]
+    out = spark.createDataFrame([], READ)
+    if manifests:
+        out = out.unionByName(qq_chunked(spark, manifests).withColumn("reader", F.lit(-1)))
+    for nth, (extension, reader) in enumerate(READERS.values()):
+        own = [p for p in files.get(extension, []) if not p.lower().endswith("/manifest.json")]
+        if own:
+            out = out.unionByName(reader(spark, own).withColumn("reader", F.lit(nth)).withColumn("position", F.col("position").cast("long")))
+    first = out.groupBy("path").agg(F.min("reader").alias("reader"))
+    return out.join(first, ["path", "reader"], "left_semi").drop("reader")
 
 
 def unescape_names(names: Column) -> Column:
