@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tests.compare import assert_equal, connect
 from tests.llm.helpers import EDGES, clashing, frame
 from threadlake.llm import quality_rules as Q
-from threadlake.llm.queries import ORACLES
+from threadlake.llm.queries import ORACLES, QUERIES
 
 WHITE = " \t\n\v\f\r"
 
@@ -31,6 +31,10 @@ def test_oracle(spark):
     assert_equal(Q.report(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")), con, ORACLES["op4_quality_rules"])
 
 
+def test_ablation_oracle(spark):
+    assert_equal(QUERIES["quality_ablation"](spark, "/root/testdata/sf0.001"), connect("/root/testdata/sf0.001"), ORACLES["quality_ablation"])
+
+
 def test_policies_and_ablation_come_from_the_ledger(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     ledger = Q.ledger(docs).select("doc_id", "ledger").cache()

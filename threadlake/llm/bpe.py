@@ -238,8 +238,9 @@ class Vocabulary:
 _loaded: dict[str, Vocabulary] = {}
 
 
-def vocabulary(path: str) -> Vocabulary:
-    """The vocabulary of a path, loaded once a worker."""
+def vocabulary(path: str | None) -> Vocabulary:
+    """The vocabulary of a path, loaded once a worker; without one that of the worker's own installation."""
+    path = path or default_path()
     if path not in _loaded:
         _loaded[path] = Vocabulary(path)
     return _loaded[path]
@@ -252,7 +253,7 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """``docs`` with a column of token ids."""
     kept = [c for c in docs.columns if c != ids]
     source = fresh(docs, "_text")
@@ -270,7 +271,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids
     return plain.mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, path: str | None = None, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids; null ids give an empty text."""
 
     @F.pandas_udf("string")
@@ -281,7 +282,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "token_ids", text: str = "d
     return encoded.withColumn(text, texts(F.col(ids)))
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
     small_batches(docs.sparkSession)
 

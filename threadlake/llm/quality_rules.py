@@ -155,8 +155,9 @@ def report(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     base = ~passes(F.col("ledger.fail_bits"), POLICIES["base-1"])
     return ledger(docs.select("doc_id", "text")).select(
         "doc_id",
-        *(f"ledger.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+        *(f"ledger.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")),
         base.alias("base_failed"),
         (~base & passes(F.col("ledger.fail_bits"), policy)).alias("kept"),
         F.col("ledger.fail_bits").alias("fail_bits"),
+        F.lit(policy.version).alias("policy"),
     )

@@ -24,12 +24,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy rejects, from one ledger of all documents."""
+    return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents").select("text")).select("ledger"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.report(table(spark, sf_dir, "pages"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_path())
+    return bpe.digests(table(spark, sf_dir, "documents"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +58,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_licenses": op3_licenses,
     "op4_quality_rules": op4_quality_rules,
+    "quality_ablation": quality_ablation,
     "op5_html_text": op5_html_text,
     "op6_bpe": op6_bpe,
     "op7_decontaminate": op7_decontaminate,
@@ -81,8 +87,8 @@ f AS (SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_wor
              + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT
              + 64 * (100 * n_capitals > 40 * word_chars)::BIGINT)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
-""",
+       n_lines, n_capitals, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits, '{policy}' AS policy FROM f
+""".replace("{policy}", quality_rules.DEFAULT.version),
     "op8_lm_score": """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
              list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -100,3 +106,11 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, round(coalesce(x.s, 0), 6) AS log
 FROM d LEFT JOIN (SELECT rid, sum(s) AS s FROM s GROUP BY rid) x USING (rid)
 """,
 }
+
+_mask = quality_rules.DEFAULT.mask
+_rules = ", ".join(f"('{name}', {quality_rules.BIT[name]})" for name in sorted(set(quality_rules.DEFAULT.rules), key=quality_rules.BIT.get))
+ORACLES["quality_ablation"] = f"""
+WITH q AS ({ORACLES["op4_quality_rules"]}), r(rule, b) AS (VALUES {_rules}), k AS (SELECT count(*)::BIGINT AS n_docs, count_if(fail_bits & {_mask} = 0)::BIGINT AS n_kept FROM q),
+x AS (SELECT rule, count_if(fail_bits & b <> 0)::BIGINT AS n_failed, count_if(fail_bits & b <> 0 AND fail_bits & ({_mask} - b) = 0)::BIGINT AS n_failed_only FROM r, q GROUP BY rule)
+SELECT '{quality_rules.DEFAULT.version}' AS policy, n_docs, n_kept, rule, n_failed, n_failed_only, n_kept + n_failed_only AS n_kept_without FROM x, k
+"""
