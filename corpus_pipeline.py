@@ -32,7 +32,7 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """For each document its number of tokens and the digests of ids and decoded text."""
-    return bpe.digests(docs, bpe.default_path())
+    return bpe.digests(docs)
 
 
 STAGES = [
