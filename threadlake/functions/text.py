@@ -61,6 +61,40 @@ def as_long(x: Column) -> Column:
     return F.coalesce(x.try_cast("bigint"), x.try_cast("double").try_cast("bigint"))
 
 
+def as_double(x: Column) -> Column:
+    """A number, else null."""
+    return x.try_cast("double")
+
+
+def clamp_int(x: Column) -> Column:
+    """Whole numbers held within 32 bits."""
+    n = as_long(x)
+    return F.when(n.isNotNull(), F.greatest(F.least(n, F.lit(2**31 - 1)), F.lit(-(2**31)))).cast("int")
+
+
+def sheet_seconds(x: Column) -> Column:
+    """Milliseconds of a spreadsheet's decimal seconds, cut to whole ones; other text is read as a time."""
+    return F.coalesce((clean(x).try_cast("decimal(28,9)") * 1000).try_cast("bigint"), flexible_timestamp(x))
+
+
+def sheet_size(x: Column) -> Column:
+    """struct(size, bad): a spreadsheet's size cell as whole bytes; an empty one is null, one that is no size is bad."""
+    text = clean(x)
+    size = F.when(text.try_cast("decimal(38,6)") >= 0, text.try_cast("decimal(38,6)").try_cast("bigint"))
+    return F.struct(size.alias("size"), ((text != "") & size.isNull()).alias("bad"))
+
+
+def raw_text(json: Column, name: str) -> Column:
+    """A field of a JSON text: a string without its quotes, other values as JSON, empty if there is none."""
+    return F.coalesce(F.get_json_object(json, f"$.{name}"), F.lit(""))
+
+
+def local_type_text(token: Column) -> Column:
+    """A JSON value as a type code: null, true and false by name, strings without quotes."""
+    plain = F.when(token.rlike('^".*"$'), F.substr(token, F.lit(2), F.length(token) - 2)).otherwise(token)
+    return F.when(token.isNull() | (token == "null"), "None").when(token == "true", "True").when(token == "false", "False").otherwise(plain)
+
+
 def as_bool(x: Column) -> Column:
     """1, true and yes in any case."""
     return F.coalesce(F.lower(F.trim(x)).isin("1", "true", "yes"), F.lit(False))

@@ -99,8 +99,22 @@ def new_observations(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.dropDuplicates(key).join(known.select(*key), key, "left_anti")
 
 
-def reimport_needed(files: DataFrame, ledger: DataFrame, parser_version: int = 5) -> DataFrame:
-    """Files to import: unknown digests, and completed ones that an older parser read or that lack media."""
+def reimport_needed(files: DataFrame, ledger: DataFrame, parser_version: int = 5, attachments: DataFrame | None = None) -> DataFrame:
+    """Files to import: unknown digests, and completed ones that an older parser read or that lack media.
+
+    ``attachments`` (sha256, is_available, source_path, resolves) of the files' messages: an unavailable one, a medium
+    without a path and one whose file is not found each ask for the file again.
+    """
     done = ledger.filter("status = 'completed'").groupBy("sha256").agg(F.max("parser_version").alias("version"), F.max("missing_media").alias("missing"))
     joined = files.join(done, "sha256", "left")
-    return joined.filter(F.col("version").isNull() | (F.col("version") < parser_version) | (F.col("missing") > 0)).drop("version", "missing")
+    again = F.col("version").isNull() | (F.col("version") < parser_version) | (F.col("missing") > 0)
+    if attachments is not None:
+        lacking = ~F.col("is_available") | (F.coalesce(F.length("source_path"), F.lit(0)) == 0) | ~F.coalesce("resolves", F.lit(False))
+        joined = joined.join(attachments.groupBy("sha256").agg(F.max(F.coalesce(lacking, F.lit(True))).alias("lacking")), "sha256", "left")
+        again = again | F.coalesce("lacking", F.lit(False))
+    return joined.filter(again).drop("version", "missing", "lacking")
+
+
+def observed(observations: DataFrame, attachments: DataFrame, with_attachments: bool) -> DataFrame:
+    """Observations of messages that have attachments, or of those that have none."""
+    return observations.join(attachments.select("message_id").distinct(), "message_id", "left_semi" if with_attachments else "left_anti")
