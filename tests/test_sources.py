@@ -28,7 +28,7 @@ HEAD = {"metadata": {"name": "QQChatExporter", "version": "1"}, "chatInfo": {"na
 
 
 def test_qq_json(spark, tmp_path):
-    reply = qq_message(2, content={"text": "re", "elements": [{"type": "reply", "data": {"replyMessageId": "m1"}}], "resources": [{"type": "image", "localPath": "a/b.png"}]}, recalled=True)
+    reply = qq_message(2, content={"text": "re", "elements": [{"type": "reply", "data": {"messageId": "0"}}, {"type": "reply", "data": {"referencedMessageId": "m1", "messageId": "m0"}}], "resources": [{"type": "image", "localPath": "a/b.png"}]}, recalled=True)
     got = rows(E.qq_json(spark, put(tmp_path, "q.json", HEAD | {"messages": [qq_message(0), qq_message(1), reply]})))
     assert [(r.position, r.native_id, r.timestamp_ms, r.direction, r.content) for r in got] == [(0, "m0", 1700000000000, "outgoing", "hello 0"), (1, "m1", 1700000000001, "incoming", "hello 1"), (2, "m2", 1700000000002, "outgoing", "re")]
     assert (got[0].conversation_id, got[0].kind, got[0].account_id, got[0].title) == ("p9", "group", "u0", "Club")

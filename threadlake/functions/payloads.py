@@ -124,3 +124,44 @@ def without_sender_prefix(content: Column, sender: Column) -> Column:
     """The text without the ``sender:`` that some gateways put before it."""
     prefix = F.concat(sender, F.lit(":"))
     return F.when(sender.endswith("@openim") & content.startswith(prefix), F.ltrim(F.substr(content, F.length(prefix) + 1))).otherwise(content)
+
+
+MEDIA_ELEMENTS = ("image", "video", "audio", "file", "voice")
+#: Fields of a resource that are columns of their own.
+OWN_FIELDS = ("url", "localPath", "filename", "name", "type")
+
+
+def qq_attachments(content: Column) -> Column:
+    """array<struct<ordinal, kind, filename, declared, mime, size, width, height, duration, metadata>> of a message's content in JSON.
+
+    Its resources, or without any the media elements. The kind is the resource's, else the content's, else that of the
+    media type, else file.
+    """
+    field = lambda name, of: F.from_json(F.get_json_object(content, f"$.{name}"), of)
+    given = F.coalesce(field("resources", "array<map<string,string>>"), F.array().cast("array<map<string,string>>"))
+    elements = F.coalesce(field("elements", "array<struct<type:string,data:map<string,string>>>"), F.array().cast("array<struct<type:string,data:map<string,string>>>"))
+    kind_of = lambda x: F.lower(T.clean(x))
+    audio = lambda k: F.when(k == "voice", "audio").otherwise(k)
+
+    def with_type(e: Column) -> Column:
+        data = F.coalesce(e["data"], F.create_map().cast("map<string,string>"))
+        return F.when(F.try_element_at(data, F.lit("type")).isNotNull(), data).otherwise(F.map_concat(F.map_filter(data, lambda k, _: k != "type"), F.create_map(F.lit("type"), kind_of(e["type"]))))
+
+    media = F.transform(F.filter(elements, lambda e: kind_of(e["type"]).isin(*MEDIA_ELEMENTS)), with_type)
+    whole = kind_of(F.get_json_object(content, "$.type"))
+    whole = F.when(whole.isin(*MEDIA_ELEMENTS), audio(whole)).otherwise("")
+
+    def one(r: Column, k: Column) -> Column:
+        get = lambda *names: T.first_non_empty(*(T.clean(F.try_element_at(r, F.lit(n))) for n in names))
+        some = lambda x: F.when(F.length(x) > 0, x)
+        filename, declared = some(get("filename", "name")), some(get("url", "localPath"))
+        mime = F.coalesce(some(get("mimeType")), T.guess_mime(F.coalesce(filename, declared)))
+        by_mime = F.when(mime.rlike("^(image|video|audio)/"), F.regexp_extract(mime, "^([a-z]+)/", 1))
+        number = lambda name: F.try_element_at(r, F.lit(name))
+        return F.struct(
+            k.cast("long").alias("ordinal"), F.coalesce(some(audio(kind_of(F.coalesce(F.try_element_at(r, F.lit("type")), F.try_element_at(r, F.lit("mediaType")))))), some(whole), by_mime, F.lit("file")).alias("kind"),
+            filename.alias("filename"), declared.alias("declared"), mime.alias("mime"), T.as_long(number("size")).alias("size"), T.clamp_int(number("width")).alias("width"), T.clamp_int(number("height")).alias("height"),
+            T.as_double(number("duration")).alias("duration"), F.to_json(F.map_filter(r, lambda n, _: ~n.isin(*OWN_FIELDS))).alias("metadata"),
+        )
+
+    return F.transform(F.when(F.size(given) > 0, given).otherwise(media), one)

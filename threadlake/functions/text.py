@@ -138,8 +138,8 @@ def day_bounds(day: Column) -> tuple[Column, Column]:
 
 #: Media types by file extension.
 MIME = {
-    "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "mp4": "video/mp4", "mov": "video/quicktime",
-    "mp3": "audio/mpeg", "wav": "audio/wav", "amr": "audio/amr", "m4a": "audio/mp4", "ogg": "audio/ogg", "pdf": "application/pdf", "txt": "text/plain", "zip": "application/zip",
+    "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "mp4": "video/mp4", "mov": "video/quicktime", "avi": "video/x-msvideo", "mkv": "video/x-matroska",
+    "mp3": "audio/mpeg", "wav": "audio/x-wav", "amr": "audio/amr", "pdf": "application/pdf", "txt": "text/plain", "zip": "application/zip",
 }
 
 

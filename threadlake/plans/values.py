@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadlake.functions import payloads as P
 from threadlake.functions import text as T
 from threadlake.operators import classify as K
 from threadlake.operators import dedup as D
@@ -115,3 +116,23 @@ def observed(x: Lens) -> DataFrame:
     seen = x.raw("lineitem").select(F.col("l_orderkey").alias("message_id"), F.col("l_linenumber").alias("place"))
     has = x.raw("orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("message_id"))
     return D.observed(seen, has, True).withColumn("attached", F.lit(True)).unionByName(D.observed(seen, has, False).withColumn("attached", F.lit(False)))
+
+
+CONTENTS = (
+    '{"resources":[{"type":"voice","filename":"a.amr","localPath":"x/a.amr","duration":"1.5"},{"mediaType":"Video","url":"u.mp4","size":9}]}',
+    '{"type":"voice","resources":[{"name":"b.png","width":99999999999,"md5":"m"}]}',
+    '{"resources":[{"filename":"c.PNG"},{"filename":"d.bin"}]}',
+    '{"resources":[],"elements":[{"type":"text","data":{"t":"x"}},{"type":"Image","data":{"url":"e.gif"}}]}',
+    '{"text":"none"}',
+)
+
+
+@query(
+    "h10_attachments",
+    """SELECT event_id AS id, a.* FROM events JOIN (VALUES (0, 0::BIGINT, 'audio', 'a.amr', 'x/a.amr', 'audio/amr', NULL::BIGINT, NULL::INTEGER, 1.5::DOUBLE, '{"duration":"1.5"}'), (0, 1, 'video', NULL, 'u.mp4', 'video/mp4', 9, NULL, NULL, '{"mediaType":"Video","size":"9"}'),
+ (1, 0, 'audio', 'b.png', NULL, 'image/png', NULL, 2147483647, NULL, '{"width":"99999999999","md5":"m"}'), (2, 0, 'image', 'c.PNG', NULL, 'image/png', NULL, NULL, NULL, '{}'), (2, 1, 'file', 'd.bin', NULL, NULL, NULL, NULL, NULL, '{}'),
+ (3, 0, 'image', NULL, 'e.gif', 'image/gif', NULL, NULL, NULL, '{}')) v(k, ordinal, kind, filename, declared, mime, size, width, duration, metadata) ON event_id % 5 = k CROSS JOIN LATERAL (SELECT ordinal, kind, filename, declared, mime, size, width, duration, metadata) a""",
+)
+def attachments(x: Lens) -> DataFrame:
+    found = _events(x, *CONTENTS).select("id", F.explode(P.qq_attachments(F.col("v"))).alias("a"))
+    return found.select("id", *(f"a.{c}" for c in ("ordinal", "kind", "filename", "declared", "mime", "size", "width", "duration", "metadata")))

@@ -90,13 +90,14 @@ def _qq(frame: DataFrame, m: str = "m") -> DataFrame:
     own = (_or_null(s["uid"]) == chat["selfUid"]) | (_or_null(s["uin"]) == chat["selfUin"])
     system = T.as_bool(F.col(f"{m}.system"))
     kind = F.when(system, "system").otherwise(F.coalesce(F.lower(F.get(c["resources"], 0)["type"]), F.when(F.col(f"{m}.type").isin("type_1", "text"), "text"), F.lit("text")))
-    reply = F.get(F.transform(F.filter(F.coalesce(c["elements"], F.array()), lambda e: e["type"] == "reply"), lambda e: F.coalesce(e["data"]["replyMessageId"], e["data"]["messageId"], e["data"]["msgId"])), 0)
+    replies = F.transform(F.filter(F.coalesce(c["elements"], F.array()), lambda e: T.clean(e["type"]) == "reply"), lambda e: F.trim(F.coalesce(e["data"]["referencedMessageId"], e["data"]["messageId"], F.lit(""))))
+    reply = F.get(F.filter(replies, lambda r: ~r.isin("", "0")), 0)
     return _messages(
         frame, path=F.col("path"), platform=F.lit("qq"), account_id=T.first_non_empty(chat["selfUin"], chat["selfUid"], F.lit("qq-default")),
         conversation_id=T.first_non_empty(chat["peerUid"], chat["peerUin"], chat["name"], _file_title(F.col("path"))), kind=F.when(chat["type"] == "group", "group").otherwise("private"), title=T.clean(chat["name"]),
         position=F.col("position"), native_id=_or_null(F.col(f"{m}.id")), local_id=_or_null(F.col(f"{m}.seq")), timestamp_ms=T.seconds_or_millis(T.as_long(F.col(f"{m}.timestamp"))),
         sender_id=T.first_non_empty(s["uid"], s["uin"], s["name"]), sender_name=T.first_non_empty(s["name"], s["nickname"], s["uin"], s["uid"]), direction=K.direction(kind, own), message_type=kind,
-        content=T.clean(c["text"]), reply_to=F.when(~reply.isin("", "0"), reply), is_recalled=T.as_bool(F.col(f"{m}.recalled")), media_path=F.coalesce(F.get(c["resources"], 0)["localPath"], F.get(c["resources"], 0)["url"]),
+        content=T.clean(c["text"]), reply_to=reply, is_recalled=T.as_bool(F.col(f"{m}.recalled")), media_path=F.coalesce(F.get(c["resources"], 0)["localPath"], F.get(c["resources"], 0)["url"]),
     )
 
 
