@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from threadlake.llm.common import fresh, small_batches
+from threadlake.llm.common import fresh, plain_names, small_batches
 
 END = "</w>"
 #: The split pattern of the vocabulary's file.
@@ -258,7 +258,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     kept = [c for c in docs.columns if c != ids]
     source = fresh(docs, "_text")
     small_batches(docs.sparkSession)
-    plain = docs.select(*(f"`{c}`" for c in kept), F.col(text).cast("string").alias(source))
+    plain = plain_names(docs.select(*(f"`{c}`" for c in kept), F.col(text).cast("string").alias(source)), len(kept))
     schema = plain.drop(source).schema.add(ids, ArrayType(IntegerType()))
 
     def run(batches):
@@ -268,7 +268,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
             arrays = [*batch.columns[:-1], pa.array(found, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], ids])
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*kept, ids)
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "token_ids", text: str = "decoded") -> DataFrame:

@@ -46,6 +46,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def plain_names(df: DataFrame, kept: int | None = None) -> DataFrame:
+    """``df`` with its first ``kept`` columns (or all) named by place, as Arrow maps know no names with dots."""
+    n = len(df.columns) if kept is None else kept
+    return df.toDF(*(f"c{k}" for k in range(n)), *df.columns[n:])
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often ``body`` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import small_batches
+from threadlake.llm.common import plain_names, small_batches
 
 Q, EDITS = 10, 0.08
 #: Characters of the benchmark in one block, and of texts scanned together.
@@ -298,7 +298,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataF
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in whose text no passage is found, with their columns as they were."""
     small_batches(docs.sparkSession)
-    schema, names, kept = docs.schema, docs.columns, docs
+    names, kept = docs.columns, plain_names(docs)
+    schema = kept.schema
     for items in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)  # of bounded size, see blocks
 
@@ -311,4 +312,4 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(clean))
 
         kept = kept.mapInArrow(run, schema)
-    return kept
+    return kept.toDF(*names)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import fresh, small_batches
+from threadlake.llm.common import fresh, plain_names, small_batches
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|aria-label|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -311,7 +311,7 @@ def main_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataF
     """``pages`` with the main text in place of the html."""
     source = fresh(pages, "_html")
     kept = [c for c in pages.columns if c not in (html, text)]
-    plain = pages.select(*(f"`{c}`" for c in kept), F.col(html).cast("string").alias(source))
+    plain = plain_names(pages.select(*(f"`{c}`" for c in kept), F.col(html).cast("string").alias(source)), len(kept))
     small_batches(pages.sparkSession, 500)
 
     def run(batches):
@@ -319,7 +319,7 @@ def main_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataF
             found = pa.array([extract(p) for p in batch.column(batch.num_columns - 1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*batch.schema.names[:-1], text])
 
-    return plain.mapInArrow(run, plain.drop(source).schema.add(text, "string"))
+    return plain.mapInArrow(run, plain.drop(source).schema.add(text, "string")).toDF(*kept, text)
 
 
 def report(pages: DataFrame) -> DataFrame:
