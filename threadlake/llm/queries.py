@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlake.llm import bpe, decontaminate, html_text, licenses, lm_score, pii, quality_rules, simhash, suffix_dedup, toxicity
+from threadlake.llm import bpe, decontaminate, html_text, licenses, lm_score, pii, quality_rules, simhash, spelling, suffix_dedup, toxicity
 from threadlake.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
@@ -65,6 +69,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES = {
@@ -106,6 +111,29 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, round(coalesce(x.s, 0), 6) AS log
 FROM d LEFT JOIN (SELECT rid, sum(s) AS s FROM s GROUP BY rid) x USING (rid)
 """,
 }
+#: DuckDB lacks the checksum: 256 table entries from its polynomial, then a fold over a text's bytes.
+CRC_TABLE = "list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), b))"
+
+
+def _crc(text: str) -> str:
+    """crc32 of the UTF-8 bytes of an SQL expression, with the table in a column ``crc``."""
+    return f"xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: ('0x' || b)::BIGINT), lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1]), 4294967295))"
+
+
+# Edit distances there are of bytes, so letters stand as single ones.
+ORACLES["op13_spelling"] = f"""
+WITH RECURSIVE k AS (SELECT {CRC_TABLE} AS crc),
+d AS (SELECT coalesce(doc_id::VARCHAR, 'null') || ':' AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+') AS ws FROM documents),
+r AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(ws) AS w FROM d) WHERE length(w) > 5 GROUP BY id, w),
+h AS (SELECT w, n, {_crc('id || w')} AS h FROM r, k),
+c AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1),
+v AS (SELECT word, n, length(word) AS l, translate(word, 'ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&()*+,-./:;<=>?@[]^_{{|}}~') AS p FROM c WHERE length(word) >= 6 AND n >= 5),
+e AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM v a JOIN v b ON b.l BETWEEN a.l - 1 AND a.l + 1 WHERE a.word <> b.word AND levenshtein(a.p, b.p) = 1),
+b AS (SELECT word, count(*)::BIGINT AS n_near, min(struct_pack(m := -m, w := other)) AS o FROM e GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -o.m >= 5 * v.n THEN o.w END AS form, CASE WHEN -o.m >= 5 * v.n THEN -o.m END AS form_n FROM v LEFT JOIN b USING (word)),
+t AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT t.word, f.form, step + 1 FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, x.root, n, n_near, form_n FROM f JOIN (SELECT word, max_by(root, step) AS root FROM t GROUP BY word) x USING (word)
+"""
 
 _mask = quality_rules.DEFAULT.mask
 _rules = ", ".join(f"('{name}', {quality_rules.BIT[name]})" for name in sorted(set(quality_rules.DEFAULT.rules), key=quality_rules.BIT.get))
