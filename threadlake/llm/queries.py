@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlake.llm import bpe, decontaminate, html_text, licenses, lm_score, pii, quality_rules, simhash, spelling, suffix_dedup, toxicity
+from threadlake.llm import bpe, decontaminate, html_text, licenses, lm_score, pii, quality_rules, resampling, simhash, spelling, suffix_dedup, toxicity
 from threadlake.llm.common import table
 
 
@@ -53,6 +53,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
+    "op11_resampling": op11_resampling,
     "op13_spelling": op13_spelling,
 }
 
@@ -135,6 +141,23 @@ t AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT t.word, f.for
 SELECT f.word, form, x.root, n, n_near, form_n FROM f JOIN (SELECT word, max_by(root, step) AS root FROM t GROUP BY word) x USING (word)
 """
 
+ORACLES["op11_resampling"] = f"""
+WITH k AS (SELECT {CRC_TABLE} AS crc),
+w AS (SELECT rid, doc_id, own, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
+      FROM (SELECT row_number() OVER () AS rid, doc_id, text, true AS own FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text, false FROM benchmark)),
+g AS (SELECT rid, own, f, count(*) AS n FROM (SELECT rid, own, unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS f FROM w) GROUP BY ALL),
+h AS (SELECT f, ({_crc('f')} % 10000)::BIGINT AS b FROM (SELECT DISTINCT f FROM g), k),
+p AS (SELECT rid, own, b, sum(n) AS n FROM g JOIN h USING (f) GROUP BY ALL),
+c AS (SELECT b, coalesce(sum(n) FILTER (own), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT own), 0)::DOUBLE AS t FROM p GROUP BY b),
+a AS (SELECT b, floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM c) + 10000)) / ((s + 1) * ((SELECT sum(t) FROM c) + 10000)))) AS gain FROM c),
+m AS (SELECT rid, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM p JOIN a USING (b) WHERE own GROUP BY rid),
+x AS (SELECT rid, doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || coalesce(doc_id::VARCHAR, 'null')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+      FROM w LEFT JOIN m USING (rid) WHERE own),
+r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, weight DESC, n_features DESC) AS place, count(*) OVER () AS n FROM x WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM x LEFT JOIN r USING (rid)
+"""
+
 _mask = quality_rules.DEFAULT.mask
 _rules = ", ".join(f"('{name}', {quality_rules.BIT[name]})" for name in sorted(set(quality_rules.DEFAULT.rules), key=quality_rules.BIT.get))
 ORACLES["quality_ablation"] = f"""
