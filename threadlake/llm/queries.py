@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlake.llm import bpe, decontaminate, html_text, licenses, lm_score, pii, quality_rules, resampling, simhash, spelling, suffix_dedup, toxicity
+from threadlake.llm import bpe, decontaminate, html_text, licenses, lm_score, pii, quality_rules, resampling, simhash, spelling, substring_dedup, suffix_dedup, toxicity
 from threadlake.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
     "op11_resampling": op11_resampling,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_spelling": op13_spelling,
 }
 
@@ -158,6 +163,16 @@ r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, we
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM x LEFT JOIN r USING (rid)
 """
 
+ORACLES["op12_substring_dedup"] = """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT rid, i, array_to_string(ws[i:i + 19], ' ') AS k FROM (SELECT rid, ws, unnest(range(1, len(ws) - 18)) AS i FROM d)),
+r AS (SELECT rid, i FROM (SELECT rid, i, row_number() OVER (PARTITION BY k ORDER BY rid, i) AS n FROM g) WHERE n > 1),
+x AS (SELECT DISTINCT rid, i + o AS i FROM r, range(20) AS v(o)),
+w AS (SELECT rid, i, ws[i] AS w FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+y AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS kept, count(*) AS n FROM w ANTI JOIN x USING (rid, i) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN y USING (rid)
+"""
+
 _mask = quality_rules.DEFAULT.mask
 _rules = ", ".join(f"('{name}', {quality_rules.BIT[name]})" for name in sorted(set(quality_rules.DEFAULT.rules), key=quality_rules.BIT.get))
 ORACLES["quality_ablation"] = f"""
