@@ -109,3 +109,47 @@ def test_sections_of_one_article_and_repeated_rows(spark):
     assert H.extract(page) == want
     rows = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, None, None)], "page_id long, url string, html string")
     assert sorted((r.page_id, r.n_chars) for r in H.report(rows).collect()) == [(1, len(want)), (1, len(want)), (2, 0)]
+
+
+HEADING_IDS = ["login", "cookies", "pagination", "navigation", "comments", "copyright", "menu", "modals", "consent", "subscribe", "notices", "search", "alerts"]
+
+
+@pytest.mark.parametrize("name", HEADING_IDS)
+def test_ids_made_from_headings_drop_nothing(name):
+    text = LONG.strip()
+    for page in (
+        f"<body><article><p>{LONG}</p><h2 id='{name}'>About it</h2><p>{LONG}</p></article></body>",
+        f"<body><article><p>{LONG}</p><section id='{name}'><h2>About it</h2><p>{LONG}</p></section></article></body>",
+        f"<body><article><p>{LONG}</p><h2 class='{name}'>About it</h2><p>{LONG}</p></article></body>",
+        f"<body><div><p>{LONG}</p><section id='{name}'><h2>About it</h2><p>{LONG}</p></section></div></body>",
+        f"<body><article><p>{LONG}</p><p><b id='{name}' class='{name}'>About it</b></p><p>{LONG}</p></article></body>",
+    ):
+        assert H.extract(page) == f"{text} About it {text}", page
+
+
+def test_ids_with_the_shape_of_furniture():
+    text = LONG.strip()
+    for inner in ("<form>your name <input></form><p>Write us</p>", "<div class='comment'>so true</div><div class='comment'>indeed</div>", "<p><a href=x>older</a> <a href=y>newer</a></p>"):
+        for name in ("comments", "pagination", "newsletter-signup"):
+            assert H.extract(f"<body><article><p>{LONG}</p><p>{LONG}</p><div id='{name}'>{inner}</div></article></body>") == f"{text} {text}"
+    assert H.extract(f"<body><article><p>{LONG}</p></article><div id='sidebar'><p>Other news of the day</p></div></body>") == text
+
+
+def test_labels_in_a_line_stay():
+    assert H.extract(f"<article><p>{LONG}</p><p>Press <label>Enter</label> now.</p></article>") == f"{LONG.strip()} Press Enter now."
+
+
+@pytest.mark.parametrize("name", ["ad" + "1" * 10000 + "x", "1" * 10000, "-" * 10000, "ad-1" * 5000, "post" * 5000, "site-" * 5000 + "x", "comment" * 5 + "x"])
+def test_names_end_whatever_they_hold(name):
+    import time
+
+    began = time.perf_counter()
+    for attribute in ("class", "id"):
+        assert LONG.strip() in H.extract(f"<div><p {attribute}='{name}'>{LONG}</p><p>{LONG}</p></div>")
+    assert time.perf_counter() - began < 0.5
+
+
+def test_names_by_words():
+    yes = ["ad", "Ads", "ad1", "ad-300", "adslot", "ad_unit_2", "side-bar", "sidebar-left", "site-footer", "mainmenu", "page-footer-inner", "post-comments", "comment-list", "cookie-consent-banner", "user_login_form", "newsletter-signup", "disqus_thread", "skip-link", "nav-menu"]
+    no = ["has-sidebar", "no-comments", "advice", "address", "navigator-study", "main", "post", "list", "container", "download", "nav-on", "ad-free", "", "header", "content-sidebar", "site"]
+    assert [n for n in yes if not H._furniture_name(n, H.SURE)] == [] and [n for n in no if H._furniture_name(n, H.SURE)] == []

@@ -13,10 +13,13 @@ of what stands beside that is not.
 
 What never is article text (scripts, styles, forms, navigation, headers and
 footers of the page, side bars, notices, adverts, comments) is left out before.
-Names count only as whole classes or ids, never against a node around the page's
+Names count only as whole classes or ids of blocks, never of headings or of what
+stands in a line, and never against a node around the page's
 article or main or, where a page has none, around half of its plain text; names
 that also occur in articles (share, notice, widget) count only alone and where
-density agrees.
+density agrees. Ids are often made from headings: an id alone drops nothing in
+an article, and nothing that begins with a heading, unless it has the shape of
+furniture (forms, mostly links, several named items).
 
 Pages are independent, so the work is one pass in Spark tasks, without a
 shuffle. Unclosed and misnested tags are closed as browsers do in the common
@@ -45,26 +48,29 @@ ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|aria-label|hidden|style)(?:\s*=\s*
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "template", "iframe", "noframes", "xmp"}
 #: Elements that never hold article text.
-DROPPED = {*RAW, "head", "nav", "aside", "form", "button", "select", "option", "svg", "canvas", "object", "audio", "video", "dialog", "menu", "input", "label", "fieldset", "map"}
+DROPPED = {*RAW, "head", "nav", "aside", "form", "button", "select", "option", "svg", "canvas", "object", "audio", "video", "dialog", "menu", "input", "fieldset", "map"}
 #: Page furniture outside an article; a header within an article holds its title.
 FURNITURE = {"header", "footer"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-#: Classes and ids of furniture, whole: a word of these, with places before and parts after it.
-SURE = (
-    r"ads?|advert(?:s|ising|isements?)?|adsense|sponsor(?:s|ed)?|promo(?:s|tions?)?|nav|navbar|navigation|menus?|side-?bars?|breadcrumbs?|cookies?|consent|gdpr|popups?|modals?|newsletters?|subscribe|"
-    r"comments?|commentlist|disqus(?:_thread)?|footer|masthead|pagination|pager|login|signup|copyright|skip-?links?|outbrain|taboola"
+#: Words of classes and ids that name furniture: one of these, with places before it and parts after it.
+SURE = set(
+    "ad ads advert adverts advertising advertisement advertisements adsense sponsor sponsors sponsored promo promos promotion promotions nav navbar navigation menu menus sidebar sidebars breadcrumb breadcrumbs cookie cookies consent gdpr "
+    "popup popups modal modals newsletter newsletters subscribe comment comments commentlist disqus footer masthead pagination pager login signup copyright skiplink skiplinks outbrain taboola".split()
 )
 #: Words that name parts of articles as well.
-UNSURE = r"share|sharing|social|related|recommended|recommendations|notices?|alerts?|search|respond|replies|discussion|widgets?|banners?|toolbars?"
-PLACES = r"site|page|main|global|top|bottom|left|right|primary|secondary|user|reader|post|article|entry|blog|cookie|mobile|desktop|sub"
-PARTS = (
-    r"containers?|wrap|wrapper|box|boxes|list|sections?|area|bar|links?|buttons?|blocks?|slots?|units?|forms?|signup|banner|notices?|popup|modal|overlay|posts|articles|stories|news|items?|left|right|top|bottom|"
-    r"primary|secondary|main|menu|nav|panel|inner|footer|header|thread|policy|consent|message|icons?|widget|leaderboard|[0-9]+"
+UNSURE = set("share sharing social related recommended recommendations notice notices alert alerts search respond replies discussion widget widgets banner banners toolbar toolbars".split())
+PLACES = set("site page main global top bottom left right primary secondary user reader post article entry blog cookie mobile desktop sub".split())
+PARTS = set(
+    "container containers wrap wrapper box boxes list section sections area bar link links button buttons block blocks slot slots unit units form forms signup banner notice notices popup modal overlay posts articles stories news item items "
+    "left right top bottom primary secondary main menu nav panel inner footer header thread policy consent message icon icons widget leaderboard".split()
 )
-SURE, UNSURE = (re.compile(rf"(?i)(?:(?:{PLACES})[_-]?)*(?:{words})(?:[_-]?(?:{PARTS}))*") for words in (SURE, UNSURE))
+#: Two words that make one, where they are written apart.
+JOINED = {("side", "bar"): "sidebar", ("side", "bars"): "sidebars", ("skip", "link"): "skiplink", ("skip", "links"): "skiplinks", ("bread", "crumb"): "breadcrumb", ("bread", "crumbs"): "breadcrumbs"}
+#: Letters of a piece that may be several of these words written together.
+LONGEST = 40
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup"}
 #: Elements that may be the main text as a whole: no paragraphs and nothing that stands inside a line.
 CONTAINERS = {"html", "body", "div", "article", "main", "section", "td", "th", "table", "tbody", "tr", "center", "blockquote", "details", "dl", "dd", "ol", "ul", "li", "figure", "pre"}
@@ -80,11 +86,11 @@ SPACE = re.compile(r"[ \t\n\r\f\v   -     　\x1c-\x1f\x85]+")
 class Node:
     """An element: its children are nodes and texts, in page order."""
 
-    __slots__ = ("chars", "children", "density", "drop", "link_chars", "link_tags", "named", "parent", "sum", "tag", "tags")
+    __slots__ = ("chars", "children", "density", "drop", "link_chars", "link_tags", "named", "named_id", "parent", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool) -> None:
         self.tag, self.parent, self.drop, self.children = tag, parent, drop, []
-        self.named = 0
+        self.named = self.named_id = 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -103,14 +109,51 @@ def _dropped(tag: str, attrs: str) -> bool:
     return False
 
 
-def _named(attrs: str) -> int:
-    """2 if a class or id is surely one of page furniture, 1 if it stands alone and may be, else 0."""
-    found = 0
+def _together(piece: str) -> list[str]:
+    """The known words that a piece is made of (the first longest, of at most three), or the piece."""
+    known = SURE | UNSURE | PLACES | PARTS
+    if piece in known or not piece or len(piece) > LONGEST:
+        return [piece]
+    for k in range(len(piece) - 1, 1, -1):
+        if piece[:k] in known:
+            if piece[k:] in known:
+                return [piece[:k], piece[k:]]
+            for j in range(len(piece) - 1, k + 1, -1):
+                if piece[k:j] in known and piece[j:] in known:
+                    return [piece[:k], piece[k:j], piece[j:]]
+    return [piece]
+
+
+def _furniture_name(name: str, words: set[str]) -> bool:
+    """Whether a class or id is one of ``words`` with places before it and parts or numbers after it. The work is linear in its length."""
+    pieces = [p.rstrip("0123456789") for p in re.split("[_-]", name.lower())]
+    if not pieces or not pieces[0]:
+        return False
+    pieces = [p for p in pieces if p]  # numbers are gone
+    found, k = [], 0
+    while k < len(pieces):
+        joined = JOINED.get(tuple(pieces[k : k + 2]))
+        found += [joined] if joined else _together(pieces[k])
+        k += 2 if joined else 1
+    places = 0
+    while places < len(found) and found[places] in PLACES:
+        places += 1
+    parts = len(found)
+    while parts and found[parts - 1] in PARTS:
+        parts -= 1
+    # The word itself stands at the latest where places end, at the earliest just before parts begin.
+    return any(w in words for w in found[max(0, parts - 1) : places + 1])
+
+
+def _named(attrs: str) -> tuple[int, int]:
+    """By class, and by id: 2 if it is surely one of page furniture, 1 if it stands alone and may be, else 0."""
+    found = {"class": 0, "id": 0}
     for m in ATTRIBUTE.finditer(attrs):
-        if m[1].lower() in ("class", "id"):
+        if (name := m[1].lower()) in found:
             tokens = next((v for v in m.groups()[1:] if v is not None), "").split()
-            found = max(found, 2 * any(map(SURE.fullmatch, tokens)), int(len(tokens) == 1 and bool(UNSURE.fullmatch(tokens[0]))))
-    return found
+            sure = any(_furniture_name(t, SURE) for t in tokens)
+            found[name] = max(found[name], 2 if sure else int(len(tokens) == 1 and _furniture_name(tokens[0], UNSURE)))
+    return found["class"], found["id"]
 
 
 def parse(page: str) -> Node:
@@ -156,7 +199,8 @@ def parse(page: str) -> Node:
             at = close({"head"}, set())
         inside = Node(tag, at, _dropped(tag, m["attrs"] or "") or (at.drop and at is not root))
         if m["attrs"] and tag not in ("body", "html"):
-            inside.named = _named(m["attrs"])
+            if tag in BLOCKS and tag not in HEADINGS:  # what stands in a line, and a heading, is what stands around it
+                inside.named, inside.named_id = _named(m["attrs"])
         if tag in FURNITURE and not inside.drop:
             up, article = at, False
             while up is not None:
@@ -183,18 +227,49 @@ def _in_order(root: Node) -> list[Node]:
     return found
 
 
+def _shaped(node: Node) -> bool:
+    """Whether an element looks like furniture, whatever its name: it asks for input, is mostly links, or holds several named items or articles."""
+    items, stack = 0, [node]
+    while stack:
+        x = stack.pop()
+        for c in x.children:
+            if isinstance(c, Node):
+                if c.tag in ("form", "input", "button", "select", "textarea"):
+                    return True
+                items += bool(c.named) or c.tag == "article"
+                stack.append(c)
+    return items > 1 or bool(node.chars) and 2 * node.link_chars >= node.chars
+
+
+def _begins_with_heading(node: Node) -> bool:
+    for c in node.children:
+        if isinstance(c, Node):
+            return c.tag in HEADINGS
+        if c.strip():
+            return False
+    return False
+
+
 def _drop_named(root: Node) -> None:
-    """Drops named elements, but for wrappers: those around an article or main, or, on a page without one, around half of the plain text."""
-    body, nodes, holds = measure(root), _in_order(root), set()
+    """Drops named elements, but for wrappers: those around an article or main, or, on a page without one, around half of the plain text.
+
+    An id alone, which is often made from a heading, does not drop what stands in an article or begins with a heading, unless that has the shape of furniture.
+    """
+    body, nodes, holds, inside = measure(root), _in_order(root), set(), set()
     plain = lambda node: node.chars - node.link_chars
     for node in reversed(nodes):
         # an article that is itself named (a comment, a teaser) makes no wrapper
         if node.chars and (node.tag == "main" or node.tag == "article" and not node.named) or any(c in holds for c in node.children):
             holds.add(node)
     for node in nodes:
-        if node.named and node not in holds and node.tag not in ("article", "main"):
+        if node.parent is not None and (node.parent in inside or node.parent.tag in ("article", "main")):
+            inside.add(node)
+        name = node.named
+        if node.named_id > name and (not (node in inside or _begins_with_heading(node)) or _shaped(node)):
+            name = node.named_id
+        if name and node not in holds and node.tag not in ("article", "main"):
             part = root in holds or 2 * plain(node) < plain(body)
-            node.drop = part and (node.named == 2 or node.density < body.density)
+            node.drop = part and (name == 2 or node.density < body.density)
 
 
 def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
