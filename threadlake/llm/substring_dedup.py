@@ -229,7 +229,7 @@ def settled(cut: DataFrame, answers: DataFrame, parts: int, bits: int, digest: b
                 base, mine = end - n, candidates[cut_at[at] : cut_at[at + 1]]
                 raw = block.raw[byte[base] : max(byte[base], byte[end] - 1)] if n else b""
                 found = [{"start": s - base, "n": k} | dict(zip(("hi", "lo"), _halves(block.raw[byte[s] : byte[s + k + WINDOW - 1] - 1]), strict=True)) for s, k in zip(*(x.tolist() for x in _spans(mine)), strict=True)]
-                out.append((row["block"], at, doc, signed(xxhash.xxh3_64_intdigest(raw)), n, None if found else kept(raw), raw if found else None, found))
+                out.append((row["block"], at, doc, signed(xxhash.xxh3_64_intdigest(raw)), n, None if found else kept(raw), squeeze(raw) if found else None, found))
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
     return cut.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(settle, SETTLED)
@@ -244,26 +244,27 @@ def first_windows(found: DataFrame) -> DataFrame:
     order = ["doc_id", "tie", "block", "at"]
     each = found.select(*order, F.explode("runs").alias("r")).select(*order, "r.*")
     leaders = each.groupBy("hi", "lo").agg(F.min(F.struct(*order, "start", "n")).alias("f")).select("f.*")
-    leaders = leaders.groupBy("block", "at").agg(F.collect_list(F.struct("start", "n")).alias("leading"))
-    texts = found.filter("words is not null").select(*order, "words").join(leaders, ["block", "at"]).select(*order, "words", "leading")
-    kind = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("block", pa.int64()), ("at", pa.int32()), ("start", pa.int64())])
+    leaders = leaders.groupBy(*order).agg(F.collect_list(F.struct("start", "n")).alias("leading"))
+    # One number for a document's place in the order, as each of its windows carries it: sorted partitions number their rows in order.
+    leaders = written(leaders.orderBy(*(F.asc_nulls_first(c) for c in order)).select("block", "at", F.monotonically_increasing_id().alias("rank"), "leading"), "substring-leaders")
+    texts = found.filter("words is not null").select("block", "at", "words").join(leaders, ["block", "at"]).select("rank", "words", "leading")
+    kind = pa.schema([(c, pa.int64()) for c in ("hi", "lo", "rank", "start")])
 
     def windows(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                raw = row["words"]
+                raw = unsqueeze(row["words"])
                 ends = np.cumsum(np.fromiter(map(len, raw.split()), np.int64) + 1) - 1
                 starts = np.concatenate(([0], ends[:-1] + 1))
                 at = np.concatenate([np.arange(x["start"], x["start"] + x["n"]) for x in row["leading"]])
                 view = memoryview(raw)
                 digests = b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(starts[at].tolist(), ends[at + WINDOW - 1].tolist(), strict=True)])
                 hi, lo = np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2).T
-                same = [pa.array([row[c]], kind.field(c).type) for c in order]
-                yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), *(pa.repeat(x[0], len(at)) for x in same), pa.array(at, pa.int64())], schema=kind)
+                yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.repeat(pa.scalar(row["rank"], pa.int64()), len(at)), pa.array(at, pa.int64())], schema=kind)
 
-    spread = texts.mapInArrow(windows, "hi long, lo long, doc_id long, tie long, block long, at int, start long")
-    earliest = spread.groupBy("hi", "lo").agg(F.min(F.struct(*order, "start")).alias("f")).select("f.block", "f.at", "f.start")
-    return earliest.groupBy("block", "at").agg(F.collect_list("start").alias("firsts"))
+    spread = texts.mapInArrow(windows, "hi long, lo long, rank long, start long")
+    earliest = spread.groupBy("hi", "lo").agg(F.min(F.struct("rank", "start")).alias("f")).select("f.*")
+    return earliest.groupBy("rank").agg(F.collect_list("start").alias("firsts")).join(leaders.select("rank", "block", "at"), "rank").select("block", "at", "firsts")
 
 
 def dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
@@ -280,7 +281,7 @@ def dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                stay = kept_words(row["words"].split(), [(r["start"], r["n"]) for r in row["runs"]], row["firsts"] or [])
+                stay = kept_words(unsqueeze(row["words"]).split(), [(r["start"], r["n"]) for r in row["runs"]], row["firsts"] or [])
                 out.append((row["doc_id"], row["n_words"], row["n_words"] - len(stay), kept(b" ".join(stay))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept"])
