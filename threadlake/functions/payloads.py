@@ -1,115 +1,83 @@
-"""Readings of nested payloads: XML summaries and texts within JSON of any depth.
-
-Both need recursion, so batches go through pandas; callers filter to the rows
-that hold such payloads first.
-"""
+"""Readings of nested payloads as column expressions: XML summaries, texts within JSON of any depth, attachments."""
 
 from __future__ import annotations
 
-import json
-from xml.etree import ElementTree
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from threadlake.functions import hashing as X
 from threadlake.functions import text as T
 
 #: What a summary shows for each kind of message.
 UNKNOWN = "[微信 XML 消息]"
-SUMMARY = "summary string, kind string, search string"
 #: The fields whose texts are searched.
-SEARCHED = frozenset({"text", "content", "summary", "title", "filename", "fileName", "senderName"})
-
-
-def _field(node, name: str) -> str:
-    found = node.find(f".//{name}")
-    return "".join(found.itertext()).strip() if found is not None else ""
-
-
-def _payment(node) -> tuple[str, str, list[str]]:
-    scene = _field(node, "scenetext") or "微信收款"
-    title = _field(node, "receivertitle") or _field(node, "sendertitle")
-    detail = _field(node, "receiverdes") or _field(node, "senderdes")
-    shown = f"[{scene}]" + (f" {title}" if title else "") + (f" - {detail}" if detail else "")
-    return shown, "transfer", [scene, title, detail]
-
+SEARCHED = ("text", "content", "summary", "title", "filename", "fileName", "senderName")
 
-def _card(root) -> tuple[str, str, list[str]] | None:
-    user, name, company = (root.get(k, "").strip() for k in ("username", "nickname", "openimdesc"))
-    if not (user or name or company):
-        return None
-    label = "企业微信名片" if company or user.endswith("@openim") else "微信名片"
-    return f"[{label}] {name or user or '未命名联系人'}" + (f"（{company}）" if company else ""), "contact", [name, company, user]
 
+#: Where the texts of a summary stand in an XML message.
+XML_FIELDS = {
+    **{k: f"(/*//wcpayinfo)[1]/{k}[1]" for k in ("scenetext", "receivertitle", "sendertitle", "receiverdes", "senderdes")}, **{k: f"/*/@{k}" for k in ("username", "nickname", "openimdesc")},
+    "who": "(/*//finderFeed)[1]/nickname[1]", "about": "(/*//finderFeed)[1]/desc[1]", "type": "(/*//appmsg)[1]/type[1]", "title": "(/*//appmsg)[1]/title[1]", "des": "(/*//appmsg)[1]/des[1]",
+}
 
-def _video(node) -> tuple[str, str, list[str]]:
-    name, about = _field(node, "nickname"), _field(node, "desc")
-    return "[视频号]" + (f" {name}" if name else "") + (f"\n{about}" if about else ""), "video", [name, about]
 
+def xml_summary(content: Column) -> Column:
+    """struct<summary, kind, search> of a message that is XML: payments, cards, channel videos, shares; null where the content is no XML.
 
-def _share(node) -> tuple[str, str, list[str]] | None:
-    if _field(node, "type") == "8":
-        return "[动画表情]", "emoji", []
-    title, about = _field(node, "title"), _field(node, "des")
-    shown = " - ".join(dict.fromkeys(x for x in (title, about) if x))
-    return (f"[微信分享] {shown}", "link", [title, about]) if shown else None
+    Texts that are not well-formed, or declare a document type, are XML of an unknown kind; XPath only sees the others.
+    """
+    return T.let(F.regexp_replace(content, r"^\s+", ""), lambda text: F.when(text.startswith("<?xml") | text.startswith("<msg"), _summary(text)))
 
 
-def summarize_xml(content: str | None) -> tuple[str, str, str] | None:
-    """(summary, kind, searched text) of a message that is XML; None for others."""
-    text = (content or "").lstrip()
-    if not text.startswith(("<?xml", "<msg")):
-        return None
-    try:
-        root = ElementTree.fromstring(text)
-    except ElementTree.ParseError:
-        return UNKNOWN, "other", ""
-    find = lambda tag: root if root.tag == tag else root.find(f".//{tag}")
-    for tag, read in (("wcpayinfo", _payment), (None, _card), ("finderFeed", _video), ("appmsg", _share)):
-        node = root if tag is None else find(tag)
-        found = read(node) if node is not None else None
-        if found:
-            return found[0], found[1], "\n".join(x for x in found[2] if x)
-    return UNKNOWN, "other", ""
+def _result(summary: Column, kind: str, *search: Column) -> Column:
+    return F.struct(summary.alias("summary"), F.lit(kind).alias("kind"), F.array_join(F.filter(F.array(F.lit(""), *search), lambda x: x != ""), "\n").alias("search"))
 
 
-def xml_summary(content: Column) -> Column:
-    """struct<summary, kind, search>; null fields where the content is no XML."""
+def _summary(text: Column) -> Column:
+    broken = F.from_xml(text, "x string, _corrupt_record string", {"mode": "PERMISSIVE"})["_corrupt_record"].isNotNull() | F.contains(text, F.lit("<!DOCTYPE"))
+    there = [F.xpath_boolean(text, F.lit(f"/*//{name}")).alias(name) for name in ("wcpayinfo", "finderFeed", "appmsg")]
+    read = F.struct(*(T.clean(F.xpath_string(text, F.lit(path))).alias(k) for k, path in XML_FIELDS.items()), *there)
+    return F.when(broken, _result(F.lit(UNKNOWN), "other")).otherwise(T.let(read, _told))
 
-    @F.pandas_udf(SUMMARY)
-    def summarize(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([summarize_xml(x) or (None, None, None) for x in s], columns=["summary", "kind", "search"])
 
-    return summarize(content)
+def _told(x: Column) -> Column:
+    lead = lambda mark, v: F.when(v != "", F.concat(F.lit(mark), v)).otherwise("")
+    scene, title, detail = T.pick(x["scenetext"], F.lit("微信收款")), T.pick(x["receivertitle"], x["sendertitle"]), T.pick(x["receiverdes"], x["senderdes"])
+    payment = _result(F.concat(F.lit("["), scene, F.lit("]"), lead(" ", title), lead(" - ", detail)), "transfer", scene, title, detail)
+    user, name, company = x["username"], x["nickname"], x["openimdesc"]
+    label = F.when((company != "") | user.endswith("@openim"), "企业微信名片").otherwise("微信名片")
+    shown = F.concat(T.pick(name, user, F.lit("未命名联系人")), F.when(company != "", F.concat(F.lit("（"), company, F.lit("）"))).otherwise(""))
+    card = _result(F.concat(F.lit("["), label, F.lit("] "), shown), "contact", name, company, user)
+    video = _result(F.concat(F.lit("[视频号]"), lead(" ", x["who"]), lead("\n", x["about"])), "video", x["who"], x["about"])
+    head, des = x["title"], x["des"]
+    share = _result(F.concat(F.lit("[微信分享] "), T.pick(head, des), F.when((head != "") & (des != "") & (des != head), F.concat(F.lit(" - "), des)).otherwise("")), "link", head, des)
+    sticker = x["appmsg"] & (x["type"] == "8")
+    return (
+        F.when(x["wcpayinfo"], payment).when((user != "") | (name != "") | (company != ""), card).when(x["finderFeed"], video).when(sticker, _result(F.lit("[动画表情]"), "emoji")).when((head != "") | (des != ""), share)
+        .otherwise(_result(F.lit(UNKNOWN), "other"))
+    )
 
 
-def searched_texts(value, key: str | None = None) -> list[str]:
-    """Scalars under searched fields, depth first; links and inline images are left out."""
-    if isinstance(value, dict):
-        return [t for k, v in value.items() for t in searched_texts(v, k)]
-    if isinstance(value, list):
-        return [t for v in value for t in searched_texts(v, key)]
-    if key not in SEARCHED or value is None:
-        return []
-    text = (str(value) if isinstance(value, (str, bool)) else json.dumps(value)).replace("\0", "").strip()
-    return [text] if text and not text.startswith(("http://", "https://", "data:image/")) else []
+#: A JSON string; a scalar; and a member of a searched field with a scalar or a list of scalars. Within a string no quote stands without a backslash, so only keys match.
+STRING = r'"(?:[^"\\]|\\.)*+"'
+SCALAR = rf"(?:{STRING}|-?[0-9][-+.eE0-9]*|true|false|null)"
+MEMBER = rf'(?s)"(?:{"|".join(SEARCHED)})"\s*+:\s*+(?:{SCALAR}|\[\s*+(?:{SCALAR}\s*+,?\s*+)++\])'
 
 
 def json_texts(payload: Column) -> Column:
-    """The searched texts of a JSON payload, each once, in lines; empty for broken JSON."""
+    """The texts under searched fields of a JSON payload of any depth, in its order, each once, in lines; empty for broken JSON.
 
-    @F.pandas_udf("string")
-    def collect(s: pd.Series) -> pd.Series:
-        def one(x: str | None) -> str:
-            try:
-                return "\n".join(dict.fromkeys(searched_texts(json.loads(x or "null"))))
-            except ValueError:
-                return ""
+    Links and inline images are left out; numbers count as they are written, true and false by name.
+    """
+    members = F.regexp_extract_all(F.when(F.try_parse_json(payload).isNotNull(), payload), F.lit(MEMBER), F.lit(0))
+    values = F.flatten(F.transform(members, lambda m: F.regexp_extract_all(F.regexp_replace(m, rf"(?s)^{STRING}\s*+:", ""), F.lit(rf"(?s){SCALAR}"), F.lit(0))))
 
-        return s.map(one)
+    def plain(v: Column) -> Column:
+        quoted = F.get(F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<string>"), 0)
+        return T.clean(F.when(v.startswith('"'), quoted).when(v == "true", "True").when(v == "false", "False").when(v == "null", "").otherwise(v))
 
-    return collect(payload)
+    kept = F.filter(F.transform(values, plain), lambda t: (t != "") & ~t.rlike("^(?:https?://|data:image/)"))
+    return F.coalesce(F.array_join(F.array_distinct(kept), "\n"), F.lit(""))
 
 
 def title_from_path(path: Column, fallback: Column) -> Column:
@@ -132,7 +100,7 @@ OWN_FIELDS = ("url", "localPath", "filename", "name", "type")
 
 
 def qq_attachments(content: Column) -> Column:
-    """array<struct<ordinal, kind, filename, declared, mime, size, width, height, duration, metadata>> of a message's content in JSON.
+    """array<struct<ordinal, kind, filename, declared, local, mime, size, width, height, duration, metadata>> of a message's content in JSON.
 
     Its resources, or without any the media elements. The kind is the resource's, else the content's, else that of the
     media type, else file.
@@ -160,8 +128,17 @@ def qq_attachments(content: Column) -> Column:
         number = lambda name: F.try_element_at(r, F.lit(name))
         return F.struct(
             k.cast("long").alias("ordinal"), F.coalesce(some(audio(kind_of(F.coalesce(F.try_element_at(r, F.lit("type")), F.try_element_at(r, F.lit("mediaType")))))), some(whole), by_mime, F.lit("file")).alias("kind"),
-            filename.alias("filename"), declared.alias("declared"), mime.alias("mime"), T.as_long(number("size")).alias("size"), T.clamp_int(number("width")).alias("width"), T.clamp_int(number("height")).alias("height"),
+            filename.alias("filename"), declared.alias("declared"), some(get("localPath")).alias("local"), mime.alias("mime"), T.as_long(number("size")).alias("size"), T.clamp_int(number("width")).alias("width"), T.clamp_int(number("height")).alias("height"),
             T.as_double(number("duration")).alias("duration"), F.to_json(F.map_filter(r, lambda n, _: ~n.isin(*OWN_FIELDS))).alias("metadata"),
         )
 
     return F.transform(F.when(F.size(given) > 0, given).otherwise(media), one)
+
+
+def attachments_json(attachments: Column) -> Column:
+    """Canonical JSON of attachments (as ``qq_attachments`` gives them) as far as a message's digest sees them."""
+    one = lambda a: X.canonical_json(
+        {"kind": a["kind"], "filename": a["filename"], "size": a["size"], "width": a["width"], "height": a["height"], "md5": F.when(F.length(md5 := T.clean(F.get_json_object(a["metadata"], "$.md5"))) > 0, md5)},
+        {"duration": X.number_text(a["duration"])},
+    )
+    return F.concat(F.lit("["), F.array_join(F.transform(attachments, one), ","), F.lit("]"))

@@ -40,6 +40,16 @@ def first_non_empty(*xs: Column) -> Column:
     return F.coalesce(*(F.when(F.length(x) > 0, x) for x in xs), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` written once in the plan, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def pick(*xs: Column) -> Column:
+    """As ``first_non_empty``, for values that are long expressions: each is written once."""
+    return F.coalesce(F.get(F.filter(F.array(*xs), lambda x: F.length(x) > 0), 0), F.lit(""))
+
+
 def unique_list(*xs: Column) -> Column:
     """Values in order, each once, without null and empty ones."""
     return F.array_distinct(F.filter(F.array(*xs), lambda x: F.coalesce(F.length(x) > 0, F.lit(False))))

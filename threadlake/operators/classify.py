@@ -20,6 +20,14 @@ BRACKETS = {
     "[图片]": "image", "[文件]": "file", "[视频]": "video", "[语音]": "audio", "[表情包]": "emoji", "[动画表情]": "emoji", "[转账]": "transfer", "[微信转账]": "transfer", "[微信红包]": "transfer",
     "[位置]": "location", "[名片]": "contact", "[链接]": "link", "[小程序]": "mini_program", "[通话]": "call",
 }
+#: Of one format's labels those it maps, its media labels, and the codes and prefixes that its first version knew.
+WEFLOW_LABELS = {
+    "文本消息": "text", "图片消息": "image", "文件消息": "file", "视频消息": "video", "语音消息": "audio", "动画表情": "emoji", "引用消息": "reply", "系统消息": "system", "小程序消息": "mini_program", "聊天记录": "forward",
+    "转账消息": "transfer", "链接消息": "link", "通话消息": "call", "位置消息": "location", "名片消息": "contact", "群公告": "system", "其他消息": "other",
+}
+WEFLOW_MEDIA = {"图片消息": "image", "文件消息": "file", "视频消息": "video", "语音消息": "voice", "动画表情": "emoji"}
+WEFLOW_CODES = {1: "text", 3: "image", 34: "audio", 43: "video", 47: "emoji", 48: "location", 10000: "system"}
+WEFLOW_BRACKETS = {"[图片]": "image", "[文件]": "file", "[视频]": "video", "[语音]": "audio", "[表情包]": "emoji", "[转账]": "transfer", "[位置]": "location"}
 CSV_TYPES = {"image": "image", "sticker": "emoji", "video": "video", "voice": "audio", "location": "location", "file": "file"}
 SHEET_WORDS = {"图片": "image", "语音": "audio", "视频": "video", "表情": "emoji", "文件": "file", "位置": "location", "系统": "system"}
 SELF_NAME, RECALL = "我", "撤回"
@@ -29,10 +37,10 @@ def _look_up(table: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
 
 
-def bracket_type(content: Column) -> Column:
+def bracket_type(content: Column, brackets: dict[str, str] = BRACKETS) -> Column:
     """The type that a bracketed label at the start of the text names, else null."""
     out = F.lit(None).cast("string")
-    for prefix, kind in reversed(BRACKETS.items()):
+    for prefix, kind in reversed(brackets.items()):
         out = F.when(content.startswith(prefix), kind).otherwise(out)
     return out
 
@@ -56,6 +64,19 @@ def media_first_type(media: Column, local: Column, label: Column, content: Colum
     return F.coalesce(_look_up(LABELS, F.lower(T.clean(label))), by_media, _look_up(LOCAL_TYPES, T.as_long(local).cast("int")), bracket_type(content), F.lit("other"))
 
 
+def weflow_media(label: Column) -> Column:
+    return _look_up(WEFLOW_MEDIA, label)
+
+
+def weflow_label(label: Column) -> Column:
+    return _look_up(WEFLOW_LABELS, label)
+
+
+def weflow_type(media: Column, local: Column, content: Column) -> Column:
+    """By media type (voice is audio), then local code, then bracketed prefix, else other."""
+    return F.coalesce(F.when(media == "voice", "audio").otherwise(media), _look_up(WEFLOW_CODES, T.as_long(local).cast("int")), bracket_type(content, WEFLOW_BRACKETS), F.lit("other"))
+
+
 def csv_type(name: Column) -> Column:
     return F.coalesce(_look_up(CSV_TYPES, F.lower(F.trim(name))), F.lit("text"))
 

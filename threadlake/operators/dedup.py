@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadlake.operators.tables import kept
+
 
 def dedup_state(rows: DataFrame, conversation: str = "conversation_id", native: str = "native_id", payload: str = "payload_hash", seq: str = "seq") -> DataFrame:
     """(seq, state, target) of every row.
@@ -46,11 +48,13 @@ def _meeting(rows: DataFrame) -> DataFrame:
     """
     tokens = F.array(F.concat(F.lit("s:"), F.col("semantic_hash")), F.concat(F.lit("p:"), F.col("payload_hash")))
     older = F.transform(F.coalesce("compatible", F.array().cast("array<string>")), lambda h: F.concat(F.lit("p:"), h))
-    links = rows.filter("native_id is null").select("conversation_id", "seq", F.explode(F.array_distinct(F.concat(tokens, older))).alias("token")).persist()
+    links = rows.filter("native_id is null").select("conversation_id", "seq", F.explode(F.array_distinct(F.concat(tokens, older))).alias("token"))
+    links = kept(links, "meeting-links")
     label = links.select("conversation_id", "seq").distinct().withColumn("meet", F.col("seq"))
     while True:
         by_token = links.join(label, ["conversation_id", "seq"]).groupBy("conversation_id", "token").agg(F.min("meet").alias("meet"))
-        new = links.join(by_token, ["conversation_id", "token"]).groupBy("conversation_id", "seq").agg(F.min("meet").alias("meet")).persist()
+        new = links.join(by_token, ["conversation_id", "token"]).groupBy("conversation_id", "seq").agg(F.min("meet").alias("meet"))
+        new = kept(new, "meeting")
         moved = new.join(label.withColumnRenamed("meet", "old"), ["conversation_id", "seq"]).filter("meet < old").limit(1).count()
         label = new
         if not moved:
@@ -63,13 +67,17 @@ def fold_state(rows: DataFrame, platform: str | None = None) -> DataFrame:
     Rows meet by native id, or without one by meaning or payload. Equal payloads, and payloads that an older parser would
     have written, are duplicates, and the stored row takes over the hashes of its duplicate; other rows are revisions
     where the platform or a shared local id or meaning says so, else variants. A group is one message's versions, so it
-    is small. ``platform`` stands in where the rows have no such column.
+    is small. ``platform`` stands in where the rows have no such column. Rows marked ``known`` (a column that may be
+    missing) are stored already: they are met, but get no state.
     """
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         stored: list[dict] = []
         out = []
         for r in group.sort_values("seq").itertuples():
+            if r.known:
+                stored.append({"seq": r.seq, "local": r.local_id, "payload": r.payload_hash, "semantic": r.semantic_hash})
+                continue
             older = set() if r.compatible is None else set(r.compatible)
             met = stored if r.native_id is not None else [s for s in stored if s["semantic"] == r.semantic_hash or s["payload"] in older | {r.payload_hash}]
             same = next((s for s in met if s["payload"] == r.payload_hash), None) or next((s for s in met if s["payload"] in older), None)
@@ -89,6 +97,8 @@ def fold_state(rows: DataFrame, platform: str | None = None) -> DataFrame:
 
     if platform is not None or "platform" not in rows.columns:
         rows = rows.withColumn("platform", F.lit(platform or "wechat"))
+    if "known" not in rows.columns:
+        rows = rows.withColumn("known", F.lit(False))
     met = rows.join(_meeting(rows), "seq", "left").withColumn("meet", F.coalesce(F.concat(F.lit("n:"), F.col("native_id")), "meet"))
     return met.groupBy("conversation_id", "meet").applyInPandas(fold, STATE)
 

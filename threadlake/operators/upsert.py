@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlake.operators.tables import kept
+
 
 def is_default(account: Column) -> Column:
     return F.lower(account).endswith("-default")
@@ -15,7 +17,7 @@ ACCOUNT = ["platform", "account_id", "native_id"]
 
 def _numbered(rows: DataFrame, order: list[str], after: Column) -> DataFrame:
     """``rows`` with a column ``new_id`` that counts on from ``after`` in order: a sort, and one count for each partition."""
-    placed = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
+    placed = kept(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
     sizes = {r["p"]: r["count"] for r in placed.groupBy(F.shiftright("_at", 33).alias("p")).count().collect()}
     before, done = {}, 0
     for p in sorted(sizes):

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.operators.classify import SELF_NAME
+from threadlake.operators.tables import shared_folder
 from threadlake.plans.registry import query
 from threadlake.sources import exports as E
 from threadlake.sources.lens import Lens
@@ -35,8 +33,7 @@ def _files(x: Lens, item: Column, whole) -> str:
     """A file for each conversation, ``whole(conv, items)`` as its text; returns a glob of them."""
     listed = _messages(x).groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("turn", item.alias("item")))).alias("items"))
     text = whole(F.concat(F.lit("c"), F.col("conv").cast("string")), F.col("items.item"))
-    shared = x.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{shared.rstrip('/')}/exports-{uuid.uuid4().hex}"
+    folder = shared_folder(x.spark, "exports")
     listed.select("conv", text.alias("text")).repartition("conv").write.partitionBy("conv").text(folder)
     return f"{folder}/conv=*/*.txt"
 
@@ -68,7 +65,7 @@ def _lab_head(conv: Column) -> dict[str, Column]:
 
 @query("f01_qq_json", WHOLE)
 def qq_json(x: Lens) -> DataFrame:
-    item = _object(id=F.col("native"), seq=F.col("turn"), timestamp=F.col("sec") * 1000, sender=_object(uid=F.col("role"), name=F.col("role")), type="type_1", content=_object(text=F.col("text")), recalled=False, system=F.col("system"))
+    item = _object(id=F.col("native"), seq=F.col("turn"), timestamp=F.col("sec") * 1000, sender=_object(uid=F.col("role"), name=F.col("role")), type=F.when(F.col("system"), "system").otherwise("text"), content=_object(text=F.col("text")), recalled=False, system=F.col("system"))
     whole = lambda conv, items: _json(metadata=_object(name="QQChatExporter"), chatInfo=_object(name=conv, type="group", selfUid="user", peerUid=conv), messages=items)
     return _whole(E.qq_json(x.spark, _files(x, item, whole)))
 

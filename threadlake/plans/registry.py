@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None, lens: str = ""):
     return register
 
 
-from threadlake.plans import formats, identity, ingest, reading, values  # noqa: E402, F401  (they register their queries)
+from threadlake.plans import formats, identity, imports, ingest, reading, values  # noqa: E402, F401  (they register their queries)

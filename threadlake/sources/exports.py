@@ -12,8 +12,6 @@ rows are dropped by ``valid`` and kept by ``rejects``.
 
 from __future__ import annotations
 
-import html
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,17 +19,19 @@ from pyspark.sql import types as D
 from pyspark.sql.utils import AnalysisException
 
 from threadlake.functions import hashing as X
+from threadlake.functions import payloads as P
 from threadlake.functions import text as T
 from threadlake.operators import classify as K
+from threadlake.operators import media as M
 
 COLUMNS = (
     "path", "platform", "account_id", "conversation_id", "kind", "title", "position", "native_id", "local_id", "timestamp_ms", "sender_id", "sender_name",
     "direction", "message_type", "content", "search_text", "reply_to", "is_recalled", "media_path",
 )
-READ = ", ".join(f"{c} {dict(position='long', timestamp_ms='long', is_recalled='boolean').get(c, 'string')}" for c in (*COLUMNS, "payload_hash", "semantic_hash")) + ", reader int"
 EXTENSIONS = ("json", "jsonl", "csv", "md", "txt", "sql", "xlsx")
+DIGESTS = ("payload_hash", "semantic_hash", "compatible")
 #: Directories that hold media rather than exports.
-SKIPPED = ("resources", "media", "images", "voices", "videos", "emojis", "files", "avatars", "node_modules", ".git", "chunks")
+SKIPPED = ("resources", "media", "images", "voices", "videos", "emojis", "files", "avatars", "node_modules", ".git")
 S = "string"
 TEXT = D.StringType()
 
@@ -41,7 +41,11 @@ def _struct(**fields) -> D.StructType:
 
 
 def _strings(*names: str) -> D.StructType:
-    return _struct(**dict.fromkeys(names, S))
+    """Text fields; of names that differ in case only, which Spark reads as one, the first."""
+    first: dict[str, str] = {}
+    for n in names:
+        first.setdefault(n.lower(), n)
+    return _struct(**dict.fromkeys(first.values(), S))
 
 
 def _or_null(x: Column) -> Column:
@@ -52,14 +56,36 @@ def _file_title(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]+$", "")
 
 
-def _messages(frame: DataFrame, **columns: Column) -> DataFrame:
-    """The columns of COLUMNS with defaults, and the digests that deduplication compares."""
+ATTACHMENTS = "array<struct<ordinal:bigint,kind:string,filename:string,declared:string,candidates:array<string>,mime:string,size:bigint,width:int,height:int,duration:double,metadata:string>>"
+READ = ", ".join(f"{c} {dict(position='long', timestamp_ms='long', is_recalled='boolean').get(c, 'string')}" for c in COLUMNS) + f", aliases array<string>, attachments {ATTACHMENTS}, facts {X.FACTS}, payload_hash string, semantic_hash string, compatible array<string>, error string"
+ATTACHMENT = tuple(f.split(":")[0] for f in ATTACHMENTS[len("array<struct<") : -2].replace("array<string>", "array").split(","))
+FACT_NAMES = tuple(f.split(":")[0] for f in X.FACTS[len("struct<") : -1].split(","))
+
+
+def _messages(frame: DataFrame, family: str = "flat", facts: dict[str, Column] | None = None, attachments: Column | None = None, aliases: Column | None = None, **columns: Column) -> DataFrame:
+    """The columns of COLUMNS with defaults, aliases, attachments, the facts that digests are made of, and these digests.
+
+    ``facts`` are those of the family that are no columns. The flat family's searched text is the content.
+    """
     none = F.lit(None).cast(S)
     given = {"native_id": none, "local_id": none, "reply_to": none, "media_path": none, "is_recalled": F.lit(False), "search_text": columns["content"]} | columns
-    found = frame.select(*(given[c].alias(c) for c in COLUMNS))
-    meaning = {c: F.col(c) for c in ("timestamp_ms", "direction")} | {"sender": F.col("sender_id")}
-    payload = meaning | {c: F.col(c) for c in ("message_type", "content", "search_text", "reply_to")}
-    return found.withColumns({"payload_hash": X.payload_hash(payload), "semantic_hash": X.payload_hash(meaning)})
+    names = F.array(given["sender_name"], given["sender_id"]) if aliases is None else aliases
+    extra = facts or {}
+    # _messages names come first, so that facts can be columns of the result or of the frame's
+    error = F.col("error") if "error" in frame.columns else none
+    found = frame.select(
+        *((given[c] if c == "path" else F.when(error.isNull(), given[c])).alias(c) for c in COLUMNS), error.alias("error"), F.array_distinct(F.filter(names, lambda n: F.length(n) > 0)).alias("aliases"), (F.lit(None) if attachments is None else attachments).cast(ATTACHMENTS).alias("attachments"),
+        *(extra[f].alias(f"_{f}") for f in extra),
+    )
+    own = {"family": F.lit(family), "sender": F.col("sender_id")} | {f: F.col(f"_{f}") for f in extra} | ({"search_text": F.col("content")} if family == "flat" else {})
+    values = [own[f] if f in own else F.col(f) if f in COLUMNS else F.col("is_recalled") if f == "recalled" else none for f in FACT_NAMES]
+    found = found.withColumn("facts", F.struct(*(v.alias(f) for f, v in zip(FACT_NAMES, values, strict=True))).cast(X.FACTS)).drop(*(f"_{f}" for f in extra))
+    return hashed(found, (family,))
+
+
+def hashed(messages: DataFrame, families: tuple[str, ...] = X.FAMILIES) -> DataFrame:
+    """``messages`` with the digests of their facts; again after facts have changed."""
+    return messages.withColumn("_d", X.digests(F.col("facts"), families)).withColumns({"payload_hash": F.col("_d.payload"), "semantic_hash": F.col("_d.semantic"), "compatible": F.col("_d.compatible")}).drop("_d")
 
 
 def _time(x: Column) -> Column:
@@ -73,56 +99,130 @@ def whole(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _json(spark: SparkSession, path: str | list[str], schema: D.StructType) -> DataFrame:
-    return spark.read.schema(schema).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("path"), "*")
+    """(path, error, fields) of JSON files; one that is malformed has an error and no fields."""
+    read = spark.read.schema(D.StructType([*schema.fields, D.StructField("_corrupt_record", TEXT)])).json(path, multiLine=True)
+    return read.select(F.col("_metadata.file_path").alias("path"), F.when(F.col("_corrupt_record").isNotNull(), "malformed JSON").alias("error"), *schema.names)
+
+
+def _exploded(files: DataFrame, known: Column, *columns: str | Column) -> DataFrame:
+    """A row (path, error, columns, position, m) for each message of the files with the marks ``known``; a file without any, or malformed, is one row with an error."""
+    kept = files.filter(known | F.col("error").isNotNull()).select("path", "error", *columns, F.posexplode_outer("messages").alias("position", "m"))
+    return kept.withColumn("error", F.coalesce("error", F.when(F.col("m").isNull(), "no messages")))
 
 
 # JSON formats
 
-QQ_MESSAGE = _struct(
-    id=S, seq=S, timestamp=S, time=S, sender=_strings("uid", "uin", "name", "nickname"), type=S,
-    content=_struct(text=S, elements=D.ArrayType(_struct(type=S, data=D.MapType(TEXT, TEXT))), resources=D.ArrayType(_strings("type", "filename", "localPath", "url"))), recalled=S, system=S,
-)
-QQ_HEAD = {"metadata": _strings("name", "version"), "chatInfo": _strings("name", "type", "selfUid", "selfUin", "peerUid", "peerUin")}
+#: ``content`` stays JSON text: its fields are read where they are needed.
+QQ_MESSAGE = _struct(id=S, seq=S, timestamp=S, sender=_strings("uid", "uin", "name", "nickname", "groupCard", "remark"), type=S, content=S, recalled=S, system=S)
+QQ_HEAD = {"metadata": _strings("name", "version"), "chatInfo": _strings("name", "type", "selfUid", "selfUin", "peerUid", "peerUin", "peerName")}
+
+
+def _truthy(x: Column) -> Column:
+    return F.coalesce(~x.isin("", "0", "false"), F.lit(False))
 
 
 def _qq(frame: DataFrame, m: str = "m") -> DataFrame:
-    c, s, chat = F.col(f"{m}.content"), F.col(f"{m}.sender"), F.col("chatInfo")
-    own = (_or_null(s["uid"]) == chat["selfUid"]) | (_or_null(s["uin"]) == chat["selfUin"])
-    system = T.as_bool(F.col(f"{m}.system"))
-    kind = F.when(system, "system").otherwise(F.coalesce(F.lower(F.get(c["resources"], 0)["type"]), F.when(F.col(f"{m}.type").isin("type_1", "text"), "text"), F.lit("text")))
-    replies = F.transform(F.filter(F.coalesce(c["elements"], F.array()), lambda e: T.clean(e["type"]) == "reply"), lambda e: F.trim(F.coalesce(e["data"]["referencedMessageId"], e["data"]["messageId"], F.lit(""))))
-    reply = F.get(F.filter(replies, lambda r: ~r.isin("", "0")), 0)
+    s, chat, body = F.col(f"{m}.sender"), F.col("chatInfo"), F.col(f"{m}.content")
+    # The parts of the content that several columns need are read once.
+    part = lambda name: T.clean(F.get_json_object(body, f"$.{name}"))
+    read = frame.withColumn("_text", part("text")).withColumn("_kind", part("type")).withColumn("_search", P.json_texts(body)).withColumn("_files", P.qq_attachments(body))
+    typed = T.clean(F.col(f"{m}.type"))
+    kind = T.pick(F.lower(typed), F.lower(F.col("_kind")), F.lit("unknown"))
+    shown = T.pick(F.col("_text"), F.split_part(F.col("_search"), F.lit("\n"), F.lit(1)), F.concat(F.lit("["), T.pick(typed, F.col("_kind"), F.lit("message")), F.lit("]")))
+    sender = T.pick(s["uid"], s["uin"], F.lit("unknown"))
+    names = F.array_distinct(F.filter(F.array(*(T.clean(s[k]) for k in ("groupCard", "name", "nickname", "remark", "uin"))), lambda n: n != ""))
+    account = T.pick(chat["selfUin"], chat["selfUid"], F.lit("qq-default"))
+    uid, uin = T.pick(chat["selfUid"], account), T.pick(chat["selfUin"], account)
+    own, system = (sender == uid) | (sender == uin) | (T.clean(s["uin"]) == uin), _truthy(F.col(f"{m}.system"))
+    elements = F.coalesce(F.from_json(F.get_json_object(body, "$.elements"), "array<struct<type:string,data:map<string,string>>>"), F.array().cast("array<struct<type:string,data:map<string,string>>>"))
+    replies = F.transform(F.filter(elements, lambda e: T.clean(e["type"]) == "reply"), lambda e: F.coalesce(e["data"]["referencedMessageId"], e["data"]["messageId"], F.lit("")))
+    native = T.pick(T.clean(chat["peerUid"]), T.clean(chat["peerUin"]), T.clean(chat["name"]), _file_title(F.col("path")))
+    paths = lambda a: F.array_distinct(F.filter(F.array(F.when(~a["declared"].rlike("^https?://"), a["declared"]), a["local"]), lambda c: F.length(c) > 0))
+    files = F.transform("_files", lambda a: F.struct(*(paths(a).alias(c) if c == "candidates" else a[c].alias(c) for c in ATTACHMENT)))
     return _messages(
-        frame, path=F.col("path"), platform=F.lit("qq"), account_id=T.first_non_empty(chat["selfUin"], chat["selfUid"], F.lit("qq-default")),
-        conversation_id=T.first_non_empty(chat["peerUid"], chat["peerUin"], chat["name"], _file_title(F.col("path"))), kind=F.when(chat["type"] == "group", "group").otherwise("private"), title=T.clean(chat["name"]),
-        position=F.col("position"), native_id=_or_null(F.col(f"{m}.id")), local_id=_or_null(F.col(f"{m}.seq")), timestamp_ms=T.seconds_or_millis(T.as_long(F.col(f"{m}.timestamp"))),
-        sender_id=T.first_non_empty(s["uid"], s["uin"], s["name"]), sender_name=T.first_non_empty(s["name"], s["nickname"], s["uin"], s["uid"]), direction=K.direction(kind, own), message_type=kind,
-        content=T.clean(c["text"]), reply_to=reply, is_recalled=T.as_bool(F.col(f"{m}.recalled")), media_path=F.coalesce(F.get(c["resources"], 0)["localPath"], F.get(c["resources"], 0)["url"]),
+        read, "qq", {"sequence": _or_null(T.clean(F.col(f"{m}.seq"))), "system": system, "attachments": P.attachments_json(F.col("_files"))}, files, names, path=F.col("path"), platform=F.lit("qq"), account_id=account, conversation_id=native,
+        kind=F.when(F.lower(T.clean(chat["type"])) == "group", "group").otherwise("private"), title=T.pick(T.clean(chat["name"]), T.clean(chat["peerName"]), native), position=F.col("position"), native_id=_or_null(T.clean(F.col(f"{m}.id"))),
+        timestamp_ms=T.seconds_or_millis(T.as_long(F.col(f"{m}.timestamp"))), sender_id=sender, sender_name=F.coalesce(F.get(names, 0), sender), direction=F.when(system, "system").when(own, "outgoing").otherwise("incoming"), message_type=kind,
+        content=shown, search_text=T.pick(F.col("_search"), shown), reply_to=F.get(F.filter(replies, lambda r: ~r.isin("", "0")), 0), is_recalled=_truthy(F.col(f"{m}.recalled")),
+        media_path=F.get(F.col("_files.declared"), 0),
     )
 
 
 def qq_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    schema = _struct(**QQ_HEAD, messages=D.ArrayType(QQ_MESSAGE))
-    files = _json(spark, path, schema).filter(F.lower("metadata.name") == "qqchatexporter")
-    return _qq(files.select("path", "chatInfo", F.posexplode("messages").alias("position", "m")))
+    files = _json(spark, path, _struct(**QQ_HEAD, messages=D.ArrayType(QQ_MESSAGE)))
+    return _qq(_exploded(files, F.lower("metadata.name") == "qqchatexporter", "chatInfo"))
+
+
+#: Names of chunks that a manifest without a list has beside it.
+OLD_CHUNK = r"(?i)^(?:chunk.*|c[0-9]+)\.jsonl$"
+
+
+def _unsafe(path: Column) -> Column:
+    """Whether a declared path has a root, a drive, a scheme, or a segment of dots."""
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    return F.coalesce(F.length(F.trim(p)) == 0, F.lit(True)) | p.rlike(r"^/|^[A-Za-z][A-Za-z0-9+.-]*:|(?:^|/)\.\.?(?:/|$)")
+
+
+def manifests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, folder, chatInfo, nth, chunk, error): the chunks that a manifest declares, in its order, by their full paths; an error has no chunks.
+
+    A list is authoritative: nothing else is read, an empty one is an error, as is a path that is unsafe, is no JSON lines,
+    or occurs twice. A manifest without a list has all chunks of its folder ``chunks`` and those of old names beside it,
+    in natural order; these have no ``nth`` yet and no ``chunk``.
+    """
+    entry = _strings("relativePath", "fileName")
+    files = _json(spark, paths, _struct(**QQ_HEAD, chunked=S)).filter(F.contains(F.lower("metadata.name"), F.lit("qqchatexporter")) | F.col("error").isNotNull())
+    files = files.withColumn("folder", F.regexp_replace("path", "/[^/]*$", "")).withColumn("c", F.from_json("chunked", _struct(chunksDir=S, chunks=D.ArrayType(entry))))
+    given, base = F.col("c.chunksDir"), F.coalesce("c.chunksDir", F.lit("chunks"))
+    named = lambda e: F.coalesce(e["relativePath"], F.when(~F.coalesce(e["fileName"], F.lit("/")).rlike(r"[/\\]"), F.concat(base, F.lit("/"), e["fileName"])))
+    listed = F.transform("c.chunks", lambda e: F.replace(named(e), F.lit("\\"), F.lit("/")))
+    files = files.withColumn("listed", listed)
+    bad = F.exists("listed", lambda p: F.coalesce(_unsafe(p) | ~F.lower(p).endswith(".jsonl"), F.lit(True)))
+    error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("chunked").isNull(), F.lit(None)).when(F.col("listed").isNull(), "manifest without a list of chunks").when(given.isNotNull() & _unsafe(given), "unsafe folder of chunks")
+    error = error.when(F.size("listed") == 0, "manifest lists no chunks").when(bad, "unsafe chunk").when(F.size(F.array_distinct("listed")) < F.size("listed"), "chunk listed twice")
+    files = files.withColumn("error", error).withColumn("listed", F.when(F.col("error").isNull(), F.col("listed")))
+    return files.select("path", "folder", "chatInfo", "error", F.posexplode_outer("listed").alias("nth", "relative")).select("path", "folder", "chatInfo", "nth", F.concat("folder", F.lit("/"), "relative").alias("chunk"), "error")
+
+
+def chunks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``manifests`` with the chunks of manifests without a list, and an error for a declared chunk that is not there."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    declared = manifests(spark, paths)
+    there = _paths(spark, [p.rsplit("/", 1)[0] for p in paths]).select(F.col("path").alias("file")).filter(F.lower("file").endswith(".jsonl")).distinct()
+    old = declared.filter("nth is null and error is null").drop("nth", "chunk")
+    name = F.regexp_extract("file", "([^/]+)$", 1)
+    beside = there.withColumn("folder", F.regexp_replace("file", "/[^/]*$", "")).withColumn("folder", F.when(F.col("folder").endswith("/chunks"), F.regexp_replace("folder", "/chunks$", "")).when(name.rlike(OLD_CHUNK), F.col("folder")))
+    found = old.join(beside.withColumn("key", natural_key(name)), "folder", "left")
+    first = Window.partitionBy("path").orderBy("key", "file")  # chunks of one manifest, not their lines
+    found = found.withColumn("nth", F.row_number().over(first) - 1).select("path", "folder", "chatInfo", "nth", F.col("file").alias("chunk"), F.coalesce("error", F.when(F.col("file").isNull(), "no chunks")).alias("error"))
+    listed = declared.filter("nth is not null or error is not null").join(there.withColumn("chunk", F.col("file")), "chunk", "left")
+    listed = listed.withColumn("error", F.coalesce("error", F.when(F.col("file").isNull(), F.concat(F.lit("no such chunk: "), "chunk")))).select("path", "folder", "chatInfo", "nth", "chunk", "error")
+    every = listed.unionByName(found)
+    # One missing chunk fails its manifest.
+    failed = every.groupBy("path").agg(F.max("error").alias("failed"))
+    return every.join(failed, "path").withColumn("error", F.col("failed")).drop("failed")
 
 
 def qq_chunked(spark: SparkSession, root: str | list[str]) -> DataFrame:
-    """Folders with a manifest and JSON-lines chunks (in ``chunks`` or beside it); positions run over the chunks in the manifest's order, of chunks it does not list in natural order after them."""
-    roots = [r.rstrip("/") for r in ([root] if isinstance(root, str) else root)]
-    folder = lambda: F.regexp_replace(F.regexp_replace(F.col("path"), r"/[^/]+$", ""), "/chunks$", "")
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    chunk = D.ArrayType(_struct(relativePath=S, fileName=S, count=D.LongType()))
-    heads = _json(spark, [f"{r}/manifest.json" for r in roots], _struct(**QQ_HEAD, chunked=_struct(chunks=chunk))).filter(F.contains(F.col("metadata.name"), F.lit("QQChatExporter")))
-    heads = heads.select(folder().alias("folder"), "chatInfo", F.transform("chunked.chunks", lambda c: F.regexp_extract(F.coalesce(c["relativePath"], c["fileName"]), r"([^/]+)$", 1)).alias("listed"))
-    # Lines keep their place in the file's offset order, and chunks of any size are split between tasks.
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(roots).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-    lines = lines.withColumn("m", F.from_json("value", QQ_MESSAGE)).filter("m.id is not null")
-    joined = lines.withColumn("folder", folder()).join(F.broadcast(heads), "folder")  # a manifest a folder
-    nth = F.array_position(F.coalesce("listed", F.array().cast("array<string>")), name)
-    unlisted = (nth == 0).cast("int")
-    order = Window.partitionBy("folder").orderBy(unlisted, nth, natural_key(name), "path", "block", "at")
-    return _qq(joined.withColumn("position", F.row_number().over(order) - 1))
+    """Exports of a manifest and JSON-lines chunks, given by their folders or manifests.
+
+    Chunks of any size are split between tasks; a message's position is the number of messages before its block, from
+    sums by block, and its place in the block.
+    """
+    roots = [root] if isinstance(root, str) else list(root)
+    every = chunks(spark, [r if r.lower().endswith(".json") else f"{r.rstrip('/')}/manifest.json" for r in roots])
+    sound = [r["chunk"] for r in every.filter("error is null").select("chunk").distinct().collect()]  # paths, as Spark itself lists them
+    lines = spark.read.text(sound) if sound else spark.createDataFrame([], "value string")
+    place = [F.col("_metadata.file_path").alias("chunk"), F.col("_metadata.file_block_start").alias("block")] if sound else [F.lit("").alias("chunk"), F.lit(0).cast("bigint").alias("block")]
+    lines = lines.select(*place, F.monotonically_increasing_id().alias("at"), F.from_json("value", QQ_MESSAGE).alias("m")).filter("m.id is not null")
+    declared = every.filter("error is null").select("path", "chatInfo", "nth", "chunk")
+    sizes = lines.groupBy("chunk", "block").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(declared.select("path", "nth", "chunk")), "chunk")  # a row a file
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("path").orderBy("nth", "block")) - F.col("n")).select("path", "chunk", "block", "before")
+    inside = lines.withColumn("place", F.row_number().over(Window.partitionBy("chunk", "block").orderBy("at")) - 1)
+    rows = inside.join(F.broadcast(before), ["chunk", "block"]).join(F.broadcast(declared.select("path", "chatInfo").distinct()), "path")
+    rows = rows.select("path", F.lit(None).cast(S).alias("error"), "chatInfo", (F.col("before") + F.col("place")).alias("position"), "m")
+    empty = every.join(rows.select("path").distinct(), "path", "left_anti").groupBy("path").agg(F.coalesce(F.max("error"), F.lit("no messages")).alias("error"), F.first("chatInfo").alias("chatInfo"))
+    return _qq(rows.unionByName(empty.select("path", "error", "chatInfo", F.lit(None).cast("bigint").alias("position"), F.lit(None).cast(QQ_MESSAGE).alias("m"))))
 
 
 def natural_key(name: Column) -> Column:
@@ -131,81 +231,171 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.ltrim(p, F.lit("0")), 18, "0")).otherwise(p)), "")
 
 
-WECHAT_MESSAGE = _strings(
-    "localId", "platformMessageId", "createTime", "type", "localType", "content", "isSend", "senderUsername", "senderDisplayName", "senderID", "source", "mediaType", "replyToMessageId", "quotedContent", "linkTitle", "linkUrl",
-    "locationLabel", "musicTitle", "finderTitle",
-)
-SEARCHED = ("quotedContent", "linkTitle", "linkUrl", "locationLabel", "musicTitle", "finderTitle")
+#: Fields that are searched, that hold paths, and that name what a message answers.
+WEFLOW_SEARCHED = ("quotedContent", "linkTitle", "linkUrl", "appMsgDesc", "appMsgSourceName", "locationLabel", "locationPoiname", "musicTitle", "finderTitle")
+LAB_SEARCHED = (*WEFLOW_SEARCHED, "title", "description", "summary", "address", "poiName")
+PATHS = ("mediaPath", "filePath", "imagePath", "voicePath", "videoPath", "resourcePath", "localPath", "path")
+MEDIA_PATHS = ("path", "localPath", "filePath", "url")
+REPLIES = ("replyToMessageId", "quotedSvrid", "replyToId", "replyTo")
+ANSWERED = ("sourceMessageId", "platformMessageId", "messageId", "id", "localId")
+EMPTY = "[空消息]"
 SESSION = _strings("wxid", "id", "chatId", "sessionId", "nickname", "remark", "displayName", "type", "ownerId", "isGroup")
+WECHAT_MESSAGE = _strings("localId", "platformMessageId", "createTime", "type", "localType", "content", "isSend", "senderUsername", "senderDisplayName", "senderID", "senderId", "replyToMessageId", "quotedSvrid", *WEFLOW_SEARCHED)
+#: Names under which the other formats keep a message's fields, the first that is not empty counts.
+LAB = {
+    "sender": ("sender", "senderUsername", "senderWxid", "senderNativeId", "senderId"), "name": ("accountName", "senderDisplayName", "senderNickname", "senderName", "name", "nickname", "displayName", "groupNickname"),
+    "time": ("timestamp", "createTime", "time"), "local": ("localId", "localID", "msgLocalId"), "native": ("id", "platformMessageId", "messageId", "msgId", "svrid"), "size": ("fileSize", "size"), "width": ("imageWidth", "width"),
+    "height": ("imageHeight", "height"), "duration": ("voiceDuration", "duration"),
+}
+CIPHER = LAB | {
+    "sender": ("senderUsername", "senderWxid", "senderNativeId", "senderId", "sender"), "name": ("senderDisplayName", "senderNickname", "senderName"), "time": ("createTime", "timestamp", "time"),
+    "native": ("platformMessageId", "messageId", "msgId", "id", "svrid"),
+}
+_NAMES = dict.fromkeys(["_type", "type", "localType", "content", "isSend", "is_send", "isOutgoing", "direction", "isSystem", "recalled", "isRecalled", "groupNickname", "url", *(n for names in (*LAB.values(), LAB_SEARCHED, PATHS, REPLIES) for n in names)])
+_QUOTED = _strings(*ANSWERED, "content", "text")
+LAB_MESSAGE = D.StructType([*_strings(*_NAMES).fields, *_struct(media=_strings(*MEDIA_PATHS), quote=_QUOTED, reply=_QUOTED).fields])
+LAB_META = _strings("name", "platform", "type", "groupId", "id", "ownerId")
+MEMBER = _strings("platformId", "accountName", "username", "name", "nickname", "groupNickname", "groupCard", "card", "displayName", "remark", "alias")
 
 
-def _wechat(frame: DataFrame, session: Column, sender: Column, name: Column, account: Column, group: Column) -> DataFrame:
-    m = F.col("m")
-    content = T.clean(m["content"])
-    kind = K.media_first_type(m["mediaType"], m["localType"], m["type"], content)
-    own = T.as_bool(m["isSend"])
-    searched = F.array_join(T.unique_list(content, *(m[f] for f in SEARCHED)), "\n")
-    return _messages(
-        frame, path=F.col("path"), platform=F.lit("wechat"), account_id=account, conversation_id=T.first_non_empty(session["wxid"], session["id"], session["chatId"], session["sessionId"]), kind=F.when(group, "group").otherwise("private"),
-        title=T.first_non_empty(T.clean(session["remark"]), T.clean(session["displayName"]), T.clean(session["nickname"]), session["wxid"]), position=F.col("position"), native_id=_or_null(m["platformMessageId"]),
-        local_id=_or_null(m["localId"]), timestamp_ms=T.seconds_or_millis(T.as_long(m["createTime"])), sender_id=sender, sender_name=F.when(own, K.SELF_NAME).otherwise(T.first_non_empty(T.clean(name), sender)),
-        direction=K.direction(kind, own), message_type=kind, content=content, search_text=searched, reply_to=_or_null(m["replyToMessageId"]), is_recalled=K.recalled(kind, content),
-    )
+def _first(of: Column, names: tuple[str, ...]) -> Column:
+    return T.pick(*(T.clean(of[n]) for n in names))
+
+
+def _normalised(frame: DataFrame, raw: Column, sender: Column) -> DataFrame:
+    """``frame`` with ``_raw`` (the content, or a word for none), ``_xml`` (what XML says, if it is such) and ``_content`` (as it is shown)."""
+    own = frame.withColumn("_raw", T.pick(T.clean(raw), F.lit(EMPTY)))
+    own = own.withColumn("_bare", T.pick(T.clean(P.without_sender_prefix(F.col("_raw"), sender)), F.lit(EMPTY)))
+    return own.withColumn("_xml", P.xml_summary(F.col("_bare"))).withColumn("_content", F.coalesce("_xml.summary", "_bare"))
+
+
+def _searched(content: Column, more: Column, fields: list[Column]) -> Column:
+    return F.array_join(T.unique_list(content, *fields) if more is None else F.array_distinct(F.filter(F.flatten(F.array(F.array(content), F.split(F.coalesce(more, F.lit("")), "\n"), F.array(*fields))), lambda x: F.length(x) > 0)), "\n")
+
+
+def own_senders(rows: DataFrame, sender: str = "_sender", own: str = "_own") -> DataFrame:
+    """(path, self): who a file's own messages mostly come from, of those seen at least twice; of equals the one first seen twice.
+
+    In a private chat with several such senders the other side's id does not count. Sums by (file, sender), not windows.
+    """
+    mine = rows.filter(F.col(own) & (F.length(sender) > 0)).select("path", "position", F.col(sender).alias("candidate"), (F.col("_private") & (F.col(sender) == F.col("_chat"))).alias("other"))
+    counted = mine.groupBy("path", "candidate").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("first"), F.max("other").alias("other"))
+    again = mine.drop("other").join(counted.select("path", "candidate", "first"), ["path", "candidate"]).filter("position > first").groupBy("path", "candidate").agg(F.min("position").alias("second"))
+    many = counted.groupBy("path").agg(F.count(F.lit(1)).alias("senders"))
+    kept = counted.join(again, ["path", "candidate"]).join(many, "path").filter(~(F.col("other") & (F.col("senders") > 1)))
+    return kept.groupBy("path").agg(F.min_by("candidate", F.struct((-F.col("n")).alias("n"), "second")).alias("self"))
 
 
 def weflow_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Both layouts: senders named on each message, or numbered and listed once."""
     people = D.ArrayType(_strings("senderID", "wxid", "displayName", "nickname", "groupNickname"))
-    files = _json(spark, path, _struct(weflow=_strings("version"), session=SESSION, senders=people, messages=D.ArrayType(WECHAT_MESSAGE))).filter("weflow is not null and session.wxid is not null")
-    rows = files.select("path", "session", "senders", F.posexplode("messages").alias("position", "m")).withColumn("who", F.try_element_at(F.filter(F.coalesce("senders", F.array()), lambda s: s["senderID"] == F.col("m.senderID")), F.lit(-1)))
-    sender = T.first_non_empty(F.col("m.senderUsername"), F.col("who.wxid"))
-    name = T.first_non_empty(F.col("m.senderDisplayName"), F.col("who.groupNickname"), F.col("who.displayName"), F.col("who.nickname"))
-    session = F.col("session")
-    return _wechat(rows, session, sender, name, F.lit("wechat-default"), F.contains(session["wxid"], F.lit("@chatroom")) | (session["type"] == "群聊"))
+    files = _json(spark, path, _struct(weflow=_strings("version"), session=SESSION, senders=people, messages=D.ArrayType(WECHAT_MESSAGE)))
+    return _weflow(_exploded(files, F.col("weflow").isNotNull() & F.col("session.wxid").isNotNull(), "session", "senders"))
+
+
+def _weflow(rows: DataFrame) -> DataFrame:
+    """Rows (path, session, senders, position, m)."""
+    m, session, who = F.col("m"), F.col("session"), F.col("who")
+    number = F.coalesce(m["senderID"], m["senderId"])
+    rows = rows.withColumn("who", F.try_element_at(F.filter(F.coalesce("senders", F.array()), lambda s: s["senderID"] == number), F.lit(-1)))
+    wxid = T.clean(session["wxid"])
+    group = F.contains(F.coalesce(session["type"], F.lit("")), F.lit("群")) | wxid.endswith("@chatroom")
+    rows = rows.withColumns({"_sender": T.pick(T.clean(m["senderUsername"]), T.clean(who["wxid"])), "_own": T.as_bool(m["isSend"]), "_private": ~group, "_chat": wxid})
+    rows = _normalised(rows, m["content"], F.col("_sender")).join(own_senders(rows), "path", "left")
+    raw, content, own, me = F.col("_raw"), F.col("_content"), F.col("_own"), F.col("self")
+    title = T.pick(T.clean(session["remark"]), T.clean(session["displayName"]), T.clean(session["nickname"]), P.title_from_path(F.col("path"), wxid))
+    named = T.pick(T.clean(m["senderDisplayName"]), T.clean(who["displayName"]), T.clean(who["groupNickname"]), T.clean(who["nickname"]))
+    sender = F.when(own & me.isNotNull(), me).otherwise(T.pick(F.col("_sender"), F.lit("unknown")))
+    label, local = T.clean(m["type"]), m["localType"]
+    media = K.weflow_media(label)
+    first = K.weflow_type(media, local, raw)
+    old = F.coalesce(K.weflow_label(label), first)
+    kind = F.coalesce(F.col("_xml.kind"), old)
+    fields = [F.coalesce(m[f], F.lit("")) for f in WEFLOW_SEARCHED]
+    facts = {
+        "local_type": T.local_type_text(local), "media_type": media, "raw_content": raw, "old_direction": K.direction(old, own), "old_type": old, "old_search": _searched(raw, None, fields),
+        "first_sender": F.when(F.col("_sender") != "", F.col("_sender")).when(own & me.isNotNull(), me).otherwise("unknown"), "first_direction": K.direction(first, own),
+    }
+    name = F.when(own, K.SELF_NAME).otherwise(T.pick(named, F.when(~group, title), sender))
+    aliases = F.array(name, named, T.clean(who["displayName"]), T.clean(who["groupNickname"]), T.clean(who["nickname"]), sender)
+    return _messages(
+        rows, "wechat", facts, M.weflow_attachment(label, media, content, kind), F.when(own, F.array(name, sender)).otherwise(aliases), path=F.col("path"), platform=F.lit("wechat"), account_id=F.lit("wechat-default"), conversation_id=wxid,
+        kind=F.when(group, "group").otherwise("private"), title=title, position=F.col("position"), native_id=_or_null(T.clean(m["platformMessageId"])), local_id=_or_null(T.clean(m["localId"])),
+        timestamp_ms=T.seconds_or_millis(T.as_long(m["createTime"])), sender_id=sender, sender_name=name, direction=K.direction(kind, own), message_type=kind, content=content,
+        search_text=_searched(content, F.col("_xml.search"), fields), reply_to=_or_null(_first(m, ("replyToMessageId", "quotedSvrid"))), is_recalled=K.recalled(kind, content),
+    )
+
+
+def _lab(rows: DataFrame, names: dict[str, tuple[str, ...]], me: Column, platform: Column, account: Column, chat: Column, group: Column, title: Column, who: Column | None, by_integer: bool) -> DataFrame:
+    """Messages of the two formats that keep their fields under several names: rows (path, position, m, ...)."""
+    m, own_name = F.col("m"), F.lower(T.clean(me))
+    exported = _first(m, names["sender"])
+    own = T.as_bool(m["isSend"])
+    if by_integer:
+        own = own | T.as_bool(m["is_send"]) | T.as_bool(m["isOutgoing"]) | (F.lower(T.clean(m["direction"])) == "outgoing") | ((own_name != "") & (F.lower(exported) == own_name))
+    rows = _normalised(rows.withColumn("_own", F.coalesce(own, F.lit(False))), m["content"], exported)
+    raw, content, own = F.col("_raw"), F.col("_content"), F.col("_own")
+    kind = F.coalesce(F.col("_xml.kind"), K.message_type(m["type"] if by_integer else None, m["localType"], m["type"], raw))
+    system = (kind == "system") | (T.as_bool(m["isSystem"]) if by_integer else F.lit(False))
+    recalled = system & (F.contains(content, F.lit(K.RECALL)) | F.contains(raw, F.lit(K.RECALL)))
+    recalled = recalled | T.as_bool(m["recalled"]) | T.as_bool(m["isRecalled"]) if by_integer else recalled
+    sender = F.when(own & (T.clean(me) != ""), T.clean(me)).otherwise(T.pick(exported, F.lit("unknown")))
+    named, none = _first(m, names["name"]), F.lit("")
+    in_group, shown, member = (_first(who, k) if who is not None else none for k in (("groupNickname", "groupCard", "card"), ("displayName", "remark", "alias"), ("accountName", "username", "name", "nickname")))
+    name = F.when(own, T.pick(named, shown, in_group, member, F.lit(K.SELF_NAME))).otherwise(T.pick(in_group, T.clean(m["groupNickname"]) if by_integer else none, shown, member, named, F.when(~group, title), sender))
+    reply = T.pick(_first(m, REPLIES), _first(m["quote"], ANSWERED), _first(m["reply"], ANSWERED))
+    fields = [F.coalesce(x, none) for x in (*(m[f] for f in LAB_SEARCHED), m["quote"]["content"], m["quote"]["text"], m["reply"]["content"], m["reply"]["text"])]
+    candidates = M.candidates(kind, content, raw, [*(m[p] for p in ((*PATHS, "url") if by_integer else PATHS)), *(m["media"][p] for p in MEDIA_PATHS)])
+    attachment = M.lab_attachment(kind, candidates, T.as_long(_first(m, names["size"])), T.clamp_int(_first(m, names["width"])), T.clamp_int(_first(m, names["height"])), T.as_double(_first(m, names["duration"])))
+    media = F.when(kind.isin("image", "audio", "video", "file", "emoji"), kind) if by_integer else F.lit(None).cast(S)
+    local = F.coalesce(m["localType"], m["type"]) if by_integer else m["localType"]
+    return _messages(
+        rows, "lab", {"local_type": T.local_type_text(local), "media_type": media}, attachment, F.array(name, named, shown, in_group, member, sender), path=F.col("path"), platform=platform, account_id=account, conversation_id=chat,
+        kind=F.when(group, "group").otherwise("private"), title=title, position=F.col("position"), native_id=_or_null(_first(m, names["native"])), local_id=_or_null(_first(m, names["local"])),
+        timestamp_ms=T.seconds_or_millis(F.coalesce(*(T.as_long(m[n]) for n in names["time"]))), sender_id=sender, sender_name=name, direction=F.when(system, "system").otherwise(K.direction(kind, own)), message_type=kind, content=content,
+        search_text=_searched(content, F.col("_xml.search"), fields), reply_to=_or_null(reply), is_recalled=recalled,
+    )
 
 
 def ciphertalk_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    files = _json(spark, path, _struct(exportInfo=_strings("version", "generator", "format"), session=SESSION, messages=D.ArrayType(WECHAT_MESSAGE)))
-    files = files.filter((F.col("exportInfo.generator") == "CipherTalk") | (F.col("exportInfo.format") == "detailed-json"))
-    rows = files.select("path", "session", F.posexplode("messages").alias("position", "m"))
-    session = F.col("session")
-    return _wechat(rows, session, T.first_non_empty(F.col("m.senderUsername")), F.col("m.senderDisplayName"), T.first_non_empty(session["ownerId"], F.lit("wechat-default")), T.as_bool(session["isGroup"]) | F.contains(session["wxid"], F.lit("@chatroom")))
+    files = _json(spark, path, _struct(exportInfo=_strings("version", "generator", "format"), session=SESSION, messages=D.ArrayType(LAB_MESSAGE)))
+    known = (F.col("exportInfo.generator") == "CipherTalk") | (F.col("exportInfo.format") == "detailed-json")
+    return _ciphertalk(_exploded(files, F.coalesce(known, F.lit(False)), "session"))
 
 
-LAB_MESSAGE = _strings("_type", "sender", "accountName", "groupNickname", "timestamp", "type", "localType", "content", "platformMessageId", "replyToMessageId", "platformId")
-LAB_META = _strings("name", "platform", "type", "groupId", "id", "ownerId")
+def _ciphertalk(rows: DataFrame) -> DataFrame:
+    s = F.col("session")
+    chat = _first(s, ("wxid", "id", "chatId", "sessionId"))
+    group = T.as_bool(s["isGroup"]) | F.contains(chat, F.lit("@chatroom")) | F.contains(F.coalesce(s["type"], F.lit("")), F.lit("群"))
+    rows = rows.withColumns({"_sender": _first(F.col("m"), CIPHER["sender"]), "_own": T.as_bool(F.col("m.isSend")), "_private": ~group, "_chat": chat})
+    rows = rows.join(own_senders(rows), "path", "left").drop("_own")
+    title = T.pick(T.clean(s["remark"]), T.clean(s["displayName"]), T.clean(s["nickname"]), P.title_from_path(F.col("path"), chat))
+    return _lab(rows, CIPHER, F.col("self"), F.lit("wechat"), T.pick(T.clean(s["ownerId"]), F.lit("wechat-default")), chat, group, title, None, False)
 
 
 def _chatlab(rows: DataFrame) -> DataFrame:
     """Rows (path, meta, members, position, m); senders are looked up without case, the last member counts."""
-    m, meta = F.col("m"), F.col("meta")
-    member = F.try_element_at(F.filter(F.coalesce("members", F.array()), lambda p: F.lower(p["platformId"]) == F.lower(F.col("m.sender"))), F.lit(-1))
-    rows = rows.withColumn("who", member)
-    content = T.clean(m["content"])
-    kind = K.message_type(m["type"], m["localType"], m["type"], content)
-    own = F.lower(m["sender"]) == F.lower(meta["ownerId"])
-    platform = F.when(F.lower(meta["platform"]) == "qq", "qq").otherwise("wechat")
-    return _messages(
-        rows, path=F.col("path"), platform=platform, account_id=T.first_non_empty(meta["ownerId"], F.concat(platform, F.lit("-default"))), conversation_id=T.first_non_empty(meta["groupId"], meta["id"], meta["name"]),
-        kind=F.when(meta["type"] == "group", "group").otherwise("private"), title=T.first_non_empty(T.clean(meta["name"]), meta["groupId"]), position=F.col("position"), native_id=_or_null(m["platformMessageId"]),
-        timestamp_ms=T.seconds_or_millis(T.as_long(m["timestamp"])), sender_id=T.first_non_empty(m["sender"]), sender_name=T.first_non_empty(m["groupNickname"], F.col("who.groupNickname"), m["accountName"], F.col("who.accountName"), m["sender"]),
-        direction=K.direction(kind, own), message_type=kind, content=content, reply_to=_or_null(m["replyToMessageId"]), is_recalled=K.recalled(kind, content),
-    )
+    meta = F.col("meta")
+    sender = F.lower(_first(F.col("m"), LAB["sender"]))
+    rows = rows.withColumn("who", F.try_element_at(F.filter(F.coalesce("members", F.array()), lambda p: F.lower(p["platformId"]) == sender), F.lit(-1)))
+    platform = F.when(F.lower(T.clean(meta["platform"])) == "qq", "qq").otherwise("wechat")
+    owner, chat = T.clean(meta["ownerId"]), T.pick(T.clean(meta["groupId"]), T.clean(meta["id"]), T.clean(meta["name"]))
+    group = (F.lower(T.clean(meta["type"])) == "group") | F.contains(F.coalesce(meta["type"], F.lit("")), F.lit("群")) | chat.endswith("@chatroom") | ((T.clean(meta["groupId"]) != "") & (F.lower(T.clean(meta["type"])) != "private"))
+    return _lab(rows, LAB, owner, platform, T.pick(owner, F.concat(platform, F.lit("-default"))), chat, F.coalesce(group, F.lit(False)), T.pick(T.clean(meta["name"]), chat), F.col("who"), True)
 
 
 def chatlab_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    files = _json(spark, path, _struct(chatlab=_strings("version"), meta=LAB_META, members=D.ArrayType(_strings("platformId", "accountName", "groupNickname")), messages=D.ArrayType(LAB_MESSAGE)))
-    return _chatlab(files.filter("chatlab.version = '0.0.2'").select("path", "meta", "members", F.posexplode("messages").alias("position", "m")))
+    files = _json(spark, path, _struct(chatlab=_strings("version"), meta=LAB_META, members=D.ArrayType(MEMBER), messages=D.ArrayType(LAB_MESSAGE)))
+    return _chatlab(_exploded(files, F.col("chatlab.version") == "0.0.2", "meta", "members"))
 
 
 def chatlab_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines tagged header, member or message; blank and malformed lines are skipped."""
-    line = _struct(_type=S, chatlab=_strings("version"), meta=LAB_META)
+    head = _struct(_type=S, chatlab=_strings("version"), meta=LAB_META)
     lines = F.filter(F.split("text", "\r?\n"), lambda x: F.trim(x) != "")
-    files = whole(spark, path).withColumn("lines", lines).withColumn("head", F.from_json(F.try_element_at("lines", F.lit(1)), line)).filter("head._type = 'header' and head.chatlab.version = '0.0.2'")
-    parsed = files.withColumn("all", F.transform("lines", lambda x: F.from_json(x, LAB_MESSAGE)))
-    members = F.filter("all", lambda x: x["_type"] == "member")
-    rows = parsed.select("path", F.col("head.meta").alias("meta"), members.alias("members"), F.posexplode(F.filter("all", lambda x: x["_type"] == "message")).alias("position", "m"))
+    files = whole(spark, path).withColumn("lines", lines).withColumn("head", F.from_json(F.try_element_at("lines", F.lit(1)), head)).filter("head._type = 'header' and head.chatlab.version = '0.0.2'")
+    tagged = lambda tag, of: F.filter(F.transform("lines", lambda x: F.from_json(x, of)), lambda x: x["_type"] == tag)
+    rows = files.select("path", F.col("head.meta").alias("meta"), tagged("member", D.StructType([*MEMBER.fields, D.StructField("_type", TEXT)])).alias("members"), F.posexplode(tagged("message", LAB_MESSAGE)).alias("position", "m"))
     return _chatlab(rows)
 
 
@@ -216,8 +406,11 @@ CSV_HEADER = ["id", "MsgSvrID", "type_name", "is_sender", "talker", "msg", "src"
 
 def weflow_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """RFC 4180 with embedded line breaks; a file is one private conversation."""
-    rows = spark.read.csv(path, schema=_strings(*CSV_HEADER), header=True, multiLine=True, quote='"', escape='"', enforceSchema=False, mode="PERMISSIVE")
-    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("position"), "*")
+    reader = spark.read.option("columnPruning", "false")  # whatever is asked of a file, its header is checked as a whole
+    rows = reader.csv(path, schema=_strings(*CSV_HEADER), header=True, multiLine=True, quote='"', escape='"', enforceSchema=False, mode="PERMISSIVE")
+    # A file lies in one task as a whole, so its rows have consecutive numbers there.
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), "*")
+    rows = rows.join(rows.groupBy("path").agg(F.min("at").alias("first")), "path").withColumn("position", F.col("at") - F.col("first"))
     native = X.file_native_id(F.col("path"))
     kind = K.csv_type(F.coalesce("type_name", F.lit("")))
     return _messages(
@@ -354,18 +547,21 @@ def ciphertalk_sql(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 # Spreadsheets
 
-SHEET_ROWS = "path string, sheet string, row int, cells map<string,string>"
+SHEET_ROWS = "path string, sheet string, row int, cells map<string,string>, error string"
 
 
 def sheet_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, sheet, row, cells by column letters) of every workbook, a file at a time in tasks."""
-    from threadlake.sources.workbook import rows_of
+    """(path, sheet, row, cells by column letters, error) of every workbook, a file at a time in tasks; a bad workbook is one row with an error."""
+    from threadlake.sources.workbook import WorkbookError, rows_of
 
     def run(frames):
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"], strict=True):
-                found = list(rows_of(bytes(content)))
-                yield pd.DataFrame({"path": [name] * len(found), "sheet": [r[0] for r in found], "row": [r[1] for r in found], "cells": [r[2] for r in found]})
+                try:
+                    found = [(name, *r, None) for r in rows_of(bytes(content))]
+                except WorkbookError as e:
+                    found = [(name, None, None, None, str(e))]
+                yield pd.DataFrame(found, columns=["path", "sheet", "row", "cells", "error"]).astype({"row": "Int32"})
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, SHEET_ROWS)
@@ -451,49 +647,132 @@ def register(name: str, extension: str, reader) -> None:
     READERS[name] = (extension, reader)
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, extension) of the files below a folder that may be exports, in order of their lower-case path.
+#: Bytes of a file's head by which its format is known.
+HEAD_BYTES = 65536
+FILES = "path string, size long, extension string, reader string, error string"
+#: What a file's head must show for each reader (all of it), beside its extension.
+MARKS = {
+    "qq_json": (r"(?is)\"name\"\s*:\s*\"[^\"]*QQChatExporter", r"\"chatInfo\""), "weflow_json": (r"\"weflow\"\s*:\s*\{", r"\"session\"\s*:\s*\{"),
+    "ciphertalk_json": (r"\"exportInfo\"\s*:\s*\{", r"\"generator\"\s*:\s*\"CipherTalk\"|\"format\"\s*:\s*\"detailed-json\""), "chatlab_json": (r"\"chatlab\"\s*:\s*\{[^}]*\"version\"\s*:\s*\"0\.0\.2\"", r"\"meta\"\s*:\s*\{"),
+    "chatlab_jsonl": (r"^\s*\{[^\n]*\"_type\"\s*:\s*\"header\"", r"^[^\n]*\"version\"\s*:\s*\"0\.0\.2\""), "weflow_csv": ("^\"?" + "\"?,\"?".join(CSV_HEADER) + "\"?\\s*(?:\\r?\\n|$)",),
+    "weflow_markdown": (r"(?m)^- 导出工具: WeFlow\s*$", r"(?m)^- 会话ID: "), "qq_text": (r"^\[QQChatExporter V5 ", r"(?m)^聊天名称: "), "weflow_text": (rf"^{STAMP} '.*'\r?\n",), "weflow_sql": (r"(?is)INSERT\s+INTO\s+weflow_messages|CREATE\s+TABLE[^;]*weflow_messages",),
+    "ciphertalk_sql": (r"(?is)(?:INSERT\s+INTO|CREATE\s+TABLE(?:\s+IF\s+NOT\s+EXISTS)?)\s+sessions\b",),
+}
 
-    Chunks beside a manifest are left to it; an empty folder gives no rows.
-    """
-    try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"))
-    except AnalysisException:
-        return spark.createDataFrame([], "path string, size long, extension string")
-    parts = F.split(F.lower(F.substring(F.col("path"), F.length(F.lit(root.rstrip("/"))) + 1, F.length("path"))), "/")
-    extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    inside = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: p.isin(*SKIPPED))
-    return files.withColumn("extension", extension).filter(F.col("extension").isin(*EXTENSIONS) & ~F.exists(inside, lambda x: x)).orderBy(F.lower("path"))
+
+def _paths(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """(path, size, content) of every file below the roots; a root that is not there gives none."""
+    roots = [root] if isinstance(root, str) else list(root)
+    found = spark.createDataFrame([], "path string, size long, content binary")
+    for r in roots:
+        try:
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(r)
+        except AnalysisException:
+            continue
+        found = found.unionByName(files.select("path", F.col("length").alias("size"), "content"))
+    return found
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A root as Spark names the files below it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString().rstrip("/")
+
+
+def _below(spark: SparkSession, path: Column, roots: list[str]) -> Column:
+    """The part of a path below the root that it lies in."""
+    out = path
+    for r in sorted((_qualified(spark, r) for r in roots), key=len):
+        out = F.when(path.startswith(r + "/"), F.substr(path, F.lit(len(r) + 2))).otherwise(out)
+    return out
 
 
-def read_all(spark: SparkSession, root: str) -> DataFrame:
-    """All messages below a folder: each reader takes the files of its extension that bear its markers, wherever they lie.
+def discover(spark: SparkSession, root: str | list[str], excluded: tuple[str, ...] = ()) -> DataFrame:
+    """(path, size, extension) of the files below the folders that may be exports, in order of their lower-case path.
 
-    Of several readers that know a file the first in the registry takes it. The driver lists files, as Spark itself does.
+    Folders of media below a root are left out (the root itself may have any name), as are the excluded ones; an empty
+    folder gives no rows.
     """
-    files: dict[str, list[str]] = {}
-    for r in discover(spark, root).collect():
-        files.setdefault(r["extension"], []).append(r["path"])
-    manifests = [p[: -len("/manifest.json")] for p in files.get("json", []) if p.lower().endswith("/manifest.json")]
-    out = spark.createDataFrame([], READ)
-    if manifests:
-        out = out.unionByName(qq_chunked(spark, manifests).withColumn("reader", F.lit(-1)))
-    for nth, (extension, reader) in enumerate(READERS.values()):
-        own = [p for p in files.get(extension, []) if not p.lower().endswith("/manifest.json")]
-        if own:
-            out = out.unionByName(reader(spark, own).withColumn("reader", F.lit(nth)).withColumn("position", F.col("position").cast("long")))
-    first = out.groupBy("path").agg(F.min("reader").alias("reader"))
-    return out.join(first, ["path", "reader"], "left_semi").drop("reader")
+    roots = [root] if isinstance(root, str) else list(root)
+    files = _paths(spark, roots).select("path", "size").dropDuplicates(["path"])
+    parts = F.split(F.lower(_below(spark, F.col("path"), roots)), "/")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    out = F.lit(False)
+    for e in excluded:
+        out = out | F.col("path").startswith(_qualified(spark, e) + "/") | (F.col("path") == _qualified(spark, e))
+    kept = files.withColumn("extension", extension).filter(F.col("extension").isin(*EXTENSIONS) & ~F.exists(folders, lambda p: p.isin(*SKIPPED)) & ~out)
+    return kept.select("path", "size", "extension").orderBy(F.lower("path"))
+
+
+def _workbook_readers(files: DataFrame) -> DataFrame:
+    """(path, reader, error) of workbooks (path, content), by the headers of their sheets."""
+    from threadlake.sources.workbook import WorkbookError, rows_of
+
+    def one(content: bytes) -> tuple[str | None, str | None]:
+        try:
+            for sheet, row, cells in rows_of(content):
+                values = [cells.get(_letters(k), "") for k in range(len(cells))]
+                for name, layouts in SHEETS.items():
+                    if row <= (1 if name == "ciphertalk" else 20) and (name == "ciphertalk" or sheet == MESSAGE_SHEET) and any(values[: len(x)] == x for x in layouts):
+                        return f"{name}_sheet", None
+        except WorkbookError as e:
+            return None, str(e)
+        return None, None
+
+    def run(frames):
+        for frame in frames:
+            found = [one(bytes(c)) for c in frame["content"]]
+            yield pd.DataFrame({"path": frame["path"], "reader": [f[0] for f in found], "error": [f[1] for f in found]})
 
+    return files.mapInPandas(run, "path string, reader string, error string")
 
-def unescape_names(names: Column) -> Column:
-    """File names with HTML entities decoded; the entity table is Python's, so batches go through pandas."""
 
-    @F.pandas_udf("string")
-    def decode(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else html.unescape(x))
+def sniffed(spark: SparkSession, root: str | list[str], excluded: tuple[str, ...] = ()) -> DataFrame:
+    """(path, size, extension, reader, error) of the exports below the folders: the first reader in the registry whose marks a file bears in its first or last 64 KiB.
 
-    return decode(names)
+    Files that bear none are left out, those that cannot be told (no workbook, no JSON) have an error and no reader. What
+    a chunked export's manifest declares, and its folder ``chunks``, belongs to the manifest. Each file is looked at once.
+    """
+    files = discover(spark, root, excluded)
+    contents = _paths(spark, root).join(files.select("path", "extension"), "path")
+    # cast, not decode: the cut may lie within a letter
+    text = lambda raw: F.make_valid_utf8(raw.cast(S))
+    head = F.regexp_replace(text(F.substring("content", 1, HEAD_BYTES)), "^\ufeff", "")
+    tail = F.when(F.col("size") > HEAD_BYTES, text(F.substring("content", -HEAD_BYTES, HEAD_BYTES))).otherwise("")
+    plain = contents.filter("extension <> 'xlsx'").select("path", "extension", head.alias("head"), F.concat(head, tail).alias("ends"))
+    reader = F.lit(None).cast(S)
+    for name, (extension, _) in reversed(READERS.items()):
+        marks = MARKS.get(name, (("(?s)",) if extension != "xlsx" else ()))
+        if marks:
+            fits = F.col("extension") == extension
+            for k, mark in enumerate(marks):
+                fits = fits & F.col("ends" if extension == "json" else "head").rlike(mark)
+            reader = F.when(fits, name).otherwise(reader)
+    reader = F.when((F.lower(F.regexp_extract("path", "([^/]+)$", 1)) == "manifest.json") & F.col("ends").rlike(MARKS["qq_json"][0]) & F.col("ends").rlike(MARKS["qq_json"][1]), "qq_chunked").otherwise(reader)
+    told = plain.select("path", reader.alias("reader"), F.when((F.col("extension") == "json") & ~F.col("head").rlike(r"^\s*[\[{]"), "malformed JSON").alias("error"))
+    told = told.unionByName(_workbook_readers(contents.filter("extension = 'xlsx'").select("path", "content"))).filter("reader is not null or error is not null")
+    rows = files.join(told, "path").select(*(c.split()[0] for c in FILES.split(", "))).collect()  # the driver lists files, as Spark itself does
+    chunked = [r["path"] for r in rows if r["reader"] == "qq_chunked"]
+    own = {r["chunk"] for r in manifests(spark, chunked).filter("chunk is not null").select("chunk").distinct().collect()} if chunked else set()
+    folders = tuple(p.rsplit("/", 1)[0] + "/chunks/" for p in chunked)
+    kept = [r for r in rows if r["path"] not in own and not r["path"].startswith(folders or ("\0",))]
+    return spark.createDataFrame(sorted(kept, key=lambda r: r["path"].lower()), FILES)
+
+
+def read_all(spark: SparkSession, root: str | list[str], excluded: tuple[str, ...] = (), files: DataFrame | None = None) -> DataFrame:
+    """All messages below the folders (or of ``files``, as ``sniffed`` gives them): each file goes to its one reader. Files that cannot be read are rows with an error."""
+    files = sniffed(spark, root, excluded) if files is None else files
+    by_reader: dict[str | None, list[str]] = {}
+    for r in files.select("path", "reader", "error").collect():
+        by_reader.setdefault(r["reader"] if not r["error"] else None, []).append(r["path"])
+    out = spark.createDataFrame([], READ)
+    for name, paths in by_reader.items():
+        if name is not None:
+            found = (qq_chunked if name == "qq_chunked" else READERS[name][1])(spark, paths)
+            out = out.unionByName(found.withColumn("position", F.col("position").cast("long")), allowMissingColumns=True)
+    bad = files.filter("error is not null").select("path", "error")
+    return out.unionByName(bad, allowMissingColumns=True)
 
 
 def valid(messages: DataFrame) -> DataFrame:
@@ -503,5 +782,5 @@ def valid(messages: DataFrame) -> DataFrame:
 
 def rejects(messages: DataFrame) -> DataFrame:
     """(path, position, reason) of rows that cannot."""
-    reason = F.when(F.col("timestamp_ms").isNull(), "no time").when(F.coalesce(F.length("conversation_id"), F.lit(0)) == 0, "no conversation").when(~F.col("direction").isin("incoming", "outgoing", "system"), "unknown direction")
+    reason = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("timestamp_ms").isNull(), "no time").when(F.coalesce(F.length("conversation_id"), F.lit(0)) == 0, "no conversation").when(~F.col("direction").isin("incoming", "outgoing", "system"), "unknown direction")
     return messages.select("path", "position", reason.alias("reason")).filter("reason is not null")
