@@ -53,18 +53,61 @@ def test_activity_windows(spark):
     assert sorted((str(r.start), r.message_type, r.amount) for r in I.activity(rows).collect()) == [("2024-01-01 00:00:00", "a", 2), ("2024-01-01 00:05:00", "b", 1)]
 
 
-def test_xml_summaries():
-    s = P.summarize_xml
-    assert s("plain") is None and s(None) is None and s("<msg") == (P.UNKNOWN, "other", "") and s("<msg/>") == (P.UNKNOWN, "other", "")
-    assert s("<msg><wcpayinfo><receivertitle>T</receivertitle><senderdes>D</senderdes></wcpayinfo></msg>") == ("[微信收款] T - D", "transfer", "微信收款\nT\nD")
-    assert s('<msg username="u@openim"/>') == ("[企业微信名片] u@openim", "contact", "u@openim")
-    assert s("<msg><finderFeed><nickname>N</nickname></finderFeed></msg>")[:2] == ("[视频号] N", "video")
-    assert s("<msg><appmsg><type>8</type></appmsg></msg>")[1] == "emoji" and s("<msg><appmsg><title>a</title><des>a</des></appmsg></msg>")[0] == "[微信分享] a"
-
-
-def test_nested_texts():
-    value = {"text": " a\0 ", "deep": [{"title": True, "x": "no"}, {"content": ["b", 3, None, "https://l"]}]}
-    assert P.searched_texts(value) == ["a", "True", "b", "3"]
+def test_xml_summaries(spark):
+    from pyspark.sql import functions as F
+
+    cases = {
+        None: None, "plain": None, "<msg": (P.UNKNOWN, "other", ""), "<msg/>": (P.UNKNOWN, "other", ""), "<!DOCTYPE x><msg/>": None, "<?xml version='1.0'?><!DOCTYPE m [<!ENTITY e SYSTEM 'file:///etc/passwd'>]><msg>&e;</msg>": (P.UNKNOWN, "other", ""),
+        "<msg><wcpayinfo><receivertitle>T</receivertitle><senderdes>D</senderdes></wcpayinfo></msg>": ("[微信收款] T - D", "transfer", "微信收款\nT\nD"), '<msg username="u@openim"/>': ("[企业微信名片] u@openim", "contact", "u@openim"),
+        "<msg><a><finderFeed><nickname>N</nickname><desc>d</desc></finderFeed></a></msg>": ("[视频号] N\nd", "video", "N\nd"), "<msg><appmsg><type>8</type><title>t</title></appmsg></msg>": ("[动画表情]", "emoji", ""),
+        "  <msg><appmsg><title>a</title><des>a</des></appmsg></msg>": ("[微信分享] a", "link", "a\na"), "<msg><appmsg><title>a &amp; b</title><des> c </des></appmsg></msg>": ("[微信分享] a & b - c", "link", "a & b\nc"),
+    }
+    found = spark.createDataFrame([(c,) for c in cases], "c string").select("c", P.xml_summary(F.col("c")).alias("x")).collect()
+    assert {r.c: tuple(r.x) if r.x else None for r in found} == cases
+
+
+def test_nested_texts(spark):
+    from pyspark.sql import functions as F
+
+    value = {"text": " a\0 ", "deep": [{"title": True, "x": "no"}, {"content": ["b", 3, None, "https://l", "b"]}], "n": {"text": 'say \\"title\\": "x" \n', "summary": '"'}}
+    cases = {json.dumps(value): 'a\nTrue\nb\n3\nsay \\"title\\": "x"\n"', "{broken": "", None: "", '{"text":"' + "x" * 5000 + '"}': "x" * 5000}
+    found = spark.createDataFrame([(c,) for c in cases], "c string").select("c", P.json_texts(F.col("c")).alias("t")).collect()
+    assert {r.c: r.t for r in found} == cases
+
+
+def test_a_writer_that_died_blocks_nobody(spark, tmp_path):
+    archive = Z.Archive(spark, str(tmp_path / "a"))
+    one = spark.createDataFrame([(1, "x")], "id long, t string")
+    archive.commit({"m": one})
+    (tmp_path / "a" / "_versions" / f"{2:020d}.json").write_text("")
+    (tmp_path / "a" / "_versions" / "_half").write_text('{"version": 2, "no')
+    assert archive.version() == 1 and archive.commit({"m": one}, append=("m",)) == 2 and archive.read("m").count() == 2
+
+
+def test_a_changed_cell_is_found(spark, tmp_path):
+    import pytest
+
+    rows = spark.createDataFrame([(1, "x", ["a"]), (2, None, None)], "id long, t string, l array<string>")
+    mine, other = Z.Archive(spark, str(tmp_path / "a")), Z.Archive(spark, str(tmp_path / "b"))
+    mine.commit({"m": rows})
+    assert mine.copy_to(other, ("m",)) == {"m": 2}
+    prints = lambda data: Z.fingerprint(spark.createDataFrame(data, rows.schema)).first()
+    same = prints([(2, None, None), (1, "x", ["a"])])
+    assert same == Z.fingerprint(rows).first()
+    assert prints([(1, None, ["a"]), (2, "x", None)])["row"] != same["row"] and prints([(1, "y", ["a"]), (2, None, None)])["column t"] != same["column t"]
+    other.read = lambda t, version=None: mine.read(t).withColumn("t", F.lit("x"))
+    with pytest.raises(ValueError, match="column t"):
+        mine.copy_to(other, ("m",))
+
+
+def test_replayed_rejects_stay_single(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "1.json").write_text('{"conversation_id": "c", "native_id": "n", "timestamp_ms": 5, "content": "x"}\n{"conversation_id": null, "native_id": "m", "timestamp_ms": 6, "content": "y"}')
+    archive = Z.Archive(spark, str(tmp_path / "archive"))
+    for checkpoint in ("one", "two"):
+        I.stream_into(spark, str(source), archive, str(tmp_path / checkpoint)).awaitTermination()
+        assert (archive.read(I.TABLE).count(), archive.read(I.REJECTED).count()) == (1, 1)
 
 
 def test_two_writers_lose_nothing(spark, tmp_path):

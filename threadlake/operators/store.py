@@ -62,24 +62,53 @@ class Archive:
         return now + 1
 
     def _claim(self, version: int, line: str) -> None:
-        jvm, context = self.spark._jvm, self.spark.sparkContext
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_versions/{version:020d}.json")
+        """The version's line, whole or not at all: it is written beside its place and renamed there, which only one writer can.
+
+        A writer that dies leaves at most a file that nobody reads.
+        """
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        target = path(f"{self.root}/_versions/{version:020d}.json")
+        draft = path(f"{self.root}/_versions/_{uuid.uuid4().hex}")  # names with _ are not read
+        fs = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        out = fs.create(draft, False)
+        out.write(bytearray((line + "\n").encode()))
+        out.close()
+        # An empty claim is what a writer of an earlier release left when it died between making and filling it.
+        if fs.exists(target) and fs.getFileStatus(target).getLen() == 0:
+            fs.delete(target, False)
+        files = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)  # without OVERWRITE
         try:
-            out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, False)  # only if there is none
+            files.rename(draft, target, options)
         except Py4JJavaError as e:
+            fs.delete(draft, False)
             if "AlreadyExists" in e.java_exception.getClass().getName():
                 raise Conflict(f"version {version} is there already") from None
             raise
-        out.write((line + "\n").encode())
-        out.close()
 
     def copy_to(self, other: Archive, tables: tuple[str, ...]) -> dict[str, int]:
-        """Copies tables and compares their row counts; a difference is an error."""
+        """Copies tables and compares their fingerprints; a difference is an error that names the columns."""
         other.commit({t: self.read(t) for t in tables}, "copy")
-        counts = {t: (self.read(t).count(), other.read(t).count()) for t in tables}
-        if bad := {t: c for t, c in counts.items() if c[0] != c[1]}:
-            raise ValueError(f"copied tables differ: {bad}")
-        return {t: c[0] for t, c in counts.items()}
+        counts = {}
+        for t in tables:
+            mine, theirs = (fingerprint(a.read(t)).first().asDict() for a in (self, other))
+            if bad := sorted(c for c in mine if mine[c] != theirs[c]):
+                raise ValueError(f"copied table {t} differs in {bad}")
+            counts[t] = mine["rows"]
+        return counts
+
+
+def fingerprint(df: DataFrame) -> DataFrame:
+    """One row: the number of rows, and for each column (with ``row``, for the rows as a whole) a sum of 64-bit hashes of its values.
+
+    Sums do not depend on order, have partial results, and tell tables apart that have as many rows; the hash of whole
+    rows also sees values that changed places.
+    """
+    total = lambda *cols: F.coalesce(F.sum(F.xxhash64(*cols).cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)")
+    plain = [F.to_json(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.typeName() in ("map", "variant") else F.col(f"`{f.name}`") for f in df.schema]
+    shown = df.select(*plain)
+    each = [total(F.col(f"`{c}`"), F.col(f"`{c}`").isNull()).alias(f"column {c}") for c in shown.columns]
+    return shown.agg(F.count(F.lit(1)).alias("rows"), *each, total(*(x for c in shown.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull()))).alias("row"))
 
 
 def run_status(events: DataFrame) -> DataFrame:

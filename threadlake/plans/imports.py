@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.operators.importing import import_into, stored
+from threadlake.operators.media import resolve
 from threadlake.operators.store import Archive
 from threadlake.operators.tables import shared_folder
 from threadlake.plans.formats import M, _json, _messages, _object, _wechat_item
@@ -125,3 +126,30 @@ def import_old_and_new(x: Lens) -> DataFrame:
     result = import_into(archive, root).groupBy("reader", "status").agg(*(F.sum(c).cast("long").alias(c) for c in COUNTS[:3]))
     again = stored(archive, "messages").join(now.select("seq", F.col("payload_hash").alias("was")), "seq", "left").agg(F.count_if(~F.col("payload_hash").eqNullSafe(F.col("was"))).cast("long").alias("refused"))
     return result.crossJoin(again)
+
+
+#: Declared paths of the messages, by the row's number; of listed files each has those of its number.
+DECLARED = ("a/p{}.png", "b\\\\p{}.png", "./a//p{}.png", "../images/p{}.png", "../secret/p{}.png", "/etc/p{}.png", "c:p{}.png", "https://x/p{}.png", "a/../p{}.png", "p{}.png")
+LISTED = ("a/p{}.png", "resources/b/p{}.png", "media/a/p{}.png", "../images/p{}.png", "../secret/p{}.png", "p{}.png", "p{}.png", "p{}.png", "p{}.png", "../media/Room{}/p{}.png")
+
+
+@query(
+    "c14_media_candidates",
+    """WITH e AS (SELECT p_partkey::BIGINT AS id, p_partkey % 10 AS k FROM part)
+SELECT id, CASE k WHEN 0 THEN '/x/chat/a/p' || id || '.png' WHEN 1 THEN '/x/chat/resources/b/p' || id || '.png' WHEN 2 THEN '/x/chat/media/a/p' || id || '.png' WHEN 3 THEN '/x/images/p' || id || '.png'
+ WHEN 9 THEN '/x/media/Room' || id || '/p' || id || '.png' END AS source, k IN (0, 1, 2, 3, 9) AS found, CASE WHEN k IN (0, 1, 2, 3, 9) THEN 'p' || id || '.png' END AS media_name FROM e""",
+)
+def media_candidates(x: Lens) -> DataFrame:
+    """Every folder in which media are looked for, and every refusal, against a listing of as many files."""
+    part = x.raw("part").select(F.col("p_partkey").cast("bigint").alias("id"))
+    k, number = (F.col("id") % 10).cast("int"), F.col("id").cast("string")
+    shown = lambda patterns: F.get(F.array(*(F.replace(F.lit(p), F.lit("{}"), number) for p in patterns)), k)
+    listing = part.select(F.concat(F.lit("/x/chat/"), shown(LISTED)).alias("path")).withColumn("path", F.regexp_replace("path", r"/chat/\.\.", ""))
+    one = F.array(F.struct(F.lit(0).cast("bigint").alias("ordinal"), F.lit("image").alias("kind"), F.lit(None).cast("string").alias("filename"), shown(DECLARED).alias("declared"), F.array(shown(DECLARED)).alias("candidates")))
+    facts = F.struct(*((F.lit("wechat") if f == "family" else F.lit(None)).alias(f) for f in E.FACT_NAMES)).cast(E.X.FACTS)
+    given = F.transform(one, lambda a: F.struct(*((a[c] if c in ("ordinal", "kind", "filename", "declared", "candidates") else F.lit(None)).alias(c) for c in E.ATTACHMENT))).cast(E.ATTACHMENTS)
+    messages = part.select(F.lit("/x/chat/chat.json").alias("path"), F.col("id").alias("position"), F.concat(F.lit("Room"), number).alias("title"), F.lit("image").alias("message_type"), given.alias("attachments"), facts.alias("facts"))
+    found = resolve(messages, listing)
+    first = F.get("attachments", 0)
+    there = F.coalesce(first["exists"], F.lit(False))
+    return found.select(F.col("position").alias("id"), F.when(there, first["source"]).alias("source"), there.alias("found"), F.when(there, F.col("facts.media_name")).alias("media_name"))

@@ -31,13 +31,17 @@ def new_rows(stored: DataFrame | None, batch: DataFrame, start: int) -> DataFram
 def stream_into(spark: SparkSession, source: str, archive: Archive, checkpoint: str) -> StreamingQuery:
     """Imports what lies in ``source`` and what comes; stops when it has seen all (for tests and scheduled runs).
 
-    A batch appends its own rows; rows without a conversation or a time go to the table ``rejected``.
+    A batch appends its own rows; rows without a conversation or a time go to the table ``rejected``, each once.
     """
 
     def import_batch(batch: DataFrame, number: int) -> None:
         fits = F.col("conversation_id").isNotNull() & F.col("timestamp_ms").isNotNull()
         stored = archive.read(TABLE) if archive.version() else None
-        tables = {TABLE: new_rows(stored, batch.filter(fits), (number + 1) << 46), REJECTED: batch.filter(~fits)}
+        refused = batch.filter(~fits).dropDuplicates()
+        if archive.version():  # a replay refuses the same rows
+            known = archive.read(REJECTED)
+            refused = refused.alias("new").join(known.alias("known"), F.expr(" and ".join(f"known.{c} <=> new.{c}" for c in refused.columns)), "left_anti")
+        tables = {TABLE: new_rows(stored, batch.filter(fits), (number + 1) << 46), REJECTED: refused}
         archive.commit(tables, f"batch {number}", append=(TABLE, REJECTED))
 
     stream = spark.readStream.schema(SCHEMA).json(source)
