@@ -17,7 +17,7 @@ TYPED = "CASE role WHEN 'system' THEN 'system' ELSE 'text' END AS message_type"
 SIDED = "CASE role WHEN 'user' THEN 'outgoing' WHEN 'system' THEN 'system' ELSE 'incoming' END AS direction"
 PLAIN = "CASE role WHEN 'user' THEN 'outgoing' ELSE 'incoming' END AS direction, 'text' AS message_type"
 WHOLE = M + f"SELECT 'c' || conv_id AS conversation_id, turn::BIGINT AS position, native AS native_id, (sec * 1000)::BIGINT AS timestamp_ms, {SIDED}, {TYPED}, text AS content FROM m"
-FLAT = M + f"SELECT {{}} AS native_id, (sec * 1000)::BIGINT AS timestamp_ms, {PLAIN}, text AS content FROM m"
+FLAT = M + f"SELECT turn::BIGINT AS position, {{}} AS native_id, (sec * 1000)::BIGINT AS timestamp_ms, {PLAIN}, text AS content FROM m"
 
 
 def _messages(x: Lens) -> DataFrame:
@@ -100,7 +100,7 @@ def weflow_csv(x: Lens) -> DataFrame:
     time = F.concat(F.date_format(F.to_utc_timestamp(F.col("shown"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
     item = F.concat_ws(",", F.col("turn").cast("string"), "native", F.lit("text"), F.col("own").cast("int").cast("string"), "name", quoted, F.lit(""), time)
     whole = lambda _, items: F.concat(F.lit(",".join(E.CSV_HEADER) + "\n"), F.array_join(items, "\n"))
-    return E.weflow_csv(x.spark, _files(x, item, whole)).select(*SEEN)
+    return E.weflow_csv(x.spark, _files(x, item, whole)).select(F.col("position").cast("long").alias("position"), *SEEN)
 
 
 @query("f08_weflow_markdown", M + f"SELECT 'c' || conv_id AS conversation_id, turn::BIGINT AS position, NULL AS native_id, (sec * 1000)::BIGINT AS timestamp_ms, {PLAIN}, text AS content FROM m")
@@ -110,18 +110,18 @@ def weflow_markdown(x: Lens) -> DataFrame:
     return _whole(E.weflow_markdown(x.spark, _files(x, item, lambda conv, items: F.concat(head(conv), F.array_join(items, "\n")))))
 
 
-@query("f09_qq_text", M + "SELECT NULL AS native_id, (sec * 1000)::BIGINT AS timestamp_ms, CASE role WHEN 'system' THEN 'system' ELSE 'incoming' END AS direction, " + TYPED + ", text AS content FROM m")
+@query("f09_qq_text", M + "SELECT turn::BIGINT AS position, NULL AS native_id, (sec * 1000)::BIGINT AS timestamp_ms, CASE role WHEN 'system' THEN 'system' ELSE 'incoming' END AS direction, " + TYPED + ", text AS content FROM m")
 def qq_text(x: Lens) -> DataFrame:
     kind = F.when(F.col("system"), "系统消息").otherwise("文本")
     item = F.concat(F.lit("["), (F.col("turn") + 1).cast("string"), F.lit("]\n"), "name", F.lit(":\n时间: "), "shown", F.lit("\n类型: "), kind, F.lit("\n内容: "), "text", F.lit("\n"))
     whole = lambda conv, items: F.concat(F.lit("[QQChatExporter V5 / x]\n\n聊天名称: "), conv, F.lit("\n聊天类型: 私聊\n\n"), F.array_join(items, "\n"), F.lit("\n=====\n     导出完成\n====="))
-    return E.qq_text(x.spark, _files(x, item, whole)).select(*SEEN)
+    return E.qq_text(x.spark, _files(x, item, whole)).select(F.col("position").cast("long").alias("position"), *SEEN)
 
 
 @query("f10_weflow_text", FLAT.format("NULL"))
 def weflow_text(x: Lens) -> DataFrame:
     item = F.concat("shown", F.lit(" '"), "name", F.lit("'\n"), "text", F.lit("\n"))
-    return E.weflow_text(x.spark, _files(x, item, lambda _, items: F.array_join(items, "\n"))).select(*SEEN)
+    return E.weflow_text(x.spark, _files(x, item, lambda _, items: F.array_join(items, "\n"))).select(F.col("position").cast("long").alias("position"), *SEEN)
 
 
 def _sql(*values) -> Column:

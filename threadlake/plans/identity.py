@@ -246,3 +246,27 @@ def bound_order(x: Lens) -> DataFrame:
 
     order = Window.partitionBy("contact_id").orderBy(F.col("is_primary").desc(), "sender_id")
     return x.bindings().select("contact_id", "sender_id", F.row_number().over(order).cast("bigint").alias("nth"))
+
+
+@query(
+    "u13_contact_life",
+    """+c AS (SELECT id, CASE id WHEN 7 THEN 'Renamed' ELSE display_name END AS display_name, CASE id WHEN 6 THEN 'keep' WHEN 7 THEN 'n' END AS note, CASE id WHEN 2 THEN 'at 5' WHEN 6 THEN 'at 3' WHEN 7 THEN 'at 6' ELSE 'at 0' END AS updated_at FROM contacts WHERE id NOT IN (5, 8)
+  UNION ALL SELECT 0, 'New', NULL, 'at 1'),
+ b AS (SELECT CASE WHEN sender_id IN (5, 6) THEN 2 ELSE contact_id END AS contact_id, sender_id, CASE sender_id WHEN 5 THEN 'moved' WHEN 6 THEN 'six' ELSE account_label END AS account_label,
+  CASE WHEN sender_id IN (2, 5) THEN false WHEN sender_id = 6 THEN true ELSE is_primary END AS is_primary FROM bindings WHERE contact_id <> 8)
+SELECT id, display_name, note, updated_at, sender_id, account_label, is_primary FROM c LEFT JOIN b ON contact_id = id""",
+    "contacts bindings",
+)
+def contact_life(x: Lens) -> DataFrame:
+    """Create, transfer with tokens (the source loses its last sender and goes), take over by force (its owner stays, for its note), label, choose the primary one, rename, delete."""
+    text = lambda v: F.lit(v).cast("string")
+    contacts = x.contacts().select("id", F.concat(F.lit("t"), F.col("id").cast("string")).alias("identity_token"), "display_name", text(None).alias("custom_avatar_path"), F.when(F.col("id") == 6, "keep").alias("note"), text("at 0").alias("updated_at"))
+    bindings, senders = x.bindings(), x.senders().select(F.col("id"))
+    contacts = H.create_contact(contacts, 0, "t0", " New ", "at 1")
+    contacts, bindings = H.bind(contacts, bindings, senders, 2, 5, "at 2", label="moved", primary=True, source=5, token="t2", source_token="t5")
+    contacts, bindings = H.bind(contacts, bindings, senders, 2, 6, "at 3", force=True)
+    contacts, bindings = H.set_label(contacts, bindings, 2, 6, "six", "at 4")
+    contacts, bindings = H.set_primary(contacts, bindings, 2, 6, "at 5")
+    contacts = H.update_contact(contacts, 7, "Renamed", "at 6", note="n")
+    contacts, bindings = H.delete_contact(contacts, bindings, 8)
+    return contacts.join(bindings, contacts["id"] == bindings["contact_id"], "left").select("id", "display_name", "note", "updated_at", "sender_id", "account_label", "is_primary")

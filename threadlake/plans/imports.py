@@ -153,3 +153,19 @@ def media_candidates(x: Lens) -> DataFrame:
     first = F.get("attachments", 0)
     there = F.coalesce(first["exists"], F.lit(False))
     return found.select(F.col("position").alias("id"), F.when(there, first["source"]).alias("source"), there.alias("found"), F.when(there, F.col("facts.media_name")).alias("media_name"))
+
+
+@query(
+    "f02_qq_chunked",
+    M + """SELECT row_number() OVER (ORDER BY conv_id DESC, turn) - 1 AS position, native AS native_id, (sec * 1000)::BIGINT AS timestamp_ms, CASE role WHEN 'user' THEN 'outgoing' WHEN 'system' THEN 'system' ELSE 'incoming' END AS direction,
+ CASE role WHEN 'system' THEN 'system' ELSE 'text' END AS message_type, text AS content FROM m WHERE conv_id % 5 <> 0""",
+)
+def qq_chunked(x: Lens) -> DataFrame:
+    """One chunked export, a chunk for each conversation, listed backwards; every fifth chunk is not listed and so not read."""
+    root = shared_folder(x.spark, "exports")
+    write_exports(_messages(x), f"{root}/chunks", "jsonl", qq_item(F.col("text")), lambda _, items: F.array_join(F.transform(items, lambda i: F.to_json(i)), "\n"))
+    listed = x.raw("conversations").filter("conv_id % 5 <> 0").groupBy().agg(F.sort_array(F.collect_set("conv_id"), asc=False).alias("convs"))  # a line of the manifest each
+    entries = F.transform("convs", lambda c: F.struct(F.concat(F.lit("chunks/c"), c.cast("string"), F.lit(".jsonl")).alias("relativePath")))
+    manifest = listed.select(_json(metadata=_object(name="QQChatExporter"), chatInfo=_object(name="all", type="group", selfUid="user", peerUid="all"), chunked=F.struct(entries.alias("chunks"))).alias("m")).first()[0]
+    put(x.spark, f"{root}/manifest.json", manifest)
+    return E.qq_chunked(x.spark, root).select("position", "native_id", "timestamp_ms", "direction", "message_type", "content")
