@@ -70,6 +70,13 @@ def qq_json(x: Lens) -> DataFrame:
     return _whole(E.qq_json(x.spark, _files(x, item, whole)))
 
 
+@query("s08_json_blocks", WHOLE)
+def json_blocks(x: Lens) -> DataFrame:
+    """The same exports, each document cut into pieces at its braces."""
+    whole = lambda conv, items: _json(chatlab=_object(version="0.0.2"), meta=_object(name=conv, platform="wechat", type="private", groupId=conv, ownerId="USER"), messages=items)
+    return _whole(E.chatlab_json(x.spark, _files(x, _lab_item(), whole), large=True))
+
+
 @query("f03_weflow_json", WHOLE)
 def weflow_json(x: Lens) -> DataFrame:
     whole = lambda conv, items: _json(weflow=_object(version="1"), session=_object(wxid=conv, type="私聊"), messages=items)

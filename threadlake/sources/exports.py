@@ -23,6 +23,7 @@ from threadlake.functions import payloads as P
 from threadlake.functions import text as T
 from threadlake.operators import classify as K
 from threadlake.operators import media as M
+from threadlake.sources import jsonblocks as J
 
 COLUMNS = (
     "path", "platform", "account_id", "conversation_id", "kind", "title", "position", "native_id", "local_id", "timestamp_ms", "sender_id", "sender_name",
@@ -104,9 +105,24 @@ def _json(spark: SparkSession, path: str | list[str], schema: D.StructType) -> D
     return read.select(F.col("_metadata.file_path").alias("path"), F.when(F.col("_corrupt_record").isNotNull(), "malformed JSON").alias("error"), *schema.names)
 
 
-def _exploded(files: DataFrame, known: Column, *columns: str | Column) -> DataFrame:
-    """A row (path, error, columns, position, m) for each message of the files with the marks ``known``; a file without any, or malformed, is one row with an error."""
-    kept = files.filter(known | F.col("error").isNotNull()).select("path", "error", *columns, F.posexplode_outer("messages").alias("position", "m"))
+#: Bytes from which on a JSON document is cut into blocks, so that many tasks read it.
+LARGE = 256 << 20
+
+
+def _exploded(spark: SparkSession, path: str | list[str], fields: D.StructType, message: D.StructType, known: Column, *columns: str, large: bool = False) -> DataFrame:
+    """A row (path, error, columns, position, m) for each message of the files with the marks ``known``; a file without any, or malformed, is one row with an error.
+
+    Of a ``large`` file the fields are those that stand before its messages.
+    """
+    if large:
+        found = J.elements(spark, path)
+        heads = found.filter("section = 'messages' and position = 0").select("path", F.from_json("head", fields).alias("h"))
+        rows = found.filter("section = 'messages' or error is not null").select("path", "error", "position", F.from_json("element", message).alias("m"))
+        kept = rows.join(F.broadcast(heads), "path", "left").select("path", "error", "h.*", "position", "m").filter(known | F.col("error").isNotNull())  # a row a file
+        kept = kept.select("path", "error", *columns, "position", "m")
+    else:
+        files = _json(spark, path, D.StructType([*fields.fields, D.StructField("messages", D.ArrayType(message))]))
+        kept = files.filter(known | F.col("error").isNotNull()).select("path", "error", *columns, F.posexplode_outer("messages").alias("position", "m"))
     return kept.withColumn("error", F.coalesce("error", F.when(F.col("m").isNull(), "no messages")))
 
 
@@ -148,9 +164,8 @@ def _qq(frame: DataFrame, m: str = "m") -> DataFrame:
     )
 
 
-def qq_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    files = _json(spark, path, _struct(**QQ_HEAD, messages=D.ArrayType(QQ_MESSAGE)))
-    return _qq(_exploded(files, F.lower("metadata.name") == "qqchatexporter", "chatInfo"))
+def qq_json(spark: SparkSession, path: str | list[str], large: bool = False) -> DataFrame:
+    return _qq(_exploded(spark, path, _struct(**QQ_HEAD), QQ_MESSAGE, F.lower("metadata.name") == "qqchatexporter", "chatInfo", large=large))
 
 
 #: Names of chunks that a manifest without a list has beside it.
@@ -286,11 +301,11 @@ def own_senders(rows: DataFrame, sender: str = "_sender", own: str = "_own") ->
     return kept.groupBy("path").agg(F.min_by("candidate", F.struct((-F.col("n")).alias("n"), "second")).alias("self"))
 
 
-def weflow_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def weflow_json(spark: SparkSession, path: str | list[str], large: bool = False) -> DataFrame:
     """Both layouts: senders named on each message, or numbered and listed once."""
     people = D.ArrayType(_strings("senderID", "wxid", "displayName", "nickname", "groupNickname"))
-    files = _json(spark, path, _struct(weflow=_strings("version"), session=SESSION, senders=people, messages=D.ArrayType(WECHAT_MESSAGE)))
-    return _weflow(_exploded(files, F.col("weflow").isNotNull() & F.col("session.wxid").isNotNull(), "session", "senders"))
+    fields = _struct(weflow=_strings("version"), session=SESSION, senders=people)
+    return _weflow(_exploded(spark, path, fields, WECHAT_MESSAGE, F.col("weflow").isNotNull() & F.col("session.wxid").isNotNull(), "session", "senders", large=large))
 
 
 def _weflow(rows: DataFrame) -> DataFrame:
@@ -357,10 +372,9 @@ def _lab(rows: DataFrame, names: dict[str, tuple[str, ...]], me: Column, platfor
     )
 
 
-def ciphertalk_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    files = _json(spark, path, _struct(exportInfo=_strings("version", "generator", "format"), session=SESSION, messages=D.ArrayType(LAB_MESSAGE)))
+def ciphertalk_json(spark: SparkSession, path: str | list[str], large: bool = False) -> DataFrame:
     known = (F.col("exportInfo.generator") == "CipherTalk") | (F.col("exportInfo.format") == "detailed-json")
-    return _ciphertalk(_exploded(files, F.coalesce(known, F.lit(False)), "session"))
+    return _ciphertalk(_exploded(spark, path, _struct(exportInfo=_strings("version", "generator", "format"), session=SESSION), LAB_MESSAGE, F.coalesce(known, F.lit(False)), "session", large=large))
 
 
 def _ciphertalk(rows: DataFrame) -> DataFrame:
@@ -384,9 +398,8 @@ def _chatlab(rows: DataFrame) -> DataFrame:
     return _lab(rows, LAB, owner, platform, T.pick(owner, F.concat(platform, F.lit("-default"))), chat, F.coalesce(group, F.lit(False)), T.pick(T.clean(meta["name"]), chat), F.col("who"), True)
 
 
-def chatlab_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    files = _json(spark, path, _struct(chatlab=_strings("version"), meta=LAB_META, members=D.ArrayType(MEMBER), messages=D.ArrayType(LAB_MESSAGE)))
-    return _chatlab(_exploded(files, F.col("chatlab.version") == "0.0.2", "meta", "members"))
+def chatlab_json(spark: SparkSession, path: str | list[str], large: bool = False) -> DataFrame:
+    return _chatlab(_exploded(spark, path, _struct(chatlab=_strings("version"), meta=LAB_META, members=D.ArrayType(MEMBER)), LAB_MESSAGE, F.col("chatlab.version") == "0.0.2", "meta", "members", large=large))
 
 
 def chatlab_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -642,6 +655,10 @@ READERS = {
 }
 
 
+#: Readers that can cut a document.
+CUT = ("qq_json", "weflow_json", "ciphertalk_json", "chatlab_json")
+
+
 def register(name: str, extension: str, reader) -> None:
     """Adds a format of one's own, tried after the others."""
     READERS[name] = (extension, reader)
@@ -763,13 +780,14 @@ def sniffed(spark: SparkSession, root: str | list[str], excluded: tuple[str, ...
 def read_all(spark: SparkSession, root: str | list[str], excluded: tuple[str, ...] = (), files: DataFrame | None = None) -> DataFrame:
     """All messages below the folders (or of ``files``, as ``sniffed`` gives them): each file goes to its one reader. Files that cannot be read are rows with an error."""
     files = sniffed(spark, root, excluded) if files is None else files
-    by_reader: dict[str | None, list[str]] = {}
-    for r in files.select("path", "reader", "error").collect():
-        by_reader.setdefault(r["reader"] if not r["error"] else None, []).append(r["path"])
+    by_reader: dict[tuple[str, bool], list[str]] = {}
+    for r in files.filter("error is null").select("path", "reader", "extension", "size").collect():
+        large = r["extension"] == "json" and r["reader"] in CUT and r["size"] >= LARGE
+        by_reader.setdefault((r["reader"], large), []).append(r["path"])
     out = spark.createDataFrame([], READ)
-    for name, paths in by_reader.items():
+    for (name, large), paths in by_reader.items():
         if name is not None:
-            found = (qq_chunked if name == "qq_chunked" else READERS[name][1])(spark, paths)
+            found = (qq_chunked if name == "qq_chunked" else READERS[name][1])(spark, paths, **({"large": True} if large else {}))
             out = out.unionByName(found.withColumn("position", F.col("position").cast("long")), allowMissingColumns=True)
     bad = files.filter("error is not null").select("path", "error")
     return out.unionByName(bad, allowMissingColumns=True)
