@@ -121,6 +121,14 @@ def test_manifest_without_a_list_and_its_digest(spark, tmp_path):
     assert {r.path.rsplit("/", 1)[1]: r.sha256 for r in digests(spark, files).collect()} == {"manifest.json": hashlib.sha256(whole).hexdigest()}
 
 
+def test_files_beyond_the_binary_source_fail_alone(spark, tmp_path, monkeypatch):
+    put(tmp_path, "a.csv", CSV)
+    put(tmp_path, "b.csv", CSV + CSV[len(",".join(E.CSV_HEADER)) + 1 :] * 50)
+    monkeypatch.setattr(E, "BIGGEST", 1000)
+    assert {r.path.rsplit("/", 1)[1]: (r.reader, r.error) for r in E.sniffed(spark, str(tmp_path)).collect()} == {"a.csv": ("weflow_csv", None), "b.csv": (None, "too large to be told apart")}
+    assert [r.path.rsplit("/", 1)[1] for r in digests(spark, E.sniffed(spark, str(tmp_path))).collect()] == ["a.csv"]
+
+
 def test_own_senders(spark):
     chat = [("f", k, s, True, private, "peer") for private, path in ((True, "f"),) for k, s in enumerate(["a", "b", "b", "a", "peer", "peer", "peer", "x"])]
     chat += [("g", k, "peer", True, True, "peer") for k in range(2)] + [("h", 0, "once", True, False, "c")]

@@ -61,7 +61,7 @@ def digests(spark: SparkSession, files: DataFrame) -> DataFrame:
 
     Chunks are hashed by themselves, in parallel; only their digests come together.
     """
-    paths = [r["path"] for r in files.select("path").collect()]
+    paths = [r["path"] for r in files.filter(F.col("size") < E.BIGGEST).select("path").collect()]
     if not paths:
         return spark.createDataFrame([], "path string, sha256 string")
     manifests = [r["path"] for r in files.filter("reader = 'qq_chunked'").select("path").collect()]

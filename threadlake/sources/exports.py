@@ -666,6 +666,8 @@ def register(name: str, extension: str, reader) -> None:
 
 #: Bytes of a file's head by which its format is known.
 HEAD_BYTES = 65536
+#: Bytes of the largest file that Spark's binary source gives as one value.
+BIGGEST = (1 << 31) - 1024
 FILES = "path string, size long, extension string, reader string, error string"
 #: What a file's head must show for each reader (all of it), beside its extension.
 MARKS = {
@@ -752,7 +754,7 @@ def sniffed(spark: SparkSession, root: str | list[str], excluded: tuple[str, ...
     a chunked export's manifest declares, and its folder ``chunks``, belongs to the manifest. Each file is looked at once.
     """
     files = discover(spark, root, excluded)
-    contents = _paths(spark, root).join(files.select("path", "extension"), "path")
+    contents = _paths(spark, root).filter(F.col("size") < BIGGEST).join(files.select("path", "extension"), "path")
     # cast, not decode: the cut may lie within a letter
     text = lambda raw: F.make_valid_utf8(raw.cast(S))
     head = F.regexp_replace(text(F.substring("content", 1, HEAD_BYTES)), "^\ufeff", "")
@@ -769,6 +771,7 @@ def sniffed(spark: SparkSession, root: str | list[str], excluded: tuple[str, ...
     reader = F.when((F.lower(F.regexp_extract("path", "([^/]+)$", 1)) == "manifest.json") & F.col("ends").rlike(MARKS["qq_json"][0]) & F.col("ends").rlike(MARKS["qq_json"][1]), "qq_chunked").otherwise(reader)
     told = plain.select("path", reader.alias("reader"), F.when((F.col("extension") == "json") & ~F.col("head").rlike(r"^\s*[\[{]"), "malformed JSON").alias("error"))
     told = told.unionByName(_workbook_readers(contents.filter("extension = 'xlsx'").select("path", "content"))).filter("reader is not null or error is not null")
+    told = told.unionByName(files.filter(F.col("size") >= BIGGEST).select("path", F.lit(None).cast(S).alias("reader"), F.lit("too large to be told apart").alias("error")))
     rows = files.join(told, "path").select(*(c.split()[0] for c in FILES.split(", "))).collect()  # the driver lists files, as Spark itself does
     chunked = [r["path"] for r in rows if r["reader"] == "qq_chunked"]
     own = {r["chunk"] for r in manifests(spark, chunked).filter("chunk is not null").select("chunk").distinct().collect()} if chunked else set()
