@@ -23,7 +23,10 @@ from threadlake.functions import payloads as P
 from threadlake.functions import text as T
 from threadlake.operators import classify as K
 from threadlake.operators import media as M
+from threadlake.operators import upsert as U
+from threadlake.operators.tables import kept
 from threadlake.sources import jsonblocks as J
+from threadlake.sources import textblocks as B
 
 COLUMNS = (
     "path", "platform", "account_id", "conversation_id", "kind", "title", "position", "native_id", "local_id", "timestamp_ms", "sender_id", "sender_name",
@@ -486,20 +489,27 @@ def _named_type(names: dict[str, str], value: Column, other: Column) -> Column:
     return F.coalesce(F.try_element_at(known, F.trim(F.coalesce(value, F.lit("")))), other)
 
 
+def _listed(ordinal: Column, kind: Column, filename: Column, declared: Column, paths: Column, size: Column, metadata: Column) -> Column:
+    """An attachment that an export lists without dimensions."""
+    none = F.lit(None)
+    return F.struct(ordinal.cast("bigint").alias("ordinal"), kind.alias("kind"), filename.alias("filename"), declared.alias("declared"), paths.alias("candidates"), T.guess_mime(F.coalesce(filename, declared)).alias("mime"), size.cast("bigint").alias("size"), none.cast("int").alias("width"), none.cast("int").alias("height"), none.cast("double").alias("duration"), metadata.alias("metadata"))
+
+
 def qq_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    header = r"\[\d+\]\r?\n(?:.*):\r?\n时间: "
-    files = whole(spark, path).filter(F.col("text").rlike(r"^\[QQChatExporter V5 ") & F.col("text").rlike(r"(?m)^聊天名称: "))
-    cut = files.withColumn("text2", F.regexp_replace("text", r"(?s)\r?\n=+\r?\n\s*导出完成.*$", ""))
-    pieces = F.filter(F.split("text2", f"(?m)^(?={header})"), lambda p: p.rlike(f"^{header}"))
-    rows = cut.select("path", "text", F.posexplode(pieces).alias("position", "piece"))
-    part = lambda pattern: T.clean(F.regexp_extract("piece", pattern, 1))
-    native, name = X.file_native_id(F.col("path")), part(r"^\[\d+\]\r?\n(.*):\r?\n")
-    kind = F.when(F.col("piece").rlike("(?m)^类型: "), _named_type(QQ_TEXT_TYPES, part(r"(?m)^类型: (.*)$"), F.lit("unknown"))).otherwise("text")
-    content = T.clean(F.regexp_replace(F.regexp_extract("piece", r"(?s)\n内容: (.*)$", 1), r"(?s)\r?\n资源: .*$", ""))
+    """Numbered and unnumbered messages; resources counted right are attachments without a path."""
+    rows = B.messages(spark, path).withColumn("error", F.when(~F.col("whole"), "a message without content"))
+    native, name = X.file_native_id(F.col("path")), F.col("sender")
+    kind = F.when(F.length("type") > 0, _named_type(QQ_TEXT_TYPES, F.col("type"), F.lit("unknown"))).otherwise("text")
+
+    def attachment(r: Column, k: Column) -> Column:
+        named = _named_type(QQ_TEXT_TYPES, r["type"], F.lit("file"))
+        facts = F.to_json(F.struct(r["type"].alias("resourceType"), r["name"].alias("resourceName")))
+        return _listed(k, F.when(named.isin("image", "video", "audio", "file"), named).otherwise("file"), _or_null(r["name"]), F.lit(None).cast(S), F.array().cast("array<string>"), F.lit(None), facts)
+
     return _messages(
-        rows, path=F.col("path"), platform=F.lit("qq"), account_id=F.lit("qq-default"), conversation_id=native, kind=F.when(F.col("text").rlike(r"(?m)^聊天类型: 群"), "group").otherwise("private"),
-        title=T.clean(F.regexp_extract("text", r"(?m)^聊天名称: (.*)$", 1)), position=F.col("position"), timestamp_ms=_time(part(r"(?m)^时间: (.*)$")), sender_id=X.synthetic_sender(native, name), sender_name=name,
-        direction=K.direction(kind, F.lit(False)), message_type=kind, content=content, is_recalled=K.recalled(kind, content),
+        rows, path=F.col("path"), platform=F.lit("qq"), account_id=F.lit("qq-default"), conversation_id=native, kind=F.when(F.col("chat").startswith("群"), "group").otherwise("private"), title=F.col("title"), position=F.col("position"),
+        local_id=_or_null(F.col("number")), timestamp_ms=_time(F.col("time")), sender_id=X.synthetic_sender(native, name), sender_name=name, direction=K.direction(kind, F.lit(False)), message_type=kind, content=F.col("content"),
+        is_recalled=K.recalled(kind, F.col("content")), attachments=F.transform("resources", attachment),
     )
 
 
@@ -580,7 +590,9 @@ def sheet_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return files.mapInPandas(run, SHEET_ROWS)
 
 
-MESSAGE_SHEET = "聊天记录"
+#: Titles and headers of sheets.
+MESSAGE_SHEET, RESOURCE_SHEET = "聊天记录", "资源列表"
+RESOURCE_HEADER = ["序号", "时间", "发送者", "发送者QQ号", "资源类型", "文件名", "大小(字节)", "URL"]
 SHEETS = {
     "weflow": [["序号", "时间", "发送者身份", "消息类型", "内容"], ["序号", "时间", "发送者昵称", "发送者微信ID", "发送者备注", "发送者身份", "消息类型", "内容"], ["序号", "时间", "发送者昵称", "发送者微信ID", "发送者备注", "群昵称", "发送者身份", "消息类型", "内容"]],
     "ciphertalk": [["序号", "时间", "日期", "时刻", "星期", "发送者", "微信ID", "消息类型", "消息内容", "原始类型代码", "时间戳"]],
@@ -615,7 +627,7 @@ def _named(rows: DataFrame, layouts: list[list[str]], most: int = 20) -> DataFra
     return out
 
 
-def _sheet_messages(rows: DataFrame, platform: str, sender: str, body: str, title: Column, kind: Column, own: Column, ids: list[str], recalled: Column | None = None) -> DataFrame:
+def _sheet_messages(rows: DataFrame, platform: str, sender: str, body: str, title: Column, kind: Column, own: Column, ids: list[str], recalled: Column | None = None, attachments: Column | None = None) -> DataFrame:
     v = lambda name: F.coalesce(F.try_element_at("v", F.lit(name)), F.lit(""))
     native = X.file_native_id(F.col("path"))
     name = T.clean(v(sender))
@@ -623,8 +635,8 @@ def _sheet_messages(rows: DataFrame, platform: str, sender: str, body: str, titl
     return _messages(
         rows, path=F.col("path"), platform=F.lit(platform), account_id=F.lit(f"{platform}-default"), conversation_id=native, kind=F.lit("private"), title=title, position=F.col("row"), timestamp_ms=stamp,
         sender_id=T.first_non_empty(*(v(i) for i in ids), X.synthetic_sender(native, name)), sender_name=name, direction=K.direction(kind, own), message_type=kind, content=T.clean(v(body)),
-        is_recalled=recalled if recalled is not None else K.recalled(kind, v(body)),
-    ).filter("timestamp_ms is not null")
+        is_recalled=recalled if recalled is not None else K.recalled(kind, v(body)), attachments=attachments,
+    ).filter("timestamp_ms is not null or error is not null")
 
 
 def weflow_sheet(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -641,10 +653,44 @@ def ciphertalk_sheet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _sheet_messages(rows, "wechat", "发送者", "消息内容", F.col("sheet"), kind, F.trim(F.col("v")["发送者"]) == K.SELF_NAME, ["微信ID"])
 
 
+#: Kinds of listed resources by their lower-case names.
+RESOURCE_KINDS = {"image": "image", "图片": "image", "video": "video", "视频": "video", "audio": "audio", "音频": "audio", "voice": "audio", "file": "file", "文件": "file", "face": "emoji", "emoji": "emoji", "表情": "emoji"}
+SHEET_KEY = ["path", "time", "uin", "sender"]
+
+
+def sheet_resources(messages: DataFrame, resources: DataFrame) -> DataFrame:
+    """(path, row, attachments, bad): the resources of each message (path, row, time, uin, sender) whose key no other message of its file has.
+
+    A resource (path, row, time, uin, sender, number, kind, name, size, url) is declared by a path below the export; a
+    web address is kept as a fact, any other place (rooted, with a drive or scheme, climbing, with empty steps) is left
+    out. ``bad`` if a size is no number from 0 on.
+    """
+    of = U.unique_key_join(messages.select(F.struct("path", "row").alias("message_id"), *SHEET_KEY), resources, SHEET_KEY).select(F.col("message_id.path").alias("path"), F.col("message_id.row").alias("message"), "ordinal", "row")
+    url, size = F.replace(F.coalesce("url", F.lit("")), F.lit("\\"), F.lit("/")), F.col("size").try_cast("decimal(38,6)")
+    web = F.lower("url").rlike("^https?://")
+    safe = (F.length(url) > 0) & ~url.rlike(r"^/|^[A-Za-z][A-Za-z0-9+.-]*:|\x00") & ~F.exists(F.split(url, "/"), lambda p: p.isin("", ".", ".."))
+    declared = F.when(safe, F.col("url"))
+    filename = F.coalesce(_or_null(F.col("name")), F.when(safe, F.regexp_extract(url, "([^/]*)$", 1)))
+    facts = F.to_json(F.struct(F.coalesce("kind", F.lit("")).alias("resourceType"), F.coalesce("number", F.lit("")).alias("resourceNumber"), F.when(web, F.col("url")).alias("url")))
+    paths = F.filter(F.array(declared), lambda p: p.isNotNull())
+    wrong = (F.length(F.col("size")) > 0) & (size.isNull() | (size < 0) | (size > (1 << 63) - 1))
+    each = of.join(resources.select("path", "row", "number", "kind", "name", "size", "url"), ["path", "row"])
+    kind = _named_type(RESOURCE_KINDS, F.lower("kind"), F.lit("file"))
+    each = each.select("path", F.col("message").alias("row"), _listed(F.col("ordinal"), kind, filename, declared, paths, F.when(~wrong, F.floor(size)), facts).alias("a"), F.coalesce(wrong, F.lit(False)).alias("wrong"))
+    return each.groupBy("path", "row").agg(F.array_sort(F.collect_list("a")).alias("attachments"), F.max("wrong").alias("bad"))
+
+
 def qq_sheet(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    rows = _named(sheet_rows(spark, path).filter(F.col("sheet") == MESSAGE_SHEET), SHEETS["qq"])
-    kind = _named_type(QQ_SHEET_TYPES, F.col("v")["消息类型"], F.lower(F.trim(F.col("v")["消息类型"])))
-    return _sheet_messages(rows, "qq", "发送者", "消息内容", _file_title(F.col("path")), kind, F.lit(False), ["发送者QQ号"], F.trim(F.col("v")["是否撤回"]) == "是")
+    """Messages of one sheet and, where their time, number and sender are theirs alone, the resources of the other; a workbook is unpacked once."""
+    cells = kept(sheet_rows(spark, path).filter(F.col("sheet").isin(MESSAGE_SHEET, RESOURCE_SHEET)), "sheets")
+    rows = _named(cells.filter(F.col("sheet") == MESSAGE_SHEET), SHEETS["qq"])
+    listed = _named(cells.filter(F.col("sheet") == RESOURCE_SHEET), [RESOURCE_HEADER], most=1)
+    v = lambda name: F.col("v")[name]
+    key = [T.clean(v("时间")).alias("time"), T.clean(v("发送者QQ号")).alias("uin"), T.clean(v("发送者")).alias("sender")]
+    found = sheet_resources(rows.select("path", "row", *key), listed.select("path", "row", *key, v("序号").alias("number"), v("资源类型").alias("kind"), v("文件名").alias("name"), v("大小(字节)").alias("size"), v("URL").alias("url")))
+    rows = rows.join(found, ["path", "row"], "left").withColumn("error", F.when(F.col("bad"), "a resource whose size is no number"))
+    kind = _named_type(QQ_SHEET_TYPES, v("消息类型"), F.lower(F.trim(v("消息类型"))))
+    return _sheet_messages(rows, "qq", "发送者", "消息内容", _file_title(F.col("path")), kind, F.lit(False), ["发送者QQ号"], F.trim(v("是否撤回")) == "是", F.col("attachments"))
 
 
 #: The registry: readers in the order in which a file is tried, with the extension they take.
