@@ -125,6 +125,47 @@ def qq_text(x: Lens) -> DataFrame:
     return E.qq_text(x.spark, _files(x, item, whole)).select(F.col("position").cast("long").alias("position"), *SEEN)
 
 
+#: Lines of ``(turn * 7 + conv) % 3`` resources under a count of ``turn % 3``.
+RESOURCES = "array_to_string(list_transform(range((turn * 7 + conv_id) % 3), lambda j: chr(10) || '  - image: f' || turn || '-' || j || '.png'), '')"
+
+
+@query(
+    "u20_counted_resources",
+    M
+    + f"""SELECT turn::BIGINT AS position, (sec * 1000)::BIGINT AS timestamp_ms, CASE role WHEN 'user' THEN '{SELF_NAME}' ELSE role END AS sender_name, {TYPED},
+CASE WHEN turn % 3 = (turn * 7 + conv_id) % 3 THEN text ELSE text || chr(10) || '资源: ' || turn % 3 || ' 个文件' || {RESOURCES} END AS content,
+CASE WHEN turn % 3 = (turn * 7 + conv_id) % 3 THEN array_to_string(list_transform(range(turn % 3), lambda j: j || ':image:f' || turn || '-' || j || '.png:image/png'), ',') ELSE '' END AS resources FROM m""",
+)
+def counted_resources(x: Lens) -> DataFrame:
+    """Messages without numbers, each with a count of resources that its list bears out or not: then both are content."""
+    kind = F.when(F.col("system"), "系统消息").otherwise("文本")
+    listed = F.transform(F.filter(F.sequence(F.lit(0), F.lit(2)), lambda j: j < (F.col("turn") * 7 + F.col("conv")) % 3), lambda j: F.concat(F.lit("\n  - image: f"), F.col("turn").cast("string"), F.lit("-"), j.cast("string"), F.lit(".png")))
+    item = F.concat("name", F.lit(":\n时间: "), "shown", F.lit("\n类型: "), kind, F.lit("\n内容: "), "text", F.lit("\n资源: "), (F.col("turn") % 3).cast("string"), F.lit(" 个文件"), F.array_join(listed, ""), F.lit("\n"))
+    whole = lambda conv, items: F.concat(F.lit("[QQChatExporter V5 / x]\n\n聊天名称: "), conv, F.lit("\n聊天类型: 群聊\n\n"), F.array_join(items, "\n"), F.lit("\n=====\n     导出完成\n====="))
+    found = F.transform("attachments", lambda a: F.concat_ws(":", a["ordinal"].cast("string"), a["kind"], a["filename"], a["mime"]))
+    return E.qq_text(x.spark, _files(x, item, whole)).select(F.col("position").cast("long").alias("position"), "timestamp_ms", "sender_name", "message_type", "content", F.array_join(found, ",").alias("resources"))
+
+
+@query(
+    "f15_sheet_resources",
+    """WITH k AS (SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY 1, 2 HAVING count(*) = 1),
+r AS (SELECT c.conv_id, k.turn, c.turn AS line, (row_number() OVER (PARTITION BY c.conv_id, k.turn ORDER BY c.turn) - 1)::BIGINT AS ordinal, length(c.text) AS size FROM conversations c JOIN k ON c.conv_id = k.conv_id AND k.role = CASE c.turn % 3 WHEN 0 THEN 'system' WHEN 1 THEN 'user' ELSE 'assistant' END)
+SELECT conv_id::VARCHAR AS path, turn::BIGINT AS row, ordinal, CASE line % 2 WHEN 0 THEN 'image' ELSE 'file' END AS kind, 'r' || line || '.png' AS filename,
+CASE line % 4 WHEN 0 THEN 'media/r' || line || '.png' END AS declared, size::BIGINT AS size,
+CASE line % 4 WHEN 1 THEN 'https://h/r' || line || '.png' END AS url FROM r""",
+)
+def sheet_resources(x: Lens) -> DataFrame:
+    """The two sheets of a workbook, made of the conversations: every role that speaks once has the resources in its name, others none."""
+    c = x.raw("conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").cast("long").alias("row"), F.lit("t").alias("time"), "role", "text")
+    line = F.col("row").cast("string")
+    file = F.concat(F.lit("r"), line, F.lit(".png"))
+    place = F.when(F.col("row") % 4 == 0, F.concat(F.lit("media/"), file)).when(F.col("row") % 4 == 1, F.concat(F.lit("https://h/"), file)).when(F.col("row") % 4 == 2, F.concat(F.lit("../"), file)).otherwise(F.concat(F.lit("C:/"), file))
+    of = F.when(F.col("row") % 3 == 0, "system").when(F.col("row") % 3 == 1, "user").otherwise("assistant")
+    listed = c.select("path", "row", F.lit(" t ").alias("time"), of.alias("uin"), of.alias("sender"), line.alias("number"), F.when(F.col("row") % 2 == 0, "图片").otherwise("other").alias("kind"), file.alias("name"), F.length("text").cast("string").alias("size"), place.alias("url"))
+    found = E.sheet_resources(c.select("path", "row", "time", F.col("role").alias("uin"), F.col("role").alias("sender")), listed).select("path", "row", F.explode("attachments").alias("a"))
+    return found.select("path", "row", *(F.col(f"a.{n}") for n in ("ordinal", "kind", "filename", "declared", "size")), F.get_json_object("a.metadata", "$.url").alias("url"))
+
+
 @query("f10_weflow_text", FLAT.format("NULL"))
 def weflow_text(x: Lens) -> DataFrame:
     item = F.concat("shown", F.lit(" '"), "name", F.lit("'\n"), "text", F.lit("\n"))
