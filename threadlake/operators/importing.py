@@ -88,14 +88,14 @@ def _with_ids(rows: DataFrame, upserted: DataFrame, key: list[str], name: str) -
     return rows.join(upserted.select(*key, F.col("id").alias(name)), key)
 
 
-def import_into(archive: Archive, root: str | list[str], excluded: tuple[str, ...] = ()) -> DataFrame:
-    """Imports what lies below the folders and commits it as one version; returns the run's rows of ``RUNS``, one for each file.
+def import_into(archive: Archive, root: str | list[str], excluded: tuple[str, ...] = (), among: list[str] | None = None) -> DataFrame:
+    """Imports what lies below the folders (only the files ``among`` them, if given) and commits it as one version; returns the run's rows of ``RUNS``, one for each file.
 
     An empty folder commits nothing but an empty run. Of two imports at once one gets a ``Conflict`` and changes nothing.
     """
     spark = archive.spark
     run = (stored(archive, "runs").agg(F.max("run")).first()[0] or 0) + 1
-    told = E.sniffed(spark, root, excluded)
+    told = E.sniffed(spark, root, excluded, among)
     files = kept(told.join(digests(spark, told), "path", "left"), "import-files")
     # Of files with the same content one is read: the first of them.
     first = files.groupBy("sha256").agg(F.min(F.lower("path")).alias("least"))

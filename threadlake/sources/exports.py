@@ -725,10 +725,12 @@ MARKS = {
 }
 
 
-def _paths(spark: SparkSession, root: str | list[str]) -> DataFrame:
-    """(path, size, content) of every file below the roots; a root that is not there gives none."""
+def _paths(spark: SparkSession, root: str | list[str], among: list[str] | None = None) -> DataFrame:
+    """(path, size, content) of every file below the roots (a root that is not there gives none), or of those ``among`` them, which then alone are listed."""
     roots = [root] if isinstance(root, str) else list(root)
     found = spark.createDataFrame([], "path string, size long, content binary")
+    if among is not None:
+        return spark.read.format("binaryFile").load(among).select("path", F.col("length").alias("size"), "content") if among else found
     for r in roots:
         try:
             files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(r)
@@ -752,14 +754,14 @@ def _below(spark: SparkSession, path: Column, roots: list[str]) -> Column:
     return out
 
 
-def discover(spark: SparkSession, root: str | list[str], excluded: tuple[str, ...] = ()) -> DataFrame:
+def discover(spark: SparkSession, root: str | list[str], excluded: tuple[str, ...] = (), among: list[str] | None = None) -> DataFrame:
     """(path, size, extension) of the files below the folders that may be exports, in order of their lower-case path.
 
     Folders of media below a root are left out (the root itself may have any name), as are the excluded ones; an empty
     folder gives no rows.
     """
     roots = [root] if isinstance(root, str) else list(root)
-    files = _paths(spark, roots).select("path", "size").dropDuplicates(["path"])
+    files = _paths(spark, roots, among).select("path", "size").dropDuplicates(["path"])
     parts = F.split(F.lower(_below(spark, F.col("path"), roots)), "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
@@ -793,14 +795,14 @@ def _workbook_readers(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, "path string, reader string, error string")
 
 
-def sniffed(spark: SparkSession, root: str | list[str], excluded: tuple[str, ...] = ()) -> DataFrame:
+def sniffed(spark: SparkSession, root: str | list[str], excluded: tuple[str, ...] = (), among: list[str] | None = None) -> DataFrame:
     """(path, size, extension, reader, error) of the exports below the folders: the first reader in the registry whose marks a file bears in its first or last 64 KiB.
 
     Files that bear none are left out, those that cannot be told (no workbook, no JSON) have an error and no reader. What
     a chunked export's manifest declares, and its folder ``chunks``, belongs to the manifest. Each file is looked at once.
     """
-    files = discover(spark, root, excluded)
-    contents = _paths(spark, root).filter(F.col("size") < BIGGEST).join(files.select("path", "extension"), "path")
+    files = discover(spark, root, excluded, among)
+    contents = _paths(spark, root, among).filter(F.col("size") < BIGGEST).join(files.select("path", "extension"), "path")
     # cast, not decode: the cut may lie within a letter
     text = lambda raw: F.make_valid_utf8(raw.cast(S))
     head = F.regexp_replace(text(F.substring("content", 1, HEAD_BYTES)), "^\ufeff", "")

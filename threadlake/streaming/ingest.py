@@ -1,20 +1,22 @@
-"""Continuous import of JSON-lines messages: each batch runs the same deduplication as a full import.
+"""Continuous import, of export files of every format or of JSON-lines messages: each batch runs the same deduplication as a full import.
 
-The archive decides by payload, so a batch that is delivered twice changes
-nothing: with checkpoints the effect is exactly once.
+The archive decides by payload (of files: by content), so a batch that is
+delivered twice changes no message: with checkpoints the effect is exactly once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from threadlake.operators.dedup import dedup_state
+from threadlake.operators.importing import import_into, stored
 from threadlake.operators.store import Archive
 
 SCHEMA = "conversation_id string, native_id string, timestamp_ms long, content string"
 TABLE, REJECTED = "messages", "rejected"
+FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def new_rows(stored: DataFrame | None, batch: DataFrame, start: int) -> DataFrame:
@@ -48,6 +50,38 @@ def stream_into(spark: SparkSession, source: str, archive: Archive, checkpoint:
     return stream.writeStream.foreachBatch(import_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _folder(path: Column) -> Column:
+    return F.regexp_replace(path, "/[^/]*$", "")
+
+
+def waiting(runs: DataFrame, came: DataFrame) -> DataFrame:
+    """(path) of exports imported before that new files (path) may complete: in a folder above these, and last seen without some of their media, or without a chunk that their manifest names."""
+    last = runs.filter("status <> 'skipped'").groupBy("path").agg(F.max_by(F.struct("status", "reader", "missing_media"), "run").alias("r"))
+    lacks = last.filter("r.missing_media > 0 or (r.status = 'failed' and r.reader = 'qq_chunked')").select("path", _folder(F.col("path")).alias("folder"))
+    parts = F.split(_folder(F.col("path")), "/")
+    above = came.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("folder")).distinct()
+    return lacks.join(above, "folder", "left_semi").select("path")
+
+
+def stream_exports(spark: SparkSession, source: str, archive: Archive, checkpoint: str, files_a_batch: int = 1000) -> StreamingQuery:
+    """Imports the exports that lie below ``source`` and those that come, of all formats; stops when it has seen all.
+
+    A batch is an import of its own files, and of exports that lacked what now came (``waiting``). Only names of files
+    reach the driver, ``files_a_batch`` of new ones at most. Files that are no exports change nothing; broken ones are
+    failed in the table ``runs`` and hold up no others.
+    """
+
+    def import_batch(batch: DataFrame, number: int) -> None:
+        came = batch.select("path").distinct()
+        again = waiting(stored(archive, "runs"), came)
+        paths = sorted(r["path"] for r in came.union(again).distinct().collect())
+        if paths:
+            import_into(archive, source, among=paths)
+
+    stream = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_a_batch).load(source).select("path")
+    return stream.writeStream.foreachBatch(import_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def states(archive: Archive) -> DataFrame:
     """(seq, state, target) of the archive's messages."""
     return dedup_state(archive.read(TABLE))
