@@ -106,3 +106,13 @@ def test_edits_count_in_code_points():
         assert bool(D.find(["x " + "".join(changed)], index)) == found
     (_, _, edits, start, end), = D.find(["😀 İ " + passage + "!"], index)
     assert edits == 0 and ("😀 İ " + passage + "!")[start:end] == passage
+
+
+def test_bands_aligned_together_or_one_by_one(monkeypatch):
+    passage = PROSE(40)
+    texts = [" ".join(f"{edited(passage, R.randint(4, 12))} {PROSE(5)}" for _ in range(60)), passage[: len(passage) // 2], edited(passage, 5)]
+    index = D.Index([(1, passage), (2, PROSE(30))])
+    found = D.find(texts, index)
+    monkeypatch.setattr(D, "CELLS", 1)
+    assert found == D.find(texts, index)
+    assert {d: edits for d, _, edits, _, _ in found} == {d: brute(passage, texts[d]) for d in (0, 2)}

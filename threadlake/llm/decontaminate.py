@@ -5,10 +5,12 @@ m - q + 1 - k*q q-grams with its occurrence, all on diagonals (text position
 less passage position) within k of each other. For every text, the q-grams it
 shares with the benchmark are counted by passage and diagonal band; bands
 overlap by half, so each occurrence lies in one whole. Bands that reach the
-bound are verified by a banded alignment of the passage.
+bound are verified by a banded alignment of the passage, all bands of a passage
+together, unless the passage stands in the text exactly.
 
-Texts and passages are compared code point by code point, as lower-case letters
-and digits with single spaces between words. The edit budget is ``EDITS`` of the passage's length, less
+Texts and passages are compared code point by code point, in lower case, with
+one space for each run of ASCII characters that are no letters or digits
+(punctuation of other scripts counts as it is). The edit budget is ``EDITS`` of the passage's length, less
 where a short passage would leave the lemma nothing to count; passages of fewer
 than ``Q`` characters must occur exactly, as whole words.
 
@@ -40,6 +42,8 @@ Q, EDITS = 10, 0.08
 BLOCK_CHARS, TOGETHER = 1 << 21, 1 << 20
 #: Passages that may share a q-gram before it is left out, and shared q-grams that are expanded together.
 COMMON, SLICE = 32, 1 << 22
+#: Cells of the alignments that are computed together.
+CELLS = 1 << 20
 BREAK = 1
 ASCII = np.array([48 <= c < 58 or 97 <= c < 123 for c in range(128)])
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -150,35 +154,37 @@ class Index:
                 a = b
 
 
-def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best occurrence on diagonals from ``low`` to ``high``, if within ``most`` edits."""
-    width = high - low + 1
-    j0 = low + np.arange(width)  # the text position before which diagonal b begins
-    cost = np.where((j0 >= 0) & (j0 <= len(text)), 0, most + 1).astype(np.int64)
-    begin = j0.copy()
-    steps = np.arange(width)
-    around = np.concatenate([np.zeros(max(0, -low), text.dtype), text, np.zeros(max(0, high + len(item) - len(text)) + 1, text.dtype)])
-    left = max(0, -low)
+def align(item: np.ndarray, whole: np.ndarray, begins: np.ndarray, lengths: np.ndarray, lows: np.ndarray, width: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edits, start, end) of the best occurrence in each band: the ``width`` diagonals from ``lows`` on of the text at ``begins`` in ``whole``; edits are ``most`` + 1 where there is none."""
+    steps, n = np.arange(width), len(lows)
+    edits, start, end = np.full(n, most + 1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    live, begins, lengths = np.arange(n), begins[:, None], lengths[:, None]
+    j0 = lows[:, None] + steps  # the text position before which a diagonal begins
+    cost, begin = np.where((j0 >= 0) & (j0 <= lengths), 0, most + 1).astype(np.int64), j0.copy()
     for i, c in enumerate(item.tolist()):
-        first = low + i + left
         j = j0 + i
-        inside = (j >= 0) & (j < len(text))
-        pair = np.where(inside, cost + (around[first : first + width] != c), most + 1)
-        skip = np.append(cost[1:], most + 1) + 1  # a passage character without its own in the text
-        take = skip < pair
-        new, origin = np.where(take, skip, pair), np.where(take, np.append(begin[1:], 0), begin)
+        other = whole[np.clip(begins + j, 0, len(whole) - 1)] != c
+        pair = np.where((j >= 0) & (j < lengths), cost + other, most + 1)
+        skip = np.full_like(cost, most + 2)  # a passage character without its own in the text
+        skip[:, :-1] = cost[:, 1:] + 1
+        came = np.zeros_like(begin)
+        came[:, :-1] = begin[:, 1:]
+        new, origin = np.minimum(skip, pair), np.where(skip < pair, came, begin)
         # text characters without their own in the passage: along the row, each one edit more
-        run = np.minimum.accumulate(new - steps)
+        run = np.minimum.accumulate(new - steps, axis=1)
         far = run + steps
         if (far < new).any():
-            source = np.maximum.accumulate(np.where(new - steps == run, steps, -1))
-            origin = np.where(far < new, origin[source], origin)
-            new = far
-        cost, begin = new, origin
-        if cost.min() > most:
-            return None
-    b = int(cost.argmin())
-    return (int(cost[b]), int(begin[b]), int(j0[b] + len(item))) if cost[b] <= most else None
+            source = np.maximum.accumulate(np.where(new - steps == run, steps, 0), axis=1)
+            origin = np.where(far < new, np.take_along_axis(origin, source, 1), origin)
+        cost, begin = far, origin
+        good = cost.min(axis=1) <= most
+        if not good.all():
+            live, begins, lengths, j0, cost, begin = (x[good] for x in (live, begins, lengths, j0, cost, begin))
+            if not len(live):
+                return edits, start, end
+    b, row = cost.argmin(axis=1), np.arange(len(live))
+    edits[live], start[live], end[live] = cost[row, b], begin[row, b], j0[row, b] + len(item)
+    return edits, start, end
 
 
 def _bands(index: Index, whole: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
@@ -227,15 +233,28 @@ def find(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int
     starts, ends = np.concatenate([[0], breaks + 1]), np.append(breaks, len(whole))
     offsets = np.cumsum([0, *(len(r) + 1 for r in raws)])
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    near: dict[int, list[tuple[int, int]]] = {}
     for d, i, b in _bands(index, whole, starts, ends):
+        if (d, i) in best:  # bands rise, so no later one holds an earlier place
+            continue
         k = int(index.budgets[i])
         span, text, passage = 2 * k + 1, whole[starts[d] : ends[d]], index.items[i][1]
         low, high = b * span - k, (b + 2) * span - 1 + k
         a = max(0, low)
         exact = place_of(passage, text[a : max(a, high + len(passage) + 1)])
-        found = (0, a + exact, a + exact + len(passage)) if exact >= 0 else align(passage, text, low, high, k)
-        if found and ((d, i) not in best or found[:2] < best[d, i][:2]):
-            best[d, i] = found
+        if exact >= 0:
+            best[d, i] = (0, a + exact, a + exact + len(passage))
+        else:
+            near.setdefault(i, []).append((d, low))
+    for i, bands in near.items():
+        k, passage = int(index.budgets[i]), index.items[i][1]
+        bands = [(d, low) for d, low in bands if best.get((d, i), (1,))[0]]
+        width = 6 * k + 2
+        for a in range(0, len(bands), many := max(1, CELLS // width)):
+            of, lows = np.array(bands[a : a + many], np.int64).T
+            for d, *found in zip(of.tolist(), *(x.tolist() for x in align(passage, whole, starts[of], ends[of] - starts[of], lows, width, k)), strict=True):
+                if found[0] <= k and ((d, i) not in best or tuple(found[:2]) < best[d, i][:2]):
+                    best[d, i] = tuple(found)
     out = [(d, index.items[i][0], edits, a, b) for (d, i), (edits, a, b) in sorted(best.items())]
     for item_id, passage in index.short:
         for d in range(len(texts)):
