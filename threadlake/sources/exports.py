@@ -8,6 +8,10 @@ a time. A file is one conversation, so files spread over tasks.
 Every reader returns the columns of ``COLUMNS``; ``position`` is the message's
 place in its file. Files that lack a format's markers give no rows; malformed
 rows are dropped by ``valid`` and kept by ``rejects``.
+
+Many small exports are better kept as a table than as files: listing, opening
+and committing a file costs more than reading it. Each reader therefore takes
+paths or a pack, a frame (path, text) with a row for each export.
 """
 
 from __future__ import annotations
@@ -96,15 +100,23 @@ def _time(x: Column) -> Column:
     return T.flexible_timestamp(x.cast(S))
 
 
-def whole(spark: SparkSession, path: str | list[str]) -> DataFrame:
+#: Paths, or a pack of exports as rows (path, text).
+Source = str | list[str] | DataFrame
+
+
+def whole(spark: SparkSession, path: Source) -> DataFrame:
     """(path, text) of each file, without a byte-order mark."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = path.select("path", "text") if isinstance(path, DataFrame) else spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return files.withColumn("text", F.regexp_replace("text", "^﻿", ""))
 
 
-def _json(spark: SparkSession, path: str | list[str], schema: D.StructType) -> DataFrame:
+def _json(spark: SparkSession, path: Source, schema: D.StructType) -> DataFrame:
     """(path, error, fields) of JSON files; one that is malformed has an error and no fields."""
-    read = spark.read.schema(D.StructType([*schema.fields, D.StructField("_corrupt_record", TEXT)])).json(path, multiLine=True)
+    checked = D.StructType([*schema.fields, D.StructField("_corrupt_record", TEXT)])
+    if isinstance(path, DataFrame):
+        read = whole(spark, path).select("path", F.from_json("text", checked).alias("j"))
+        return read.select("path", F.when(F.col("j._corrupt_record").isNotNull() | F.col("j").isNull(), "malformed JSON").alias("error"), *(F.col("j")[n].alias(n) for n in schema.names))
+    read = spark.read.schema(checked).json(path, multiLine=True)
     return read.select(F.col("_metadata.file_path").alias("path"), F.when(F.col("_corrupt_record").isNotNull(), "malformed JSON").alias("error"), *schema.names)
 
 
@@ -112,16 +124,17 @@ def _json(spark: SparkSession, path: str | list[str], schema: D.StructType) -> D
 LARGE = 256 << 20
 
 
-def _exploded(spark: SparkSession, path: str | list[str], fields: D.StructType, message: D.StructType, known: Column, *columns: str, large: bool = False) -> DataFrame:
+def _exploded(spark: SparkSession, path: Source, fields: D.StructType, message: D.StructType, known: Column, *columns: str, large: bool = False) -> DataFrame:
     """A row (path, error, columns, position, m) for each message of the files with the marks ``known``; a file without any, or malformed, is one row with an error.
 
     Of a ``large`` file the fields are those that stand before its messages.
     """
+    few = J.few(path)
     if large:
         found = J.elements(spark, path)
         heads = found.filter("section = 'messages' and position = 0").select("path", F.from_json("head", fields).alias("h"))
         rows = found.filter("section = 'messages' or error is not null").select("path", "error", "position", F.from_json("element", message).alias("m"))
-        kept = rows.join(F.broadcast(heads), "path", "left").select("path", "error", "h.*", "position", "m").filter(known | F.col("error").isNotNull())  # a row a file
+        kept = rows.join(few(heads), "path", "left").select("path", "error", "h.*", "position", "m").filter(known | F.col("error").isNotNull())  # a row a file
         kept = kept.select("path", "error", *columns, "position", "m")
     else:
         files = _json(spark, path, D.StructType([*fields.fields, D.StructField("messages", D.ArrayType(message))]))
@@ -167,7 +180,7 @@ def _qq(frame: DataFrame, m: str = "m") -> DataFrame:
     )
 
 
-def qq_json(spark: SparkSession, path: str | list[str], large: bool = False) -> DataFrame:
+def qq_json(spark: SparkSession, path: Source, large: bool = False) -> DataFrame:
     return _qq(_exploded(spark, path, _struct(**QQ_HEAD), QQ_MESSAGE, F.lower("metadata.name") == "qqchatexporter", "chatInfo", large=large))
 
 
@@ -181,7 +194,7 @@ def _unsafe(path: Column) -> Column:
     return F.coalesce(F.length(F.trim(p)) == 0, F.lit(True)) | p.rlike(r"^/|^[A-Za-z][A-Za-z0-9+.-]*:|(?:^|/)\.\.?(?:/|$)")
 
 
-def manifests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def manifests(spark: SparkSession, paths: Source) -> DataFrame:
     """(path, folder, chatInfo, nth, chunk, error): the chunks that a manifest declares, in its order, by their full paths; an error has no chunks.
 
     A list is authoritative: nothing else is read, an empty one is an error, as is a path that is unsafe, is no JSON lines,
@@ -202,11 +215,18 @@ def manifests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return files.select("path", "folder", "chatInfo", "error", F.posexplode_outer("listed").alias("nth", "relative")).select("path", "folder", "chatInfo", "nth", F.concat("folder", F.lit("/"), "relative").alias("chunk"), "error")
 
 
-def chunks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+#: Rows of a pack that are manifests.
+MANIFEST = "lower(path) like '%/manifest.json'"
+
+
+def chunks(spark: SparkSession, paths: Source) -> DataFrame:
     """``manifests`` with the chunks of manifests without a list, and an error for a declared chunk that is not there."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    declared = manifests(spark, paths)
-    there = _paths(spark, [p.rsplit("/", 1)[0] for p in paths]).select(F.col("path").alias("file")).filter(F.lower("file").endswith(".jsonl")).distinct()
+    if isinstance(paths, DataFrame):
+        declared, names = manifests(spark, paths.filter(MANIFEST)), paths.select("path")
+    else:
+        paths = [paths] if isinstance(paths, str) else list(paths)
+        declared, names = manifests(spark, paths), _paths(spark, [p.rsplit("/", 1)[0] for p in paths])
+    there = names.select(F.col("path").alias("file")).filter(F.lower("file").endswith(".jsonl")).distinct()
     old = declared.filter("nth is null and error is null").drop("nth", "chunk")
     name = F.regexp_extract("file", "([^/]+)$", 1)
     beside = there.withColumn("folder", F.regexp_replace("file", "/[^/]*$", "")).withColumn("folder", F.when(F.col("folder").endswith("/chunks"), F.regexp_replace("folder", "/chunks$", "")).when(name.rlike(OLD_CHUNK), F.col("folder")))
@@ -221,23 +241,30 @@ def chunks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return every.join(failed, "path").withColumn("error", F.col("failed")).drop("failed")
 
 
-def qq_chunked(spark: SparkSession, root: str | list[str]) -> DataFrame:
-    """Exports of a manifest and JSON-lines chunks, given by their folders or manifests.
+def qq_chunked(spark: SparkSession, root: Source) -> DataFrame:
+    """Exports of a manifest and JSON-lines chunks, given by their folders or manifests, or as a pack of both.
 
     Chunks of any size are split between tasks; a message's position is the number of messages before its block, from
     sums by block, and its place in the block.
     """
-    roots = [root] if isinstance(root, str) else list(root)
-    every = chunks(spark, [r if r.lower().endswith(".json") else f"{r.rstrip('/')}/manifest.json" for r in roots])
-    sound = [r["chunk"] for r in every.filter("error is null").select("chunk").distinct().collect()]  # paths, as Spark itself lists them
-    lines = spark.read.text(sound) if sound else spark.createDataFrame([], "value string")
-    place = [F.col("_metadata.file_path").alias("chunk"), F.col("_metadata.file_block_start").alias("block")] if sound else [F.lit("").alias("chunk"), F.lit(0).cast("bigint").alias("block")]
-    lines = lines.select(*place, F.monotonically_increasing_id().alias("at"), F.from_json("value", QQ_MESSAGE).alias("m")).filter("m.id is not null")
+    few = J.few(root)
+    if isinstance(root, DataFrame):
+        every = kept(chunks(spark, root), "chunks")  # several steps read it
+        sound = every.filter("error is null").select(F.col("chunk").alias("path")).distinct()
+        lines = B.lines(spark, root.join(sound, "path", "left_semi")).select(F.col("path").alias("chunk"), "block", "at", F.col("line").alias("value"))
+    else:
+        roots = [root] if isinstance(root, str) else list(root)
+        every = chunks(spark, [r if r.lower().endswith(".json") else f"{r.rstrip('/')}/manifest.json" for r in roots])
+        listed = [r["chunk"] for r in every.filter("error is null").select("chunk").distinct().collect()]  # paths, as Spark itself lists them
+        lines = spark.read.text(listed) if listed else spark.createDataFrame([], "value string")
+        place = [F.col("_metadata.file_path").alias("chunk"), F.col("_metadata.file_block_start").alias("block")] if listed else [F.lit("").alias("chunk"), F.lit(0).cast("bigint").alias("block")]
+        lines = lines.select(*place, F.monotonically_increasing_id().alias("at"), "value")
+    lines = lines.select("chunk", "block", "at", F.from_json("value", QQ_MESSAGE).alias("m")).filter("m.id is not null")
     declared = every.filter("error is null").select("path", "chatInfo", "nth", "chunk")
-    sizes = lines.groupBy("chunk", "block").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(declared.select("path", "nth", "chunk")), "chunk")  # a row a file
+    sizes = lines.groupBy("chunk", "block").agg(F.count(F.lit(1)).alias("n")).join(few(declared.select("path", "nth", "chunk")), "chunk")  # a row a file
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("path").orderBy("nth", "block")) - F.col("n")).select("path", "chunk", "block", "before")
     inside = lines.withColumn("place", F.row_number().over(Window.partitionBy("chunk", "block").orderBy("at")) - 1)
-    rows = inside.join(F.broadcast(before), ["chunk", "block"]).join(F.broadcast(declared.select("path", "chatInfo").distinct()), "path")
+    rows = inside.join(few(before), ["chunk", "block"]).join(F.broadcast(declared.select("path", "chatInfo").distinct()), "path")
     rows = rows.select("path", F.lit(None).cast(S).alias("error"), "chatInfo", (F.col("before") + F.col("place")).alias("position"), "m")
     empty = every.join(rows.select("path").distinct(), "path", "left_anti").groupBy("path").agg(F.coalesce(F.max("error"), F.lit("no messages")).alias("error"), F.first("chatInfo").alias("chatInfo"))
     return _qq(rows.unionByName(empty.select("path", "error", "chatInfo", F.lit(None).cast("bigint").alias("position"), F.lit(None).cast(QQ_MESSAGE).alias("m"))))
@@ -304,7 +331,7 @@ def own_senders(rows: DataFrame, sender: str = "_sender", own: str = "_own") ->
     return kept.groupBy("path").agg(F.min_by("candidate", F.struct((-F.col("n")).alias("n"), "second")).alias("self"))
 
 
-def weflow_json(spark: SparkSession, path: str | list[str], large: bool = False) -> DataFrame:
+def weflow_json(spark: SparkSession, path: Source, large: bool = False) -> DataFrame:
     """Both layouts: senders named on each message, or numbered and listed once."""
     people = D.ArrayType(_strings("senderID", "wxid", "displayName", "nickname", "groupNickname"))
     fields = _struct(weflow=_strings("version"), session=SESSION, senders=people)
@@ -375,7 +402,7 @@ def _lab(rows: DataFrame, names: dict[str, tuple[str, ...]], me: Column, platfor
     )
 
 
-def ciphertalk_json(spark: SparkSession, path: str | list[str], large: bool = False) -> DataFrame:
+def ciphertalk_json(spark: SparkSession, path: Source, large: bool = False) -> DataFrame:
     known = (F.col("exportInfo.generator") == "CipherTalk") | (F.col("exportInfo.format") == "detailed-json")
     return _ciphertalk(_exploded(spark, path, _struct(exportInfo=_strings("version", "generator", "format"), session=SESSION), LAB_MESSAGE, F.coalesce(known, F.lit(False)), "session", large=large))
 
@@ -401,11 +428,11 @@ def _chatlab(rows: DataFrame) -> DataFrame:
     return _lab(rows, LAB, owner, platform, T.pick(owner, F.concat(platform, F.lit("-default"))), chat, F.coalesce(group, F.lit(False)), T.pick(T.clean(meta["name"]), chat), F.col("who"), True)
 
 
-def chatlab_json(spark: SparkSession, path: str | list[str], large: bool = False) -> DataFrame:
+def chatlab_json(spark: SparkSession, path: Source, large: bool = False) -> DataFrame:
     return _chatlab(_exploded(spark, path, _struct(chatlab=_strings("version"), meta=LAB_META, members=D.ArrayType(MEMBER)), LAB_MESSAGE, F.col("chatlab.version") == "0.0.2", "meta", "members", large=large))
 
 
-def chatlab_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def chatlab_jsonl(spark: SparkSession, path: Source) -> DataFrame:
     """Lines tagged header, member or message; blank and malformed lines are skipped."""
     head = _struct(_type=S, chatlab=_strings("version"), meta=LAB_META)
     lines = F.filter(F.split("text", "\r?\n"), lambda x: F.trim(x) != "")
@@ -420,13 +447,33 @@ def chatlab_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
 CSV_HEADER = ["id", "MsgSvrID", "type_name", "is_sender", "talker", "msg", "src", "CreateTime"]
 
 
-def weflow_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def weflow_csv(spark: SparkSession, path: Source) -> DataFrame:
     """RFC 4180 with embedded line breaks; a file is one private conversation."""
+    if isinstance(path, DataFrame):
+        return _csv_messages(_packed_csv(whole(spark, path)))
     reader = spark.read.option("columnPruning", "false")  # whatever is asked of a file, its header is checked as a whole
     rows = reader.csv(path, schema=_strings(*CSV_HEADER), header=True, multiLine=True, quote='"', escape='"', enforceSchema=False, mode="PERMISSIVE")
     # A file lies in one task as a whole, so its rows have consecutive numbers there.
     rows = rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), "*")
-    rows = rows.join(rows.groupBy("path").agg(F.min("at").alias("first")), "path").withColumn("position", F.col("at") - F.col("first"))
+    return _csv_messages(rows.join(rows.groupBy("path").agg(F.min("at").alias("first")), "path").withColumn("position", F.col("at") - F.col("first")))
+
+
+#: A record of a CSV text: line breaks between quotes do not end it.
+CSV_RECORD = r'[^"\r\n]*+(?:"[^"]*+(?:"|\z)[^"\r\n]*+)*+'
+
+
+def _packed_csv(files: DataFrame) -> DataFrame:
+    """(path, position, fields) of the records of CSV texts (path, text) with the known header."""
+    # As in a file, the first line break says what ends a line, and such breaks within quotes are plain ones.
+    text = F.when(F.col("text").rlike(r"\A[^\r\n]*\r\n"), F.replace("text", F.lit("\r\n"), F.lit("\n"))).otherwise(F.col("text"))
+    records = F.filter(F.regexp_extract_all(text, F.lit(CSV_RECORD), F.lit(0)), lambda r: F.length(r) > 0)
+    files = files.withColumn("records", records).filter(F.replace(F.try_element_at("records", F.lit(1)), F.lit('"'), F.lit("")) == ",".join(CSV_HEADER))
+    rows = files.select("path", F.posexplode(F.slice("records", F.lit(2), F.size("records"))).alias("position", "record"))
+    read = F.from_csv("record", ", ".join(f"{c} string" for c in CSV_HEADER), {"quote": '"', "escape": '"', "multiLine": "true", "lineSep": "\n"})
+    return rows.select("path", F.col("position").cast("long").alias("position"), read.alias("r")).select("path", "position", "r.*")
+
+
+def _csv_messages(rows: DataFrame) -> DataFrame:
     native = X.file_native_id(F.col("path"))
     kind = K.csv_type(F.coalesce("type_name", F.lit("")))
     return _messages(
@@ -453,7 +500,7 @@ def _flat(rows: DataFrame, native: Column, title: Column, header: str, kind: Col
     )
 
 
-def weflow_markdown(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def weflow_markdown(spark: SparkSession, path: Source) -> DataFrame:
     header = rf"## ({STAMP}) (.*)"
     files = whole(spark, path).filter(F.col("text").rlike(r"(?m)^- 导出工具: WeFlow\s*$") & F.col("text").rlike(r"(?m)^- 会话ID: "))
     rows = _framed(files, header)
@@ -465,7 +512,7 @@ def weflow_markdown(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _flat(rows, native, T.clean(F.regexp_extract("text", r"(?m)^# (.*)$", 1)), header, F.when(group, "group").otherwise("private"), F.when(kind == "other", "text").otherwise(kind), body, T.markdown_text(body))
 
 
-def weflow_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def weflow_text(spark: SparkSession, path: Source) -> DataFrame:
     """A header of time and quoted sender opens a message; all but the first follow a blank line."""
     header = rf"({STAMP}) '(.*)'"
     files = whole(spark, path).filter(F.col("text").rlike(f"^{header}\r?\n"))
@@ -495,7 +542,7 @@ def _listed(ordinal: Column, kind: Column, filename: Column, declared: Column, p
     return F.struct(ordinal.cast("bigint").alias("ordinal"), kind.alias("kind"), filename.alias("filename"), declared.alias("declared"), paths.alias("candidates"), T.guess_mime(F.coalesce(filename, declared)).alias("mime"), size.cast("bigint").alias("size"), none.cast("int").alias("width"), none.cast("int").alias("height"), none.cast("double").alias("duration"), metadata.alias("metadata"))
 
 
-def qq_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def qq_text(spark: SparkSession, path: Source) -> DataFrame:
     """Numbered and unnumbered messages; resources counted right are attachments without a path."""
     rows = B.messages(spark, path).withColumn("error", F.when(~F.col("whole"), "a message without content"))
     native, name = X.file_native_id(F.col("path")), F.col("sender")
@@ -538,7 +585,7 @@ def insert_rows(files: DataFrame, table: str, columns: list[str]) -> DataFrame:
     return cut.select("path", "text", "position", F.struct(*(F.get("v", k).alias(c) for k, c in enumerate(columns))).alias("row"))
 
 
-def weflow_sql(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def weflow_sql(spark: SparkSession, path: Source) -> DataFrame:
     rows = insert_rows(whole(spark, path), "weflow_messages", WEFLOW_COLUMNS)
     r = F.col("row")
     content = F.coalesce(r["content"], F.lit(""))
@@ -551,7 +598,7 @@ def weflow_sql(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def ciphertalk_sql(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def ciphertalk_sql(spark: SparkSession, path: Source) -> DataFrame:
     """Messages joined to the one session row of their file."""
     files = whole(spark, path)
     sessions = insert_rows(files, "sessions", SESSION_COLUMNS).groupBy("path").agg(F.first("row").alias("s"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")

@@ -28,43 +28,59 @@ def _count(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
-def _before(rows: DataFrame, value: str, name: str) -> DataFrame:
+def few(source):
+    """How to join a row a file or block: as a broadcast for files, of which there are few large ones; as Spark sees fit for a pack, which may hold any number."""
+    return (lambda df: df) if isinstance(source, DataFrame) else F.broadcast
+
+
+def _before(rows: DataFrame, value: str, name: str, few=F.broadcast) -> DataFrame:
     """``rows`` with ``name``: the sum of ``value`` over all earlier pieces of the file, by sums of blocks and places in the block."""
     blocks = rows.groupBy("path", "block").agg(F.sum(value).alias("whole"))
     earlier = F.sum("whole").over(Window.partitionBy("path").orderBy("block")) - F.col("whole")
     starts = blocks.select("path", "block", earlier.alias("start"))
     inside = F.sum(value).over(Window.partitionBy("path", "block").orderBy("at")) - F.col(value)
-    return rows.withColumn("inside", inside).join(F.broadcast(starts), ["path", "block"]).withColumn(name, F.col("start") + F.col("inside")).drop("start", "inside")  # a row a block
+    return rows.withColumn("inside", inside).join(few(starts), ["path", "block"]).withColumn(name, F.col("start") + F.col("inside")).drop("start", "inside")  # a row a block
+
+
+def _texts(spark: SparkSession, paths: str | list[str] | DataFrame) -> DataFrame:
+    """(path, size, block, at, s): the texts between closing braces, of files or of a pack (path, text)."""
+    if isinstance(paths, DataFrame):
+        text = F.regexp_replace("text", "^\ufeff", "")
+        parts = F.when(F.length(text) > 0, F.split(F.regexp_replace(text, r"\}\z", ""), r"\}"))
+        rows = paths.select("path", F.octet_length(text).cast("bigint").alias("size"), F.posexplode(parts).alias("at", "s"))
+        return rows.select("path", "size", F.lit(0).cast("bigint").alias("block"), F.col("at").cast("bigint").alias("at"), "s")
+    read, meta = spark.read.option("lineSep", "}").text(paths), F.col("_metadata")
+    return read.select(meta["file_path"].alias("path"), meta["file_size"].alias("size"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("s"))
 
 
-def pieces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def pieces(spark: SparkSession, paths: str | list[str] | DataFrame) -> DataFrame:
     """(path, block, at, s, closed, in_string, braces, brackets): texts up to a closing brace (``closed``: it stands there), with what is open before them."""
-    read = spark.read.option("lineSep", "}").text(paths)
-    meta = F.col("_metadata")
-    rows = read.select(meta["file_path"].alias("path"), meta["file_size"].alias("size"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("s"))
+    join = few(paths)
+    rows = _texts(spark, paths)
     # The last piece lacks its brace if the pieces' bytes, with a brace each, are one more than the file's (a mark of three bytes at its start is not read).
     ends = rows.groupBy("path").agg(F.max(F.struct("block", "at")).alias("last"), F.sum(F.octet_length("s") + 1).alias("bytes"), F.max("size").alias("size"))
-    rows = rows.join(F.broadcast(ends.select("path", "last", (F.col("size") - F.col("bytes")).isin(0, 3).alias("whole"))), "path")
+    rows = rows.join(join(ends.select("path", "last", (F.col("size") - F.col("bytes")).isin(0, 3).alias("whole"))), "path")
     rows = rows.withColumn("closed", F.col("whole") | (F.struct("block", "at") != F.col("last"))).drop("whole", "last", "size")
     bare = F.regexp_replace("s", r"(?s)\\.", "")  # no escape is cut by a brace
     parts = rows.withColumn("parts", F.split(bare, '"')).withColumn("quotes", F.size("parts") - 1)
     every_second = lambda r: F.array_join(F.filter("parts", lambda _, k: k % 2 == r), " ")
     same, other = every_second(0), every_second(1)
-    parts = _before(parts.withColumn("same", same).withColumn("other", other).drop("parts"), "quotes", "quoted")
+    parts = _before(parts.withColumn("same", same).withColumn("other", other).drop("parts"), "quotes", "quoted", join)
     parts = parts.withColumn("in_string", F.col("quoted") % 2 == 1)
     plain = F.when(F.col("in_string"), F.col("other")).otherwise(F.col("same"))
     real = F.col("closed") & ((F.col("quoted") + F.col("quotes")) % 2 == 0)  # the brace is none of a string's
     deep = parts.withColumn("plain", plain).withColumn("real", real).drop("same", "other", "quoted", "quotes")
     deep = deep.withColumn("more_braces", _count(F.col("plain"), "{") - F.col("real").cast("int")).withColumn("more_brackets", _count(F.col("plain"), "[") - _count(F.col("plain"), "]"))
-    return _before(_before(deep, "more_braces", "braces"), "more_brackets", "brackets")
+    return _before(_before(deep, "more_braces", "braces", join), "more_brackets", "brackets", join)
 
 
-def elements(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def elements(spark: SparkSession, paths: str | list[str] | DataFrame) -> DataFrame:
     """(path, error, section, position, element, head): the objects of each array of the root, as JSON text, by the array's name and their place in it.
 
     ``head`` is, in the row of an array's first object only, what stands before the array, closed so that it can be read. A
     file with an error is one row without an element.
     """
+    join = few(paths)
     rows = pieces(spark, paths)
     after_braces, after_brackets = F.col("braces") + F.col("more_braces"), F.col("brackets") + F.col("more_brackets")
     rows = rows.withColumn("ends", (F.col("real") & (after_braces == 1) & (after_brackets == 1)).cast("int"))
@@ -75,19 +91,19 @@ def elements(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     depth, lists = F.col("braces") + _count(outside, "{"), F.col("brackets") + _count(outside, "[") - _count(outside, "]")
     opening = F.when((depth == 1) & (lists == 1), F.substr(found, F.when(F.col("in_string"), 2).otherwise(1)))
     rows = rows.withColumn("opening", opening).drop("plain")
-    rows = kept(_before(rows, "ends", "nth"), "json-pieces")  # several steps read it
+    rows = kept(_before(rows, "ends", "nth", join), "json-pieces")  # several steps read it
     total = rows.groupBy("path").agg(F.sum("more_braces").alias("b"), F.sum("more_brackets").alias("k"), F.max_by("in_string", F.struct("block", "at")).alias("q"), F.min(F.when(after_braces <= 0, F.struct("block", "at"))).alias("over"), F.max(F.when(F.trim(F.regexp_replace("s", r"\s", "")) != "", F.struct("block", "at"))).alias("last"))
     states = total.select("path", F.when((F.col("b") != 0) | (F.col("k") != 0), "JSON ends early").when(F.coalesce(F.col("over") < F.col("last"), F.lit(False)), "JSON goes on after its root").alias("error"))
     starts = rows.filter("length(opening) > 0").select("path", "nth", F.struct("block", "at").alias("place"), "opening")
     sections = starts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(F.col("nth").alias("first"), F.regexp_extract(F.col("opening"), OPENING, 1).alias("name")))).alias("sections"))  # the root's arrays
-    before = rows.drop("opening").join(F.broadcast(starts.select("path", F.col("place").alias("to"), F.col("nth").alias("first"), "opening")), "path").filter(F.struct("block", "at") < F.col("to"))
+    before = rows.drop("opening").join(join(starts.select("path", F.col("place").alias("to"), F.col("nth").alias("first"), "opening")), "path").filter(F.struct("block", "at") < F.col("to"))
     heads = before.groupBy("path", "first", "opening").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", F.concat("s", F.lit("}")).alias("s")))), lambda x: x["s"]), "").alias("text"))
     heads = starts.select("path", F.col("nth").alias("first"), "opening").join(heads, ["path", "first", "opening"], "left").select("path", F.col("first").alias("nth"), F.concat(F.coalesce("text", F.lit("")), "opening", F.lit("]}")).alias("head"))
     ended = rows.groupBy("path", "nth").agg(F.max("ends").alias("ended"), F.array_sort(F.collect_list(F.struct("block", "at", F.when(F.length("opening") > 0, F.substr("s", F.length("opening") + 1)).otherwise(F.col("s")).alias("s"), (F.length("opening") > 0).alias("opens")))).alias("ps")).filter("ended = 1")
     begins = F.coalesce(F.array_max(F.transform("ps", lambda p, k: F.when(p["opens"], k))), F.lit(0))
     text = F.array_join(F.transform(F.slice("ps", begins + 1, F.size("ps")), lambda p: F.concat(p["s"], F.lit("}"))), "")
-    found = ended.select("path", "nth", F.regexp_replace(text, r"^[\s,]+", "").alias("element")).join(F.broadcast(sections), "path")
+    found = ended.select("path", "nth", F.regexp_replace(text, r"^[\s,]+", "").alias("element")).join(join(sections), "path")
     own = F.try_element_at(F.filter("sections", lambda x: x["first"] <= F.col("nth")), F.lit(-1))
     found = found.select("path", "nth", own["name"].alias("section"), (F.col("nth") - own["first"]).alias("position"), "element").join(heads, ["path", "nth"], "left").drop("nth")
-    good = found.join(F.broadcast(states), "path").filter("error is null").select("path", "error", "section", "position", "element", "head")
+    good = found.join(join(states), "path").filter("error is null").select("path", "error", "section", "position", "element", "head")
     return good.unionByName(states.filter("error is not null"), allowMissingColumns=True)

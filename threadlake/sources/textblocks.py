@@ -29,8 +29,12 @@ def sender_of(line: Column) -> Column:
     return F.when(line.rlike("^.+:$") & ~line.rlike("^(?:时间|类型|内容|资源):") & (F.length(bare) > 0), bare)
 
 
-def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, block, at, line): lines of the files in the order of block and at."""
+def lines(spark: SparkSession, paths: str | list[str] | DataFrame) -> DataFrame:
+    """(path, block, at, line): lines of the files, or of the texts of a pack (path, text), in the order of block and at."""
+    if isinstance(paths, DataFrame):
+        split = F.when(F.length("text") > 0, F.split(F.regexp_replace("text", r"(?:\r\n|\r|\n)\z", ""), "\r\n|\r|\n"))
+        rows = paths.select("path", F.posexplode(split).alias("at", "line"))
+        return rows.select("path", F.lit(0).cast("bigint").alias("block"), F.col("at").cast("bigint").alias("at"), F.regexp_replace("line", "^\ufeff", "").alias("line"))
     meta = F.col("_metadata")
     return spark.read.text(paths).select(meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "^﻿", "").alias("line"))
 
@@ -70,7 +74,7 @@ def _blocks(flagged: DataFrame) -> DataFrame:
     return facts.select("path", "block", "numbers_before", "messages_before", "closed_before", "before_line", "after_line", "signature", F.col("title_").alias("title"), F.col("chat_").alias("chat"), F.col("opener_").alias("opener"))
 
 
-def messages(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def messages(spark: SparkSession, paths: str | list[str] | DataFrame) -> DataFrame:
     """(path, title, chat, position, number, sender, time, type, content, resources, whole) of the messages of the exports.
 
     ``resources`` (type, name) are lines listed after a line that counts them, if they are as many as it says; else
