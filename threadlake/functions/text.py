@@ -159,13 +159,22 @@ def guess_mime(name: Column) -> Column:
     return F.try_element_at(table, F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([^./\\]+)$", 1)))
 
 
-def format_bytes(n: Column) -> Column:
-    """Bytes for people: B, KiB and MiB with one digit, GiB with two."""
-    size = lambda d: n.cast("double") / F.lit(float(d))
+def format_bytes(n: Column, gib: bool = True) -> Column:
+    """Bytes for people: B, KiB and MiB with one digit, GiB (if wanted) with two."""
+    n = n.cast("bigint")
+
+    def shown(unit: int, digits: int) -> Column:
+        # C's printf, SQL's too, rounds the exact value, halves to even; Java's rounds halves up. A unit is a power of two, so whole numbers do it.
+        bits, scale = unit.bit_length() - 1, 10**digits
+        rest = n.bitwiseAND(F.lit(unit - 1)) * scale
+        parts, over = F.shiftright(n, bits) * scale + F.shiftright(rest, bits), rest.bitwiseAND(F.lit(unit - 1))
+        rounded = parts + F.when((over > unit // 2) | ((over == unit // 2) & (parts % 2 == 1)), 1).otherwise(0)
+        return F.concat(F.floor(rounded / scale).cast("string"), F.lit("."), F.lpad((rounded % scale).cast("string"), digits, "0"))
+
     return (
-        F.when(n >= 1 << 30, F.format_string("%.2f GiB", size(1 << 30)))
-        .when(n >= 1 << 20, F.format_string("%.1f MiB", size(1 << 20)))
-        .when(n >= 1 << 10, F.format_string("%.1f KiB", size(1 << 10)))
+        F.when(F.lit(gib) & (n >= 1 << 30), F.concat(shown(1 << 30, 2), F.lit(" GiB")))
+        .when(n >= 1 << 20, F.concat(shown(1 << 20, 1), F.lit(" MiB")))
+        .when(n >= 1 << 10, F.concat(shown(1 << 10, 1), F.lit(" KiB")))
         .otherwise(F.concat(n.cast("string"), F.lit(" B")))
     )
 
