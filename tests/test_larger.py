@@ -26,3 +26,12 @@ def test_media_text_stays_in_mib(spark):
             return spark.createDataFrame([("b", 2 << 20)], "brand string, size long")
 
     assert reading.media_text(Large()).first()["shown"] == f"{(2 << 20) * 1000 / 1048576:.1f} MiB"
+
+
+@pytest.mark.parametrize("attached", [True, False])
+def test_observed_without_sorts(spark, attached):
+    seen = spark.range(20).select((F.col("id") % 4).alias("message_id"), F.col("id").alias("place"))
+    has = spark.createDataFrame([(1,), (1,), (9,)], "message_id long")
+    found = dedup.observed(seen, has, attached)
+    assert {r["message_id"] for r in found.collect()} == ({1} if attached else {0, 2, 3}) and found.count() == (5 if attached else 15)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()

@@ -126,5 +126,8 @@ def reimport_needed(files: DataFrame, ledger: DataFrame, parser_version: int = 5
 
 
 def observed(observations: DataFrame, attachments: DataFrame, with_attachments: bool) -> DataFrame:
-    """Observations of messages that have attachments, or of those that have none."""
-    return observations.join(attachments.select("message_id").distinct(), "message_id", "left_semi" if with_attachments else "left_anti")
+    """Observations of messages that have attachments, or of those that have none.
+
+    The messages' ids are held in a hash table in each partition; the observations are neither sorted nor gathered.
+    """
+    return observations.join(attachments.select("message_id").distinct().hint("shuffle_hash"), "message_id", "left_semi" if with_attachments else "left_anti")
