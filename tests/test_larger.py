@@ -35,3 +35,12 @@ def test_observed_without_sorts(spark, attached):
     found = dedup.observed(seen, has, attached)
     assert {r["message_id"] for r in found.collect()} == ({1} if attached else {0, 2, 3}) and found.count() == (5 if attached else 15)
     assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_xml_is_parsed_once(spark):
+    from threadlake.functions import payloads as P
+
+    texts = ["<msg username='u'><a/></msg>", "<msg><wcpayinfo><scenetext> s </scenetext><sendertitle>t</sendertitle></wcpayinfo></msg>", "<msg><appmsg><type>8</type></appmsg></msg>", "<msg><finderFeed><nickname>n</nickname></finderFeed></msg>", "<msg><x><appmsg><title>a</title><des>b</des></appmsg></x></msg>", "<msg>"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(P.xml_summary(F.col("t")).alias("x"))
+    assert [(r.x.summary, r.x.kind) for r in found.collect()] == [("[微信名片] u", "contact"), ("[s] t", "transfer"), ("[动画表情]", "emoji"), ("[视频号] n", "video"), ("[微信分享] a - b", "link"), (P.UNKNOWN, "other")]
+    assert str(P._summary(F.col("t"))).count("xpath_") == 1
