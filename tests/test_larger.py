@@ -28,6 +28,17 @@ def test_media_text_stays_in_mib(spark):
     assert reading.media_text(Large()).first()["shown"] == f"{(2 << 20) * 1000 / 1048576:.1f} MiB"
 
 
+def test_lookup_of_hot_keys(spark, monkeypatch):
+    """A key of many rows, a listed one or not, and rows without a key; the hot rows take no part in the shuffled join's key."""
+    monkeypatch.setattr(store, "HOT", 5)
+    rows = [(k, 0, *x) for k, x in enumerate([("d", None, None)] * 7 + [("x", "gone", "src")] * 9 + [("x", "gone", "lost")] * 6 + [(None, "one", "src"), (None, None, "two"), ("e", "one", None)])]
+    wanted = spark.createDataFrame(rows, "message_id long, ordinal int, sha256 string, managed_path string, source_path string")
+    listing = spark.createDataFrame([("d", "long/d"), ("d", "d"), ("-", "src"), ("f", "one"), ("g", "two")], "sha256 string, path string")
+    found = store.locate(wanted, listing)
+    assert [r["path"] for r in found.orderBy("message_id").collect()] == ["d"] * 7 + ["src"] * 9 + [None] * 6 + ["one", "two", "one"]
+    assert "xxhash64" in plan(found)
+
+
 @pytest.mark.parametrize("attached", [True, False])
 def test_observed_without_sorts(spark, attached):
     seen = spark.range(20).select((F.col("id") % 4).alias("message_id"), F.col("id").alias("place"))

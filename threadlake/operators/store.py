@@ -137,13 +137,32 @@ def orphans(objects: DataFrame, references: DataFrame) -> DataFrame:
     return objects.join(references.select("sha256").filter("sha256 is not null"), "sha256", "left_anti")
 
 
+#: Rows from which on a key is too frequent for one task.
+HOT = 100_000
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, value: str) -> DataFrame:
+    """``rows`` with the ``value`` that a table of unique keys (key, value) has for theirs, else null.
+
+    Keys that ``HOT`` rows or more share are few (at most one in ``HOT`` rows) and are broadcast with their values. The
+    other keys are shuffled, and rows without such a key are spread by their own hash: no task gets all rows of a key.
+    """
+    table = table.select(F.col("key").alias("_key"), F.col("value").alias("_value"))
+    hot = rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT)
+    hot = hot.join(table, F.col("_hot") == F.col("_key"), "left").select("_hot", F.col("_value").alias("_given"))
+    rest = F.when(F.col("_hot").isNull(), F.col(key))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_rest", rest).withColumn("_salt", F.when(rest.isNull(), F.xxhash64(*rows.columns)).otherwise(F.xxhash64(key)))
+    found = marked.join(table.withColumn("_hash", F.xxhash64("_key")).hint("shuffle_hash"), (F.col("_rest") == F.col("_key")) & (F.col("_salt") == F.col("_hash")), "left")
+    return found.select(*rows.columns, F.coalesce("_given", "_value").alias(value))
+
+
 def locate(attachments: DataFrame, listing: DataFrame) -> DataFrame:
     """(message_id, ordinal, path): by digest (of several files the shortest name), then managed, then source path."""
-    by_digest = listing.groupBy("sha256").agg(F.min_by("path", F.struct(F.length("path").alias("n"), "path")).alias("by_digest"))
-    there = listing.select("path").distinct()
-    found = attachments.join(by_digest, "sha256", "left")
+    by_digest = listing.groupBy(F.col("sha256").alias("key")).agg(F.min_by("path", F.struct(F.length("path").alias("n"), "path")).alias("value"))
+    there = listing.select(F.col("path").alias("key"), F.col("path").alias("value")).distinct()
+    found = looked_up(attachments, "sha256", by_digest, "by_digest")
     for column in ("managed_path", "source_path"):
-        found = found.join(there.select(F.col("path").alias(f"at_{column}")), F.col(column) == F.col(f"at_{column}"), "left")
+        found = looked_up(found, column, there, f"at_{column}")
     return found.select("message_id", "ordinal", F.coalesce("by_digest", "at_managed_path", "at_source_path").alias("path"))
 
 
