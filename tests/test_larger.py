@@ -55,3 +55,14 @@ def test_xml_is_parsed_once(spark):
     found = spark.createDataFrame([(t,) for t in texts], "t string").select(P.xml_summary(F.col("t")).alias("x"))
     assert [(r.x.summary, r.x.kind) for r in found.collect()] == [("[微信名片] u", "contact"), ("[s] t", "transfer"), ("[动画表情]", "emoji"), ("[视频号] n", "video"), ("[微信分享] a - b", "link"), (P.UNKNOWN, "other")]
     assert str(P._summary(F.col("t"))).count("xpath_") == 1
+
+
+def test_fold_streams_versions(spark):
+    """Groups of any size pass row by row: a version meets the one before it by its older payload, and none is searched for by a scan."""
+    n = 4000
+    rows = [("c", "one", None, f"m{k}", f"p{k}", [f"p{k - 1}"] if k % 2 else None, k) for k in range(n)] + [("c", None, None, "m", f"q{k}", None, n + k) for k in range(2)]
+    found = dedup.fold_state(spark.createDataFrame(rows, "conversation_id string, native_id string, local_id string, semantic_hash string, payload_hash string, compatible array<string>, seq long"), "qq")
+    got = {r.seq: (r.state, r.target) for r in found.collect()}
+    wanted = {k: ("duplicate", k - 1) if k % 2 else ("revision", 0) for k in range(1, n)} | {0: ("new", None), n: ("new", None), n + 1: ("revision", n)}
+    assert got == wanted
+    assert "FlatMapGroups" not in plan(found) and "MapInArrow" in plan(found)

@@ -7,7 +7,9 @@ partial sums shrink hot keys before the shuffle, and the joins can be split.
 
 from __future__ import annotations
 
-import pandas as pd
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,46 +63,97 @@ def _meeting(rows: DataFrame) -> DataFrame:
             return label.select("seq", F.concat(F.lit("m:"), F.col("meet").cast("string")).alias("meet"))
 
 
+def _versions() -> type:
+    """A class that goes to tasks with the function that uses it."""
+
+    class Versions:
+        """The stored versions of one message: the first of a payload, meaning or local id is found by a look-up, not a scan.
+
+        Entries of the heaps are places in ``stored``; one that no longer has the payload or meaning is dropped when it comes up.
+        """
+
+        def __init__(self) -> None:
+            self.stored: list[dict] = []
+            self.by = {"payload": {}, "semantic": {}}
+            self.by_local: dict[str, int] = {}
+
+        def _first(self, what: str, value) -> int | None:
+            heap = self.by[what].get(value)
+            while heap and self.stored[heap[0]][what] != value:
+                heapq.heappop(heap)
+            return heap[0] if heap else None
+
+        def _set(self, place: int, what: str, value) -> None:
+            self.stored[place][what] = value
+            heapq.heappush(self.by[what].setdefault(value, []), place)
+
+        def _store(self, r: dict) -> None:
+            place = len(self.stored)
+            self.stored.append({"seq": r["seq"]})
+            self._set(place, "payload", r["payload_hash"])
+            self._set(place, "semantic", r["semantic_hash"])
+            if r["local_id"]:
+                self.by_local.setdefault(r["local_id"], place)
+
+        def take(self, r: dict) -> tuple[int, str, int | None] | None:
+            """(seq, state, target) of the next row; none of a known one."""
+            if r["known"]:
+                self._store(r)
+                return None
+            same = self._first("payload", r["payload_hash"])
+            if same is None:
+                same = min((p for h in set(r["compatible"] or ()) if (p := self._first("payload", h)) is not None), default=None)
+            if same is not None:
+                for what, value in (("payload", r["payload_hash"]), ("semantic", r["semantic_hash"])):
+                    if self.stored[same][what] != value:
+                        self._set(same, what, value)
+                return r["seq"], "duplicate", self.stored[same]["seq"]
+            # No payload is the same, so a row without a native id meets those of its meaning.
+            meant = self._first("semantic", r["semantic_hash"])
+            first = meant if r["native_id"] is None else 0 if self.stored else None
+            target = None
+            if first is not None:
+                places = [p for p in (meant, self.by_local.get(r["local_id"]) if r["native_id"] is not None else None) if p is not None]
+                target = first if r["platform"] == "qq" else min(places, default=None)
+            state = "new" if first is None else "variant" if target is None else "revision"
+            found = r["seq"], state, None if target is None else self.stored[target]["seq"]
+            self._store(r)
+            return found
+
+    return Versions
+
+
 def fold_state(rows: DataFrame, platform: str | None = None) -> DataFrame:
     """(seq, state, target) by the full rule, for rows (conversation_id, native_id, local_id, semantic_hash, payload_hash, compatible, seq, platform).
 
     Rows meet by native id, or without one by meaning or payload. Equal payloads, and payloads that an older parser would
     have written, are duplicates, and the stored row takes over the hashes of its duplicate; other rows are revisions
-    where the platform or a shared local id or meaning says so, else variants. A group is one message's versions, so it
-    is small. ``platform`` stands in where the rows have no such column. Rows marked ``known`` (a column that may be
+    where the platform or a shared local id or meaning says so, else variants. Sorted rows pass in a stream, of which a
+    task holds the distinct versions of one message at a time. ``platform`` stands in where the rows have no such column. Rows marked ``known`` (a column that may be
     missing) are stored already: they are met, but get no state.
     """
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        stored: list[dict] = []
-        out = []
-        for r in group.sort_values("seq").itertuples():
-            if r.known:
-                stored.append({"seq": r.seq, "local": r.local_id, "payload": r.payload_hash, "semantic": r.semantic_hash})
-                continue
-            older = set() if r.compatible is None else set(r.compatible)
-            met = stored if r.native_id is not None else [s for s in stored if s["semantic"] == r.semantic_hash or s["payload"] in older | {r.payload_hash}]
-            same = next((s for s in met if s["payload"] == r.payload_hash), None) or next((s for s in met if s["payload"] in older), None)
-            if same:
-                same |= {"payload": r.payload_hash, "semantic": r.semantic_hash}
-                out.append((r.seq, "duplicate", same["seq"]))
-                continue
-            target = None
-            if met and r.platform == "qq":
-                target = met[0]["seq"]
-            elif met:
-                target = next((s["seq"] for s in met if (r.local_id and s["local"] == r.local_id) or s["semantic"] == r.semantic_hash), None)
-            out.append((r.seq, "new" if not met else "variant" if target is None else "revision", target))
-            stored.append({"seq": r.seq, "local": r.local_id, "payload": r.payload_hash, "semantic": r.semantic_hash})
-        frame = pd.DataFrame(out, columns=["seq", "state", "target"])
-        return frame.astype({"target": "Int64"})
+    start = _versions()
+
+    def fold(batches):
+        key, versions = None, None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if versions is None or (r["conversation_id"], r["meet"]) != key:
+                    key, versions = (r["conversation_id"], r["meet"]), start()
+                found = versions.take(r)
+                if found:
+                    out.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["seq", "state", "target"])
 
     if platform is not None or "platform" not in rows.columns:
         rows = rows.withColumn("platform", F.lit(platform or "wechat"))
     if "known" not in rows.columns:
         rows = rows.withColumn("known", F.lit(False))
     met = rows.join(_meeting(rows), "seq", "left").withColumn("meet", F.coalesce(F.concat(F.lit("n:"), F.col("native_id")), "meet"))
-    return met.groupBy("conversation_id", "meet").applyInPandas(fold, STATE)
+    met = met.select("conversation_id", "meet", "seq", "native_id", "local_id", "semantic_hash", "payload_hash", "compatible", "platform", "known")
+    return met.repartition("conversation_id", "meet").sortWithinPartitions("conversation_id", "meet", "seq").mapInArrow(fold, STATE)
 
 
 def new_observations(found: DataFrame, known: DataFrame) -> DataFrame:
