@@ -23,7 +23,7 @@ from threadlake.operators import media as M
 from threadlake.operators.dedup import fold_state, reimport_needed
 from threadlake.operators.store import Archive
 from threadlake.operators.tables import kept
-from threadlake.operators.upsert import ACCOUNT, conversation_upsert, sender_upsert
+from threadlake.operators.upsert import ACCOUNT, conversation_upsert, numbered, sender_upsert
 from threadlake.sources import exports as E
 
 PARSER_VERSION = 5
@@ -56,26 +56,38 @@ def _like(df: DataFrame, table: str) -> DataFrame:
     return df.select(*(F.col(name).cast(kind).alias(name) for name, kind in fields))
 
 
-def digests(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """(path, sha256) of sniffed files: of the bytes, for a chunked export of its manifest and of all its chunks in order.
+def digests(spark: SparkSession, files: DataFrame, pack: E.Pack | None = None) -> DataFrame:
+    """(path, sha256) of sniffed files (of a ``pack``): of the bytes, for a chunked export of its manifest and of all its chunks in order.
 
     Chunks are hashed by themselves, in parallel; only their digests come together.
     """
+    if pack is not None:
+        listed = E.chunks(spark, pack.chunked(files.filter("reader = 'qq_chunked'"))).filter("chunk is not null")
+        wanted = listed.filter("error is null").select(F.col("chunk").alias("path")).distinct()
+        return _digests(files, pack.files, listed, pack.files.join(wanted, "path", "left_semi").withColumn("length", F.octet_length("content").cast("long")))
     paths = [r["path"] for r in files.filter(F.col("size") < E.BIGGEST).select("path").collect()]
     if not paths:
         return spark.createDataFrame([], "path string, sha256 string")
     manifests = [r["path"] for r in files.filter("reader = 'qq_chunked'").select("path").collect()]
     whole = spark.read.format("binaryFile").load(paths).select("path", "content")
-    plain = whole.join(files.filter("reader is null or reader <> 'qq_chunked'").select("path"), "path", "left_semi").select("path", F.sha2("content", 256).alias("sha256"))
     if not manifests:
-        return plain
+        return _plain(files, whole)
     listed = E.chunks(spark, manifests).filter("chunk is not null")
-    hashed = spark.read.format("binaryFile").load([p for p in (r["chunk"] for r in listed.filter("error is null").select("chunk").distinct().collect())] or manifests).select(F.col("path").alias("chunk"), F.sha2("content", 256).alias("digest"), "length")
+    return _digests(files, whole, listed, spark.read.format("binaryFile").load([r["chunk"] for r in listed.filter("error is null").select("chunk").distinct().collect()] or manifests))
+
+
+def _plain(files: DataFrame, whole: DataFrame) -> DataFrame:
+    return whole.join(files.filter("reader is null or reader <> 'qq_chunked'").select("path"), "path", "left_semi").select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def _digests(files: DataFrame, whole: DataFrame, listed: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``digests`` of files with the contents ``whole`` (path, content) and ``listed`` chunks with theirs (path, content, length)."""
+    hashed = chunks.select(F.col("path").alias("chunk"), F.sha2("content", 256).alias("digest"), "length")
     relative = F.substr(F.col("chunk"), F.length("folder") + 2)
     lines = listed.join(hashed, "chunk").withColumn("line", F.concat(F.lit("\nchunk:"), relative, F.lit(":"), F.col("length").cast("string"), F.lit(":"), "digest", F.lit("\n")))
     rest = lines.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda x: x["line"]), "").alias("rest"))
     chunked = whole.join(files.filter("reader = 'qq_chunked'").select("path"), "path", "left_semi").join(rest, "path", "left")
-    return plain.unionByName(chunked.select("path", F.sha2(F.concat("content", F.encode(F.coalesce("rest", F.lit("")), "UTF-8")), 256).alias("sha256")))
+    return _plain(files, whole).unionByName(chunked.select("path", F.sha2(F.concat("content", F.encode(F.coalesce("rest", F.lit("")), "UTF-8")), 256).alias("sha256")))
 
 
 def _ledger(archive: Archive) -> DataFrame:
@@ -88,32 +100,31 @@ def _with_ids(rows: DataFrame, upserted: DataFrame, key: list[str], name: str) -
     return rows.join(upserted.select(*key, F.col("id").alias(name)), key)
 
 
-def import_into(archive: Archive, root: str | list[str], excluded: tuple[str, ...] = (), among: list[str] | None = None) -> DataFrame:
-    """Imports what lies below the folders (only the files ``among`` them, if given) and commits it as one version; returns the run's rows of ``RUNS``, one for each file.
+def import_into(archive: Archive, root: E.Root, excluded: tuple[str, ...] = (), among: list[str] | None = None) -> DataFrame:
+    """Imports what lies below the folders, or in a pack (only the files ``among`` them, if given) and commits it as one version; returns the run's rows of ``RUNS``, one for each file.
 
     An empty folder commits nothing but an empty run. Of two imports at once one gets a ``Conflict`` and changes nothing.
     """
     spark = archive.spark
     run = (stored(archive, "runs").agg(F.max("run")).first()[0] or 0) + 1
     told = E.sniffed(spark, root, excluded, among)
-    files = kept(told.join(digests(spark, told), "path", "left"), "import-files")
+    files = kept(told.join(digests(spark, told, root if isinstance(root, E.Pack) else None), "path", "left"), "import-files")
     # Of files with the same content one is read: the first of them.
     first = files.groupBy("sha256").agg(F.min(F.lower("path")).alias("least"))
     once = files.join(first, "sha256").withColumn("again", F.lower("path") != F.col("least")).drop("least")
     needed = reimport_needed(once.filter("error is null and not again"), _ledger(archive), PARSER_VERSION).select("path", F.lit(True).alias("reads"))
-    files = kept(once.join(needed, "path", "left").withColumn("reads", F.coalesce("reads", F.lit(False))).withColumn("number", F.lit(0)), "import-files")
+    files = kept(once.join(needed, "path", "left").withColumn("reads", F.coalesce("reads", F.lit(False))), "import-files")
     reading = files.filter("reads")
-    order = {r["path"]: k for k, r in enumerate(sorted(reading.select("path").collect(), key=lambda r: r["path"].lower()))}  # as many as files
+    numbers = numbered(reading.select("path", F.lower("path").alias("least")), ["least", "path"], F.lit(-1)).select("path", F.col("new_id").alias("number"))
     listing = E._paths(spark, root).select("path")
     messages = E.read_all(spark, root, files=reading.select(*(c.split()[0] for c in E.FILES.split(", "))))
     # Each step starts from a table: their expressions are long, and are planned (and compiled) by themselves.
     messages = kept(messages.drop(*E.DIGESTS), "import-read")
     messages = kept(M.resolve(messages, listing), "import-resolved")
     messages = M.with_missing(E.hashed(messages))
-    numbers = spark.createDataFrame(list(order.items()) or [("", 0)], "path string, number long")
     base = stored(archive, "messages").agg(F.max("seq")).first()[0] or 0
     base = (base // PLACES + 1) * PLACES
-    messages = messages.join(F.broadcast(numbers), "path", "left").withColumn("seq", F.lit(base) + F.col("number") * PLACES + F.col("position"))  # a row a file
+    messages = messages.join(numbers, "path", "left").withColumn("seq", F.lit(base) + F.col("number") * PLACES + F.col("position"))
     messages = kept(messages.drop("number"), "import-messages")
     # A file counts as a whole.
     sound = E.valid(messages)

@@ -15,7 +15,7 @@ def is_default(account: Column) -> Column:
 ACCOUNT = ["platform", "account_id", "native_id"]
 
 
-def _numbered(rows: DataFrame, order: list[str], after: Column) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], after: Column) -> DataFrame:
     """``rows`` with a column ``new_id`` that counts on from ``after`` in order: a sort, and one count for each partition."""
     placed = kept(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
     sizes = {r["p"]: r["count"] for r in placed.groupBy(F.shiftright("_at", 33).alias("p")).count().collect()}
@@ -40,7 +40,7 @@ def _owned(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     joined = joined.join(adopter, key, "left").withColumn("adopts", may & F.coalesce(F.col("account_id") == F.col("adopter"), F.lit(False)))
     found = joined.withColumn("id", F.coalesce("exact_id", F.when(F.col("adopts"), F.col("default_id"))))
     top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
-    new = _numbered(found.filter("id is null").select(*ACCOUNT, "seq"), ["seq", *ACCOUNT], F.lit(top).cast("bigint"))
+    new = numbered(found.filter("id is null").select(*ACCOUNT, "seq"), ["seq", *ACCOUNT], F.lit(top).cast("bigint"))
     state = F.when(F.col("exact_id").isNotNull(), "known").when(F.col("adopts"), "upgraded").otherwise("new")
     placed = found.join(new.select(*ACCOUNT, "new_id"), ACCOUNT, "left").withColumn("state", state).withColumn("id", F.coalesce("id", "new_id"))
     return placed.drop("exact_id", "default_id", "adopter", "adopts", "new_id")

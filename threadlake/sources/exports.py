@@ -11,11 +11,14 @@ rows are dropped by ``valid`` and kept by ``rejects``.
 
 Many small exports are better kept as a table than as files: listing, opening
 and committing a file costs more than reading it. Each reader therefore takes
-paths or a pack, a frame (path, text) with a row for each export.
+paths or a pack, a frame (path, text) with a row for each export; what looks
+into a folder (``sniffed``, ``read_all``, an import) also takes a ``Pack``.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -100,10 +103,30 @@ def _time(x: Column) -> Column:
     return T.flexible_timestamp(x.cast(S))
 
 
-#: Paths, or a pack of exports as rows (path, text).
+#: Paths, or a pack of exports as rows (path, text); readers of spreadsheets take its ``content``.
 Source = str | list[str] | DataFrame
 
 
+@dataclass(frozen=True)
+class Pack:
+    """A folder of exports kept as a table: ``files`` (path, content), a row for each file below ``root``."""
+
+    root: str
+    files: DataFrame
+
+    def of(self, paths: DataFrame) -> DataFrame:
+        """(path, text, content) of the files with these paths."""
+        return self.files.join(paths.select("path"), "path", "left_semi").select("path", F.col("content").cast(S).alias("text"), "content")
+
+    def chunked(self, manifests: DataFrame) -> DataFrame:
+        """``of`` these manifests and whatever may be a chunk."""
+        return self.of(manifests.select("path").unionByName(self.files.select("path").filter(F.lower("path").endswith(".jsonl"))))
+
+
+#: Folders of exports, or a pack in place of one.
+Root = str | list[str] | Pack
+
+
 def whole(spark: SparkSession, path: Source) -> DataFrame:
     """(path, text) of each file, without a byte-order mark."""
     files = path.select("path", "text") if isinstance(path, DataFrame) else spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
@@ -620,7 +643,7 @@ def ciphertalk_sql(spark: SparkSession, path: Source) -> DataFrame:
 SHEET_ROWS = "path string, sheet string, row int, cells map<string,string>, error string"
 
 
-def sheet_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def sheet_rows(spark: SparkSession, path: Source) -> DataFrame:
     """(path, sheet, row, cells by column letters, error) of every workbook, a file at a time in tasks; a bad workbook is one row with an error."""
     from threadlake.sources.workbook import WorkbookError, rows_of
 
@@ -633,8 +656,8 @@ def sheet_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
                     found = [(name, None, None, None, str(e))]
                 yield pd.DataFrame(found, columns=["path", "sheet", "row", "cells", "error"]).astype({"row": "Int32"})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, SHEET_ROWS)
+    files = path if isinstance(path, DataFrame) else spark.read.format("binaryFile").load(path)
+    return files.select("path", "content").mapInPandas(run, SHEET_ROWS)
 
 
 #: Titles and headers of sheets.
@@ -686,7 +709,7 @@ def _sheet_messages(rows: DataFrame, platform: str, sender: str, body: str, titl
     ).filter("timestamp_ms is not null or error is not null")
 
 
-def weflow_sheet(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def weflow_sheet(spark: SparkSession, path: Source) -> DataFrame:
     rows = _named(sheet_rows(spark, path).filter(F.col("sheet") == MESSAGE_SHEET), SHEETS["weflow"])
     name = F.coalesce(F.try_element_at("v", F.lit("发送者昵称")), F.try_element_at("v", F.lit("发送者身份")))
     rows = rows.withColumn("v", F.map_concat(F.map_filter("v", lambda k, _: k != "sender"), F.create_map(F.lit("sender"), name)))
@@ -694,7 +717,7 @@ def weflow_sheet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _sheet_messages(rows, "wechat", "sender", "内容", _file_title(F.col("path")), kind, F.trim(F.col("v")["发送者身份"]) == K.SELF_NAME, ["发送者微信ID"])
 
 
-def ciphertalk_sheet(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def ciphertalk_sheet(spark: SparkSession, path: Source) -> DataFrame:
     rows = _named(sheet_rows(spark, path), SHEETS["ciphertalk"], most=1)
     kind = K.message_type(None, F.col("v")["原始类型代码"], F.col("v")["消息类型"], F.col("v")["消息内容"])
     return _sheet_messages(rows, "wechat", "发送者", "消息内容", F.col("sheet"), kind, F.trim(F.col("v")["发送者"]) == K.SELF_NAME, ["微信ID"])
@@ -727,7 +750,7 @@ def sheet_resources(messages: DataFrame, resources: DataFrame) -> DataFrame:
     return each.groupBy("path", "row").agg(F.array_sort(F.collect_list("a")).alias("attachments"), F.max("wrong").alias("bad"))
 
 
-def qq_sheet(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def qq_sheet(spark: SparkSession, path: Source) -> DataFrame:
     """Messages of one sheet and, where their time, number and sender are theirs alone, the resources of the other; a workbook is unpacked once."""
     cells = kept(sheet_rows(spark, path).filter(F.col("sheet").isin(MESSAGE_SHEET, RESOURCE_SHEET)), "sheets")
     rows = _named(cells.filter(F.col("sheet") == MESSAGE_SHEET), SHEETS["qq"])
@@ -772,8 +795,11 @@ MARKS = {
 }
 
 
-def _paths(spark: SparkSession, root: str | list[str], among: list[str] | None = None) -> DataFrame:
+def _paths(spark: SparkSession, root: Root, among: list[str] | None = None) -> DataFrame:
     """(path, size, content) of every file below the roots (a root that is not there gives none), or of those ``among`` them, which then alone are listed."""
+    if isinstance(root, Pack):
+        files = root.files.select("path", F.octet_length("content").cast("long").alias("size"), "content")
+        return files if among is None else files.filter(F.col("path").isin(*among))
     roots = [root] if isinstance(root, str) else list(root)
     found = spark.createDataFrame([], "path string, size long, content binary")
     if among is not None:
@@ -793,28 +819,29 @@ def _qualified(spark: SparkSession, path: str) -> str:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString().rstrip("/")
 
 
-def _below(spark: SparkSession, path: Column, roots: list[str]) -> Column:
+def _below(path: Column, roots: list[str]) -> Column:
     """The part of a path below the root that it lies in."""
     out = path
-    for r in sorted((_qualified(spark, r) for r in roots), key=len):
+    for r in sorted(roots, key=len):
         out = F.when(path.startswith(r + "/"), F.substr(path, F.lit(len(r) + 2))).otherwise(out)
     return out
 
 
-def discover(spark: SparkSession, root: str | list[str], excluded: tuple[str, ...] = (), among: list[str] | None = None) -> DataFrame:
+def discover(spark: SparkSession, root: Root, excluded: tuple[str, ...] = (), among: list[str] | None = None) -> DataFrame:
     """(path, size, extension) of the files below the folders that may be exports, in order of their lower-case path.
 
     Folders of media below a root are left out (the root itself may have any name), as are the excluded ones; an empty
     folder gives no rows.
     """
-    roots = [root] if isinstance(root, str) else list(root)
-    files = _paths(spark, roots, among).select("path", "size").dropDuplicates(["path"])
-    parts = F.split(F.lower(_below(spark, F.col("path"), roots)), "/")
+    full = (lambda p: p.rstrip("/")) if isinstance(root, Pack) else (lambda p: _qualified(spark, p))
+    roots = [root.root] if isinstance(root, Pack) else [root] if isinstance(root, str) else list(root)
+    files = _paths(spark, root, among).select("path", "size").dropDuplicates(["path"])
+    parts = F.split(F.lower(_below(F.col("path"), [full(r) for r in roots])), "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     out = F.lit(False)
     for e in excluded:
-        out = out | F.col("path").startswith(_qualified(spark, e) + "/") | (F.col("path") == _qualified(spark, e))
+        out = out | F.col("path").startswith(full(e) + "/") | (F.col("path") == full(e))
     kept = files.withColumn("extension", extension).filter(F.col("extension").isin(*EXTENSIONS) & ~F.exists(folders, lambda p: p.isin(*SKIPPED)) & ~out)
     return kept.select("path", "size", "extension").orderBy(F.lower("path"))
 
@@ -842,7 +869,7 @@ def _workbook_readers(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, "path string, reader string, error string")
 
 
-def sniffed(spark: SparkSession, root: str | list[str], excluded: tuple[str, ...] = (), among: list[str] | None = None) -> DataFrame:
+def sniffed(spark: SparkSession, root: Root, excluded: tuple[str, ...] = (), among: list[str] | None = None) -> DataFrame:
     """(path, size, extension, reader, error) of the exports below the folders: the first reader in the registry whose marks a file bears in its first or last 64 KiB.
 
     Files that bear none are left out, those that cannot be told (no workbook, no JSON) have an error and no reader. What
@@ -867,26 +894,44 @@ def sniffed(spark: SparkSession, root: str | list[str], excluded: tuple[str, ...
     told = plain.select("path", reader.alias("reader"), F.when((F.col("extension") == "json") & ~F.col("head").rlike(r"^\s*[\[{]"), "malformed JSON").alias("error"))
     told = told.unionByName(_workbook_readers(contents.filter("extension = 'xlsx'").select("path", "content"))).filter("reader is not null or error is not null")
     told = told.unionByName(files.filter(F.col("size") >= BIGGEST).select("path", F.lit(None).cast(S).alias("reader"), F.lit("too large to be told apart").alias("error")))
-    rows = files.join(told, "path").select(*(c.split()[0] for c in FILES.split(", "))).collect()  # the driver lists files, as Spark itself does
+    found = files.join(told, "path").select(*(c.split()[0] for c in FILES.split(", ")))
+    if isinstance(root, Pack):
+        return _without_chunks(spark, root, kept(found, "sniffed"))
+    rows = found.collect()  # the driver lists files, as Spark itself does
     chunked = [r["path"] for r in rows if r["reader"] == "qq_chunked"]
     own = {r["chunk"] for r in manifests(spark, chunked).filter("chunk is not null").select("chunk").distinct().collect()} if chunked else set()
     folders = tuple(p.rsplit("/", 1)[0] + "/chunks/" for p in chunked)
-    kept = [r for r in rows if r["path"] not in own and not r["path"].startswith(folders or ("\0",))]
-    return spark.createDataFrame(sorted(kept, key=lambda r: r["path"].lower()), FILES)
+    left = [r for r in rows if r["path"] not in own and not r["path"].startswith(folders or ("\0",))]
+    return spark.createDataFrame(sorted(left, key=lambda r: r["path"].lower()), FILES)
 
 
-def read_all(spark: SparkSession, root: str | list[str], excluded: tuple[str, ...] = (), files: DataFrame | None = None) -> DataFrame:
+def _without_chunks(spark: SparkSession, pack: Pack, told: DataFrame) -> DataFrame:
+    """The files of a pack but for those that its chunked exports declare or keep in their folder ``chunks``."""
+    chunked = told.filter("reader = 'qq_chunked'").select("path")
+    own = manifests(spark, pack.of(chunked)).select(F.col("chunk").alias("path"))
+    parts = F.split("path", "/")
+    above = F.transform(F.filter(F.sequence(F.lit(1), F.size(parts)), lambda n: (n < F.size(parts)) & (F.get(parts, n - 1) == "chunks")), lambda n: F.array_join(F.slice(parts, F.lit(1), n - 1), "/"))
+    beside = told.select("path", F.explode(above).alias("folder")).join(chunked.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")), "folder", "left_semi")
+    return told.join(own.unionByName(beside.select("path")), "path", "left_anti")
+
+
+def read_all(spark: SparkSession, root: Root, excluded: tuple[str, ...] = (), files: DataFrame | None = None) -> DataFrame:
     """All messages below the folders (or of ``files``, as ``sniffed`` gives them): each file goes to its one reader. Files that cannot be read are rows with an error."""
     files = sniffed(spark, root, excluded) if files is None else files
-    by_reader: dict[tuple[str, bool], list[str]] = {}
-    for r in files.filter("error is null").select("path", "reader", "extension", "size").collect():
-        large = r["extension"] == "json" and r["reader"] in CUT and r["size"] >= LARGE
-        by_reader.setdefault((r["reader"], large), []).append(r["path"])
+    by_reader: dict[tuple[str, bool], Source] = {}
+    cut = F.coalesce((F.col("extension") == "json") & F.col("reader").isin(*CUT) & (F.col("size") >= LARGE), F.lit(False))
+    told = files.filter("error is null and reader is not null").select("path", "reader", cut.alias("large"))
+    if isinstance(root, Pack):
+        for r in told.select("reader", "large").distinct().collect():
+            own = told.filter((F.col("reader") == r["reader"]) & (F.col("large") == r["large"]))
+            by_reader[r["reader"], r["large"]] = root.chunked(own) if r["reader"] == "qq_chunked" else root.of(own)
+    else:
+        for r in told.collect():
+            by_reader.setdefault((r["reader"], r["large"]), []).append(r["path"])
     out = spark.createDataFrame([], READ)
-    for (name, large), paths in by_reader.items():
-        if name is not None:
-            found = (qq_chunked if name == "qq_chunked" else READERS[name][1])(spark, paths, **({"large": True} if large else {}))
-            out = out.unionByName(found.withColumn("position", F.col("position").cast("long")), allowMissingColumns=True)
+    for (name, large), source in by_reader.items():
+        found = (qq_chunked if name == "qq_chunked" else READERS[name][1])(spark, source, **({"large": True} if large else {}))
+        out = out.unionByName(found.withColumn("position", F.col("position").cast("long")), allowMissingColumns=True)
     bad = files.filter("error is not null").select("path", "error")
     return out.unionByName(bad, allowMissingColumns=True)
 
