@@ -64,3 +64,15 @@ def test_large_files_read_alike(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(E, "LARGE", 0)
     assert len(whole) == 18 and told() == whole
     assert [r.reason for r in E.rejects(E.read_all(spark, str(tmp_path))).collect()] == ["JSON ends early"]
+
+
+def test_pack_and_files_alike_by_one_exchange(spark, tmp_path):
+    """The pieces of a pack were joined to sums of blocks, heads and arrays, each join by exchanges and sorts of its own."""
+    texts = [json.dumps(document(), ensure_ascii=False, indent=2), json.dumps(document(9)), '{"messages": [], "x": [1, {"a": 1}]}', '{"x": [1, {"a": 1}], "messages": [{"b": "}"}]}\n', '{"messages": [{"a": "b', '{"a": 1}} ', '{"m": [{"a": 1}]} {"x": 1}', "", "}"]
+    for k, text in enumerate(texts):
+        (tmp_path / f"d{k}.json").write_text(text, encoding="utf-8")
+    pack = J.elements(spark, spark.createDataFrame([(f"file:{tmp_path}/d{k}.json", t) for k, t in enumerate(texts)], "path string, text string"))
+    assert pack._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    files = J.elements(spark, f"{tmp_path}/*.json")
+    told = lambda found: sorted((tuple(r) for r in found.select("path", "error", "section", "position", "element", "head").collect()), key=str)
+    assert told(pack) == told(files) and len({r.path for r in pack.collect()}) == 7

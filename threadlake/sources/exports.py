@@ -152,12 +152,15 @@ def _exploded(spark: SparkSession, path: Source, fields: D.StructType, message:
 
     Of a ``large`` file the fields are those that stand before its messages.
     """
-    few = J.few(path)
     if large:
         found = J.elements(spark, path)
-        heads = found.filter("section = 'messages' and position = 0").select("path", F.from_json("head", fields).alias("h"))
-        rows = found.filter("section = 'messages' or error is not null").select("path", "error", "position", F.from_json("element", message).alias("m"))
-        kept = rows.join(few(heads), "path", "left").select("path", "error", "h.*", "position", "m").filter(known | F.col("error").isNotNull())  # a row a file
+        first = F.when((F.col("section") == "messages") & (F.col("position") == 0), F.from_json("head", fields))
+        rows = found.filter("section = 'messages' or error is not null")
+        if isinstance(path, DataFrame):  # the rows of a text lie together
+            rows = rows.withColumn("h", F.first(first, ignorenulls=True).over(Window.partitionBy("path")))
+        else:
+            rows = rows.join(F.broadcast(found.select("path", first.alias("h")).filter("h is not null")), "path", "left")  # a row a file
+        kept = rows.select("path", "error", "h.*", "position", F.from_json("element", message).alias("m")).filter(known | F.col("error").isNotNull())
         kept = kept.select("path", "error", *columns, "position", "m")
     else:
         files = _json(spark, path, D.StructType([*fields.fields, D.StructField("messages", D.ArrayType(message))]))
