@@ -7,6 +7,7 @@ import pytest
 from tests.compare import canonical
 from threadlake.plans import registry
 from threadlake.sources import exports as E
+from threadlake.sources import textblocks as B
 
 QQ = '{"metadata":{"name":"QQChatExporter"},"chatInfo":{"name":"n","selfUid":"u"},"messages":[{"id":"1","timestamp":"1700000000000","sender":{"uid":"u"},"content":{"text":"a } [b] \\" {"}},{"id":"2","timestamp":"1700000001000","sender":{"uid":"v"},"content":{"text":"\\u4f60"}}]}'
 WEFLOW = '{"weflow":{"version":"1"},"session":{"wxid":"w","type":"x"},"messages":[{"localId":1,"createTime":1700000000,"type":"t","content":"a","isSend":1,"senderUsername":"me"},{"localId":2,"createTime":1700000001,"content":"b","isSend":1,"senderUsername":"me"}]}'
@@ -71,3 +72,13 @@ def test_files_written(spark, name):
     before = written()
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
     assert 0 < len({p for p in written() - before if not p.endswith(".crc")}) < 50
+
+
+def test_lines_by_one_exchange(spark, tmp_path):
+    """The lines of a pack were joined to the sums of their blocks, for which all of them were exchanged once more."""
+    free = QQ_TEXT.replace("[1]\r\n", "")
+    texts = [QQ_TEXT, free, free.replace("Ann:\r\n", ""), "x\n" + QQ_TEXT, QQ_TEXT.replace("聊天名称: n", "聊天名称: "), QQ_TEXT + "聊天名称: late\n[2]\n内容: y\n", QQ_TEXT.replace("聊天类型: 群聊\r\n", "聊天名称: second\r\n"), QQ_TEXT.split("Ann:")[0], ""]
+    files, pack = both(spark, tmp_path, "txt", texts)
+    found = B.messages(spark, pack)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    same(found, B.messages(spark, files))

@@ -5,7 +5,8 @@ the first number have none: each begins at its line of time, or at the line
 before it if that names a sender. The export ends where a rule is followed by
 the closing words. All of this is known from a line, its two neighbours, and
 sums over the lines before it; sums of blocks come first (a row a block), then
-places within a block, so no task sees more than a block or one message.
+places within a block, so no task sees more than a block or one message. A text
+of a pack is one block: nothing comes before it, and its lines pass by one exchange.
 """
 
 from __future__ import annotations
@@ -43,9 +44,12 @@ def _last(value: Column, where: Column) -> Column:
     return F.max_by(value, F.when(value.isNotNull() & where, F.col("at")))
 
 
-def _flagged(rows: DataFrame) -> DataFrame:
+def _inside(pack: bool) -> Window:
+    return (Window.partitionBy("path") if pack else Window.partitionBy("path", "block")).orderBy("at")
+
+
+def _flagged(rows: DataFrame, inside: Window) -> DataFrame:
     """``rows`` with what a line is, and the numbers up to it in its block (``k``)."""
-    inside = Window.partitionBy("path", "block").orderBy("at")
     flags = rows.withColumns({"number": F.col("line").rlike(NUMBER), "time": F.col("line").rlike(TIME)})
     return flags.withColumn("k", F.sum(F.col("number").cast("int")).over(inside)).withColumn("next", F.lead("line").over(inside)).withColumn("previous", F.lag("line").over(inside))
 
@@ -54,14 +58,28 @@ def _closing(line: Column, following: Column) -> Column:
     return line.rlike(RULE) & F.coalesce(T.clean(following) == CLOSING, F.lit(False))
 
 
+def _part(shape: str) -> Column:
+    return F.when(F.col("line").rlike(shape), T.clean(F.regexp_extract("line", shape, 1)))
+
+
+def _one_block(flagged: DataFrame) -> DataFrame:
+    """``flagged`` lines of texts, each a block without others beside it, with what ``_blocks`` tells of it."""
+    text = Window.partitionBy("path")
+    none, null = F.lit(0).cast("bigint"), F.lit(None).cast("string")
+    head = F.sum((F.col("number") | F.col("time")).cast("int")).over(_inside(True)) == 0
+    said = flagged.withColumn("head", head).withColumns({n: F.when(F.col("head"), c) for n, c in (("title", _part(TITLE)), ("chat", _part(CHAT)), ("opener", sender_of(F.col("line"))))})
+    last = {n: F.max_by(n, F.when(F.col(n).isNotNull(), F.col("at"))).over(text) for n in ("title", "chat", "opener")}
+    facts = said.withColumns(last | {"signature": F.min_by("line", F.when(F.col("at") == 0, F.col("at"))).over(text)})
+    return facts.withColumns({"numbers_before": none, "messages_before": none, "closed_before": none, "before_line": null, "after_line": null}).drop("head")
+
+
 def _blocks(flagged: DataFrame) -> DataFrame:
     """A row for each (path, block): what came before it, the lines beside it, and the facts of the file's head."""
-    inside = Window.partitionBy("path", "block").orderBy("at")
+    inside = _inside(False)
     opened = flagged.withColumn("head", F.sum((F.col("number") | F.col("time")).cast("int")).over(inside) == 0)
-    part = lambda shape: F.when(F.col("line").rlike(shape), T.clean(F.regexp_extract("line", shape, 1)))
     sums = opened.groupBy("path", "block").agg(
         F.count_if("number").alias("numbers"), F.count_if(F.col("time") & (F.col("k") == 0)).alias("times"), F.min_by("line", "at").alias("first"), F.max_by("line", "at").alias("last"), F.count_if(_closing(F.col("line"), F.col("next"))).alias("closings"),
-        _last(part(TITLE), F.col("head")).alias("title"), _last(part(CHAT), F.col("head")).alias("chat"), _last(sender_of(F.col("line")), F.col("head")).alias("opener"),
+        _last(_part(TITLE), F.col("head")).alias("title"), _last(_part(CHAT), F.col("head")).alias("chat"), _last(sender_of(F.col("line")), F.col("head")).alias("opener"),
     )
     order, whole = Window.partitionBy("path").orderBy("block"), Window.partitionBy("path")
     before = sums.withColumn("numbers_before", F.sum("numbers").over(order) - F.col("numbers")).withColumn("after_line", F.lead("first").over(order)).withColumn("before_line", F.lag("last").over(order))
@@ -81,9 +99,10 @@ def messages(spark: SparkSession, paths: str | list[str] | DataFrame) -> DataFra
     they and the count are content, as written. Blank lines at the end of a content are no part of it. A message without
     a content is not ``whole``. Files without signature or title give no rows.
     """
-    flagged = _flagged(lines(spark, paths))
-    inside = Window.partitionBy("path", "block").orderBy("at")
-    placed = flagged.join(_blocks(flagged), ["path", "block"]).filter(F.col("signature").startswith(SIGNATURE) & (F.length("title") > 0))
+    pack = isinstance(paths, DataFrame)
+    inside = _inside(pack)
+    flagged = _flagged(lines(spark, paths), inside)
+    placed = (_one_block(flagged) if pack else flagged.join(_blocks(flagged), ["path", "block"])).filter(F.col("signature").startswith(SIGNATURE) & (F.length("title") > 0))
     placed = placed.withColumns({"next": F.coalesce("next", "after_line"), "previous": F.coalesce("previous", "before_line")}).drop("after_line", "before_line")
     placed = placed.withColumn("free", (F.col("numbers_before") == 0) & (F.col("k") == 0)).withColumn("start", F.col("number") | (F.col("time") & F.col("free")))
     placed = placed.withColumn("message", F.col("messages_before") + F.sum(F.col("start").cast("int")).over(inside))
